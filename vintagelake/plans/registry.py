@@ -2,15 +2,38 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
+MODULES = ("core", "series", "checks", "engines", "serving")
+
+
+def query(name: str, sql: str | None = None):
+    """Registers a function of (spark, sf_dir) under a name, with its SQL where there is one."""
+
+    def keep(f: Callable) -> Callable:
+        if name in QUERIES:
+            raise ValueError(f"{name} is registered twice")
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return keep
+
+
+def _load() -> None:
+    for m in MODULES:
+        importlib.import_module(f"vintagelake.plans.{m}")
 
 
 def queries() -> dict[str, Callable]:
+    _load()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(ORACLES)
