@@ -42,7 +42,7 @@ def obs_null_rev(spark: SparkSession, sf: str) -> DataFrame:
 
 def price(spark: SparkSession, sf: str) -> DataFrame:
     """A daily level: orders' totals by day, in hundreds of thousands."""
-    o = table(spark, sf, "orders").groupBy(F.to_date("o_orderdate").alias("obs_date")).agg((F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint")) / F.lit(10000000.0)).alias("value"))
+    o = table(spark, sf, "orders").groupBy(F.to_date("o_orderdate").alias("obs_date")).agg((F.floor(F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint")) / 1000) / F.lit(10000.0)).alias("value"))
     return o.select(F.lit("PX").alias("series_id"), "obs_date", "value")
 
 
@@ -102,7 +102,7 @@ def outputs(spark: SparkSession, sf: str) -> DataFrame:
 
 #: The same views for the SQL engine. Each may use those before it.
 SQL = {
-    "obs": """SELECT series_id, obs_date, release_date, revision_date, value FROM (SELECT *, row_number() OVER (PARTITION BY series_id, obs_date, revision_date ORDER BY l_orderkey, l_linenumber, l_extendedprice) AS rn
+    "obs": """SELECT series_id, obs_date, release_date, revision_date, value FROM (SELECT *, row_number() OVER (PARTITION BY series_id, obs_date, revision_date ORDER BY l_orderkey, l_linenumber, value) AS rn
   FROM (SELECT o_orderpriority AS series_id, CAST(o_orderdate AS DATE) AS obs_date, CAST(o_orderdate AS DATE) + CAST(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) % 30 AS INT) AS release_date,
     greatest(CAST(o_orderdate AS DATE) + CAST(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) % 30 AS INT), CAST(l_shipdate AS DATE)) AS revision_date, l_extendedprice AS value, l_orderkey, l_linenumber
     FROM orders JOIN lineitem ON o_orderkey = l_orderkey)) WHERE rn = 1""",
@@ -111,7 +111,7 @@ SQL = {
     "knowable": f"SELECT *, greatest(release_date, coalesce(revision_date, release_date)) AS knowable_at FROM obs WHERE greatest(release_date, coalesce(revision_date, release_date)) <= DATE '{CUTOFF}'",
     "pit_latest": f"SELECT *, date_diff('day', obs_date, DATE '{CUTOFF}') AS staleness_days FROM knowable QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY obs_date DESC, knowable_at DESC) = 1",
     "pit_hist": "SELECT * FROM knowable QUALIFY row_number() OVER (PARTITION BY series_id, obs_date ORDER BY knowable_at DESC) = 1",
-    "price": "SELECT 'PX' AS series_id, CAST(o_orderdate AS DATE) AS obs_date, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / 10000000.0::DOUBLE AS value FROM orders GROUP BY 2",
+    "price": "SELECT 'PX' AS series_id, CAST(o_orderdate AS DATE) AS obs_date, floor(CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / 1000) / 10000.0::DOUBLE AS value FROM orders GROUP BY 2",
     "price_alt": "SELECT series_id, obs_date, value * (1 + 0.001::DOUBLE * (date_diff('day', DATE '1995-01-01', obs_date) % 7)) AS value FROM price WHERE obs_date <= DATE '1999-12-31'",
     "price_late": "SELECT * FROM price WHERE obs_date >= DATE '1997-01-01'",
     "tenors": "SELECT * FROM (VALUES " + ", ".join(f"('{t}', {m!r}::DOUBLE)" for t, m in TENORS) + ") AS t(tenor, maturity)",
