@@ -53,3 +53,11 @@ def limited(df: DataFrame, day: str, n: int) -> DataFrame:
 def newest_by(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(order)
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+
+
+def by_role(roles: dict[str, str], optional: set[str], present: set[str]) -> tuple[dict[str, str], list[str]]:
+    """The roles whose series are there, and the optional ones without; a required one without its series raises."""
+    lacking = [r for r, s in roles.items() if s not in present]
+    if required := [r for r in lacking if r not in optional]:
+        raise ValueError(f"no series for required roles: {required}")
+    return {r: s for r, s in roles.items() if s in present}, lacking

@@ -34,7 +34,7 @@ def expanding_z(col: Column, w, at_least: int, sample: bool, limit: float | None
     """Distance from the running mean in running standard deviations, cut at the limit; null for no spread."""
     sd = expanding(F.stddev_samp if sample else F.stddev_pop, col, w, at_least)
     z = (col - expanding(F.avg, col, w, at_least)) / F.nullif(sd, F.lit(0.0))
-    return z if limit is None else F.greatest(F.lit(-limit), F.least(F.lit(limit), z))
+    return z if limit is None else F.when(z.isNotNull(), F.greatest(F.lit(-limit), F.least(F.lit(limit), z)))
 
 
 def log_return(col: Column, w, n: int = 1) -> Column:
@@ -150,3 +150,8 @@ def expanding_midrank(df: DataFrame, key: str, by: str, value: str, out: str) ->
         return pd.DataFrame({key: pdf[key], by: pdf[by], value: pdf[value], out: ranks})
 
     return df.where(F.col(value).isNotNull()).select(key, by, value).groupBy(key).applyInPandas(run, f"{key} {kind}, {by} date, {value} double, {out} double")
+
+
+def nested(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Columns in order of horizon, each at least as large as those before."""
+    return df.withColumns({c: F.greatest(*columns[: i + 1]) for i, c in enumerate(columns) if i})
