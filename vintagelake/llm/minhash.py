@@ -28,6 +28,8 @@ REGISTERS = BANDS * ROWS
 #: Sketches that agree less are not compared in full: four standard deviations below the threshold.
 NEAR = SIMILAR - 4 * (SIMILAR * (1 - SIMILAR) / REGISTERS) ** 0.5
 BROADCAST_ROWS = 1_000_000
+#: Shingles in a block of texts that one task compares with another block.
+BLOCK_SHINGLES = 60_000
 U = np.uint64
 
 
@@ -148,12 +150,8 @@ def near_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, threshold: float, text: str = "text") -> DataFrame:
-    """The pairs (a, b) of doc_ids whose texts have a plain or probability Jaccard similarity of at least threshold.
-
-    Only the texts of these pairs are made into sets. Their ids are broadcast if few, else joined by a shuffle.
-    """
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def shingle_sets(ids: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """(doc_id, items, weights) of the documents with these ids, which are broadcast if few, else joined by a shuffle; weights is null where all are 1."""
     few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     involved = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
@@ -161,26 +159,87 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: float, text: str = "t
         sets = [shingles(t) for t in texts]
         return {"items": pa.array([s[0].tobytes() for s in sets], pa.binary()), "weights": pa.array([None if (s[1] == 1).all() else s[1].astype(np.float32).tobytes() for s in sets], pa.binary())}
 
-    sets = map_texts(involved, ["doc_id"], as_sets, "items binary, weights binary")
+    return map_texts(involved, ["doc_id"], as_sets, "items binary, weights binary")
+
+
+def read_set(items: bytes, weights: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    s = np.frombuffer(items, U)
+    return s, np.ones(len(s)) if weights is None else np.frombuffer(weights, np.float32).astype(float)
+
+
+def verified(pairs: DataFrame, docs: DataFrame, threshold: float, text: str = "text") -> DataFrame:
+    """The pairs (a, b) of doc_ids whose texts have a plain or probability Jaccard similarity of at least threshold. Only their texts are made into sets."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = shingle_sets(ids, docs, text)
     left = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("items_a"), F.col("weights").alias("weights_a"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("items_b"), F.col("weights").alias("weights_b"))
 
-    def read(items: bytes, weights: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-        s = np.frombuffer(items, U)
-        return s, np.ones(len(s)) if weights is None else np.frombuffer(weights, np.float32).astype(float)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for r in zip(*(batch.column(c) for c in ("a", "b", "items_a", "weights_a", "items_b", "weights_b")), strict=True):
                 a, b, *parts = (x.as_py() for x in r)
-                if max(similarity(read(*parts[:2]), read(*parts[2:]))) >= threshold:
+                if max(similarity(read_set(*parts[:2]), read_set(*parts[2:]))) >= threshold:
                     found.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "items_a", "weights_a", "items_b", "weights_b").mapInArrow(run, "a bigint, b bigint")
 
 
+def linked(left: list, right: list, apart: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of left's sets are similar to which of right's, where `apart` says to look. All common shingles count, by one matrix product."""
+    out = np.zeros(apart.shape, bool)
+    common = np.intersect1d(np.concatenate([s[0] for s in left]), np.concatenate([s[0] for s in right]))
+
+    def matrices(sets: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        held, share = np.zeros((len(sets), len(common)), np.float32), np.zeros((len(sets), len(common)), np.float32)
+        for i, (items, weights) in enumerate(sets):
+            _, at, own = np.intersect1d(common, items, assume_unique=True, return_indices=True)
+            held[i, at], share[i, at] = 1, weights[own] / weights.sum()
+        return held, share, np.array([len(s[0]) for s in sets])
+
+    (a, a_share, a_size), (b, b_share, b_size) = matrices(left), matrices(right)
+    both = a @ b.T
+    out = apart & (both >= threshold * (a_size[:, None] + b_size[None] - both) - 1e-3)
+    # The probability Jaccard similarity is at most each set's share of weight in common shingles.
+    maybe = apart & (out | (np.minimum(a_share @ b.T, a @ b_share.T) >= threshold - 1e-3))
+    for i, j in zip(*np.nonzero(maybe), strict=True):
+        out[i, j] = max(similarity(left[i], right[j])) >= threshold
+    return out
+
+
+def links_in_blocks(rooted: DataFrame, docs: DataFrame, threshold: float, text: str) -> DataFrame:
+    """Links (a, b) between texts of a bucket that the hubs left in different classes.
+
+    Each text outside its hub's class is the query, all texts of the bucket are looked through, in blocks of about
+    BLOCK_SHINGLES shingles: a task compares one block of queries with one block of texts and returns, for a query and
+    a class, one link. So no pairs are made as rows, and no bucket meets in one task.
+    """
+    is_apart = F.col("root") != F.col("hub_root")
+    others = rooted.where("node <> hub")
+    blocks = lambda size: F.ceil(size / F.lit(BLOCK_SHINGLES)).cast("int")
+    per = others.groupBy("band").agg(blocks(F.sum(F.when(is_apart, F.col("size")))).alias("n_query"), blocks(F.sum("size")).alias("n_text"), F.count("*").alias("n"))
+    rows = others.join(per.where("n_query is not null and n > 1").drop("n"), "band").withColumn("h", F.xxhash64("node", "band"))
+    query = rows.where(is_apart).select("band", F.pmod("h", "n_query").alias("i"), F.explode(F.expr("sequence(0L, n_text - 1L)")).alias("j"), "node", "root", F.lit(True).alias("query"))
+    text_rows = rows.select("band", F.explode(F.expr("sequence(0L, n_query - 1L)")).alias("i"), F.pmod("h", "n_text").alias("j"), "node", "root", F.lit(False).alias("query"))
+    placed = written(query.union(text_rows), "blocks")
+    sets = shingle_sets(placed.select(F.col("node").alias("doc_id")).distinct(), docs, text).withColumnRenamed("doc_id", "node")
+
+    def run(group: pa.Table) -> pa.Table:
+        rows = group.select(["node", "root", "query", "items", "weights"]).to_pylist()
+        query, texts = [r for r in rows if r["query"]], [r for r in rows if not r["query"]]
+        found: list[tuple[int, int]] = []
+        if query and texts:
+            roots, other = np.array([r["root"] for r in query]), np.array([r["root"] for r in texts])
+            hits = linked([read_set(r["items"], r["weights"]) for r in query], [read_set(r["items"], r["weights"]) for r in texts], roots[:, None] != other[None], threshold)
+            for i in np.flatnonzero(hits.any(1)):
+                at = np.flatnonzero(hits[i])
+                found += [(query[i]["node"], texts[at[k]]["node"]) for k in np.unique(other[at], return_index=True)[1]]
+        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+    return placed.join(sets, "node").groupBy("band", "i", "j").applyInArrow(run, "a bigint, b bigint")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node that links lead to. Each round links every node to the smallest of its neighbours
     and of itself, first upwards and then downwards, until nothing changes; a round's links are a table in the shared folder."""
@@ -207,13 +266,13 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILAR, text: str = "te
     Equal texts are one class by their digest. Different texts are linked where they share a band and their exact
     similarity reaches the threshold; classes are the connected parts. In a band's bucket every text is compared
     with one hub; where some are not in the hub's class afterwards, they are compared with all texts of the bucket
-    that are in other classes, so a bucket hides no pair. A text without words, or null, is in a class of its own.
+    that are in other classes, block by block, so a bucket hides no pair. A text without words, or null, is in a class of its own.
     Repeated rows are copies; rows that share a doc_id but not the text are linked through it. A null doc_id gets a
     null class. class_size counts rows.
     """
     sketched = written(sketch_texts(docs, text).where("doc_id is not null"), "sketches")
     wordy = sketched.where("size > 0")
-    nodes = written(wordy.groupBy("key").agg(F.min("doc_id").alias("node"), F.any_value("sketch").alias("sketch")).select("key", "node", "sketch"), "nodes")
+    nodes = written(wordy.groupBy("key").agg(F.min("doc_id").alias("node"), F.any_value("sketch").alias("sketch"), F.any_value("size").alias("size")).select("key", "node", "sketch", "size"), "nodes")
     bands = written(band_rows(nodes), "bands")
     hubs = bands.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("band", "hub")
     shared = written(bands.join(hubs, "band").select("band", "node", "hub"), "buckets")
@@ -222,11 +281,10 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILAR, text: str = "te
     first = components(links)
     # What the hubs left apart: texts of a bucket in another class than its hub, against the other classes of the bucket.
     root = shared.join(first, "node", "left").select("band", "node", "hub", F.coalesce("root", "node").alias("root"))
-    rooted = written(root.join(first.select(F.col("node").alias("hub"), F.col("root").alias("hub_root")), "hub", "left").select("band", "node", "root", F.coalesce("hub_root", "hub").alias("hub_root"), "hub"), "rooted")
-    apart = rooted.where("root <> hub_root").select("band", F.col("node").alias("a"), F.col("root").alias("root_a"))
-    others = rooted.where("node <> hub").select("band", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("hub_root"))
-    crossed = apart.join(others, "band").where("root_a <> root_b and (a < b or root_b = hub_root)").select("a", "b").distinct()
-    more = written(verified(written(near_pairs(crossed, nodes), "pairs"), docs, threshold, text), "links")
+    rooted = root.join(first.select(F.col("node").alias("hub"), F.col("root").alias("hub_root")), "hub", "left").select("band", "node", "root", F.coalesce("hub_root", "hub").alias("hub_root"), "hub")
+    open_bands = rooted.where("root <> hub_root").select("band").distinct()
+    left_apart = written(rooted.join(open_bands, "band", "left_semi").join(nodes.select("node", "size"), "node"), "rooted")
+    more = written(links_in_blocks(left_apart, docs, threshold, text), "links")
     classes = components(links.union(more))
     member = wordy.join(nodes.select("key", "node"), "key").select("doc_id", "node").join(classes, "node", "left").select("doc_id", F.coalesce("root", "node").alias("class_id"))
     alone = sketched.where("size = 0").select("doc_id", F.col("doc_id").alias("class_id"))
