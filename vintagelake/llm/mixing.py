@@ -40,12 +40,16 @@ def share_bin(n: Column, size: Column) -> Column:
     return F.when(n == 0, 0).when(n * 200 <= size, 1).when(n * 20 <= size, 2).otherwise(3)
 
 
-def binned(text: Column) -> list[Column]:
+def tokens(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(WORD)).cast("bigint")
+
+
+def binned(text: Column, n_tokens: Column) -> list[Column]:
     """Features with the values 0 to 3: shares of symbols, bars and digits, and how long words are."""
     size = F.length(text)
-    count = lambda chars: size - F.length(F.translate(text, chars, ""))
-    mean = size / F.greatest(count(" \n\t\r"), F.lit(1))
-    return [share_bin(count("#*$%&<>"), size), share_bin(count("|"), size), share_bin(count("0123456789"), size), F.when(mean < 5, 0).when(mean < 7, 1).when(mean < 12, 2).otherwise(3)]
+    mean = size / F.greatest(n_tokens, F.lit(1))
+    counts = [F.regexp_count(text, F.lit(chars)) for chars in ("[#*$%&<>]", "[|]", "[0-9]")]
+    return [*(share_bin(n, size) for n in counts), F.when(mean < 5, 0).when(mean < 7, 1).when(mean < 12, 2).otherwise(3)]
 
 
 def telling_words(train: DataFrame) -> list[str]:
@@ -72,9 +76,9 @@ class Classifier:
     words: dict[str, tuple[list[float], list[float]]]
 
     def add_posteriors(self, df: DataFrame, text: str) -> DataFrame:
-        """df with mix_posteriors, in the order of DOMAINS. One step for each column that is used twice, so that it is computed once."""
+        """df, which has mix_tokens, with mix_posteriors, in the order of DOMAINS. One step for each column that is used twice, so that it is computed once."""
         logs, odds = [f"mix_log{d}" for d in range(len(DOMAINS))], [f"mix_odds{d}" for d in range(len(DOMAINS))]
-        df = df.withColumns({"mix_hits": present(F.col(text), list(self.words))} | {f"mix_bin{i}": c for i, c in enumerate(binned(F.col(text)))})
+        df = df.withColumns({"mix_hits": present(F.col(text), list(self.words))} | {f"mix_bin{i}": c for i, c in enumerate(binned(F.col(text), F.col("mix_tokens")))})
         made = {}
         for d, name in enumerate(logs):
             x = F.lit(self.prior[d] + sum(absent[d] for _, absent in self.words.values()))
@@ -98,7 +102,7 @@ def present(text: Column, words: list[str]) -> Column:
     """Which of the words the text holds, each once."""
     if not words:
         return F.array().cast("array<string>")
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(?<!\p{L})(?:" + "|".join(words) + r")(?!\p{L})"), F.lit(0)))
+    return F.array_intersect(F.split(F.lower(text), r"[^\p{L}]+"), F.array(*map(F.lit, words)))
 
 
 def learn(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAIN) -> Classifier:
@@ -108,7 +112,7 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAIN) -> Classif
     ids = bounded_ids(usable, bound, "domain")
     train = written(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id").select("domain", "text"), "mixing-train")
     words = telling_words(train)
-    made = train.select("domain", F.array(*binned(F.col("text"))).alias("bins"), present(F.col("text"), words).alias("hits"))
+    made = train.select("domain", F.array(*binned(F.col("text"), tokens(F.col("text")))).alias("bins"), present(F.col("text"), words).alias("hits"))
     rows = {
         r.domain: r
         for r in made.groupBy("domain").agg(
@@ -155,23 +159,20 @@ def fit(members: DataFrame, targets: dict[str, float]) -> list[list[float]]:
     return steps
 
 
-def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, bound: int = MAX_TRAIN) -> DataFrame:
-    """All rows and columns of docs, and mix_tokens, mix_posteriors and mix_rate (at least 0).
+def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, bound: int = MAX_TRAIN, keep: list[str] | None = None) -> DataFrame:
+    """All rows of docs with the columns `keep` (default all), mix_tokens, mix_posteriors and mix_rate (at least 0).
 
+    Posteriors are made in one pass and written with `keep` to the shared folder; the steps read only their columns.
     Targets are shares of the corpus's tokens and need not add to 1. A null or empty text has no tokens, so it moves
     no total; its rate follows from its posteriors. Repeated rows count each. Without labels the posteriors are alike
-    for all domains; an empty table gives an empty one.
+    for all domains; an empty table gives an empty one. Columns of docs named like the new ones may not be kept.
     """
-    targets = targets or TARGETS
-    text = F.coalesce(F.col("text"), F.lit(""))
+    keep = docs.columns if keep is None else keep
     model = learn(docs, labels, bound)
-
-    def with_members(df: DataFrame) -> DataFrame:
-        return model.add_posteriors(df.withColumns({"mix_text": text, "mix_tokens": F.regexp_count(text, F.lit(WORD)).cast("bigint")}), "mix_text").drop("mix_text")
-
-    members = written(with_members(docs.select("text")).select(F.col("mix_tokens").alias("n_tokens"), F.col("mix_posteriors").alias("posteriors")), "members")
-    steps = fit(members, targets)
-    return with_members(docs).withColumn("mix_rate", F.round(rate(F.col("mix_posteriors"), steps), 6))
+    made = docs.select(*(F.col(f"`{c}`") for c in keep), F.coalesce(F.col("text"), F.lit("")).alias("mix_text"))
+    scored = written(model.add_posteriors(made.withColumn("mix_tokens", tokens(F.col("mix_text"))), "mix_text").drop("mix_text"), "members")
+    steps = fit(scored.select(F.col("mix_tokens").alias("n_tokens"), F.col("mix_posteriors").alias("posteriors")), targets or TARGETS)
+    return scored.withColumn("mix_rate", F.round(rate(F.col("mix_posteriors"), steps), 6))
 
 
 def drawn(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
