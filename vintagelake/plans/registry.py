@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ("core", "series", "checks", "engines", "serving")
+MODULES = ("core", "series", "checks", "engines", "markets", "serving")
 
 
 def query(name: str, sql: str | None = None):
