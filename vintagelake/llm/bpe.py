@@ -27,6 +27,13 @@ MARKED_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 END_MARK = "</w>"
 #: White space as the Unicode property has it (Python's own \s also takes U+001C to U+001F).
 SPACE = "\t-\r \x85\xa0  -     　"
+#: Code points that newer Unicode versions call letters or digits and the vocabularies' library does not.
+NEWER = (
+    "0558 058B-058C 088F 0C5C 0CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE 11B0A 11DB0-11DDB 11DE0-11DE9 11DF1 "
+    "1246F 12475-1247F 12550-12686 16EA0-16EB8 16EBB-16ED3 16FF2-16FF6 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 "
+    "1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F"
+)
+NEWER_CHARS = re.compile("[" + "".join("-".join(chr(int(x, 16)) for x in r.split("-")) for r in NEWER.split()) + "]")
 #: Entries that a worker's memo of chunks or pairs may reach before it starts anew: bounds memory, not results.
 MEMO = 400_000
 NEVER = 1 << 40
@@ -83,6 +90,15 @@ class Vocabulary:
         self.count_memo: dict[str, int] = {}
         self.word_counts: dict[str, int] = {}
 
+    def spans(self, text: str) -> list[tuple[int, int]]:
+        """Where the words of a text begin and end."""
+        if not text.isascii():
+            text = NEWER_CHARS.sub("\ufffe", text)  # neither letter nor digit nor white space
+        return [(m.start(), m.end()) for m in self.words.finditer(text)]
+
+    def split(self, text: str) -> list[str]:
+        return self.words.findall(text) if text.isascii() else [text[a:b] for a, b in self.spans(text)]
+
     def fits(self, a: int, b: int) -> bool:
         """Whether the two tokens stand side by side in an encoding: no merge across their border comes before both were made."""
         known = self.fit.get((a, b))
@@ -182,7 +198,7 @@ class Vocabulary:
                 new = {c for parts in chunked for _, chunks in parts for c in chunks}
             if len(self.word_memo) > MEMO:
                 self.word_memo.clear()
-            split = {c: self.words.findall(c) for c in new}
+            split = {c: self.split(c) for c in new}
             known = self.word_memo
             self.learn({w for ws in split.values() for w in ws if w not in known})
             memo.update((c, b"".join(map(known.__getitem__, ws))) for c, ws in split.items())
@@ -214,7 +230,7 @@ class Vocabulary:
         return out
 
     def _plain_counts(self, text: str) -> list[int]:
-        found = [(m.start(), m.end()) for m in self.words.finditer(text)]
+        found = self.spans(text)
         words = {text[a:b] for a, b in found}
         tails = {w: self._tail_counts(w) for w in words}
         out, total, at = [0], 0, 0
@@ -232,9 +248,9 @@ class Vocabulary:
 
     def _tail_counts(self, word: str) -> list[int]:
         """Tokens of word[:k] for k from 1, each prefix cut into words anew where the pattern would do so."""
-        cut = self.words.findall(word[:-1]) if len(word) > 1 else []
+        cut = self.split(word[:-1]) if len(word) > 1 else []
         if cut not in ([], [word[:-1]]):
-            return [sum(self._tail_counts(w)[-1] for w in self.words.findall(word[:k])) for k in range(1, len(word))] + [self._whole(word)]
+            return [sum(self._tail_counts(w)[-1] for w in self.split(word[:k])) for k in range(1, len(word))] + [self._whole(word)]
         raw = word.encode()
         (_, last, count), out, end = next(iter(self.walk([raw]))), [], 0
         for c in word:
@@ -261,7 +277,7 @@ class Vocabulary:
                 new = {c for parts in chunked for _, chunks in parts for c in chunks}
             if len(known) > MEMO:
                 known.clear()
-            split = {c: self.words.findall(c) for c in new}
+            split = {c: self.split(c) for c in new}
             fresh = {w.encode(): w for ws in split.values() for w in ws if w not in known}
             for word, last, count in self.walk(sorted(fresh)):
                 known[fresh[word]] = count[self._closing(word, len(word), last)[0]] + 1
