@@ -17,9 +17,10 @@ ORACLE_SQL = None
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep. The rules run over all columns' rows in one pass; a judged row is the row."""
-    out = rules.quality_rules(docs, table(spark, sf_dir, "labels"), keep=docs.columns)
-    return out.where("kept").select(*docs.columns)
+    """Documents that the quality rules keep. A row goes through the rules as one value, so no column clashes with theirs."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", "text")
+    out = rules.quality_rules(rows, table(spark, sf_dir, "labels"), keep=["row"])
+    return out.where("kept").select("row.*")
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,6 +34,10 @@ NEWER = (
     "1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F"
 )
 NEWER_CHARS = re.compile("[" + "".join("-".join(chr(int(x, 16)) for x in r.split("-")) for r in NEWER.split()) + "]")
+#: Small letters of capitals that are newer than Python's own tables.
+NEWER_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B}
+NEWER_LOWER |= {c: c + 32 for c in range(0x10D50, 0x10D66)} | {c: c + 27 for c in range(0x16EA0, 0x16EB9)}
+NEWER_CAPITALS = re.compile("[" + "".join(map(chr, NEWER_LOWER)) + "]")
 #: Entries that a worker's memo of chunks or pairs may reach before it starts anew: bounds memory, not results.
 MEMO = 400_000
 NEVER = 1 << 40
@@ -178,7 +182,8 @@ class Vocabulary:
         if not self.lower:
             return text
         # Each character alone, without the rule for a sigma at a word's end.
-        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        return text.translate(NEWER_LOWER) if not text.isascii() and NEWER_CAPITALS.search(text) else text
 
     def cut(self, text: str) -> list[tuple[int, str]]:
         """(special id or -1, piece): special strings inside the text stand alone."""

@@ -56,12 +56,15 @@ def steps(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.Rec
 
 
 def map_texts(docs: DataFrame, keep: list[str], fn: Callable[[list[str]], dict], schema: str, text: str = "text") -> DataFrame:
-    """Adds the columns that fn makes of each slice of texts; only `keep` and the text are read. Order and count of rows stay."""
-    pick = [F.col(f"`{c}`") for c in dict.fromkeys([*keep, text])]
-    out = docs.select(*pick)
-    kinds = [(c, out.schema[c].dataType.simpleString()) for c in keep]
-    full = ", ".join([*(f"`{c}` {kind}" for c, kind in kinds), schema])
-    made_types = {f.name: f.type for f in to_arrow_schema(StructType.fromDDL(schema))}
+    """Adds the columns that fn makes of each slice of texts; only `keep` and the text are read. Order and count of rows stay.
+
+    A column of `keep` that is named like a new one gives way to it.
+    """
+    new = StructType.fromDDL(schema)
+    keep = [c for c in dict.fromkeys(keep) if c not in new.names]
+    out = docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*keep, text])))
+    full = StructType([*(out.schema[c] for c in keep), *new.fields])
+    made_types = {f.name: f.type for f in to_arrow_schema(new)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in steps(batches, text):

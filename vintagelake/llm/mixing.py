@@ -165,9 +165,9 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     Posteriors are made in one pass and written with `keep` to the shared folder; the steps read only their columns.
     Targets are shares of the corpus's tokens and need not add to 1. A null or empty text has no tokens, so it moves
     no total; its rate follows from its posteriors. Repeated rows count each. Without labels the posteriors are alike
-    for all domains; an empty table gives an empty one. Columns of docs named like the new ones may not be kept.
+    for all domains; an empty table gives an empty one. A column of docs that is named mix_... gives way.
     """
-    keep = docs.columns if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if not c.startswith("mix_")]
     model = learn(docs, labels, bound)
     made = docs.select(*(F.col(f"`{c}`") for c in keep), F.coalesce(F.col("text"), F.lit("")).alias("mix_text"))
     scored = written(model.add_posteriors(made.withColumn("mix_tokens", tokens(F.col("mix_text"))), "mix_text").drop("mix_text"), "members")
@@ -177,7 +177,8 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
 
 def drawn(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
     """The mixture itself: each row as often as its rate says, the fraction decided by a hash of doc_id; columns as in docs."""
-    out = mixed(docs, labels, targets)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id"), F.col("text"))
+    out = mixed(rows, labels, targets, keep=["row", "doc_id"])
     part = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1_000_000)) / F.lit(1_000_000.0)
     times = F.floor(F.col("mix_rate") + part).cast("int")
-    return out.where(times >= 1).withColumn("mix_copy", F.explode(F.sequence(F.lit(1), times))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return out.where(times >= 1).withColumn("mix_copy", F.explode(F.sequence(F.lit(1), times))).select("row.*")
