@@ -65,3 +65,11 @@ def test_plan_has_no_python(spark):
     docs, labels = corpus(spark, 12)
     plan = mixing.drawn(docs, labels)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_targets_out_of_reach(spark):
+    """Documents that are all alike: the rates end at the nearest totals and stay small."""
+    docs = spark.createDataFrame([(i, "river field stone music") for i in range(6)], "doc_id long, text string")
+    _, labels = corpus(spark, 12)
+    out = mixing.mixed(docs, labels).collect()
+    assert len(out) == 6 and all(0 <= r.mix_rate < 10 for r in out)

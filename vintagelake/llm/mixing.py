@@ -27,6 +27,8 @@ WORDS_PER_DOMAIN = 10
 MIN_DOCS = 5
 MAX_STEPS = 40
 CLOSE = 1e-7
+#: Smallest share of a step that is tried, least gain of a step, and what keeps steps small along what no document differs in.
+LEAST_SHARE, ENOUGH, RIDGE = 1 / 32, 1e-9, 1e-6
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -139,24 +141,35 @@ def rate(posteriors: Column, steps: list[list[float]]) -> Column:
 
 
 def fit(members: DataFrame, targets: dict[str, float]) -> list[list[float]]:
-    """Steps for a table of (n_tokens, posteriors). Each step costs one pass that returns a few sums."""
+    """Steps for a table of (n_tokens, posteriors). Each costs a pass that returns a few sums; one that brings the totals no nearer is halved.
+
+    Where no rates from 0 on meet the targets, as with documents that are all alike, the steps end at the nearest totals.
+    """
     k = len(DOMAINS)
     p, n = [F.col("posteriors")[d] for d in range(k)], F.col("n_tokens").cast("double")
     steps: list[list[float]] = []
+    best, share, move = np.inf, 1.0, np.zeros(k)
     for _ in range(MAX_STEPS):
         x = members.withColumn("x", rate(F.col("posteriors"), steps))
         free = F.when(F.col("x") > 0, n).otherwise(0.0)
         row = x.agg(F.sum(n), *(F.sum(n * p[d] * F.col("x")) for d in range(k)), *(F.sum(free * p[d] * p[e]) for d in range(k) for e in range(k))).first()
         total = row[0] or 0.0
         if not total:
-            return steps
-        held = np.array(row[1 : k + 1])
-        miss = np.array([targets[d] for d in DOMAINS]) * total - held
+            return []
+        miss = np.array([targets[d] for d in DOMAINS]) * total - np.array(row[1 : k + 1])
         if np.abs(miss).max() <= CLOSE * total:
             return steps
-        moments = np.array(row[k + 1 :]).reshape(k, k) + 1e-9 * total * np.eye(k)
-        steps.append(np.linalg.solve(moments, miss).tolist())
-    return steps
+        if miss @ miss >= best:  # the step went too far: half of it
+            share /= 2
+            if share < LEAST_SHARE:
+                break
+            steps[-1] = (share * move).tolist()
+            continue
+        best, share = miss @ miss * (1 - ENOUGH), 1.0
+        moments = np.array(row[k + 1 :]).reshape(k, k)
+        move = np.linalg.solve(moments + RIDGE * total * np.eye(k), miss)
+        steps.append(move.tolist())
+    return steps[:-1]  # the last one did not help, or was not looked at
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, bound: int = MAX_TRAIN, keep: list[str] | None = None) -> DataFrame:
@@ -164,7 +177,7 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
 
     Posteriors are made in one pass and written with `keep` to the shared folder; the steps read only their columns.
     Targets are shares of the corpus's tokens and need not add to 1. A null or empty text has no tokens, so it moves
-    no total; its rate follows from its posteriors. Repeated rows count each. Without labels the posteriors are alike
+    no total and its rate is 1. Repeated rows count each. Without labels the posteriors are alike
     for all domains; an empty table gives an empty one. A column of docs that is named mix_... gives way.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if not c.startswith("mix_")]
@@ -172,7 +185,7 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     made = docs.select(*(F.col(f"`{c}`") for c in keep), F.coalesce(F.col("text"), F.lit("")).alias("mix_text"))
     scored = written(model.add_posteriors(made.withColumn("mix_tokens", tokens(F.col("mix_text"))), "mix_text").drop("mix_text"), "members")
     steps = fit(scored.select(F.col("mix_tokens").alias("n_tokens"), F.col("mix_posteriors").alias("posteriors")), targets or TARGETS)
-    return scored.withColumn("mix_rate", F.round(rate(F.col("mix_posteriors"), steps), 6))
+    return scored.withColumn("mix_rate", F.when(F.col("mix_tokens") == 0, 1.0).otherwise(F.round(rate(F.col("mix_posteriors"), steps), 6)))
 
 
 def drawn(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
