@@ -10,7 +10,11 @@ from pyspark.sql import functions as F
 from vintagelake.functions.finance import crypto_regime
 from vintagelake.operators import windows
 
-W = windows.ordered(["series_id"], "obs_date")
+
+def W():
+    """Rows of a series in order of days. A function, as a window can only be made where a session is."""
+    return windows.ordered(["series_id"], "obs_date")
+
 #: Fixed values of the protocol: its first block and the halvings so far; blocks in an epoch, seconds a block, the first subsidy.
 GENESIS = date(2009, 1, 3)
 HALVINGS = [date(2012, 11, 28), date(2016, 7, 9), date(2020, 5, 11), date(2024, 4, 20)]
@@ -45,7 +49,7 @@ def schedule(days: DataFrame) -> DataFrame:
 
 def price_record(base: DataFrame, older: DataFrame, min_overlap: int = 250, max_bias: float = 0.05, ratio: tuple[float, float] = (0.75, 1.35)) -> DataFrame:
     """base, led by older rows if on the common days the levels agree and both move by about as much; `source` tells them apart."""
-    moved = lambda df, name: df.select("obs_date", F.col("value").alias(name), windows.log_return(F.col("value"), W).alias(f"{name}_r"))
+    moved = lambda df, name: df.select("obs_date", F.col("value").alias(name), windows.log_return(F.col("value"), W()).alias(f"{name}_r"))
     both = moved(base, "a").join(moved(older, "b"), "obs_date")
     check = both.agg(F.count("*").alias("n"), F.percentile(F.abs(F.col("b") / F.col("a") - 1), F.lit(0.5)).alias("bias"), (F.stddev_samp("b_r") / F.stddev_samp("a_r")).alias("vol"))
     ok = check.where((F.col("n") >= min_overlap) & (F.col("bias") <= max_bias) & F.col("vol").between(*ratio)).crossJoin(base.agg(F.min("obs_date").alias("first_day")))
@@ -55,28 +59,28 @@ def price_record(base: DataFrame, older: DataFrame, min_overlap: int = 250, max_
 
 def regime(df: DataFrame, window: int = 365) -> DataFrame:
     """df with the label of each day from the trailing price path alone; r is the log return."""
-    vol = 100 * windows.rolling(F.stddev_samp, F.col("r"), W, window) * 365**0.5
-    inputs = {"drawdown": windows.drawdown(F.col("value"), W, window), "year_return": windows.log_return(F.col("value"), W, window), "vol": vol, "_row": F.row_number().over(W)}
+    vol = 100 * windows.rolling(F.stddev_samp, F.col("r"), W(), window) * 365**0.5
+    inputs = {"drawdown": windows.drawdown(F.col("value"), W(), window), "year_return": windows.log_return(F.col("value"), W(), window), "vol": vol, "_row": F.row_number().over(W())}
     return df.withColumns(inputs).withColumn("regime", crypto_regime(F.col("drawdown"), F.col("year_return"), F.col("vol"), F.col("_row"))).drop("_row")
 
 
 def composite_liquidity(series: DataFrame, money: str, assets: str, scale: float = 0.001) -> DataFrame:
     """Money plus scaled central-bank assets, each as last known; null while one of them is not known."""
     wide = series.groupBy("obs_date").pivot("series_id", [money, assets]).agg(F.first("value")).withColumn("series_id", F.lit("liquidity"))
-    return wide.select("series_id", "obs_date", (windows.ffill(F.col(money), W) + scale * windows.ffill(F.col(assets), W)).alias("level"))
+    return wide.select("series_id", "obs_date", (windows.ffill(F.col(money), W()) + scale * windows.ffill(F.col(assets), W())).alias("level"))
 
 
 def liquidity_beta(df: DataFrame, at_least: int = 36) -> DataFrame:
     """Running regression of the monthly return on the change of liquidity (in percent, by logs), with n and the month's residual."""
-    rows = df.withColumns({"ret": 100 * windows.log_return(F.col("value"), W), "dl": 100 * windows.log_return(F.col("level"), W)}).where("ret is not null and dl is not null")
-    fit = windows.running_ols(F.col("dl"), F.col("ret"), W, at_least)
-    rows = rows.withColumns(fit | {"n": F.count("*").over(W.rowsBetween(windows.EVER, 0))})
+    rows = df.withColumns({"ret": 100 * windows.log_return(F.col("value"), W()), "dl": 100 * windows.log_return(F.col("level"), W())}).where("ret is not null and dl is not null")
+    fit = windows.running_ols(F.col("dl"), F.col("ret"), W(), at_least)
+    rows = rows.withColumns(fit | {"n": F.count("*").over(W().rowsBetween(windows.EVER, 0))})
     return rows.withColumn("residual", F.col("ret") - F.col("alpha") - F.col("beta") * F.col("dl"))
 
 
 def band(df: DataFrame, sigmas: float = 2.0) -> DataFrame:
     """How far the level has drifted from the fit, the width of the random walk's band, and the distance above, in widths and not below 0."""
-    rows = df.withColumns({"deviation": F.sum("residual").over(W.rowsBetween(windows.EVER, 0)), "width": F.when(F.col("beta").isNotNull(), sigmas * F.col("sigma") * F.sqrt("n"))})
+    rows = df.withColumns({"deviation": F.sum("residual").over(W().rowsBetween(windows.EVER, 0)), "width": F.when(F.col("beta").isNotNull(), sigmas * F.col("sigma") * F.sqrt("n"))})
     return rows.withColumn("excess", F.when(F.col("width").isNotNull(), F.greatest(F.lit(0.0), F.col("deviation") / F.nullif(F.col("width"), F.lit(0.0)))))
 
 

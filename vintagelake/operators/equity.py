@@ -11,7 +11,11 @@ from pyspark.sql import functions as F
 from vintagelake.operators import factors, models, windows
 from vintagelake.operators.aggregates import within
 
-W = windows.ordered(["series_id"], "obs_date")
+
+def W():
+    """Rows of a series in order of days. A function, as a window can only be made where a session is."""
+    return windows.ordered(["series_id"], "obs_date")
+
 
 
 def resolve_role(counts: DataFrame, role: str, order: list[tuple[str, int]]) -> DataFrame:
@@ -23,28 +27,28 @@ def resolve_role(counts: DataFrame, role: str, order: list[tuple[str, int]]) ->
 
 def kinematics(df: DataFrame, slope: str, momentum: str, per_year: int, burn_in: int, baseline: int, months: tuple[int, ...] = (1, 3, 12)) -> DataFrame:
     """velocity, acceleration and jerk_z of a filtered slope after its start-up rows, and sums of a differenced price over months."""
-    df = df.withColumn("velocity", F.when(F.row_number().over(W) > burn_in, F.col(slope) * per_year))
-    df = df.withColumn("acceleration", windows.change(F.col("velocity"), W) * per_year)
-    df = df.withColumn("_jerk", windows.change(F.col("acceleration"), W))
-    sums = {f"momentum_{m}m": windows.rolling(F.sum, F.col(momentum), W, max(round(m * per_year / 12), 1)) for m in months}
-    return df.withColumns({"jerk_z": windows.expanding_z(F.col("_jerk"), W, baseline, True, None), **sums}).drop("_jerk")
+    df = df.withColumn("velocity", F.when(F.row_number().over(W()) > burn_in, F.col(slope) * per_year))
+    df = df.withColumn("acceleration", windows.change(F.col("velocity"), W()) * per_year)
+    df = df.withColumn("_jerk", windows.change(F.col("acceleration"), W()))
+    sums = {f"momentum_{m}m": windows.rolling(F.sum, F.col(momentum), W(), max(round(m * per_year / 12), 1)) for m in months}
+    return df.withColumns({"jerk_z": windows.expanding_z(F.col("_jerk"), W(), baseline, True, None), **sums}).drop("_jerk")
 
 
 def design(df: DataFrame, per_year: int, fast: int = 3, slow: int = 12, baseline: int | None = None) -> DataFrame:
     """Rows with all four features of the regime model: trends, volatility against its median, drawdown, each in units of volatility."""
     logged, month = F.log("value"), max(round(per_year / 12), 5)
     base = baseline or round(3 * per_year)
-    df = df.withColumn("realized_vol", windows.rolling(F.stddev_samp, F.col("r"), W, month) * per_year**0.5)
+    df = df.withColumn("realized_vol", windows.rolling(F.stddev_samp, F.col("r"), W(), month) * per_year**0.5)
     vol = F.nullif(F.col("realized_vol"), F.lit(0.0))
-    trend = lambda m: (logged - F.lag(logged, round(m * per_year / 12)).over(W)) * (per_year / round(m * per_year / 12)) / vol
-    peak = windows.rolling(F.max, logged, W, per_year, per_year // 2)
-    made = {"trend_fast": trend(fast), "trend_slow": trend(slow), "vol_ratio": F.log(F.col("realized_vol") / F.nullif(windows.rolling_median(F.col("realized_vol"), W, base, base // 2), F.lit(0.0))), "drawdown_sigma": (logged - peak) / vol}
+    trend = lambda m: (logged - F.lag(logged, round(m * per_year / 12)).over(W())) * (per_year / round(m * per_year / 12)) / vol
+    peak = windows.rolling(F.max, logged, W(), per_year, per_year // 2)
+    made = {"trend_fast": trend(fast), "trend_slow": trend(slow), "vol_ratio": F.log(F.col("realized_vol") / F.nullif(windows.rolling_median(F.col("realized_vol"), W(), base, base // 2), F.lit(0.0))), "drawdown_sigma": (logged - peak) / vol}
     return df.withColumns(made).na.drop(subset=list(made))
 
 
 def purged_folds(days: DataFrame, folds: int, horizon_months: int, embargo_months: int) -> DataFrame:
     """(fold, obs_date, role): contiguous test blocks; a row trains unless its horizon meets the block or it lies in the embargo after it. Fold borders are a few rows, so they are broadcast."""
-    blocks = days.select("series_id", "obs_date").withColumn("fold", F.ntile(folds).over(W) - 1)
+    blocks = days.select("series_id", "obs_date").withColumn("fold", F.ntile(folds).over(W()) - 1)
     borders = blocks.groupBy("fold").agg(F.min("obs_date").alias("a"), F.max("obs_date").alias("b"))
     df = days.select("obs_date").join(F.broadcast(borders))
     d = F.col("obs_date")

@@ -11,7 +11,11 @@ from vintagelake.functions.finance import clip, hedge_score
 from vintagelake.operators import windows
 from vintagelake.operators.joins import as_of_join
 
-W = windows.ordered(["series_id"], "obs_date")
+
+def W():
+    """Rows of a series in order of days. A function, as a window can only be made where a session is."""
+    return windows.ordered(["series_id"], "obs_date")
+
 
 
 def real_rate(df: DataFrame, cpi: DataFrame, months: int = 12) -> DataFrame:
@@ -20,7 +24,7 @@ def real_rate(df: DataFrame, cpi: DataFrame, months: int = 12) -> DataFrame:
     cpi has series_id, month (its end) and cpi; months without a figure are left out before the ratio is taken.
     """
     yoy = cpi.where("cpi is not null").withColumn("yoy", (F.col("cpi") / F.lag("cpi", months).over(Window.partitionBy("series_id").orderBy("month")) - 1) * 100)
-    held = df.withColumn("_held", windows.ffill(F.col("breakeven"), W))
+    held = df.withColumn("_held", windows.ffill(F.col("breakeven"), W()))
     out = as_of_join(held, yoy.where("yoy is not null").select("series_id", "month", "yoy"), ["series_id"], "obs_date", "month", ["yoy"])
     ante, post = F.col("nominal") - F.col("_held"), F.col("nominal") - F.col("yoy")
     return out.withColumns({"real_rate": F.coalesce(ante, post), "is_ex_post": ante.isNull() & post.isNotNull()}).drop("_held", "as_of_month")
@@ -33,10 +37,10 @@ def usd_trend(broad: Column, legacy: Column, w, n: int = 252) -> Column:
 
 def monthly_panel(df: DataFrame, drivers: list[str], baseline: int = 756) -> DataFrame:
     """Month ends with ret, 100 times the log return, and each driver's expanding z-score as of the month's last day."""
-    z = {f"z_{d}": windows.expanding_z(F.col(d), W, baseline, True, 4.0) for d in drivers}
+    z = {f"z_{d}": windows.expanding_z(F.col(d), W(), baseline, True, 4.0) for d in drivers}
     rows = df.where("value > 0").withColumns(z).groupBy("series_id", F.last_day("obs_date").alias("obs_date"))
     ends = rows.agg(F.max_by("value", "obs_date").alias("value"), *(F.max_by(c, "obs_date").alias(c) for c in z))
-    return ends.withColumn("ret", 100 * windows.log_return(F.col("value"), W)).where("ret is not null")
+    return ends.withColumn("ret", 100 * windows.log_return(F.col("value"), W())).where("ret is not null")
 
 
 SCALE = math.sqrt(2 / math.pi)
@@ -51,18 +55,18 @@ def jump_limit(n: Column, alpha: float = 0.01) -> Column:
 
 def jumps(df: DataFrame, window: int = 63, intensity_rows: int = 252, per_year: int = 252) -> DataFrame:
     """Rows with a return r, with statistic, is_jump and intensity (jumps a year over the last rows). The limit grows with the rows so far."""
-    rows = df.where("r is not null").withColumn("_sigma", F.sqrt(windows.bipower_variation(F.col("r"), W, window)))
+    rows = df.where("r is not null").withColumn("_sigma", F.sqrt(windows.bipower_variation(F.col("r"), W(), window)))
     rows = rows.withColumn("statistic", F.col("r") / (SCALE * F.nullif(F.col("_sigma"), F.lit(0.0))))
-    rows = rows.withColumn("_limit", jump_limit(F.count("statistic").over(W.rowsBetween(windows.EVER, 0))))
+    rows = rows.withColumn("_limit", jump_limit(F.count("statistic").over(W().rowsBetween(windows.EVER, 0))))
     rows = rows.withColumn("is_jump", F.coalesce(F.abs("statistic") > F.col("_limit"), F.lit(False)))
-    return rows.withColumn("intensity", windows.rolling(F.avg, F.col("is_jump").cast("int"), W, intensity_rows, window) * per_year).drop("_sigma", "_limit")
+    return rows.withColumn("intensity", windows.rolling(F.avg, F.col("is_jump").cast("int"), W(), intensity_rows, window) * per_year).drop("_sigma", "_limit")
 
 
 def hedge(df: DataFrame, own: str, equity: str, support: str, window: int = 504, least: int = 40, fall: float = 0.05) -> DataFrame:
     """df with the correlation with equity returns on days when equities are down from the year's peak, the days, and the score."""
-    rows = df.withColumns({"_down": windows.drawdown(F.col(equity), W, 252) <= -fall, "_e": windows.log_return(F.col(equity), W)})
+    rows = df.withColumns({"_down": windows.drawdown(F.col(equity), W(), 252) <= -fall, "_e": windows.log_return(F.col(equity), W())})
     a, b = F.when(F.col("_down"), F.col(own)), F.when(F.col("_down"), F.col("_e"))
-    rows = rows.withColumns({"correlation": windows.rolling_corr(a, b, W, window, least), "days": F.count(F.when(a.isNotNull() & b.isNotNull(), 1)).over(W.rowsBetween(1 - window, 0))})
+    rows = rows.withColumns({"correlation": windows.rolling_corr(a, b, W(), window, least), "days": F.count(F.when(a.isNotNull() & b.isNotNull(), 1)).over(W().rowsBetween(1 - window, 0))})
     return rows.withColumn("score", hedge_score(F.col("correlation"), F.col(support))).drop("_down", "_e")
 
 

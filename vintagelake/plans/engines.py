@@ -114,15 +114,15 @@ REGIME = ("regimes", f"""SELECT obs_date, CASE WHEN spread < 0 THEN 'inverted' W
 def e07(spark, sf):
     h = history(spark, sf).withColumn("series_id", F.lit("curve"))
     seen = windows.seen_before(F.col("spread") < 0, ["series_id"], "obs_date", 365)
-    return h.select("obs_date", finance.curve_regime(F.col("spread"), seen, windows.change(F.col("spread"), W, 252), windows.change(F.col("level"), W, 252)).alias("regime"))
+    return h.select("obs_date", finance.curve_regime(F.col("spread"), seen, windows.change(F.col("spread"), W(), 252), windows.change(F.col("level"), W(), 252)).alias("regime"))
 
 
 @query("E08_risk_confidence", oracle(f"""SELECT obs_date, round(least(100, greatest(0, 100 * (1 - power(1 + y10, -10)) / y10 * coalesce(vol, 0.9) / 12)), 4) AS risk, round(least(1, greatest(0, (1 - rmse / 0.35) * n / 11)), 4) AS confidence FROM (SELECT h.*, {ns(10.0, 0.5)} / 100 AS y10, CASE WHEN count(d) OVER (ORDER BY obs_date ROWS BETWEEN 251 PRECEDING AND CURRENT ROW) >= 20 THEN stddev_pop(d) OVER (ORDER BY obs_date ROWS BETWEEN 251 PRECEDING AND CURRENT ROW) * sqrt(252) END AS vol
   FROM (SELECT *, level - lag(level) OVER (ORDER BY obs_date) AS d FROM history) h)""", FIT, HISTORY))
 def e08(spark, sf):
     f = rates.fit_curves(rates.curves(curve(spark, sf)), 0.5).withColumn("series_id", F.lit("curve"))
-    d = f.withColumn("d", windows.change(F.col("b0"), W))
-    vol = F.coalesce(windows.rolling(F.stddev_pop, F.col("d"), W, 252, 20) * 252**0.5, F.lit(0.9))
+    d = f.withColumn("d", windows.change(F.col("b0"), W()))
+    vol = F.coalesce(windows.rolling(F.stddev_pop, F.col("d"), W(), 252, 20) * 252**0.5, F.lit(0.9))
     y10 = finance.ns_yield(F.col("b0"), F.col("b1"), F.col("b2"), F.lit(10.0), 0.5) / 100
     risk = finance.clip(100 * finance.par_duration(y10, F.lit(10.0)) * vol / 12, 0, 100)
     return d.select("obs_date", rnd(risk, 4).alias("risk"), rnd(finance.clip((1 - F.col("rmse") / 0.35) * F.size("points") / len(TENORS), 0, 1), 4).alias("confidence"))
@@ -199,7 +199,7 @@ def liquidity_inputs(spark, sf):
     n = dayno("obs_date")
     base = rates_short(spark, sf).select("series_id", "obs_date", F.col("value").alias("bill"), (F.col("value") + 0.4 * F.cos(n / 15.0)).alias("night"), (-0.4 * F.cos(n / 15.0)).alias("spread"), F.when(n % 6 != 0, 300 + 250 * F.sin(n / 70.0)).alias("rrp"))
     r = F.col("rrp")
-    made = {"spread_mean": windows.rolling(F.avg, F.col("spread"), W, 3), "bill_change": windows.change(F.col("bill"), W, 10), "overnight_change": windows.change(F.col("night"), W, 10), "rrp_ratio": windows.rolling(F.avg, r, W, 5, 4) / windows.rolling(F.avg, r, W, 63, 50)}
+    made = {"spread_mean": windows.rolling(F.avg, F.col("spread"), W(), 3), "bill_change": windows.change(F.col("bill"), W(), 10), "overnight_change": windows.change(F.col("night"), W(), 10), "rrp_ratio": windows.rolling(F.avg, r, W(), 5, 4) / windows.rolling(F.avg, r, W(), 63, 50)}
     return base.withColumns(made)
 
 

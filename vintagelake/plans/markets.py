@@ -42,7 +42,7 @@ USD = f"coalesce(ln(broad / lag(broad, 252) OVER ({BY})), ln(legacy / lag(legacy
 
 @query("G02_usd_trend", oracle(f"SELECT obs_date, round({USD}, 6) AS trend FROM drivers", *BASE))
 def g02(spark, sf):
-    return drivers(spark, sf).select("obs_date", rnd(gold.usd_trend(F.col("broad"), F.col("legacy"), W)).alias("trend"))
+    return drivers(spark, sf).select("obs_date", rnd(gold.usd_trend(F.col("broad"), F.col("legacy"), W())).alias("trend"))
 
 
 @query("G03_driver_panel", oracle(f"""SELECT month, round(100 * ln(value / lag(value) OVER (ORDER BY month)), 6) AS ret, round(z, 6) AS z_stress FROM (SELECT last_day(obs_date) AS month, max_by(value, obs_date) AS value, max_by(z, obs_date) AS z FROM (SELECT obs_date, value, CASE WHEN count(stress) {EVER} >= 300 THEN greatest(-4, least(4, (stress - avg(stress) {EVER}) / nullif(stddev_samp(stress) {EVER}, 0))) END AS z FROM drivers) GROUP BY 1)
@@ -86,7 +86,7 @@ def g09(spark, sf):
 
 @query("G10_gold_state", oracle(f"""SELECT obs_date, round(100 * least(1, greatest(0, 0.7 * CASE WHEN vol IS NULL THEN 0.5 ELSE least(1, vol / 30) END + 0.3 * least(1, coalesce(intensity, 0) / 6))), 4) AS risk, round(least(0.7, greatest(0, 0.7 - CASE WHEN vol IS NULL THEN 0.1::DOUBLE ELSE 0 END - CASE WHEN intensity IS NULL THEN 0.05::DOUBLE ELSE 0 END)), 4) AS confidence FROM (SELECT *, CASE WHEN count(r) {over(252)} >= 252 THEN stddev_samp(r) {over(252)} * sqrt(252) * 10 END AS vol, CASE WHEN count(*) {over(252)} >= 63 THEN avg(CAST(is_jump AS INT)) {over(252)} * 252 END AS intensity FROM jumped)""", RETURNS, JUMPS))
 def g10(spark, sf):
-    j = gold.jumps(returns(spark, sf)).withColumn("vol", windows.rolling(F.stddev_samp, F.col("r"), W, 252) * 252**0.5 * 10)
+    j = gold.jumps(returns(spark, sf)).withColumn("vol", windows.rolling(F.stddev_samp, F.col("r"), W(), 252) * 252**0.5 * 10)
     return j.select("obs_date", *(rnd(c, 4).alias(k) for k, c in gold.state(F.col("vol"), F.col("intensity")).items()))
 
 
@@ -153,8 +153,8 @@ SPECULATION = ("terms", f"SELECT obs_date, CASE WHEN count(r) {over(63)} >= 63 T
 @query("C07_speculation", oracle("SELECT obs_date, CASE WHEN a IS NULL OR k < 182 THEN NULL WHEN least(a, b0, c) = 0 THEN 0 ELSE round(100 * exp((ln(a) + ln(b0) + ln(c)) / 3), 5) END AS score FROM terms", RETURNS, SPECULATION))
 def c07(spark, sf):
     r = returns(spark, sf)
-    vol = finance.clip(100 * windows.rolling(F.stddev_samp, F.col("r"), W, 63) * 365**0.5 / 2000, 0, 1)
-    volume = finance.clip((crypto.volume_trend(F.col("value"), W) - 1) / 0.5, 0, 1)
+    vol = finance.clip(100 * windows.rolling(F.stddev_samp, F.col("r"), W(), 63) * 365**0.5 / 2000, 0, 1)
+    volume = finance.clip((crypto.volume_trend(F.col("value"), W()) - 1) / 0.5, 0, 1)
     return r.select("obs_date", rnd(100 * aggregates.geometric_mean([vol, volume, F.least(F.lit(1.0), F.abs("y") / 5)]), 5).alias("score"))
 
 
@@ -238,8 +238,8 @@ def y10(spark, sf):
 
 @query("Y13_transition_labels", oracle(f"SELECT obs_date, entry, CASE WHEN count(*) OVER ({BY} ROWS BETWEEN 1 FOLLOWING AND 63 FOLLOWING) = 63 THEN max(entry) OVER ({BY} ROWS BETWEEN 1 FOLLOWING AND 63 FOLLOWING) END AS label FROM (SELECT *, CAST(state = 'bear' AND coalesce(lag(state) OVER ({BY}), '') <> 'bear' AS INT) AS entry FROM states)", RETURNS, STATE))
 def y13(spark, sf):
-    s = states(spark, sf).withColumn("entry", windows.edge(F.col("state") == "bear", W).cast("int"))
-    return s.select("obs_date", "entry", windows.forward_max(F.col("entry"), W, 63).alias("label"))
+    s = states(spark, sf).withColumn("entry", windows.edge(F.col("state") == "bear", W()).cast("int"))
+    return s.select("obs_date", "entry", windows.forward_max(F.col("entry"), W(), 63).alias("label"))
 
 
 @query("Y14_purged_folds", oracle("""SELECT fold, count(*) FILTER (WHERE role = 'train') AS train, count(*) FILTER (WHERE role = 'test') AS test FROM (SELECT f.fold, CASE WHEN d.obs_date BETWEEN f.a AND f.b THEN 'test' WHEN NOT (d.obs_date + INTERVAL 6 MONTH >= f.a AND d.obs_date <= f.b) AND NOT (d.obs_date > f.b AND d.obs_date <= f.b + INTERVAL 6 MONTH) THEN 'train' END AS role FROM price d, (SELECT fold, min(obs_date) AS a, max(obs_date) AS b FROM (SELECT obs_date, ntile(5) OVER (ORDER BY obs_date) - 1 AS fold FROM price) GROUP BY 1) f) GROUP BY 1"""))
@@ -256,8 +256,8 @@ def y15(spark, sf):
 
 
 def training(spark, sf):
-    s = states(spark, sf).withColumn("entry", windows.edge(F.col("state") == "bear", W).cast("int"))
-    labels = s.select("obs_date", windows.forward_max(F.col("entry"), W, 63).alias("label")).where("label is not null")
+    s = states(spark, sf).withColumn("entry", windows.edge(F.col("state") == "bear", W()).cast("int"))
+    labels = s.select("obs_date", windows.forward_max(F.col("entry"), W(), 63).alias("label")).where("label is not null")
     return design(spark, sf).join(labels, "obs_date")
 
 
@@ -286,13 +286,13 @@ SP = ("sp", "SELECT a.series_id, a.obs_date, 100 * CASE WHEN count(b.z) = 0 THEN
 @query("Y20_instability_index", oracle("SELECT obs_date, round(avg(score), 5) AS rii, count(*) AS parts FROM sp GROUP BY 1", RETURNS, LONG, ZP, SP))
 def y20(spark, sf):
     n, r = F.col("n"), F.col("r")
-    wide = returns(spark, sf).select("obs_date", F.abs(F.sin(n / 30.0)).alias("entropy"), F.abs(r).alias("jerk"), windows.rolling(F.stddev_samp, r, W, 21).alias("vol_of_vol"))
+    wide = returns(spark, sf).select("obs_date", F.abs(F.sin(n / 30.0)).alias("entropy"), F.abs(r).alias("jerk"), windows.rolling(F.stddev_samp, r, W(), 21).alias("vol_of_vol"))
     return equity.instability(wide, ["entropy", "jerk", "vol_of_vol"]).select("obs_date", rnd("rii", 5).alias("rii"), "parts")
 
 
 @query("Y21_tail_fit")
 def y21(spark, sf):
-    d = price(spark, sf).withColumn("depth", -windows.drawdown(F.col("value"), W))
+    d = price(spark, sf).withColumn("depth", -windows.drawdown(F.col("value"), W()))
     return equity.tail(aggregates.episodes(d, ["series_id"], "obs_date", "depth", 0.5), "depth", 0.5, 5)
 
 

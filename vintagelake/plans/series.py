@@ -11,8 +11,15 @@ from vintagelake.operators import aggregates, windows
 from vintagelake.plans.fixtures import CUTOFF, curve, dayno, events_obs, metadata, monthly, obs, oracle, outputs, price, price_alt, rates_short, table
 from vintagelake.plans.registry import query
 
-W = windows.ordered(["series_id"], "obs_date")
-V = F.col("value")
+
+def W():
+    """Rows of a series in order of days. A function, as a window can only be made where a session is."""
+    return windows.ordered(["series_id"], "obs_date")
+
+
+def V():
+    return F.col("value")
+
 DAY = "date_diff('day', DATE '1995-01-01', obs_date)"
 BY = "PARTITION BY series_id ORDER BY obs_date"
 RETURNS = ("returns", f"SELECT series_id, obs_date, value, {DAY} AS n, ln(value / lag(value) OVER ({BY})) AS r, sin({DAY} / 40.0::DOUBLE) + {DAY} % 5 AS y FROM price")
@@ -25,7 +32,7 @@ def rnd(c: Column | str, digits: int = 6) -> Column:
 def returns(spark, sf):
     """The price with its day's number, its log return and a second path."""
     p = price(spark, sf).withColumn("n", dayno("obs_date"))
-    return p.withColumns({"r": windows.log_return(V, W), "y": F.sin(F.col("n") / 40.0) + F.col("n") % 5})
+    return p.withColumns({"r": windows.log_return(V(), W()), "y": F.sin(F.col("n") / 40.0) + F.col("n") % 5})
 
 
 def over(n: int) -> str:
@@ -52,9 +59,9 @@ def w02(spark, sf):
   CASE WHEN count(r) {EVER} >= 250 THEN round((r - avg(r) {EVER}) / nullif(stddev_samp(r) {EVER}, 0), 6) END AS jerk_z FROM returns""", RETURNS))
 def w03(spark, sf):
     r = F.col("r")
-    seen = F.count(r).over(W.rowsBetween(windows.EVER, 0))
-    factor = F.when(seen >= 2, F.coalesce(windows.expanding_z(r, W, 2, False, 3.0), F.lit(0.0)))
-    return returns(spark, sf).select("obs_date", rnd(factor).alias("factor_z"), rnd(windows.expanding_z(r, W, 756, True, 4.0)).alias("driver_z"), rnd(windows.expanding_z(r, W, 250, True, None)).alias("jerk_z"))
+    seen = F.count(r).over(W().rowsBetween(windows.EVER, 0))
+    factor = F.when(seen >= 2, F.coalesce(windows.expanding_z(r, W(), 2, False, 3.0), F.lit(0.0)))
+    return returns(spark, sf).select("obs_date", rnd(factor).alias("factor_z"), rnd(windows.expanding_z(r, W(), 756, True, 4.0)).alias("driver_z"), rnd(windows.expanding_z(r, W(), 250, True, None)).alias("jerk_z"))
 
 
 MIDRANK = """SELECT a.series_id, a.obs_date, a.value, CASE WHEN count(b.value) = 0 THEN 0.5 ELSE (count(*) FILTER (WHERE b.value < a.value) + count(*) FILTER (WHERE b.value <= a.value)) / 2.0::DOUBLE / count(b.value) END AS pct
@@ -70,47 +77,47 @@ def w04(spark, sf):
   CASE WHEN count(r) {over(21)} >= 10 THEN round(min(r) {over(21)}, 8) END AS low, CASE WHEN count(r) {over(21)} >= 21 THEN round(sum(r) {over(21)}, 8) END AS total, CASE WHEN count(r) {over(63)} >= 63 THEN round(stddev_samp(r) {over(63)}, 8) END AS sd FROM returns""", RETURNS))
 def w05(spark, sf):
     r = F.col("r")
-    made = {"mean": windows.rolling(F.avg, r, W, 21), "high": windows.rolling(F.max, r, W, 21, 10), "low": windows.rolling(F.min, r, W, 21, 10), "total": windows.rolling(F.sum, r, W, 21), "sd": windows.rolling(F.stddev_samp, r, W, 63)}
+    made = {"mean": windows.rolling(F.avg, r, W(), 21), "high": windows.rolling(F.max, r, W(), 21, 10), "low": windows.rolling(F.min, r, W(), 21, 10), "total": windows.rolling(F.sum, r, W(), 21), "sd": windows.rolling(F.stddev_samp, r, W(), 63)}
     return returns(spark, sf).select("obs_date", *(rnd(c, 8).alias(n) for n, c in made.items()))
 
 
 @query("W06_rolling_median", oracle(f"SELECT obs_date, CASE WHEN count(value) {over(90)} >= 45 THEN round(quantile_cont(value, 0.5) {over(90)}, 6) END AS median FROM price"))
 def w06(spark, sf):
-    return price(spark, sf).select("obs_date", rnd(windows.rolling_median(V, W, 90, 45)).alias("median"))
+    return price(spark, sf).select("obs_date", rnd(windows.rolling_median(V(), W(), 90, 45)).alias("median"))
 
 
 @query("W07_rolling_corr", oracle(f"""SELECT obs_date, CASE WHEN count(r) {over(126)} >= 126 THEN round(corr(r, y) {over(126)}, 6) END AS plain, CASE WHEN count(mr) {over(504)} >= 40 THEN round(corr(mr, my) {over(504)}, 6) END AS masked
   FROM (SELECT *, CASE WHEN r < 0 THEN r END AS mr, CASE WHEN r < 0 THEN y END AS my FROM returns)""", RETURNS))
 def w07(spark, sf):
     r, y, falling = F.col("r"), F.col("y"), F.col("r") < 0
-    return returns(spark, sf).select("obs_date", rnd(windows.rolling_corr(r, y, W, 126, 126)).alias("plain"), rnd(windows.rolling_corr(F.when(falling, r), F.when(falling, y), W, 504, 40)).alias("masked"))
+    return returns(spark, sf).select("obs_date", rnd(windows.rolling_corr(r, y, W(), 126, 126)).alias("plain"), rnd(windows.rolling_corr(F.when(falling, r), F.when(falling, y), W(), 504, 40)).alias("masked"))
 
 
 @query("W08_corr_baseline", oracle(f"""SELECT obs_date, CASE WHEN count(c) {over(378)} >= 189 THEN round(abs(c - avg(c) {over(378)}), 6) END AS breakdown FROM (SELECT *, CASE WHEN count(r) {over(63)} >= 63 THEN corr(r, y) {over(63)} END AS c FROM returns)""", RETURNS))
 def w08(spark, sf):
     c = F.col("c")
-    return returns(spark, sf).withColumn("c", windows.rolling_corr(F.col("r"), F.col("y"), W, 63, 63)).select("obs_date", rnd(F.abs(c - windows.rolling(F.avg, c, W, 378, 189))).alias("breakdown"))
+    return returns(spark, sf).withColumn("c", windows.rolling_corr(F.col("r"), F.col("y"), W(), 63, 63)).select("obs_date", rnd(F.abs(c - windows.rolling(F.avg, c, W(), 378, 189))).alias("breakdown"))
 
 
 @query("W09_drawdown", oracle(f"SELECT obs_date, round(value / max(value) {EVER} - 1, 6) AS from_peak, round(value / max(value) {over(252)} - 1, 6) AS from_year_peak, round(ln(value) - max(ln(value)) {EVER}, 6) AS log_drawdown FROM price"))
 def w09(spark, sf):
-    logged = F.log(V)
-    return price(spark, sf).select("obs_date", rnd(windows.drawdown(V, W)).alias("from_peak"), rnd(windows.drawdown(V, W, 252)).alias("from_year_peak"), rnd(logged - F.max(logged).over(W.rowsBetween(windows.EVER, 0))).alias("log_drawdown"))
+    logged = F.log(V())
+    return price(spark, sf).select("obs_date", rnd(windows.drawdown(V(), W())).alias("from_peak"), rnd(windows.drawdown(V(), W(), 252)).alias("from_year_peak"), rnd(logged - F.max(logged).over(W().rowsBetween(windows.EVER, 0))).alias("log_drawdown"))
 
 
 @query("W10_changes", oracle(f"SELECT obs_date, round(value - lag(value) OVER ({BY}), 6) AS d1, round(ln(value / lag(value, 20) OVER ({BY})), 6) AS r20, round(abs(value - lag(value, 5) OVER ({BY})), 6) AS a5 FROM price"))
 def w10(spark, sf):
-    return price(spark, sf).select("obs_date", rnd(windows.change(V, W)).alias("d1"), rnd(windows.log_return(V, W, 20)).alias("r20"), rnd(F.abs(windows.change(V, W, 5))).alias("a5"))
+    return price(spark, sf).select("obs_date", rnd(windows.change(V(), W())).alias("d1"), rnd(windows.log_return(V(), W(), 20)).alias("r20"), rnd(F.abs(windows.change(V(), W(), 5))).alias("a5"))
 
 
 @query("W11_seen_before", oracle(f"SELECT obs_date, coalesce(max(CAST(value < 1 AS INT)) OVER (PARTITION BY series_id ORDER BY {DAY} RANGE BETWEEN 365 PRECEDING AND 1 PRECEDING), 0) = 1 AS seen FROM rates_short"))
 def w11(spark, sf):
-    return rates_short(spark, sf).select("obs_date", windows.seen_before(V < 1, ["series_id"], "obs_date", 365).alias("seen"))
+    return rates_short(spark, sf).select("obs_date", windows.seen_before(V() < 1, ["series_id"], "obs_date", 365).alias("seen"))
 
 
 @query("W12_cumulative", oracle(f"SELECT obs_date, round(sum(value) {EVER}, 4) AS total, count(value) {EVER} AS n FROM price"))
 def w12(spark, sf):
-    return price(spark, sf).select("obs_date", rnd(windows.expanding(F.sum, V, W), 4).alias("total"), F.count(V).over(W.rowsBetween(windows.EVER, 0)).alias("n"))
+    return price(spark, sf).select("obs_date", rnd(windows.expanding(F.sum, V(), W()), 4).alias("total"), F.count(V()).over(W().rowsBetween(windows.EVER, 0)).alias("n"))
 
 
 WEALTH = """SELECT obs_date, segment, round(exp(sum(growth) OVER (PARTITION BY segment ORDER BY obs_date)), 8) AS wealth FROM (SELECT *, sum(CAST(restart AS INT)) OVER (ORDER BY obs_date) AS segment FROM (
@@ -119,8 +126,8 @@ WEALTH = """SELECT obs_date, segment, round(exp(sum(growth) OVER (PARTITION BY s
 
 @query("W13_segmented_index", oracle(WEALTH))
 def w13(spark, sf):
-    gap = F.datediff("obs_date", F.lag("obs_date").over(W))
-    df = rates_short(spark, sf).withColumns({"gap": gap, "before": F.lag("value").over(W)})
+    gap = F.datediff("obs_date", F.lag("obs_date").over(W()))
+    df = rates_short(spark, sf).withColumns({"gap": gap, "before": F.lag("value").over(W())})
     out = windows.segmented_index(df, ["series_id"], "obs_date", F.col("before") / 100 * F.col("gap") / 360, F.col("gap") > 40, "wealth")
     return out.select("obs_date", "segment", rnd("wealth", 8).alias("wealth"))
 
@@ -128,25 +135,25 @@ def w13(spark, sf):
 @query("W14_running_ols", oracle(f"""SELECT obs_date, round(beta, 8) AS beta, round(alpha, 6) AS alpha, round(r2, 6) AS r2, round(sqrt(greatest(0, syy - beta * sxy) / (n - 2)), 6) AS sigma FROM (SELECT obs_date, count(r) {EVER} AS n, regr_slope(y, r) {EVER} AS beta, regr_intercept(y, r) {EVER} AS alpha, regr_r2(y, r) {EVER} AS r2, regr_syy(y, r) {EVER} AS syy, regr_sxy(y, r) {EVER} AS sxy FROM returns)
   WHERE n >= 36 UNION ALL SELECT obs_date, NULL, NULL, NULL, NULL FROM returns QUALIFY count(r) {EVER} < 36""", RETURNS))
 def w14(spark, sf):
-    out = windows.running_ols(F.col("r"), F.col("y"), W, 36)
+    out = windows.running_ols(F.col("r"), F.col("y"), W(), 36)
     return returns(spark, sf).select("obs_date", *(rnd(c, 8 if k == "beta" else 6).alias(k) for k, c in out.items()))
 
 
 @query("W15_forward", oracle(f"""SELECT obs_date, CASE WHEN count(*) OVER ({BY} ROWS BETWEEN 1 FOLLOWING AND 60 FOLLOWING) = 60 THEN max(value) OVER ({BY} ROWS BETWEEN 1 FOLLOWING AND 60 FOLLOWING) END AS highest,
   min(value) OVER ({BY} ROWS BETWEEN 1 FOLLOWING AND 60 FOLLOWING) AS lowest FROM price"""))
 def w15(spark, sf):
-    return price(spark, sf).select("obs_date", windows.forward_max(V, W, 60).alias("highest"), windows.forward_min(V, W, 60).alias("lowest"))
+    return price(spark, sf).select("obs_date", windows.forward_max(V(), W(), 60).alias("highest"), windows.forward_min(V(), W(), 60).alias("lowest"))
 
 
 @query("W16_edge", oracle(f"SELECT obs_date FROM price QUALIFY value > 10 AND NOT coalesce(lag(value > 10) OVER ({BY}), false)"))
 def w16(spark, sf):
-    return price(spark, sf).withColumn("on", windows.edge(V > 10, W)).where("on").select("obs_date")
+    return price(spark, sf).withColumn("on", windows.edge(V() > 10, W())).where("on").select("obs_date")
 
 
 @query("W17_bipower", oracle(f"SELECT obs_date, CASE WHEN count(p) {over(63)} >= 61 THEN round(sum(p) {over(63)} / 61, 8) END AS variance FROM (SELECT *, abs(r) * abs(lag(r) OVER ({BY})) AS p FROM returns)", RETURNS))
 def w17(spark, sf):
-    p = returns(spark, sf).withColumn("p", F.abs("r") * F.abs(F.lag("r").over(W)))
-    return p.select("obs_date", rnd(windows.rolling(F.sum, F.col("p"), W, 63, 61) / 61, 8).alias("variance"))
+    p = returns(spark, sf).withColumn("p", F.abs("r") * F.abs(F.lag("r").over(W())))
+    return p.select("obs_date", rnd(windows.rolling(F.sum, F.col("p"), W(), 63, 61) / 61, 8).alias("variance"))
 
 
 @query("W18_nested_horizons", oracle("SELECT obs_date, a AS m3, greatest(a, b) AS m6, greatest(a, b, c) AS m12 FROM (SELECT obs_date, (n % 7) / 10.0::DOUBLE AS a, (n % 5) / 10.0::DOUBLE AS b, (n % 11) / 10.0::DOUBLE AS c FROM returns)", RETURNS))
@@ -161,7 +168,7 @@ FFD = windows.ffd_weights(0.4, 1e-3, 250)
 @query("W19_ffd", oracle(f"""SELECT obs_date, CASE WHEN k = {len(FFD)} THEN round(s, 6) END AS ffd FROM (SELECT p.obs_date, count(*) AS k, sum(w.weight * ln(q.value)) AS s
   FROM (SELECT *, row_number() OVER (ORDER BY obs_date) AS i FROM price) p JOIN (SELECT * FROM (VALUES {', '.join(f'({i}, {x!r}::DOUBLE)' for i, x in enumerate(FFD))}) AS t(k, weight)) w ON true JOIN (SELECT *, row_number() OVER (ORDER BY obs_date) AS i FROM price) q ON q.i = p.i - w.k GROUP BY 1)"""))
 def w19(spark, sf):
-    return price(spark, sf).withColumn("l", F.log(V)).select("obs_date", rnd(windows.dot(F.col("l"), W, FFD)).alias("ffd"))
+    return price(spark, sf).withColumn("l", F.log(V())).select("obs_date", rnd(windows.dot(F.col("l"), W(), FFD)).alias("ffd"))
 
 
 @query("W20_release_floor", oracle("SELECT series_id, obs_date, min(release_date) OVER (PARTITION BY series_id ORDER BY obs_date DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS floor FROM monthly"))
@@ -197,12 +204,12 @@ WEIGHTS = {"rii": 1.0, "tail_probability": 2.0, "shock_likelihood": 0.5, "hedge_
 @query("A05_renormalized_mean", oracle(f"SELECT asset, as_of, round(sum(w * value) / sum(w), 6) AS score FROM outputs JOIN (VALUES {', '.join(f'({k!r}, {v!r}::DOUBLE)' for k, v in WEIGHTS.items())}) AS t(metric, w) USING (metric) GROUP BY 1, 2"))
 def a05(spark, sf):
     w = reduce(lambda c, kv: c.when(F.col("metric") == kv[0], kv[1]), WEIGHTS.items(), F.when(F.lit(False), 0.0))
-    return outputs(spark, sf).groupBy("asset", "as_of").agg(rnd(aggregates.weighted_mean(V, w)).alias("score"))
+    return outputs(spark, sf).groupBy("asset", "as_of").agg(rnd(aggregates.weighted_mean(V(), w)).alias("score"))
 
 
 @query("A06_geometric_mean", oracle("SELECT obs_date, CASE WHEN a IS NULL OR b IS NULL OR c IS NULL THEN NULL WHEN least(a, b, c) = 0 THEN 0 ELSE round(100 * exp((ln(a) + ln(b) + ln(c)) / 3), 6) END AS score FROM (SELECT obs_date, (n % 7) / 7.0::DOUBLE AS a, least(1, abs(r)) AS b, least(1, value / 20) AS c FROM returns)", RETURNS))
 def a06(spark, sf):
-    terms = [F.col("n") % 7 / 7.0, F.least(F.lit(1.0), F.abs("r")), F.least(F.lit(1.0), V / 20)]
+    terms = [F.col("n") % 7 / 7.0, F.least(F.lit(1.0), F.abs("r")), F.least(F.lit(1.0), V() / 20)]
     return returns(spark, sf).select("obs_date", rnd(100 * aggregates.geometric_mean(terms)).alias("score"))
 
 
@@ -240,7 +247,7 @@ def a10(spark, sf):
 @query("A11_episodes", oracle("""SELECT min(obs_date) AS start, count(*) AS days, round(max(depth), 6) AS depth FROM (SELECT *, sum(start) OVER (ORDER BY obs_date) AS island FROM (SELECT *, CASE WHEN (depth > 0.8) IS NOT DISTINCT FROM lag(depth > 0.8) OVER (ORDER BY obs_date) THEN 0 ELSE 1 END AS start
   FROM (SELECT obs_date, 1 - value / max(value) OVER (ORDER BY obs_date) AS depth FROM price))) WHERE depth > 0.8 GROUP BY island"""))
 def a11(spark, sf):
-    d = price(spark, sf).withColumn("depth", -windows.drawdown(V, W))
+    d = price(spark, sf).withColumn("depth", -windows.drawdown(V(), W()))
     out = aggregates.episodes(d, ["series_id"], "obs_date", "depth", 0.8)
     return out.select("start", "days", rnd("depth").alias("depth"))
 
@@ -278,8 +285,8 @@ def a15(spark, sf):
 
 @query("A16_false_alarms", oracle("""SELECT count(*) AS calls, round(avg(CAST(future / value - 1 > -0.8 AS INT)), 6) AS false_alarm_rate, round(avg(CAST(future / value - 1 <= -0.8 AS INT)), 6) AS hit_rate FROM (SELECT p.*, s.state, min(p.value) OVER (ORDER BY p.obs_date ROWS BETWEEN 1 FOLLOWING AND 252 FOLLOWING) AS future FROM price p JOIN states s USING (obs_date)) WHERE state = 'bear' AND future IS NOT NULL""", RETURNS, STATE))
 def a16(spark, sf):
-    df = states(spark, sf).withColumn("future", windows.forward_min(V, W, 252)).where("state = 'bear' and future is not null")
-    hit = (F.col("future") / V - 1 <= -0.8).cast("int")
+    df = states(spark, sf).withColumn("future", windows.forward_min(V(), W(), 252)).where("state = 'bear' and future is not null")
+    hit = (F.col("future") / V() - 1 <= -0.8).cast("int")
     return df.agg(F.count("*").alias("calls"), rnd(F.avg(1 - hit)).alias("false_alarm_rate"), rnd(F.avg(hit)).alias("hit_rate"))
 
 
@@ -346,7 +353,7 @@ def l09(spark, sf):
 
 @query("L10_newest_with_spread", oracle("SELECT CASE WHEN date_diff('day', with_spread, newest) <= 5 THEN with_spread ELSE newest END AS chosen FROM (SELECT max(obs_date) AS newest, max(obs_date) FILTER (WHERE value > 2.5) AS with_spread FROM rates_short)"))
 def l10(spark, sf):
-    found = rates_short(spark, sf).agg(F.max("obs_date").alias("newest"), F.max(F.when(V > 2.5, F.col("obs_date"))).alias("with_spread"))
+    found = rates_short(spark, sf).agg(F.max("obs_date").alias("newest"), F.max(F.when(V() > 2.5, F.col("obs_date"))).alias("with_spread"))
     return found.select(F.when(F.datediff("newest", "with_spread") <= 5, F.col("with_spread")).otherwise(F.col("newest")).alias("chosen"))
 
 
@@ -385,8 +392,8 @@ def r09(spark, sf):
 @query("J08_labels", oracle(f"SELECT obs_date, r, label FROM (SELECT obs_date, r, CASE WHEN count(*) OVER ({BY} ROWS BETWEEN 1 FOLLOWING AND 63 FOLLOWING) = 63 THEN max(CAST(e AS INT)) OVER ({BY} ROWS BETWEEN 1 FOLLOWING AND 63 FOLLOWING) END AS label FROM (SELECT *, state = 'bear' AND coalesce(lag(state) OVER ({BY}), '') <> 'bear' AS e FROM states)) WHERE label IS NOT NULL AND r IS NOT NULL", RETURNS, STATE))
 def j08(spark, sf):
     s = states(spark, sf)
-    entries = s.withColumn("entry", windows.edge(F.col("state") == "bear", W).cast("int"))
-    labels = entries.withColumn("label", windows.forward_max(F.col("entry"), W, 63)).select("obs_date", "label")
+    entries = s.withColumn("entry", windows.edge(F.col("state") == "bear", W()).cast("int"))
+    labels = entries.withColumn("label", windows.forward_max(F.col("entry"), W(), 63)).select("obs_date", "label")
     return s.select("obs_date", "r").join(labels, "obs_date").na.drop()
 
 
@@ -407,4 +414,4 @@ def p07(spark, sf):
 
 @query("P09_flagged", oracle("SELECT series_id, obs_date, flag FROM (SELECT *, CASE WHEN value > 20 THEN 'abnormal_jump' END AS flag FROM price) WHERE flag IS NOT NULL"))
 def p09(spark, sf):
-    return price(spark, sf).withColumn("flag", F.when(V > 20, "abnormal_jump")).where("flag is not null").select("series_id", "obs_date", "flag")
+    return price(spark, sf).withColumn("flag", F.when(V() > 20, "abnormal_jump")).where("flag is not null").select("series_id", "obs_date", "flag")
