@@ -75,6 +75,13 @@ def test_prefix_counts(pair):
             assert got == [len(library.encode(normal[:i], add_special_tokens=False).ids) for i in range(len(normal) + 1)], t
 
 
+@pytest.mark.parametrize("limit", [0, 1, 2, 3, 5, 9, 40])
+def test_longest_prefix_within_a_limit(pair, limit):
+    _, _, own = pair
+    for t in [*TEXTS, "a <|endoftext|> b<|endoftext|>", "supercalifragilistic extra-ordinary   ", "  x"]:
+        assert bpe.longest_within(own, t, limit) == max(i for i, n in enumerate(own.prefix_counts(t)) if n <= limit), t[:30]
+
+
 def test_operators(spark):
     path = public_tokenizers.path(NAMES[0])
     library = _library(path)

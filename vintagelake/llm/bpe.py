@@ -268,6 +268,10 @@ class Vocabulary:
         _, last, count = next(iter(self.walk([raw])))
         return count[self._closing(raw, len(raw), last)[0]] + 1 if self.marked else count[-1]
 
+    def chunk_count(self, chunk: str) -> int:
+        known = self.count_memo.get(chunk)
+        return sum(self._whole(w) for w in self.split(chunk)) if known is None else known
+
     def count(self, texts: list[str]) -> list[int]:
         """Tokens of each whole text: the last number of its prefix counts, with the words' last numbers kept in a memo."""
         if not self.marked:
@@ -406,6 +410,31 @@ def token_counts(docs: DataFrame, path: str, limit: int, text: str = "text", kee
 
 
 def longest_within(v: Vocabulary, text: str, limit: int) -> int:
-    """The last i with at most `limit` tokens in the first i code points of the normal form."""
-    counts = v.prefix_counts(text)
-    return max(i for i, n in enumerate(counts) if n <= limit)
+    """The last i with at most `limit` tokens in the first i code points of the normal form.
+
+    With word ends, white space ends every word, so the counts at the ends of chunks are known sums and never fall;
+    only in a chunk that passes the limit are the counts of all its prefixes looked at.
+    """
+    if not v.marked:
+        return max(i for i, n in enumerate(v.prefix_counts(text)) if n <= limit)
+    at = total = best = 0
+    for special, piece in v.cut(text):
+        if total > limit:
+            break
+        piece = v.normal(piece)
+        if special >= 0:
+            inside = [*v._plain_counts(piece)[1:-1], 1]
+            best = max([best, *(at + i for i, n in enumerate(inside, 1) if total + n <= limit)])
+            total += 1
+        else:
+            for m in v.chunks.finditer(piece):
+                if total > limit:
+                    break
+                best, n = at + m.start(), v.chunk_count(m[0])
+                if total + n > limit:
+                    best = max([best, *(best + i for i, k in enumerate(v._plain_counts(m[0])) if total + k <= limit)])
+                total += n
+            if total <= limit:
+                best = at + len(piece)
+        at += len(piece)
+    return best
