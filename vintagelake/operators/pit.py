@@ -42,9 +42,16 @@ def newest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
+def latest(df: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """The row of each key with the largest `by`. Each task sends one row for a key, so a key with many rows meets in no task."""
+    rest = [c for c in df.columns if c not in keys]
+    out = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*by)).alias("_row"))
+    return out.select(*(c if c in keys else F.col(f"_row.`{c}`").alias(c) for c in df.columns))
+
+
 def pit_join(obs: DataFrame, as_of: date | str, series_ids: list[str] | None = None) -> DataFrame:
     """The latest period of each series at the cutoff, at its newest vintage, and how stale it is. A series without one is absent."""
-    out = newest(knowable(obs, as_of, series_ids), ["series_id"], F.desc("obs_date"), F.desc("knowable_at"))
+    out = latest(knowable(obs, as_of, series_ids), ["series_id"], ["obs_date", "knowable_at"])
     return out.withColumn("staleness_days", F.datediff(F.lit(as_of).cast("date"), "obs_date"))
 
 
@@ -53,7 +60,7 @@ def pit_history(obs: DataFrame, as_of: date | str, series_ids: list[str] | None
     out = knowable(obs, as_of, series_ids)
     if start is not None:
         out = out.where(F.col("obs_date") >= F.lit(start).cast("date"))
-    return newest(out, ["series_id", "obs_date"], F.desc("knowable_at"))
+    return latest(out, ["series_id", "obs_date"], ["knowable_at"])
 
 
 def lookahead(frame: DataFrame, as_of: date | str) -> DataFrame:
