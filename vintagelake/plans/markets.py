@@ -369,3 +369,11 @@ def y32(spark, sf):
 @query("Y33_return_levels", oracle("SELECT years, round(0.1 + 0.083 / 0.33 * (power(years * 0.3, 0.33) - 1), 6) AS fitted FROM (VALUES (10.0::DOUBLE), (25.0), (50.0), (100.0)) AS t(years)"))
 def y33(spark, sf):
     return spark.createDataFrame([(10.0,), (25.0,), (50.0,), (100.0,)], "years double").select("years", rnd(finance.gpd_quantile(F.col("years"), 0.3, 0.1, 0.33, 0.083)).alias("fitted"))
+
+
+@query("Y11_state_labels", oracle(f"SELECT state, rank FROM (SELECT state, row_number() OVER (ORDER BY round(avg(r), 12) DESC, stddev_samp(r)) AS rank FROM states GROUP BY 1)", RETURNS, STATE))
+def y11(spark, sf):
+    """States in order of mean return, then calm: the order in which names are given."""
+    means = states(spark, sf).groupBy("state").agg(F.round(F.avg("r"), 12).alias("m"), F.stddev_samp("r").alias("s"))
+    w = Window.orderBy(F.desc("m"), "s")  # as many rows as states
+    return means.select("state", F.row_number().over(w).cast("bigint").alias("rank"))

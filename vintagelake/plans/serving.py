@@ -130,3 +130,10 @@ def v14_freshness(spark, sf):
 def v14_zero(spark, sf):
     factor = F.exp(-F.col("value") / 1000 * 5)
     return price(spark, sf).select("obs_date", F.round(finance.implied_zero_rate(factor, F.lit(5.0)), 6).alias("zero"))
+
+
+@query("L04_row_ceiling", oracle("SELECT as_of, metric, value, count(*) OVER () AS available, count(*) OVER () > 300 AS truncated FROM outputs WHERE asset = 'equity' ORDER BY as_of, metric LIMIT 300"))
+def l04(spark, sf):
+    """The limit counts dates: 100 dates of three metrics."""
+    rows = outputs(spark, sf).where("asset = 'equity'").select("as_of", "metric", "value")
+    return views.by_date(rows, ["as_of", "metric"], dates=100, rows_per_date=3)

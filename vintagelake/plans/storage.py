@@ -294,3 +294,40 @@ def u08_equal(spark, sf):
     o = rates_short(spark, sf).select("series_id", "obs_date", F.col("obs_date").alias("release_date"), F.col("obs_date").alias("revision_date"), "value")
     then, now = (pit.pit_history(x, "1997-06-30") for x in (o.where("release_date <= date'1997-06-30'"), o))
     return differences(then, now, ["series_id", "obs_date"], ["value"]).agg(F.count("*").alias("differences"))
+
+
+@query("K03_batches", "SELECT true AS small, count(*) AS n FROM orders")
+def k03(spark, sf):
+    folder = scratch(spark)
+    sinks.batched(table(spark, sf, "orders"), folder, 900)
+    files = spark.read.parquet(folder).groupBy(F.input_file_name()).agg(F.count("*").alias("k"))
+    return files.agg((F.max("k") <= 900).alias("small"), F.sum("k").alias("n"))
+
+
+@query("K07_simulation_archive", oracle("SELECT 'equity' AS asset, DATE '2020-01-31' AS as_of, 'v1' AS version, count(*) AS n, round(sum(value), 4) AS total FROM price"))
+def k07(spark, sf):
+    folder = scratch(spark)
+    p = price(spark, sf).select("obs_date", "value")
+    sinks.archive_paths(p, folder, "equity", "2020-01-31", "v1")
+    kept = sinks.archive_paths(p.withColumn("value", F.col("value") * 2), folder, "equity", "2020-01-31", "v1")
+    return sinks.archived(spark, folder).crossJoin(kept.agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")))
+
+
+@query("S14_derived", oracle("SELECT a.obs_date, greatest(a.release_date, b.release_date) AS release_date, round(a.value - b.value, 6) AS value FROM (SELECT * FROM monthly WHERE series_id = 'A') a ASOF JOIN (SELECT * FROM monthly WHERE series_id = 'N') b ON a.obs_date >= b.obs_date"))
+def s14(spark, sf):
+    from vintagelake.operators.factors import derived
+
+    leg = {k: monthly(spark, sf).where(F.col("series_id") == k).withColumn("series_id", F.lit("X")) for k in "AN"}
+    return derived("credit_quality_spread", {"high_yield": leg["A"], "investment_grade": leg["N"]}, ["series_id"]).select("obs_date", "release_date", F.round("value", 6).alias("value"))
+
+
+@query("S19_stale_on_error", oracle("SELECT series_id, obs_date, value FROM price"))
+def s19(spark, sf):
+    """A first reading is staged; it is given again when a later reading fails."""
+    folder = scratch(spark)
+
+    def failing():
+        raise OSError("source is down")
+
+    sinks.staged(spark, folder, lambda: price(spark, sf), 0.0)
+    return sinks.staged(spark, folder, failing, 0.0)

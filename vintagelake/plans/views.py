@@ -117,3 +117,10 @@ def tier(score: Column, names: tuple[str, str, str], low: float, high: float) ->
 
 def coverage_probe(outputs: DataFrame) -> DataFrame:
     return outputs.groupBy("asset", "metric").agg(F.min("as_of").alias("first"), F.max("as_of").alias("last"), F.count("value").alias("n"))
+
+
+def by_date(rows: DataFrame, order: list[str], dates: int, rows_per_date: int) -> DataFrame:
+    """The oldest rows up to a limit that is given in dates, with the number of all rows and whether some are missing."""
+    n = max(1, min(dates, MOST_ROWS)) * rows_per_date
+    total = rows.agg(F.count("*").alias("available"))
+    return rows.orderBy(*order).limit(n).join(F.broadcast(total)).withColumn("truncated", F.col("available") > n)

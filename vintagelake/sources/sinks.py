@@ -118,3 +118,40 @@ def markdown(df: DataFrame, most: int = 200) -> str:
         raise ValueError(f"more than {most} rows: aggregate first")
     line = lambda cells: "| " + " | ".join("" if c is None else f"{c:.4g}" if isinstance(c, float) else str(c) for c in cells) + " |"
     return "\n".join([line(df.columns), line(["---"] * len(df.columns)), *map(line, rows)])
+
+
+def archive_paths(paths: DataFrame, folder: str, asset: str, as_of: str, version: str) -> DataFrame:
+    """Simulated paths under a key that is written once: the same key again keeps what is there. Returns what is stored."""
+    spark, at = paths.sparkSession, f"{folder}/asset={asset}/as_of={as_of}/version={version}"
+    try:
+        return spark.read.schema(paths.schema).parquet(at) if spark.read.parquet(at).columns else paths
+    except AnalysisException:
+        paths.write.parquet(at)
+        return spark.read.schema(paths.schema).parquet(at)
+
+
+def archived(spark: SparkSession, folder: str) -> DataFrame:
+    """Keys of the archive, in order."""
+    return spark.read.parquet(folder).select("asset", F.col("as_of").cast("date").alias("as_of"), "version").distinct().orderBy("asset", "as_of", "version")
+
+
+def staged(spark: SparkSession, folder: str, read: Callable[[], DataFrame], ttl_hours: float) -> DataFrame:
+    """What read() gives, staged as Parquet: within the time to live from the stage, and from it too where reading fails."""
+    fresh = None
+    try:
+        stamps = spark.read.schema("version string, at timestamp").json(f"{folder}/pointer").orderBy(F.desc("at")).withColumn("age", F.unix_timestamp(F.current_timestamp()) - F.unix_timestamp("at")).first()
+        fresh = stamps is not None and stamps.age < ttl_hours * 3600
+    except AnalysisException:
+        pass
+    if fresh:
+        return current(spark, folder)
+    try:
+        new = read()
+        version = uuid.uuid4().hex
+        new.write.parquet(f"{folder}/v={version}")
+    except Exception:
+        if fresh is None:
+            raise
+        return current(spark, folder)
+    spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("at")).coalesce(1).write.mode("append").json(f"{folder}/pointer")
+    return current(spark, folder)
