@@ -48,7 +48,7 @@ def test_decode_with_word_ends():
 def test_any_text(texts):
     for name in NAMES:
         path = public_tokenizers.path(name)
-        library, own = _library(path), bpe.vocabulary(path) if name in str(bpe._LOADED) else _own(path)
+        library, own = _library(path), _own(path)
         for t, blob in zip(texts, own.encode(texts), strict=True):
             assert ids_of(blob) == library.encode(t, add_special_tokens=False).ids
 
@@ -79,6 +79,7 @@ def test_prefix_counts(pair):
 def test_longest_prefix_within_a_limit(pair, limit):
     _, _, own = pair
     for t in [*TEXTS, "a <|endoftext|> b<|endoftext|>", "supercalifragilistic extra-ordinary   ", "  x"]:
+        t = t[:200]
         assert bpe.longest_within(own, t, limit) == max(i for i, n in enumerate(own.prefix_counts(t)) if n <= limit), t[:30]
 
 

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vintagelake.llm.common import map_texts
+from vintagelake.llm.common import held, map_texts
 
 #: Fixed values of the two public vocabularies: how they cut a text into words, and the mark of a word's end.
 BYTE_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -40,6 +40,8 @@ NEWER_LOWER |= {c: c + 32 for c in range(0x10D50, 0x10D66)} | {c: c + 27 for c i
 NEWER_CAPITALS = re.compile("[" + "".join(map(chr, NEWER_LOWER)) + "]")
 #: Entries that a worker's memo of chunks or pairs may reach before it starts anew: bounds memory, not results.
 MEMO = 400_000
+#: Fewer of what is only needed for new chunks.
+SMALL_MEMO = 100_000
 NEVER = 1 << 40
 
 
@@ -50,6 +52,13 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def keep_only(memo: dict, wanted: set) -> None:
+    """Drops what the texts at hand do not use; frequent words are in all texts and stay."""
+    kept = {k: memo[k] for k in wanted if k in memo}
+    memo.clear()
+    memo.update(kept)
+
+
 class Vocabulary:
     """A public tokenizer's vocabulary and ranked merges, with memos that live as long as the worker."""
 
@@ -107,7 +116,7 @@ class Vocabulary:
         """Whether the two tokens stand side by side in an encoding: no merge across their border comes before both were made."""
         known = self.fit.get((a, b))
         if known is None:
-            if len(self.fit) > MEMO:
+            if len(self.fit) > SMALL_MEMO:
                 self.fit.clear()
             known = self.fit[a, b] = self._fits(a, b)
         return known
@@ -199,9 +208,8 @@ class Vocabulary:
         new = {c for parts in chunked for _, chunks in parts for c in chunks if c not in memo}
         if new:
             if len(memo) + len(new) > MEMO:
-                memo.clear()
-                new = {c for parts in chunked for _, chunks in parts for c in chunks}
-            if len(self.word_memo) > MEMO:
+                keep_only(memo, {c for parts in chunked for _, chunks in parts for c in chunks})
+            if len(self.word_memo) > SMALL_MEMO:
                 self.word_memo.clear()
             split = {c: self.split(c) for c in new}
             known = self.word_memo
@@ -282,9 +290,8 @@ class Vocabulary:
         new = {c for parts in chunked for _, chunks in parts for c in chunks if c not in memo}
         if new:
             if len(memo) + len(new) > MEMO:
-                memo.clear()
-                new = {c for parts in chunked for _, chunks in parts for c in chunks}
-            if len(known) > MEMO:
+                keep_only(memo, {c for parts in chunked for _, chunks in parts for c in chunks})
+            if len(known) > SMALL_MEMO:
                 known.clear()
             split = {c: self.split(c) for c in new}
             fresh = {w.encode(): w for ws in split.values() for w in ws if w not in known}
@@ -295,15 +302,9 @@ class Vocabulary:
         return [sum(1 if i >= 0 else sum(map(of, chunks)) for i, chunks in parts) for parts in chunked]
 
 
-_LOADED: dict[str, Vocabulary] = {}
-
-
 def vocabulary(path: str) -> Vocabulary:
     """The vocabulary of a file, read once in each worker. The path must be the same on all machines."""
-    if path not in _LOADED:
-        _LOADED.clear()
-        _LOADED[path] = Vocabulary(path)
-    return _LOADED[path]
+    return held(path, lambda: Vocabulary(path))
 
 
 def bpe_encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -318,7 +319,7 @@ def bpe_encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] |
         ids = vocabulary(path).encode(texts)
         return {"token_ids": ids, "n_tokens": [len(x) // 4 for x in ids]}
 
-    return map_texts(docs, keep or ["doc_id"], run, "token_ids binary, n_tokens bigint", text)
+    return map_texts(docs, keep or ["doc_id"], run, "token_ids binary, n_tokens bigint", text, holds=path)
 
 
 def bpe_decode(encoded: DataFrame, path: str, ids: str = "token_ids", keep: list[str] | None = None) -> DataFrame:
@@ -346,7 +347,7 @@ def bpe_round_trip(docs: DataFrame, path: str, text: str = "text", keep: list[st
         ids = v.encode(texts)
         return {"token_ids": ids, "n_tokens": [len(x) // 4 for x in ids], "decoded": [v.decode(x) for x in ids]}
 
-    return map_texts(docs, keep or ["doc_id"], run, "token_ids binary, n_tokens bigint, decoded string", text)
+    return map_texts(docs, keep or ["doc_id"], run, "token_ids binary, n_tokens bigint, decoded string", text, holds=path)
 
 
 def round_trip_digests(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -361,7 +362,7 @@ def round_trip_digests(docs: DataFrame, path: str, text: str = "text", keep: lis
             "decoded_sha256": [hashlib.sha256(v.decode(x).encode()).hexdigest() for x in ids],
         }
 
-    return map_texts(docs, keep or ["doc_id"], run, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", text)
+    return map_texts(docs, keep or ["doc_id"], run, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", text, holds=path)
 
 
 def prefix_token_counts(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -375,7 +376,7 @@ def prefix_token_counts(docs: DataFrame, path: str, text: str = "text", keep: li
         v = vocabulary(path)
         return {"normal_text": ["".join(v.normal(p) if i < 0 else p for i, p in v.cut(t)) for t in texts], "prefix_tokens": [v.prefix_counts(t) for t in texts]}
 
-    return map_texts(docs, keep or ["doc_id"], run, "normal_text string, prefix_tokens array<int>", text)
+    return map_texts(docs, keep or ["doc_id"], run, "normal_text string, prefix_tokens array<int>", text, holds=path)
 
 
 def fits_budget(prefix_tokens: Column, chars: Column, budget: int) -> Column:
@@ -406,7 +407,7 @@ def token_counts(docs: DataFrame, path: str, limit: int, text: str = "text", kee
                 fit.append(longest_within(v, t, limit))
         return {"n_bytes": [len(t.encode()) for t in texts], "n_tokens": counts, "over_limit": [n > limit for n in counts], "fit_chars": fit}
 
-    return map_texts(docs, keep or ["doc_id"], run, "n_bytes bigint, n_tokens bigint, over_limit boolean, fit_chars bigint", text)
+    return map_texts(docs, keep or ["doc_id"], run, "n_bytes bigint, n_tokens bigint, over_limit boolean, fit_chars bigint", text, holds=path)
 
 
 def longest_within(v: Vocabulary, text: str, limit: int) -> int:

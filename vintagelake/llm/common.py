@@ -55,10 +55,26 @@ def steps(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.Rec
             yield part, [x or "" for x in part.column(text).to_pylist()]
 
 
-def map_texts(docs: DataFrame, keep: list[str], fn: Callable[[list[str]], dict], schema: str, text: str = "text") -> DataFrame:
+_HELD: dict[str, object] = {}
+
+
+def held(key: str, make: Callable[[], object]) -> object:
+    """What a worker keeps from task to task under a key. It keeps one thing at a time, so that stages do not add up in it."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def let_go(but: str | None) -> None:
+    if but not in _HELD:
+        _HELD.clear()
+
+
+def map_texts(docs: DataFrame, keep: list[str], fn: Callable[[list[str]], dict], schema: str, text: str = "text", holds: str | None = None) -> DataFrame:
     """Adds the columns that fn makes of each slice of texts; only `keep` and the text are read. Order and count of rows stay.
 
-    A column of `keep` that is named like a new one gives way to it.
+    A column of `keep` that is named like a new one gives way to it. What a worker holds under another key than `holds` is let go.
     """
     new = StructType.fromDDL(schema)
     keep = [c for c in dict.fromkeys(keep) if c not in new.names]
@@ -67,6 +83,7 @@ def map_texts(docs: DataFrame, keep: list[str], fn: Callable[[list[str]], dict],
     made_types = {f.name: f.type for f in to_arrow_schema(new)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go(holds)
         for part, texts in steps(batches, text):
             made = fn(texts)
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *(pa.array(x, made_types[c]) for c, x in made.items())], names=[*keep, *made])
