@@ -1,6 +1,7 @@
 """Encoding, decoding and counts against the tokenizers library itself."""
 
 import hashlib
+import random
 
 import pytest
 import public_tokenizers
@@ -83,6 +84,27 @@ def test_longest_prefix_within_a_limit(pair, limit):
         assert bpe.longest_within(own, t, limit) == max(i for i, n in enumerate(own.prefix_counts(t)) if n <= limit), t[:30]
 
 
+def test_counts_of_all_prefixes_are_made_once(pair, spark):
+    """The query's counts are prefix counts: equal to those of each prefix alone, and enough for every budget."""
+    path, _, own = pair
+    texts = [*(t[:120] for t in TEXTS), "a <|endoftext|> b<|endoftext|>", "'lla 'v 've, d'\u2019 é'll ﬁ́x\u3000y \u1c89\U000187f8 z", "  x\t\u0085y \n"]
+    made = own.prefix_arrays(texts)
+    assert [c.tolist() for c in made] == [own.prefix_counts(t) for t in texts]
+    assert [c.tolist() for c in own.prefix_arrays(texts)] == [c.tolist() for c in made]  # from the memo
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for limit in (0, 3, 40):
+        for r in bpe.token_counts(docs, path, limit).collect():
+            counts = own.prefix_counts(texts[r.doc_id])
+            assert (r.n_tokens, r.over_limit, r.fit_chars) == (counts[-1], counts[-1] > limit, max(i for i, n in enumerate(counts) if n <= limit))
+
+
+def test_prefix_arrays_of_random_texts():
+    own, rng = _own(public_tokenizers.path(NAMES[1])), random.Random(1)
+    for letters in ("'lvest dmré日\u0301 \n1!", [chr(c) for c in range(32, 0x2FFF)]):
+        texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(40))) for _ in range(300)]
+        assert [c.tolist() for c in own.prefix_arrays(texts)] == [own.prefix_counts(t) for t in texts]
+
+
 def test_operators(spark):
     path = public_tokenizers.path(NAMES[0])
     library = _library(path)

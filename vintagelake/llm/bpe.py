@@ -14,7 +14,9 @@ import re
 import unicodedata
 from array import array
 from itertools import chain
+from operator import sub
 
+import numpy as np
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +45,8 @@ MEMO = 400_000
 #: Fewer of what is only needed for new chunks.
 SMALL_MEMO = 100_000
 NEVER = 1 << 40
+#: Lengths of tokens of fewer bytes than a tail has.
+SHORT = (3, 2, 1)
 
 
 def _byte_letters() -> dict[str, int]:
@@ -59,6 +63,15 @@ def keep_only(memo: dict, wanted: set) -> None:
     memo.update(kept)
 
 
+def sizes_by_tail(tokens: dict[bytes, int]) -> dict[bytes, tuple[int, ...]]:
+    """For the last four bytes of tokens: the lengths that tokens with this tail have, and those shorter than it, longest first."""
+    sizes: dict[bytes, set[int]] = {}
+    for token in tokens:
+        if len(token) > 3:
+            sizes.setdefault(token[-4:], set(SHORT)).add(len(token))
+    return {tail: tuple(sorted(found, reverse=True)) for tail, found in sizes.items()}
+
+
 class Vocabulary:
     """A public tokenizer's vocabulary and ranked merges, with memos that live as long as the worker."""
 
@@ -100,8 +113,10 @@ class Vocabulary:
         self.fit: dict[tuple[int, int], bool] = {}
         self.memo: dict[str, bytes] = {}
         self.word_memo: dict[str, bytes] = {}
-        self.count_memo: dict[str, int] = {}
-        self.word_counts: dict[str, int] = {}
+        self.open_sizes, self.closed_sizes = (sizes_by_tail(x) if self.marked else {} for x in (self.open, self.closed))
+        self.blanked = re.compile(f"[^{SPACE}]+ ?|[{SPACE}]")
+        self.chunk_steps: dict[str, bytes] = {}
+        self.word_steps: dict[str, bytes] = {}
 
     def spans(self, text: str) -> list[tuple[int, int]]:
         """Where the words of a text begin and end."""
@@ -116,7 +131,7 @@ class Vocabulary:
         """Whether the two tokens stand side by side in an encoding: no merge across their border comes before both were made."""
         known = self.fit.get((a, b))
         if known is None:
-            if len(self.fit) > SMALL_MEMO:
+            if len(self.fit) > (MEMO if self.marked else SMALL_MEMO):
                 self.fit.clear()
             known = self.fit[a, b] = self._fits(a, b)
         return known
@@ -276,17 +291,77 @@ class Vocabulary:
         _, last, count = next(iter(self.walk([raw])))
         return count[self._closing(raw, len(raw), last)[0]] + 1 if self.marked else count[-1]
 
-    def chunk_count(self, chunk: str) -> int:
-        known = self.count_memo.get(chunk)
-        return sum(self._whole(w) for w in self.split(chunk)) if known is None else known
-
-    def count(self, texts: list[str]) -> list[int]:
-        """Tokens of each whole text: the last number of its prefix counts, with the words' last numbers kept in a memo."""
+    def _closing_counts(self, words: list[bytes]):
+        """Yields (word, tokens of each byte prefix with its end mark, 0 inside a character), words sorted; each trie node once."""
+        get, closing, fits, fit = self.open.get, self.closed.get, self.fits, self.fit.get
+        open_sizes, closed_sizes = self.open_sizes.get, self.closed_sizes.get
+        last, count, begin, counts, before = [-1], [0], [0], [0], b""
+        for word in words:
+            size, shared = len(word), 0
+            most = min(size, len(before))
+            while shared < most and word[shared] == before[shared]:
+                shared += 1
+            del last[shared + 1 :], count[shared + 1 :], begin[shared + 1 :], counts[shared + 1 :]
+            for end in range(shared + 1, size + 1):
+                tail = word[end - 4 : end] if end > 4 else word[:end]
+                start = begin[end - 1]
+                token = get(word[start:end])
+                if token is None or (start and not ((ok := fit((last[start], token))) or ok is None and fits(last[start], token))):
+                    for n in open_sizes(tail, SHORT):
+                        start = end - n
+                        if start >= 0 and (token := get(word[start:end])) is not None and (not start or (ok := fit((last[start], token))) or ok is None and fits(last[start], token)):
+                            break
+                last.append(token)
+                count.append(count[start] + 1)
+                begin.append(start)
+                made = 0
+                if end == size or word[end] & 0xC0 != 0x80:
+                    for n in closed_sizes(tail, SHORT):
+                        start = end - n
+                        if start >= 0 and (token := closing(word[start:end])) is not None and (not start or (ok := fit((last[start], token))) or ok is None and fits(last[start], token)):
+                            made = count[start] + 1
+                            break
+                    else:
+                        raise ValueError(word)
+                counts.append(made)
+            before = word
+            yield word, counts
+
+    def _learn_steps(self, words: set[str]) -> None:
+        """What each further character adds to a word's prefix counts, as 16-bit integers, for words that the memo lacks."""
+        known, plain = self.word_steps, {}
+        for w in words:
+            if len(w) > 1 and w[0] == "'":  # its prefixes may be cut into words anew
+                tails = self._tail_counts(w)
+                known[w] = array("h", [n - m for n, m in zip(tails, [0, *tails], strict=False)]).tobytes()
+            else:
+                plain[w.encode()] = w
+        for word, counts in self._closing_counts(sorted(plain)):
+            w = plain[word]
+            tails = counts[1:] if len(w) == len(word) else [counts[i] for i in range(1, len(word) + 1) if i == len(word) or word[i] & 0xC0 != 0x80]
+            known[w] = array("h", map(sub, tails, [0, *tails])).tobytes()
+
+    def _chunk_steps(self, chunk: str, words: list[str]) -> bytes:
+        left = len(chunk) - sum(map(len, words))
+        if left == (chunk[-1] == " "):
+            return b"".join(map(self.word_steps.__getitem__, words)) + bytes(2 * left)
+        out, at = [], 0
+        for a, b in self.spans(chunk):
+            out += [bytes(2 * (a - at)), self.word_steps[chunk[a:b]]]
+            at = b
+        return b"".join([*out, bytes(2 * (len(chunk) - at))])
+
+    def prefix_arrays(self, texts: list[str]) -> list[np.ndarray]:
+        """prefix_counts of each text as an array.
+
+        With word ends, white space ends every word, so a text's counts are the running sum of its chunks' steps. The
+        steps of a chunk, with the blank after it, are kept in a memo.
+        """
         if not self.marked:
-            return [len(x) // 4 for x in self.encode(texts)]
+            return [np.array(self.prefix_counts(t), np.int32) for t in texts]
         pieces = [self.cut(t) for t in texts]
-        chunked = [[(i, [] if i >= 0 else self.chunks.findall(self.normal(p))) for i, p in parts] for parts in pieces]
-        memo, known = self.count_memo, self.word_counts
+        chunked = [[(i, [] if i >= 0 else self.blanked.findall(self.normal(p))) for i, p in parts] for parts in pieces]
+        memo, known = self.chunk_steps, self.word_steps
         new = {c for parts in chunked for _, chunks in parts for c in chunks if c not in memo}
         if new:
             if len(memo) + len(new) > MEMO:
@@ -294,12 +369,25 @@ class Vocabulary:
             if len(known) > SMALL_MEMO:
                 known.clear()
             split = {c: self.split(c) for c in new}
-            fresh = {w.encode(): w for ws in split.values() for w in ws if w not in known}
-            for word, last, count in self.walk(sorted(fresh)):
-                known[fresh[word]] = count[self._closing(word, len(word), last)[0]] + 1
-            memo.update((c, sum(map(known.__getitem__, ws))) for c, ws in split.items())
-        of = memo.__getitem__
-        return [sum(1 if i >= 0 else sum(map(of, chunks)) for i, chunks in parts) for parts in chunked]
+            self._learn_steps({w for ws in split.values() for w in ws if w not in known})
+            memo.update((c, self._chunk_steps(c, ws)) for c, ws in split.items())
+        of, out = memo.__getitem__, []
+        for parts, cut in zip(chunked, pieces, strict=True):
+            steps = b"".join(chain.from_iterable(map(of, chunks) if i < 0 else [self._special_steps(p)] for (i, chunks), (_, p) in zip(parts, cut, strict=True)))
+            counts = np.zeros(len(steps) // 2 + 1, np.int32)
+            np.cumsum(np.frombuffer(steps, np.int16), out=counts[1:])
+            out.append(counts)
+        return out
+
+    def _special_steps(self, piece: str) -> bytes:
+        inside = [*self._plain_counts(self.normal(piece))[1:-1], 1]
+        return array("h", map(sub, inside, [0, *inside])).tobytes()
+
+    def count(self, texts: list[str]) -> list[int]:
+        """Tokens of each whole text: the last number of its prefix counts."""
+        if not self.marked:
+            return [len(x) // 4 for x in self.encode(texts)]
+        return [int(counts[-1]) for counts in self.prefix_arrays(texts)]
 
 
 def vocabulary(path: str) -> Vocabulary:
@@ -374,7 +462,7 @@ def prefix_token_counts(docs: DataFrame, path: str, text: str = "text", keep: li
 
     def run(texts: list[str]) -> dict:
         v = vocabulary(path)
-        return {"normal_text": ["".join(v.normal(p) if i < 0 else p for i, p in v.cut(t)) for t in texts], "prefix_tokens": [v.prefix_counts(t) for t in texts]}
+        return {"normal_text": ["".join(v.normal(p) if i < 0 else p for i, p in v.cut(t)) for t in texts], "prefix_tokens": [c.tolist() for c in v.prefix_arrays(texts)]}
 
     return map_texts(docs, keep or ["doc_id"], run, "normal_text string, prefix_tokens array<int>", text, holds=path)
 
@@ -392,50 +480,25 @@ def cut_to_budget(prefix_tokens: Column, budget: int) -> Column:
 def token_counts(docs: DataFrame, path: str, limit: int, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Rows with `keep`, n_bytes, n_tokens, over_limit and fit_chars.
 
-    n_tokens counts the whole text (null: empty). fit_chars is how many code points of the text in normal form the
-    limit admits, read from the counts of every prefix where the text is over the limit.
+    Each text's prefix counts are made once; n_tokens (null: empty text), over_limit and fit_chars, how many code points
+    of the text in normal form the limit admits, are read from them.
     """
 
     def run(texts: list[str]) -> dict:
-        v = vocabulary(path)
-        counts = v.count(texts)
-        fit = []
-        for t, n in zip(texts, counts, strict=True):
-            if n <= limit:
-                fit.append(sum(len(v.normal(p)) if i < 0 else len(p) for i, p in v.cut(t)))
-            else:
-                fit.append(longest_within(v, t, limit))
-        return {"n_bytes": [len(t.encode()) for t in texts], "n_tokens": counts, "over_limit": [n > limit for n in counts], "fit_chars": fit}
+        counts = vocabulary(path).prefix_arrays(texts)
+        tokens = [int(c[-1]) for c in counts]
+        return {"n_bytes": [len(t.encode()) for t in texts], "n_tokens": tokens, "over_limit": [n > limit for n in tokens], "fit_chars": [fitting(c, limit) for c in counts]}
 
     return map_texts(docs, keep or ["doc_id"], run, "n_bytes bigint, n_tokens bigint, over_limit boolean, fit_chars bigint", text, holds=path)
 
 
-def longest_within(v: Vocabulary, text: str, limit: int) -> int:
-    """The last i with at most `limit` tokens in the first i code points of the normal form.
+def fitting(counts: np.ndarray, limit: int) -> int:
+    """The last i with at most `limit` tokens in the first i code points, by a text's prefix counts."""
+    if counts[-1] <= limit:
+        return len(counts) - 1
+    within = np.flatnonzero(counts <= limit)
+    return int(within[-1]) if len(within) else 0
 
-    With word ends, white space ends every word, so the counts at the ends of chunks are known sums and never fall;
-    only in a chunk that passes the limit are the counts of all its prefixes looked at.
-    """
-    if not v.marked:
-        return max(i for i, n in enumerate(v.prefix_counts(text)) if n <= limit)
-    at = total = best = 0
-    for special, piece in v.cut(text):
-        if total > limit:
-            break
-        piece = v.normal(piece)
-        if special >= 0:
-            inside = [*v._plain_counts(piece)[1:-1], 1]
-            best = max([best, *(at + i for i, n in enumerate(inside, 1) if total + n <= limit)])
-            total += 1
-        else:
-            for m in v.chunks.finditer(piece):
-                if total > limit:
-                    break
-                best, n = at + m.start(), v.chunk_count(m[0])
-                if total + n > limit:
-                    best = max([best, *(best + i for i, k in enumerate(v._plain_counts(m[0])) if total + k <= limit)])
-                total += n
-            if total <= limit:
-                best = at + len(piece)
-        at += len(piece)
-    return best
+
+def longest_within(v: Vocabulary, text: str, limit: int) -> int:
+    return fitting(v.prefix_arrays([text])[0], limit)
