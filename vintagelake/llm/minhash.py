@@ -4,18 +4,17 @@ Shingles of five words, weighted by their counts, arrive at the registers of a s
 rates: a shingle's next arrival time and register are hashes of it. A register keeps its earliest arrival. A shingle
 is done when its next arrival is later than every register's, so most shingles of a long text stop after one or two.
 Two sketches agree in a register with the probability Jaccard similarity of the weighted sets, which for equal weights
-is the plain Jaccard similarity.
+is the plain Jaccard similarity. That similarity is also the one that candidates are verified by.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vintagelake.llm.common import map_texts, written
@@ -29,7 +28,7 @@ REGISTERS = BANDS * ROWS
 NEAR = SIMILAR - 4 * (SIMILAR * (1 - SIMILAR) / REGISTERS) ** 0.5
 BROADCAST_ROWS = 1_000_000
 #: Shingles in a block of texts that one task compares with another block.
-BLOCK_SHINGLES = 60_000
+BLOCK_SHINGLES = 20_000
 U = np.uint64
 
 
@@ -84,37 +83,41 @@ def sketches(sets: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return out.reshape(n, REGISTERS)
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[float, float]:
-    """Exact plain Jaccard and probability Jaccard similarities of two weighted sets."""
+def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """Exact probability Jaccard similarity of two weighted sets."""
     both, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    union = len(a[0]) + len(b[0]) - len(both)
     if not len(both):
-        return 0.0, 0.0
-    plain = len(both) / union
-    x, y = a[1][i], b[1][j]
+        return 0.0
     if a[1].max() == a[1].min() == b[1].max() == b[1].min():
-        return plain, plain
+        return len(both) / (len(a[0]) + len(b[0]) - len(both))
     # For a common shingle: the sum over all shingles of the larger of the two weights, in units of its own weights.
+    x, y = a[1][i], b[1][j]
     ratio = x / y
     order = np.argsort(ratio, kind="stable")
     xs, ys, rs = x[order], y[order], ratio[order]
     first = np.searchsorted(rs, ratio, "left")
     above = (a[1].sum() - x.sum()) + np.append(np.cumsum(xs[::-1])[::-1], 0.0)[first]
     below = (b[1].sum() - y.sum()) + np.append(0.0, np.cumsum(ys))[first]
-    return plain, float((1 / (above / x + below / y)).sum())
+    return float((1 / (above / x + below / y)).sum())
+
+
+def text_key(text: Column) -> Column:
+    """128 bits that stand for a text; a null text counts as empty."""
+    return F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")), 256), 1, 32))
 
 
 def sketch_texts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, key, size, sketch) of every row: the text's digest, its number of shingles, and its sketch (null without words)."""
+    """(doc_id, key, size, sketch) of every row: the text's key, its number of shingles, and its sketch (null without words)."""
 
     def run(texts: list[str]) -> dict:
         sets = [shingles(t) for t in texts]
         made = []
         for start in range(0, len(sets), 256):
             made += [x.tobytes() for x in sketches(sets[start : start + 256])]
-        return {"key": [blake2b(t.encode(), digest_size=16).digest() for t in texts], "size": pa.array([len(s[0]) for s in sets], pa.int32()), "sketch": pa.array([m if len(s[0]) else None for m, s in zip(made, sets, strict=True)], pa.binary())}
+        return {"size": pa.array([len(s[0]) for s in sets], pa.int32()), "sketch": pa.array([m if len(s[0]) else None for m, s in zip(made, sets, strict=True)], pa.binary())}
 
-    return map_texts(docs, ["doc_id"], run, "key binary, size int, sketch binary", text)
+    t = F.col(f"`{text}`")
+    return map_texts(docs.select("doc_id", text_key(t).alias("key"), t.alias("text")), ["doc_id", "key"], run, "size int, sketch binary")
 
 
 def band_rows(sketched: DataFrame) -> DataFrame:
@@ -150,16 +153,23 @@ def near_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def shingle_sets(ids: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """(doc_id, items, weights) of the documents with these ids, which are broadcast if few, else joined by a shuffle; weights is null where all are 1."""
-    few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    involved = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+def shingle_sets(nodes: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """(node, items, weights) of the nodes, from one row of docs each; weights is null where all are 1.
+
+    Nodes are broadcast if few, else joined by a shuffle. A row that is repeated with its doc_id gives its set once.
+    """
+    few = nodes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    t = F.col(f"`{text}`")
+    keyed = docs.select(F.coalesce("doc_id", F.lit(0)).alias("first"), text_key(t).alias("key"), t.alias("text"))
+    one = nodes.select("node", "key", F.coalesce("first", F.lit(0)).alias("first"))
+    involved = keyed.join(F.broadcast(one) if few else one, ["first", "key"]).select("node", "text")
 
     def as_sets(texts: list[str]) -> dict:
         sets = [shingles(t) for t in texts]
         return {"items": pa.array([s[0].tobytes() for s in sets], pa.binary()), "weights": pa.array([None if (s[1] == 1).all() else s[1].astype(np.float32).tobytes() for s in sets], pa.binary())}
 
-    return map_texts(involved, ["doc_id"], as_sets, "items binary, weights binary")
+    made = map_texts(involved, ["node"], as_sets, "items binary, weights binary")
+    return made.groupBy("node").agg(F.any_value("items").alias("items"), F.any_value("weights").alias("weights"))
 
 
 def read_set(items: bytes, weights: bytes | None) -> tuple[np.ndarray, np.ndarray]:
@@ -167,19 +177,17 @@ def read_set(items: bytes, weights: bytes | None) -> tuple[np.ndarray, np.ndarra
     return s, np.ones(len(s)) if weights is None else np.frombuffer(weights, np.float32).astype(float)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, threshold: float, text: str = "text") -> DataFrame:
-    """The pairs (a, b) of doc_ids whose texts have a plain or probability Jaccard similarity of at least threshold. Only their texts are made into sets."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = shingle_sets(ids, docs, text)
-    left = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("items_a"), F.col("weights").alias("weights_a"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("items_b"), F.col("weights").alias("weights_b"))
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets have a probability Jaccard similarity of at least threshold."""
+    left = sets.select(F.col("node").alias("a"), F.col("items").alias("items_a"), F.col("weights").alias("weights_a"))
+    right = sets.select(F.col("node").alias("b"), F.col("items").alias("items_b"), F.col("weights").alias("weights_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for r in zip(*(batch.column(c) for c in ("a", "b", "items_a", "weights_a", "items_b", "weights_b")), strict=True):
                 a, b, *parts = (x.as_py() for x in r)
-                if max(similarity(read_set(*parts[:2]), read_set(*parts[2:]))) >= threshold:
+                if similarity(read_set(*parts[:2]), read_set(*parts[2:])) >= threshold:
                     found.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
 
@@ -191,24 +199,22 @@ def linked(left: list, right: list, apart: np.ndarray, threshold: float) -> np.n
     out = np.zeros(apart.shape, bool)
     common = np.intersect1d(np.concatenate([s[0] for s in left]), np.concatenate([s[0] for s in right]))
 
-    def matrices(sets: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def matrices(sets: list) -> tuple[np.ndarray, np.ndarray]:
         held, share = np.zeros((len(sets), len(common)), np.float32), np.zeros((len(sets), len(common)), np.float32)
         for i, (items, weights) in enumerate(sets):
             _, at, own = np.intersect1d(common, items, assume_unique=True, return_indices=True)
             held[i, at], share[i, at] = 1, weights[own] / weights.sum()
-        return held, share, np.array([len(s[0]) for s in sets])
+        return held, share
 
-    (a, a_share, a_size), (b, b_share, b_size) = matrices(left), matrices(right)
-    both = a @ b.T
-    out = apart & (both >= threshold * (a_size[:, None] + b_size[None] - both) - 1e-3)
+    (a, a_share), (b, b_share) = matrices(left), matrices(right)
     # The probability Jaccard similarity is at most each set's share of weight in common shingles.
-    maybe = apart & (out | (np.minimum(a_share @ b.T, a @ b_share.T) >= threshold - 1e-3))
+    maybe = apart & (np.minimum(a_share @ b.T, a @ b_share.T) >= threshold - 1e-3)
     for i, j in zip(*np.nonzero(maybe), strict=True):
-        out[i, j] = max(similarity(left[i], right[j])) >= threshold
+        out[i, j] = similarity(left[i], right[j]) >= threshold
     return out
 
 
-def links_in_blocks(rooted: DataFrame, docs: DataFrame, threshold: float, text: str) -> DataFrame:
+def links_in_blocks(rooted: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Links (a, b) between texts of a bucket that the hubs left in different classes.
 
     Each text outside its hub's class is the query, all texts of the bucket are looked through, in blocks of about
@@ -219,11 +225,11 @@ def links_in_blocks(rooted: DataFrame, docs: DataFrame, threshold: float, text:
     others = rooted.where("node <> hub")
     blocks = lambda size: F.ceil(size / F.lit(BLOCK_SHINGLES)).cast("int")
     per = others.groupBy("band").agg(blocks(F.sum(F.when(is_apart, F.col("size")))).alias("n_query"), blocks(F.sum("size")).alias("n_text"), F.count("*").alias("n"))
-    rows = others.join(per.where("n_query is not null and n > 1").drop("n"), "band").withColumn("h", F.xxhash64("node", "band"))
+    per = written(per.where("n_query is not null and n > 1").drop("n"), "block-counts")
+    rows = others.join(per, "band").withColumn("h", F.xxhash64("node", "band"))
     query = rows.where(is_apart).select("band", F.pmod("h", "n_query").alias("i"), F.explode(F.expr("sequence(0L, n_text - 1L)")).alias("j"), "node", "root", F.lit(True).alias("query"))
     text_rows = rows.select("band", F.explode(F.expr("sequence(0L, n_query - 1L)")).alias("i"), F.pmod("h", "n_text").alias("j"), "node", "root", F.lit(False).alias("query"))
     placed = written(query.union(text_rows), "blocks")
-    sets = shingle_sets(placed.select(F.col("node").alias("doc_id")).distinct(), docs, text).withColumnRenamed("doc_id", "node")
 
     def run(group: pa.Table) -> pa.Table:
         rows = group.select(["node", "root", "query", "items", "weights"]).to_pylist()
@@ -247,10 +253,12 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         # Larger neighbours move to the smallest neighbour of a node.
         around = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = around.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # Least numbers are a table of their own, so that a node with very many neighbours is dealt to several tasks.
+        least = written(around.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
         large = around.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # Smaller neighbours, and the node itself, move there too.
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = written(large, "large")
+        least = written(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         new = written(small, "links")
         # Done when the links are stars: no node that is pointed at points further, and each node points once.
@@ -260,40 +268,71 @@ def components(edges: DataFrame) -> DataFrame:
             return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, threshold: float = SIMILAR, text: str = "text") -> DataFrame:
-    """(doc_id, class_id, class_size) for every row: class_id is the smallest doc_id of the row's class.
-
-    Equal texts are one class by their digest. Different texts are linked where they share a band and their exact
-    similarity reaches the threshold; classes are the connected parts. In a band's bucket every text is compared
-    with one hub; where some are not in the hub's class afterwards, they are compared with all texts of the bucket
-    that are in other classes, block by block, so a bucket hides no pair. A text without words, or null, is in a class of its own.
-    Repeated rows are copies; rows that share a doc_id but not the text are linked through it. A null doc_id gets a
-    null class. class_size counts rows.
-    """
-    sketched = written(sketch_texts(docs, text).where("doc_id is not null"), "sketches")
+def classed(docs: DataFrame, threshold: float = SIMILAR, text: str = "text") -> DataFrame:
+    """(doc_id, key, root, wordy) of every row: root is the same number for the rows of one class; null for a text without words, unless its doc_id has others."""
+    sketched = written(sketch_texts(docs, text), "sketches")
     wordy = sketched.where("size > 0")
-    nodes = written(wordy.groupBy("key").agg(F.min("doc_id").alias("node"), F.any_value("sketch").alias("sketch"), F.any_value("size").alias("size")).select("key", "node", "sketch", "size"), "nodes")
+    by_text = wordy.groupBy("key").agg(F.min("doc_id").alias("first"), F.any_value("sketch").alias("sketch"), F.any_value("size").alias("size"))
+    nodes = written(by_text.select(F.monotonically_increasing_id().alias("node"), "key", "first", "sketch", "size"), "nodes")  # numbers are fixed once written
     bands = written(band_rows(nodes), "bands")
-    hubs = bands.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("band", "hub")
+    hubs = written(bands.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("band", "hub"), "hubs")
     shared = written(bands.join(hubs, "band").select("band", "node", "hub"), "buckets")
+    sets = written(shingle_sets(nodes.join(shared.select("node").distinct(), "node", "left_semi"), docs, text), "sets")
     stars = shared.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    links = written(verified(written(near_pairs(stars, nodes), "pairs"), docs, threshold, text), "links")
+    links = written(verified(written(near_pairs(stars, nodes), "pairs"), sets, threshold), "links")
+    # Rows of one doc_id with different texts.
+    members = written(wordy.join(nodes.select("key", "node"), "key").select("doc_id", "key", "node"), "members")
+    split = written(members.where("doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("m")).where("b < m").select("doc_id", "b"), "split-ids")
+    links = links.union(members.join(split, "doc_id").select(F.col("node").alias("a"), "b"))
     first = components(links)
     # What the hubs left apart: texts of a bucket in another class than its hub, against the other classes of the bucket.
     root = shared.join(first, "node", "left").select("band", "node", "hub", F.coalesce("root", "node").alias("root"))
-    rooted = root.join(first.select(F.col("node").alias("hub"), F.col("root").alias("hub_root")), "hub", "left").select("band", "node", "root", F.coalesce("hub_root", "hub").alias("hub_root"), "hub")
-    open_bands = rooted.where("root <> hub_root").select("band").distinct()
-    left_apart = written(rooted.join(open_bands, "band", "left_semi").join(nodes.select("node", "size"), "node"), "rooted")
-    more = written(links_in_blocks(left_apart, docs, threshold, text), "links")
-    classes = components(links.union(more))
-    member = wordy.join(nodes.select("key", "node"), "key").select("doc_id", "node").join(classes, "node", "left").select("doc_id", F.coalesce("root", "node").alias("class_id"))
-    alone = sketched.where("size = 0").select("doc_id", F.col("doc_id").alias("class_id"))
-    every = written(member.union(alone), "members")
-    sizes = every.groupBy("class_id").agg(F.count("*").alias("class_size"))
-    return every.join(sizes, "class_id").select("doc_id", "class_id", "class_size")
+    hub_root = first.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
+    rooted = written(root.join(hub_root, "hub", "left").select("band", "node", "root", F.coalesce("hub_root", "hub").alias("hub_root"), "hub"), "rooted")
+    open_bands = written(rooted.where("root <> hub_root").select("band").distinct(), "open-bands")
+    left_apart = written(rooted.join(open_bands, "band", "left_semi").join(nodes.select("node", "size"), "node"), "apart")
+    more = written(links_in_blocks(left_apart, sets, threshold), "links")
+    classes = components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+    found = members.join(classes, "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("root"))
+    # A text without words is in the class of its doc_id's other texts, if there are any.
+    alone = sketched.where("size = 0").select("doc_id", "key")
+    same_id = found.join(alone.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("root").alias("root"))
+    wordless = alone.join(written(same_id, "ids"), "doc_id", "left").select("doc_id", "key", "root", F.lit(False).alias("wordy"))
+    return written(found.withColumn("wordy", F.lit(True)).union(wordless), "classed")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = SIMILAR, text: str = "text") -> DataFrame:
+    """(doc_id, class_id, class_size) for every row of docs: class_id is the smallest doc_id of the row's class.
+
+    Equal texts are one class by their key. Different texts are linked where they share a band and their exact
+    probability Jaccard similarity reaches the threshold; classes are the connected parts. In a band's bucket every text is compared
+    with one hub; where some are not in the hub's class afterwards, they are compared with all texts of the bucket
+    that are in other classes, block by block, so a bucket hides no pair. A text without words, or null, is in a class of its own.
+    Repeated rows are copies; rows that share a doc_id but not the text are linked through it. A row without a doc_id
+    belongs to the class of its text as any other; a class of such rows only has a null class_id. class_size counts
+    rows. An empty table gives an empty one; other columns are not read.
+    """
+    rows = classed(docs, threshold, text)
+    wordy, alone = rows.where("root is not null"), rows.where("root is null")
+    named = written(wordy.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")), "classes")
+    own = written(alone.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("class_size")), "alone")
+    one = lambda size: ("doc_id", F.col("doc_id").alias("class_id"), size.cast("bigint").alias("class_size"))
+    known = wordy.join(named, "root").select("doc_id", "class_id", "class_size")
+    return known.union(alone.join(own, "doc_id", "left").select(*one(F.coalesce("class_size", F.lit(1)))))
 
 
 def first_of_each(docs: DataFrame, threshold: float = SIMILAR, text: str = "text") -> DataFrame:
-    """One row of each class: that of its smallest doc_id, a repeated row once. Rows without a doc_id stay."""
-    kept = near_duplicates(docs, threshold, text).where("doc_id = class_id").select("doc_id")
-    return docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).union(docs.where("doc_id is null"))
+    """One row of each class, with all columns: that of the smallest doc_id (none sorts last), then of the smallest text key.
+
+    Of rows that share both, the one that is first as JSON stays. Rows without words and without a doc_id all stay.
+    """
+    rows = classed(docs, threshold, text)
+    lone = rows.where("root is null and doc_id is null").select("key").distinct()
+    class_of = [F.col("root"), F.when(F.col("root").isNull(), F.col("doc_id")).alias("own")]
+    least = rows.where("root is not null or doc_id is not null").select(*class_of, F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", (~F.col("wordy")).alias("wordless"), "key").alias("at")).groupBy("root", "own", "at").agg(F.count("*").alias("n"))
+    kept = written(least.groupBy("root", "own").agg(F.min(F.struct("at", "n")).alias("first")).select(F.col("first.at.doc_id").alias("kept_id"), F.col("first.at.key").alias("kept_key"), "first.n"), "kept")
+    given = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("id"), text_key(F.col(f"`{text}`")).alias("key"))
+    at = (F.col("key") == F.col("kept_key")) & F.col("id").eqNullSafe(F.col("kept_id"))
+    single = given.join(kept.where("n = 1"), at, "left_semi").select("row.*")
+    again = given.join(kept.where("n > 1"), at, "left_semi").groupBy("id", "key").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*")
+    return single.union(again).union(given.where("id is null").join(lone, "key", "left_semi").select("row.*"))
