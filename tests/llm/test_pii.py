@@ -1,6 +1,8 @@
 """Pseudonyms keep form and validity, differ for different values, and are equal for equal ones."""
 
+import hashlib
 import re
+from datetime import date, timedelta
 
 from pyspark.sql import functions as F
 
@@ -60,3 +62,51 @@ def test_whole_long_text_and_columns(spark):
     out = pii.pseudonymize(docs, KEY)
     assert out.columns == docs.columns and not out.first().text.endswith("a@b.co") and out.first().text.startswith("word word")
     assert pii.pseudonymize(docs.limit(0), KEY).count() == 0
+
+
+def test_other_forms(spark):
+    texts = ["+1 415-555-0123 +14155550123 (415) 555-0123", "28/02/1999 28.02.1999 1999/02/28 1999-02-28 31/02/1999", "3782 822463 10005, 378282246310005, 378282246310006", "DE89 3704 0044 0532 0130 00 GB82WEST12345698765432 DE88 3704 0044 0532 0130 00"]
+    got = named(spark, list(enumerate(texts)))
+    tens = {re.sub(r"\D", "", x)[-10:] for x in re.findall(r"\+1 \d{3}-\d{3}-\d{4}|\+1\d{10}|\(\d{3}\) \d{3}-\d{4}", got[0])}
+    assert len(tens) == 1 and "4155550123" not in tens
+    d = got[1].split()
+    assert d[0].replace("/", ".") == d[1] and d[2].replace("/", "-") == d[3] == "-".join(reversed(d[1].split("."))) != "1999-02-28" and d[4] == "31/02/1999"
+    a, b, c = got[2].split(", ")
+    assert a.replace(" ", "") == b != "378282246310005" and b[:2] == "37" and c == "378282246310006"
+    digits = [int(x) for x in b]
+    assert sum(v if i % 2 == 0 else (v * 2 - 9 if v > 4 else v * 2) for i, v in enumerate(digits)) % 10 == 0
+    ibans = re.findall(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4})+(?: ?[A-Z0-9]{1,3})?", got[3])
+    assert all(int("".join(str(int(ch, 36)) for ch in x.replace(" ", "")[4:] + x.replace(" ", "")[:4])) % 97 == 1 for x in ibans[:2])
+    assert ibans[0] != "DE89 3704 0044 0532 0130 00" and re.fullmatch(r"GB\d{2}[A-Z]{4}\d{14}", ibans[1]) and ibans[2] == "DE88 3704 0044 0532 0130 00"
+
+
+def plain_permuted(value, a, b, key, label):
+    """The Feistel network by its definition."""
+    left, right = divmod(value, b)
+    for i in range(pii.ROUNDS):
+        keyed = int(hashlib.sha256(f"{key}|{label}|{i}|{right if i % 2 == 0 else left}".encode()).hexdigest()[:13], 16)
+        if i % 2 == 0:
+            left = (left + keyed) % a
+        else:
+            right = (right + keyed) % b
+    return left * b + right
+
+
+def test_pseudonyms_against_a_plain_feistel_network(spark):
+    got = named(spark, [(1, "123-45-6789"), (2, "10.1.2.3"), (3, "2020-02-29"), (4, "+1 (415) 555-0123")])
+    place = plain_permuted((122 * 99 + 44) * 9999 + 6788, 898 * 99, 9999, KEY, "ssn")
+    area = place // (99 * 9999) + 1
+    assert got[0] == f"{area + (area >= 666):03d}-{place // 9999 % 99 + 1:02d}-{place % 9999 + 1:04d}"
+    n = plain_permuted(int.from_bytes(bytes([10, 1, 2, 3])), 1 << 16, 1 << 16, KEY, "ip")
+    assert got[1] == ".".join(map(str, n.to_bytes(4)))
+    first = date(1800, 1, 1)
+    assert got[2] == str(first + timedelta(plain_permuted((date(2020, 2, 29) - first).days, *pii.CYCLE, KEY, "date")))
+    ten = f"{plain_permuted(4155550123, 10**5, 10**5, KEY, 'phone'):010d}"
+    assert got[3] == f"+1 ({ten[:3]}) {ten[3:6]}-{ten[6:]}"
+
+
+def test_very_long_findings(spark):
+    """No pattern is matched by recursion, and long runs of what may begin a finding take linear time."""
+    texts = ["u@a" + ".b" * 100_000, "a." * 300_000, "u@" + "a" * 300_000, "1-" * 300_000, "DE89 " + "3704 " * 100_000, "." * 300_000 + "@", "+1 " + "(415) " * 100_000]
+    got = named(spark, list(enumerate(texts)))
+    assert len(got) == len(texts) and all(len(g) == len(t) for g, t in zip(got, texts, strict=True))

@@ -12,14 +12,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-#: What is looked for, in order of preference at one place. No look-around, so that other engines can run them too.
+#: What is looked for, in order of preference at one place. No look-around, so that other engines can run them too, and
+#: no repeated group without a small bound, which the JVM would match by recursion. Lengths are those of the forms' own rules.
 PATTERNS = {
-    "email": r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+\b",
-    "phone": r"\+\d{1,3} \(\d{3}\) \d{3}-\d{4}\b",
-    "date": r"\b\d{4}-\d{2}-\d{2}\b",
+    "email": r"\b[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{1,253}\b",
+    "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
+    "phone": r"\+[1-9]\d{0,2}[ -]?(?:\(\d{3}\)|\d{3})[ -]?\d{3}[ -]?\d{4}\b|\(\d{3}\) ?\d{3}-\d{4}\b",
+    "date": r"\b\d{4}[-/]\d{2}[-/]\d{2}\b|\b\d{2}[/.]\d{2}[/.]\d{4}\b",
     "ssn": r"\b\d{3}-\d{2}-\d{4}\b",
     "ip": r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b",
-    "card": r"\b\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}\b",
+    "card": r"\b\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}\b|\b3[47]\d{2}[ -]?\d{6}[ -]?\d{5}\b",
 }
 ANY = "|".join(PATTERNS.values())
 #: The dates that can be exchanged: one Gregorian cycle of 400 years, 146,097 = 773 * 189 days.
@@ -69,18 +71,64 @@ def luhn_sum(digits: Column, doubled: int) -> Column:
 
 
 def card_name(x: Column, key: str) -> Column:
-    """A card number with a right check digit: its 15 payload digits permuted, the check digit made anew."""
+    """A card number with a right check digit: its payload permuted (of 15 digits' cards after the two that name their kind), the check digit made anew."""
     d = digits_of(x)
-    payload = permuted(F.substring(d, 1, 15).cast("bigint"), 10**8, 10**7, key, "card")
-    new = F.lpad(payload.cast("string"), 15, "0")
-    return poured(x, F.concat(new, F.pmod(-luhn_sum(new, 0), F.lit(10)).cast("string")))
+    long = F.lpad(permuted(F.substring(d, 1, 15).cast("bigint"), 10**8, 10**7, key, "card").cast("string"), 15, "0")
+    short = F.concat(F.substring(d, 1, 2), F.lpad(permuted(F.substring(d, 3, 12).cast("bigint"), 10**6, 10**6, key, "card15").cast("string"), 12, "0"))
+    check = lambda payload, doubled: F.pmod(-luhn_sum(payload, doubled), F.lit(10)).cast("string")
+    return poured(x, F.when(F.length(d) == 16, F.concat(long, check(long, 0))).otherwise(F.concat(short, check(short, 1))))
 
 
 def phone_name(x: Column, key: str) -> Column:
-    """The ten digits after the country code, permuted."""
-    code = F.substring_index(x, "(", 1)
-    d = digits_of(F.substr(x, F.length(code) + 1))
-    return F.concat(code, poured(F.substr(x, F.length(code) + 1), F.lpad(permuted(d.cast("bigint"), 10**5, 10**5, key, "phone").cast("string"), 10, "0")))
+    """The last ten digits, permuted; a country code before them stays."""
+    d = digits_of(x)
+    code = F.length(d) - 10
+    new = F.lpad(permuted(F.substr(d, code + 1).cast("bigint"), 10**5, 10**5, key, "phone").cast("string"), 10, "0")
+    return poured(x, F.concat(F.substr(d, F.lit(1), code), new))
+
+
+def letters_moved(x: Column, key: str, label: str) -> Column:
+    """Letters, capitals and digits each moved inside their own kind; the rest stays.
+
+    A Feistel network over the two halves: every round moves each character of one half by a keyed hash of the whole
+    other half and of its place.
+    """
+    cut = (F.length(x) / F.lit(2)).cast("int")
+    start = F.struct(F.substr(x, F.lit(1), cut).alias("l"), F.substr(x, cut + 1).alias("r"))
+
+    def moved(half: Column, other: Column, i: Column) -> Column:
+        def one(c: Column, at: Column) -> Column:
+            k = keyed(key, F.concat(F.lit(label), at.cast("string")), i, other)
+            shift = lambda zero, n: F.char((F.ascii(c) - F.lit(ord(zero)) + k % n) % n + F.lit(ord(zero)))
+            return F.when(c.rlike("^[a-z]$"), shift("a", 26)).when(c.rlike("^[A-Z]$"), shift("A", 26)).when(c.rlike("^[0-9]$"), shift("0", 10)).otherwise(c)
+
+        return F.array_join(F.transform(F.split(half, ""), one), "")
+
+    def step(acc: Column, i: Column) -> Column:
+        even = i % 2 == 0
+        return F.struct(F.when(even, moved(acc["l"], acc["r"], i)).otherwise(acc["l"]).alias("l"), F.when(even, acc["r"]).otherwise(moved(acc["r"], acc["l"], i)).alias("r"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step, lambda s: F.concat(s["l"], s["r"]))
+
+
+def iban_rest(plain: Column, check: Column) -> Column:
+    """An account number's remainder by 97 with these check digits: the rest, the country and the check, letters as 10 to 35."""
+    moved = F.concat(F.substr(plain, F.lit(5)), F.substring(plain, 1, 2), check)
+    return F.aggregate(F.split(moved, ""), F.lit(0), lambda a, c: F.when(c.rlike(r"^\d$"), (a * 10 + c.cast("int")) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97))
+
+
+def iban_name(x: Column, key: str) -> Column:
+    """The account part with its characters moved, check digits made anew, blanks where they were."""
+    plain = F.replace(x, F.lit(" "), F.lit(""))
+    made = F.array(F.concat(F.substring(plain, 1, 4), letters_moved(F.substr(plain, F.lit(5)), key, "iban")))
+
+    def write(new: Column) -> Column:
+        full = F.concat(F.substring(new, 1, 2), F.lpad((98 - iban_rest(new, F.lit("00"))).cast("string"), 2, "0"), F.substr(new, F.lit(5)))
+        start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+        step = lambda acc, c: F.struct(F.concat(acc["out"], F.when(c == " ", c).otherwise(F.substr(full, acc["at"] + 1, F.lit(1)))).alias("out"), (acc["at"] + (c != " ").cast("int")).alias("at"))
+        return F.aggregate(F.split(x, ""), start, step, lambda s: s["out"])
+
+    return F.element_at(F.transform(made, write), 1)
 
 
 def ip_name(x: Column, key: str) -> Column:
@@ -104,35 +152,24 @@ def ssn_name(x: Column, key: str) -> Column:
     return F.element_at(F.transform(p, write), 1)
 
 
+def iso(x: Column) -> Column:
+    """A date of any of the forms as year-month-day."""
+    d = digits_of(x)
+    last = x.rlike(r"^\d{2}\D")
+    part = lambda a, b, n: F.when(last, F.substring(d, b, n)).otherwise(F.substring(d, a, n))
+    return F.concat_ws("-", part(1, 5, 4), part(5, 3, 2), part(7, 1, 2))
+
+
 def date_name(x: Column, key: str) -> Column:
-    day = F.datediff(F.try_to_timestamp(x, F.lit("yyyy-MM-dd")).cast("date"), F.lit(FIRST_DAY).cast("date")).cast("bigint")
-    return F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), permuted(day, *CYCLE, key, "date").cast("int")), "yyyy-MM-dd")
+    day = F.datediff(F.try_to_timestamp(iso(x), F.lit("yyyy-MM-dd")).cast("date"), F.lit(FIRST_DAY).cast("date")).cast("bigint")
+    new = F.date_add(F.lit(FIRST_DAY).cast("date"), permuted(day, *CYCLE, key, "date").cast("int"))
+    return poured(x, F.when(x.rlike(r"^\d{2}\D"), F.date_format(new, "ddMMyyyy")).otherwise(F.date_format(new, "yyyyMMdd")))
 
 
 def email_name(x: Column, key: str) -> Column:
-    """Letters, capitals and digits of the local part each moved inside their own kind; the rest stays.
-
-    A Feistel network over the two halves of the local part: every round moves each character of one half by a
-    keyed hash of the whole other half and of its place. The domain name stays as it is.
-    """
+    """The local part with its characters moved. The domain name stays as it is."""
     local = F.substring_index(x, "@", 1)
-    cut = (F.length(local) / F.lit(2)).cast("int")
-    start = F.struct(F.substr(local, F.lit(1), cut).alias("l"), F.substr(local, cut + 1).alias("r"))
-
-    def moved(half: Column, other: Column, i: Column) -> Column:
-        def one(c: Column, at: Column) -> Column:
-            k = keyed(key, F.concat(F.lit("email"), at.cast("string")), i, other)
-            shift = lambda zero, n: F.char((F.ascii(c) - F.lit(ord(zero)) + k % n) % n + F.lit(ord(zero)))
-            return F.when(c.rlike("^[a-z]$"), shift("a", 26)).when(c.rlike("^[A-Z]$"), shift("A", 26)).when(c.rlike("^[0-9]$"), shift("0", 10)).otherwise(c)
-
-        return F.array_join(F.transform(F.split(half, ""), one), "")
-
-    def step(acc: Column, i: Column) -> Column:
-        even = i % 2 == 0
-        return F.struct(F.when(even, moved(acc["l"], acc["r"], i)).otherwise(acc["l"]).alias("l"), F.when(even, acc["r"]).otherwise(moved(acc["r"], acc["l"], i)).alias("r"))
-
-    new = F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step, lambda s: F.concat(s["l"], s["r"]))
-    return F.concat(new, F.substr(x, F.length(local) + 1))
+    return F.concat(letters_moved(local, key, "email"), F.substr(x, F.length(local) + 1))
 
 
 def whole(pattern: str) -> str:
@@ -141,22 +178,29 @@ def whole(pattern: str) -> str:
 
 def valid(x: Column, kind: str) -> Column:
     """Whether a finding of this form can be a value of its kind."""
+    if kind == "email":  # a host name of two labels or more, none of them empty
+        host = F.substring_index(x, "@", -1)
+        return host.contains(".") & ~host.contains("..") & ~host.startswith(".")
+    if kind == "iban":
+        plain = F.replace(x, F.lit(" "), F.lit(""))
+        return (F.length(plain) <= 34) & (iban_rest(plain, F.substring(plain, 3, 2)) == 1)
     if kind == "card":
-        return luhn_sum(digits_of(x), 0) % 10 == 0
+        d = digits_of(x)
+        return F.when(F.length(d) == 16, luhn_sum(d, 0) % 10 == 0).otherwise(luhn_sum(d, 1) % 10 == 0)
     if kind == "ip":
         return F.forall(F.split(x, r"\."), lambda o: o.cast("int") <= 255) & F.forall(F.split(x, r"\."), lambda o: (o == "0") | ~o.startswith("0"))
     if kind == "ssn":
         area = F.substring(x, 1, 3).cast("int")
         return (area > 0) & (area != 666) & (area < 900) & (F.substring(x, 5, 2) != "00") & (F.substring(x, 8, 4) != "0000")
     if kind == "date":
-        year = F.substring(x, 1, 4).cast("int")
-        return F.try_to_timestamp(x, F.lit("yyyy-MM-dd")).isNotNull() & (year >= 1800) & (year < 2200)
-    return F.lit(True)
+        year = F.substring(iso(x), 1, 4).cast("int")
+        return F.try_to_timestamp(iso(x), F.lit("yyyy-MM-dd")).isNotNull() & (year >= 1800) & (year < 2200)
+    return F.length(digits_of(x)) <= 15  # phone numbers: the most that a number with its country code has
 
 
 def pseudonym(x: Column, key: str) -> Column:
     """The pseudonym of a finding; what is not valid for its kind stays as it is."""
-    makers = {"email": email_name, "phone": phone_name, "date": date_name, "ssn": ssn_name, "ip": ip_name, "card": card_name}
+    makers = {"email": email_name, "iban": iban_name, "phone": phone_name, "date": date_name, "ssn": ssn_name, "ip": ip_name, "card": card_name}
     out = x
     for kind in reversed(list(PATTERNS)):
         out = F.when(x.rlike(whole(PATTERNS[kind])), F.when(valid(x, kind), makers[kind](x, key)).otherwise(x)).otherwise(out)
@@ -164,9 +208,12 @@ def pseudonym(x: Column, key: str) -> Column:
 
 
 def pseudonymize(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """The same rows and columns with the text's findings exchanged. A null text stays null, an empty one empty.
+    """The same rows and columns with the text's findings exchanged. A null text stays null, an empty one empty; equal
+    rows get equal texts, an empty table gives an empty one, and other columns pass as they are.
 
-    Every finding has a digit or an @, so texts without one are passed by; the others are split at their findings,
+    Forms: e-mail addresses, phone numbers with ten digits after a country code or an area in brackets, dates from 1800
+    to 2199 as yyyy-mm-dd, yyyy/mm/dd, dd/mm/yyyy or dd.mm.yyyy, social security numbers, IPv4 addresses, cards of 16
+    digits or of 15 with their check digit, and international account numbers with theirs. Every finding has a digit or an @, so texts without one are passed by; the others are split at their findings,
     which are exchanged and put back between the pieces. Nothing is joined or shuffled.
     """
     t = F.col(f"`{text}`")
