@@ -1,6 +1,9 @@
 """Language identification and the quality classifier on held-out rows of the given tables, and their edge cases."""
 
+import math
+import re
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -40,6 +43,57 @@ def test_language_edge_cases(spark):
     assert {r.lang_pred for r in langid.predict(odd, nothing).collect()} == {"und"}
 
 
+def test_language_of_texts_without_letters(spark):
+    """Fractions, raised digits, Roman and circled numbers are no letters; letters of any script are."""
+    docs = spark.createDataFrame([(i, "dog cat" if i % 2 else "\u732b \u72ac", "en" if i % 2 else "zh") for i in range(60)], "doc_id long, text string, lang string")
+    odd = spark.createDataFrame([(1, "\u00bd \u00b2 5"), (2, "\u2167 \u2460 \u0663"), (3, "\u732b 5"), (4, "a\u00bd")], "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, r.score > 0) for r in langid.predict(odd, langid.fit(docs)).collect()}
+    assert got[1] == got[2] == ("und", False) and got[3] == ("zh", True) and got[4][1]
+
+
+def test_language_against_plain_scores(spark):
+    """Every prediction of the small table again, from plain counters."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = docs.collect()
+    counts = defaultdict(Counter)
+    for r in rows:
+        if part(r.doc_id, 4) != 2 and r.lang and r.text:
+            for w in re.findall(r"[^\W\d_]+", r.text.lower()):
+                counts[0, w][r.lang] += 1
+                w = f"_{w}_"
+                for size in range(1, langid.LONGEST + 1):
+                    for i in range(len(w) - size + 1):
+                        counts[size, w[i : i + size]][r.lang] += 1
+    counts = {k: c for k, c in counts.items() if c.total() >= langid.MIN_COUNT}
+    langs = sorted({x for c in counts.values() for x in c})
+    totals, kinds = Counter(), Counter(size for size, _ in counts)
+    for (size, _), c in counts.items():
+        for x, n in c.items():
+            totals[size, x] += n
+
+    def log(size, g, x):
+        return math.log((counts[size, g][x] + 0.5) / (totals[size, x] + 0.5 * (kinds[size] + 1)))
+
+    def word(w, x):
+        if (0, w) in counts:
+            return log(0, w, x)
+        w = f"_{w}_"
+        for step, size in enumerate(range(min(langid.LONGEST, len(w)), 0, -1), 1):
+            found = [log(size, w[i : i + size], x) for i in range(len(w) - size + 1) if (size, w[i : i + size]) in counts and w[i : i + size] != "_"]
+            if found:
+                return langid.BACKOFF**step * sum(found) / len(found)
+        return 0.0
+
+    got = {r.doc_id: r for r in langid.predict(docs, langid.fit(docs)).collect()}
+    for r in rows[::7]:
+        words = re.findall(r"[^\W\d_]+", (r.text or "").lower())
+        scores = {x: sum(word(w, x) for w in words) for x in langs}
+        if words:
+            top = max(scores.values())
+            assert got[r.doc_id].lang_pred == max(langs, key=scores.get)
+            assert got[r.doc_id].score == pytest.approx(1 / sum(math.exp(v - top) for v in scores.values()), abs=1e-3)
+
+
 def test_language_backs_off_to_shorter_grams():
     model = langid.LanguageModel([("a", 0, "abc", 9), ("a", 3, "abc", 9), ("b", 2, "xy", 9), ("b", 0, "xy", 9)])
     assert model.langs == ["a", "b"] and np.argmax(model.word("abc")) == 0

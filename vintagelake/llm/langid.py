@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import math
 import re
+import sys
+import unicodedata
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -12,19 +15,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vintagelake.llm.common import bounded_ids, hash_part, map_texts, steps
+from vintagelake.llm.common import hash_part, held, map_texts, steps, written
 
-#: Runs of letters of any script.
-LETTERS = re.compile(r"[^\W\d_]+")
-#: Bounds of the fit: labelled documents of one language, and entries of the model.
+#: Runs of letters of any script: word characters that are neither digits nor numbers of other kinds, such as fractions.
+NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isdecimal() and unicodedata.category(c)[0] != "L")
+LETTERS = re.compile(rf"[^\W\d_{re.escape(NUMBERS)}]+")
+#: Bound of the fit: labelled documents of one language.
 MAX_TRAIN_PER_LANG = 2_000
-MAX_WORDS = 150_000
-MAX_GRAMS = 150_000
+#: What occurs less often in the training documents tells nothing yet.
 MIN_COUNT = 3
 LONGEST = 5
 #: A shorter n-gram tells less: each step back multiplies its log frequencies' weight.
 BACKOFF = 0.6
-MEMO = 300_000
+#: Words that a worker remembers the scores of, before it starts anew: bounds memory, not results.
+MEMO = 200_000
 
 
 def gram_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -50,13 +54,10 @@ def gram_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def training_rows(docs: DataFrame, per_lang: int = MAX_TRAIN_PER_LANG) -> DataFrame:
-    """Rows of documents outside the held-out part with a language; a hash of doc_id takes about per_lang of each at most."""
-    usable = docs.where((hash_part("doc_id", 4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    shares = {r.lang: per_lang / r["count"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(1_000).collect()}
-    if not shares:
-        return usable
-    share = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in shares.items() for x in pair)), F.col("lang")), F.lit(0.0))
-    return usable.where(F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1_000_003)) < share * 1_000_003)
+    """(lang, text) of documents outside the held-out part with a language; a hash of doc_id takes about per_lang of each at most."""
+    usable = docs.where((hash_part("doc_id", 4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
+    shares = written(usable.groupBy("lang").agg((F.lit(float(per_lang)) / F.count("*")).alias("share")), "languages")
+    return usable.join(shares, "lang").where(F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1_000_003)) < F.col("share") * 1_000_003).select("lang", "text")
 
 
 class LanguageModel:
@@ -64,73 +65,91 @@ class LanguageModel:
 
     def __init__(self, rows: list[tuple[str, int, str, int]]):
         self.langs = sorted({r[0] for r in rows})
-        at = {x: i for i, x in enumerate(self.langs)}
-        raw: dict[tuple[int, str], np.ndarray] = {}
-        totals = np.zeros((LONGEST + 1, max(1, len(self.langs))))
+        lang_at = {x: i for i, x in enumerate(self.langs)}
+        #: Row of (size, gram); size 0 stands for a word.
+        self.at: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
+        counts = np.zeros((len({(r[1], r[2]) for r in rows}), len(self.langs)), np.float32)
+        totals = np.zeros((LONGEST + 1, len(self.langs)))
+        n_rows = 0
         for lang, size, gram, n in rows:
-            raw.setdefault((size, gram), np.zeros(len(self.langs)))[at[lang]] += n
-            totals[size, at[lang]] += n
-        kinds = Counter(size for size, _ in raw)
-        self.known = {(size, g): np.log((n + 0.5) / (totals[size] + 0.5 * (kinds[size] + 1))) for (size, g), n in raw.items()}
-        self.words = {g: v for (size, g), v in self.known.items() if size == 0}
-        self.grams = {g: v for (size, g), v in self.known.items() if size}
+            row = self.at[size].setdefault(gram, n_rows)
+            n_rows += row == n_rows
+            counts[row, lang_at[lang]] += n
+            totals[size, lang_at[lang]] += n
+        self.logs = np.zeros_like(counts)
+        for size, known in enumerate(self.at):
+            at = np.fromiter(known.values(), np.int64, len(known))
+            self.logs[at] = np.log((counts[at] + 0.5) / (totals[size] + 0.5 * (len(known) + 1)))
 
     def word(self, w: str) -> np.ndarray:
         """Scores of a word in each language: its own, or the mean of the longest n-grams of it that are known."""
-        own = self.words.get(w)
+        own = self.at[0].get(w)
         if own is not None:
-            return own
+            return self.logs[own]
         w, weight = f"_{w}_", 1.0
         for size in range(min(LONGEST, len(w)), 0, -1):
             weight *= BACKOFF
-            found = [self.grams[g] for i in range(len(w) - size + 1) if (g := w[i : i + size]) in self.grams and g != "_"]
+            known = self.at[size]
+            found = [known[g] for i in range(len(w) - size + 1) if (g := w[i : i + size]) in known and g != "_"]
             if found:
-                return weight * sum(found) / len(found)
-        return np.zeros(len(self.langs))
+                return weight * self.logs[found].mean(0)
+        return np.zeros(len(self.langs), np.float32)
+
+
+class Memo:
+    """Scores of the words that a worker has met."""
+
+    def __init__(self, langs: int):
+        self.rows: dict[str, int] = {}
+        self.vectors = np.zeros((1024, langs))
+
+    def add(self, words: set[str], model: LanguageModel) -> None:
+        if len(self.rows) > MEMO:
+            self.rows.clear()
+        for w in words:
+            if w not in self.rows:
+                i = len(self.rows)
+                if i == len(self.vectors):
+                    self.vectors = np.concatenate([self.vectors, np.zeros_like(self.vectors)])
+                self.vectors[i] = model.word(w)
+                self.rows[w] = i
 
 
 def fit(docs: DataFrame, per_lang: int = MAX_TRAIN_PER_LANG) -> LanguageModel:
-    """Counts of the training rows; the most frequent words and n-grams, up to the two bounds, reach the driver."""
+    """Counts of all words and n-grams of the training rows that occur MIN_COUNT times or more. Their number is bounded by
+    those documents, whatever the size of the corpus."""
     counts = gram_counts(training_rows(docs, per_lang))
-    total = counts.groupBy("size", "gram").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by_lang")).where(F.col("total") >= MIN_COUNT)
-    words = total.where("size = 0").orderBy(F.desc("total"), "gram").limit(MAX_WORDS)
-    grams = total.where("size > 0").orderBy(F.desc("total"), "size", "gram").limit(MAX_GRAMS)
-    return LanguageModel([(x.lang, r.size, r.gram, x.n) for part in (words, grams) for r in part.collect() for x in r.by_lang])
+    frequent = counts.groupBy("size", "gram").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by_lang")).where(F.col("total") >= MIN_COUNT)
+    rows = frequent.select(F.explode("by_lang").alias("x"), "size", "gram").select("x.lang", "size", "gram", "x.n").toArrow()
+    columns = [rows.column(c).to_pylist() for c in ("lang", "size", "gram", "n")]
+    return LanguageModel(sorted(zip(*columns, strict=True)))
 
 
 def predict(docs: DataFrame, model: LanguageModel, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Rows with `keep`, lang_pred and score, the posterior of the predicted language.
 
     `und` with score 0 for a null text or one without a letter; so too if no language was learned. Equal scores go to
-    the language first in order. Whole texts count; the language column is not read.
+    the language first in order. Whole texts count; the language column is not read. Equal rows stay, an empty table
+    gives an empty one, and columns named like the new ones give way.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows: dict[str, int] = {}
-    vectors: list[np.ndarray] = []
+    shared, name = docs.sparkSession.sparkContext.broadcast(model), f"languages-{uuid.uuid4().hex}"
 
     def run(texts: list[str]) -> dict:
         m = shared.value
-        if len(rows) > MEMO:
-            rows.clear()
-            vectors.clear()
+        memo = held(name, lambda: Memo(len(m.langs)))
         langs, scores = [], []
         counted = [Counter(LETTERS.findall(t.lower())) for t in texts]
-        for c in counted:
-            for w in c:
-                if w not in rows:
-                    rows[w] = len(vectors)
-                    vectors.append(m.word(w))
-        matrix = np.array(vectors)
+        memo.add(set().union(*counted), m)
         for c in counted:
             if not c or not m.langs:
                 langs.append("und")
                 scores.append(0.0)
                 continue
-            at = np.fromiter(map(rows.__getitem__, c), np.int64, len(c))
-            total = np.fromiter(c.values(), np.float64, len(c)) @ matrix[at]
+            at = np.fromiter(map(memo.rows.__getitem__, c), np.int64, len(c))
+            total = np.fromiter(c.values(), np.float64, len(c)) @ memo.vectors[at]
             best = int(np.argmax(total))
             langs.append(m.langs[best])
             scores.append(1 / math.fsum(np.exp(np.maximum(total - total[best], -700.0))))
         return {"lang_pred": langs, "score": pa.array(scores, pa.float64())}
 
-    return map_texts(docs, keep or ["doc_id"], run, "lang_pred string, score double", text)
+    return map_texts(docs, keep or ["doc_id"], run, "lang_pred string, score double", text, holds=name)
