@@ -126,3 +126,34 @@ def test_quality_edge_cases(spark):
     assert len({r.score for r in classifier.predict(odd, one_class).collect()}) == 1
     assert classifier.fit(docs, labels).margin == model.margin  # repeatable
     assert classifier.predict(odd.limit(0), model).count() == 0
+
+
+def test_gradients_against_differences():
+    rng = np.random.default_rng(1)
+    weights, vectors, out, bias = rng.random(5), rng.normal(size=(5, 3)), rng.normal(size=(3, 2)), rng.normal(size=2)
+    loss = lambda v, o, b: -np.log(classifier.softmax(weights @ v @ o + b)[1])
+    for at, grad in enumerate(classifier.gradients(weights, vectors, out, bias, 1)):
+        for place in np.ndindex(grad.shape):
+            up, down = ([x.copy() for x in (vectors, out, bias)] for _ in range(2))
+            up[at][place] += 1e-6
+            down[at][place] -= 1e-6
+            assert grad[place] == pytest.approx((loss(*up) - loss(*down)) / 2e-6, abs=1e-6)
+
+
+def test_quality_scores_against_the_whole_network(spark):
+    """Scores from sums of margins are those of averaged vectors under the softmax."""
+    docs = spark.createDataFrame([(i, f"fine words here {i} " * 5 if i % 2 else f"junk ## junk {i} " * 5) for i in range(60)], "doc_id long, text string")
+    model = classifier.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int"))
+    got = {r.doc_id: r.score for r in classifier.predict(docs, model).collect()}
+    for r in docs.collect():
+        ids = [f for w, n in classifier.bag(r.text).items() for f in classifier.features(w) * n]
+        assert got[r.doc_id] == pytest.approx(classifier.softmax(model.vectors[ids].mean(0) @ model.out + model.bias)[1])
+
+
+def test_training_rows_are_bounded(spark):
+    """One row for each id however often it repeats, and no more documents than their characters allow."""
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(i, "x" * 100) for i in range(2, 60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    ids = [r.doc_id for r in classifier.training_rows(docs, labels).collect()]
+    assert len(ids) == len(set(ids)) == sum(part(i, 5) != 0 for i in range(1, 60))
+    assert 10 <= classifier.training_rows(docs, labels, chars=1_000).count() <= 12 and classifier.training_rows(docs, labels, bound=7).count() <= 7

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from zlib import crc32
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vintagelake.llm.common import bounded_ids, hash_part, map_texts
+from vintagelake.llm.common import bounded_ids, hash_part, held, map_texts
 
-#: Bounds of the fit: labelled documents, chosen by a hash of doc_id.
+#: Bounds of the fit: labelled documents, chosen by a hash of doc_id, and their characters in all, in that order.
 MAX_TRAIN = 2_500
+MAX_TRAIN_CHARS = 40_000_000
 BUCKETS = 1 << 17
 DIM = 8
 EPOCHS = 6
@@ -22,6 +24,7 @@ SPEED = 20.0
 SIZES = (3, 4)
 #: Events beside words; no word has a blank.
 AGAIN, SEEN_LINE = "word again", "line again"
+#: Words that a worker remembers the sums of, before it starts anew: bounds memory, not results.
 MEMO = 400_000
 
 
@@ -44,7 +47,7 @@ def bag(text: str) -> Counter:
 
 
 class Model:
-    """Trained by stochastic gradient descent over small batches; float64 and a fixed seed make it repeatable."""
+    """Trained by stochastic gradient descent, a document at a time; float64 and a fixed seed make it repeatable."""
 
     def __init__(self, texts: list[str], labels: list[int], seed: int = 7):
         rng = np.random.default_rng(seed)
@@ -68,21 +71,21 @@ class Model:
             rate = RATE * (1 - epoch / EPOCHS)
             for i in rng.permutation(len(docs)):
                 ids, weights = docs[i]
-                hidden = weights @ self.vectors[ids]
-                error = softmax(hidden @ self.out + self.bias)
-                error[labels[i]] -= 1
-                back = self.out @ error
-                self.out -= rate * np.outer(hidden, error)
-                self.bias -= 0.1 * rate * error
-                self.vectors[ids] -= SPEED * rate * np.outer(weights, back)  # a document's ids are distinct
+                vectors, out, bias = gradients(weights, self.vectors[ids], self.out, self.bias, labels[i])
+                self.vectors[ids] -= SPEED * rate * vectors  # a document's ids are distinct
+                self.out -= rate * out
+                self.bias -= 0.1 * rate * bias
         #: One number for each bucket is all that a score needs of a vector: its part in the difference of the two logits.
         self.margin = (self.vectors @ (self.out[:, 1] - self.out[:, 0])).tolist()
         self.shift = float(self.bias[1] - self.bias[0])
 
-    def word(self, w: str) -> tuple[float, int]:
-        ids = features(w)
-        margin = self.margin
-        return sum([margin[i] for i in ids]), len(ids)
+
+def gradients(weights: np.ndarray, vectors: np.ndarray, out: np.ndarray, bias: np.ndarray, label: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a document's loss, minus the log of its label's softmax, by its features' vectors, the output layer and the bias."""
+    hidden = weights @ vectors
+    error = softmax(hidden @ out + bias)
+    error[label] -= 1
+    return np.outer(weights, out @ error), np.outer(hidden, error), error
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -90,47 +93,58 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum()
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAIN) -> DataFrame:
-    """(text, quality) of at most `bound` labelled documents outside the held-out part; their ids are few, so broadcast."""
+def training_rows(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAIN, chars: int = MAX_TRAIN_CHARS) -> DataFrame:
+    """(doc_id, text, quality) of at most `bound` labelled documents outside the held-out part, one row for each doc_id.
+
+    Of rows that repeat a doc_id the text with the smallest hash is taken. In the order of the ids' hashes the documents
+    are taken as long as those before them hold less than `chars` characters.
+    """
     ids = bounded_ids(labels.where((hash_part("doc_id", 5) != 0) & F.col("quality").isin(0, 1)), bound, "quality")
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "quality")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+    one = rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("quality").alias("quality"))
+    before = F.sum(F.length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1))  # at most `bound` rows
+    return one.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < chars).drop("before")
+
+
+def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAIN, chars: int = MAX_TRAIN_CHARS) -> Model:
+    rows = sorted(training_rows(docs, labels, bound, chars).collect(), key=lambda r: r.doc_id)
+    return Model([r.text for r in rows], [r.quality for r in rows])
 
 
-def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAIN) -> Model:
-    rows = sorted(training_rows(docs, labels, bound).collect(), key=lambda r: (r.doc_id, r.text or ""))
-    return Model([r.text or "" for r in rows], [r.quality for r in rows])
+class Sums:
+    """What a worker knows of words: the sum of their features' margins and the number of their features."""
+
+    def __init__(self, margin: np.ndarray):
+        self.margin = margin.tolist()
+        self.known: dict[str, tuple[float, int]] = {}
+
+    def logit(self, text: str, shift: float) -> float:
+        total = size = 0
+        known, margin = self.known, self.margin
+        for w, n in bag(text).items():
+            sums = known.get(w)
+            if sums is None:
+                ids = features(w)
+                sums = known[w] = sum([margin[i] for i in ids]), len(ids)
+            total += n * sums[0]
+            size += n * sums[1]
+        if len(known) > MEMO:
+            known.clear()
+        return shift + (total / size if size else 0.0)
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, threshold: float = 0.3) -> DataFrame:
     """Rows with `keep`, score (of label 1) and predicted (1 if score >= threshold, else 0).
 
     A text without words, or null, gets the score of the fitted bias, about the share of label 1. With labels of one
-    class only, or none, every score is that share. Whole texts count; labels and other columns are not read.
+    class only, or none, every score is that share. Whole texts count; labels and other columns are not read. Equal rows
+    stay, an empty table gives an empty one, and columns named like the new ones give way.
     """
-    slim = (model.margin, model.shift)
-    shared = docs.sparkSession.sparkContext.broadcast(np.array(model.margin))
-    shift = slim[1]
-    memo: dict[str, tuple[float, int]] = {}
-    held: list[list[float]] = []
+    shared, name, shift = docs.sparkSession.sparkContext.broadcast(np.array(model.margin)), f"quality-{uuid.uuid4().hex}", model.shift
 
     def run(texts: list[str]) -> dict:
-        if not held:
-            held.append(shared.value.tolist())
-        margin = held[0]
-        if len(memo) > MEMO:
-            memo.clear()
-        scores = []
-        for t in texts:
-            total = size = 0
-            for w, n in bag(t).items():
-                known = memo.get(w)
-                if known is None:
-                    ids = features(w)
-                    known = memo[w] = sum([margin[i] for i in ids]), len(ids)
-                total += n * known[0]
-                size += n * known[1]
-            logit = shift + (total / size if size else 0.0)
-            scores.append(float(1 / (1 + np.exp(-logit))))
+        sums = held(name, lambda: Sums(shared.value))
+        scores = [float(1 / (1 + np.exp(-sums.logit(t, shift)))) for t in texts]
         return {"score": scores, "predicted": [int(s >= threshold) for s in scores]}
 
-    return map_texts(docs, keep or ["doc_id"], run, "score double, predicted int", text)
+    return map_texts(docs, keep or ["doc_id"], run, "score double, predicted int", text, holds=name)
