@@ -9,6 +9,8 @@ over those vectors. Steps are scaled by the moments of the documents whose rates
 
 from __future__ import annotations
 
+import logging
+import math
 from dataclasses import dataclass
 from functools import reduce
 
@@ -21,14 +23,17 @@ from vintagelake.llm.common import bounded_ids, written
 #: Domains by the two labels, and the shares of tokens they are to have.
 DOMAINS = ("clean", "toxic", "low")
 TARGETS = {"clean": 0.93, "toxic": 0.05, "low": 0.02}
-#: Bounds of the fit: labelled documents, chosen by a hash of doc_id, and telling words of each domain.
+#: Bound of the fit: labelled documents, chosen by a hash of doc_id.
 MAX_TRAIN = 6_000
-WORDS_PER_DOMAIN = 10
-MIN_DOCS = 5
-MAX_STEPS = 40
+#: A word counts if it is surely, by so many standard errors, in so many times as large a share of a domain's documents as of the others.
+TYPICAL, SURE = 4.0, 2.5
+#: Steps at most, how near the totals must come, as a share of all tokens, and after how many steps rates are written.
+MAX_STEPS = 100
 CLOSE = 1e-7
+WRITE_EVERY = 8
 #: Smallest share of a step that is tried, least gain of a step, and what keeps steps small along what no document differs in.
 LEAST_SHARE, ENOUGH, RIDGE = 1 / 32, 1e-9, 1e-6
+LOG = logging.getLogger(__name__)
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -46,27 +51,37 @@ def tokens(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("bigint")
 
 
-def binned(text: Column, n_tokens: Column) -> list[Column]:
-    """Features with the values 0 to 3: shares of symbols, bars and digits, and how long words are."""
+#: Number of binned features.
+FEATURES = 6
+
+
+def words_of(text: Column) -> Column:
+    return F.split(F.lower(text), r"[^\p{L}]+")
+
+
+def binned(text: Column, n_tokens: Column, words: Column) -> list[Column]:
+    """Features with the values 0 to 3: shares of symbols, bars, digits and capitals, how long words are, and how often they return."""
     size = F.length(text)
     mean = size / F.greatest(n_tokens, F.lit(1))
-    counts = [F.regexp_count(text, F.lit(chars)) for chars in ("[#*$%&<>]", "[|]", "[0-9]")]
-    return [*(share_bin(n, size) for n in counts), F.when(mean < 5, 0).when(mean < 7, 1).when(mean < 12, 2).otherwise(3)]
+    counts = [F.regexp_count(text, F.lit(chars)) for chars in ("[#*$%&<>!]", "[|]", "[0-9]", r"\p{Lu}")]
+    found, different = F.size(words), F.size(F.array_distinct(words))
+    again = F.when(different * 8 < found, 3).when(different * 4 < found, 2).when(different * 2 < found, 1).otherwise(0)
+    return [*(share_bin(n, size) for n in counts), F.when(mean < 5, 0).when(mean < 7, 1).when(mean < 12, 2).otherwise(3), again]
 
 
 def telling_words(train: DataFrame) -> list[str]:
-    """For each domain the words most typical of it, by log odds of the share of its documents that hold them."""
+    """All words of the labelled texts that tell a domain, by a test of the share of its documents that hold the word against the others'."""
     sizes = {r.domain: r["count"] for r in train.groupBy("domain").count().collect()}
-    words = train.select("domain", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("word")).where("word <> ''")
+    words = train.select("domain", F.explode(F.array_distinct(words_of(F.col("text")))).alias("word")).where("word <> ''")
     sums = words.groupBy("word").agg(*(F.count_if(F.col("domain") == d).alias(f"n{d}") for d in range(len(DOMAINS))))
-    chosen: dict[str, None] = {}
-    for d in sizes:
-        rest = reduce(Column.__add__, (F.col(f"n{e}") for e in range(len(DOMAINS)) if e != d))
+    tells = F.lit(False)
+    for d, size in sizes.items():
         others = sum(n for e, n in sizes.items() if e != d)
-        odds = F.log((F.col(f"n{d}") + 0.5) / (sizes[d] + 1)) - F.log((rest + 0.5) / (others + 1))
-        top = sums.where(F.col(f"n{d}") >= MIN_DOCS).orderBy(odds.desc(), "word").limit(WORDS_PER_DOMAIN)
-        chosen |= dict.fromkeys(r.word for r in top.collect())
-    return sorted(chosen)
+        rest = reduce(Column.__add__, (F.col(f"n{e}") for e in range(len(DOMAINS)) if e != d))
+        own = F.col(f"n{d}") + 0.5
+        ratio = F.log(own / (size + 1)) - F.log((rest + 0.5) / (others + 1))
+        tells = tells | (ratio - math.log(TYPICAL) >= SURE * F.sqrt(1 / own + 1 / (rest + 0.5)))
+    return sorted(r.word for r in sums.where(tells).select("word").collect())
 
 
 @dataclass(frozen=True)
@@ -80,7 +95,8 @@ class Classifier:
     def add_posteriors(self, df: DataFrame, text: str) -> DataFrame:
         """df, which has mix_tokens, with mix_posteriors, in the order of DOMAINS. One step for each column that is used twice, so that it is computed once."""
         logs, odds = [f"mix_log{d}" for d in range(len(DOMAINS))], [f"mix_odds{d}" for d in range(len(DOMAINS))]
-        df = df.withColumns({"mix_hits": present(F.col(text), list(self.words))} | {f"mix_bin{i}": c for i, c in enumerate(binned(F.col(text), F.col("mix_tokens")))})
+        df = df.withColumn("mix_words", words_of(F.col(text)))
+        df = df.withColumns({"mix_hits": present(F.col("mix_words"), list(self.words))} | {f"mix_bin{i}": c for i, c in enumerate(binned(F.col(text), F.col("mix_tokens"), F.col("mix_words")))})
         made = {}
         for d, name in enumerate(logs):
             x = F.lit(self.prior[d] + sum(absent[d] for _, absent in self.words.values()))
@@ -91,7 +107,7 @@ class Classifier:
         df = df.withColumns({o: F.exp(F.col(x) - F.col("mix_top")) for o, x in zip(odds, logs, strict=True)})
         total = reduce(Column.__add__, map(F.col, odds))
         df = df.withColumn("mix_posteriors", F.array(*(F.col(o) / total for o in odds)))
-        return df.drop("mix_hits", "mix_top", *(f"mix_bin{i}" for i in range(len(self.bins))), *logs, *odds)
+        return df.drop("mix_words", "mix_hits", "mix_top", *(f"mix_bin{i}" for i in range(len(self.bins))), *logs, *odds)
 
 
 def gained(hits: Column, gain: dict[str, float]) -> Column:
@@ -100,11 +116,11 @@ def gained(hits: Column, gain: dict[str, float]) -> Column:
     return F.aggregate(hits, F.lit(0.0), lambda a, w: a + F.coalesce(F.element_at(gains, w), F.lit(0.0)))
 
 
-def present(text: Column, words: list[str]) -> Column:
-    """Which of the words the text holds, each once."""
+def present(found: Column, words: list[str]) -> Column:
+    """Which of the words are among a text's words, each once."""
     if not words:
         return F.array().cast("array<string>")
-    return F.array_intersect(F.split(F.lower(text), r"[^\p{L}]+"), F.array(*map(F.lit, words)))
+    return F.array_intersect(found, F.array(*map(F.lit, words)))
 
 
 def learn(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAIN) -> Classifier:
@@ -114,17 +130,18 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAIN) -> Classif
     ids = bounded_ids(usable, bound, "domain")
     train = written(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id").select("domain", "text"), "mixing-train")
     words = telling_words(train)
-    made = train.select("domain", F.array(*binned(F.col("text"), tokens(F.col("text")))).alias("bins"), present(F.col("text"), words).alias("hits"))
+    cut = train.withColumn("words", words_of(F.col("text")))
+    made = cut.select("domain", F.array(*binned(F.col("text"), tokens(F.col("text")), F.col("words"))).alias("bins"), present(F.col("words"), words).alias("hits"))
     rows = {
         r.domain: r
         for r in made.groupBy("domain").agg(
             F.count("*").alias("n"),
-            F.array(*(F.count_if(F.col("bins")[i] == v) for i in range(4) for v in range(4))).alias("in_bin"),
+            F.array(*(F.count_if(F.col("bins")[i] == v) for i in range(FEATURES) for v in range(4))).alias("in_bin"),
             F.array(*(F.count_if(F.array_contains("hits", w)) for w in words)).cast("array<bigint>").alias("with_word"),
         ).collect()
     }
     n = np.array([rows[d].n if d in rows else 0 for d in range(k)], float)
-    in_bin = np.array([rows[d].in_bin if d in rows else [0] * 16 for d in range(k)], float).reshape(k, 4, 4)
+    in_bin = np.array([rows[d].in_bin if d in rows else [0] * (4 * FEATURES) for d in range(k)], float).reshape(k, FEATURES, 4)
     with_word = np.array([rows[d].with_word if d in rows else [0] * len(words) for d in range(k)], float).reshape(k, len(words))
     prior = np.log((n + 1) / (n.sum() + k))
     bins = np.log((in_bin + 1) / (n[:, None, None] + 4))
@@ -132,64 +149,90 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAIN) -> Classif
     return Classifier(prior.tolist(), bins.transpose(1, 2, 0).tolist(), {w: (np.log(share[:, i]).tolist(), np.log1p(-share[:, i]).tolist()) for i, w in enumerate(words)})
 
 
-def rate(posteriors: Column, steps: list[list[float]]) -> Column:
-    """The rate after the steps from 1: each adds its vector's product with the posteriors, and cuts below 0."""
+def rate(posteriors: Column, steps: list[list[float]], start: Column | None = None) -> Column:
+    """The rate after the steps from `start` (1): each adds its vector's product with the posteriors, and cuts below 0."""
+    start = F.lit(1.0) if start is None else start
     if not steps:
-        return F.lit(1.0)
+        return start
     moves = F.array(*(F.array(*map(F.lit, w)) for w in steps))
-    return F.aggregate(moves, F.lit(1.0), lambda x, w: F.greatest(F.lit(0.0), x + reduce(Column.__add__, (posteriors[d] * w[d] for d in range(len(DOMAINS))))))
+    return F.aggregate(moves, start, lambda x, w: F.greatest(F.lit(0.0), x + reduce(Column.__add__, (posteriors[d] * w[d] for d in range(len(DOMAINS))))))
+
 
+@dataclass(frozen=True)
+class Fit:
+    """Steps, and by how much the expected totals miss the targets after them, as a share of all tokens."""
+
+    steps: list[list[float]]
+    miss: float
 
-def fit(members: DataFrame, targets: dict[str, float]) -> list[list[float]]:
+
+def fit(members: DataFrame, targets: dict[str, float]) -> Fit:
     """Steps for a table of (n_tokens, posteriors). Each costs a pass that returns a few sums; one that brings the totals no nearer is halved.
 
-    Where no rates from 0 on meet the targets, as with documents that are all alike, the steps end at the nearest totals.
+    Where no rates from 0 on meet the targets, as with documents that are all alike, the steps end at the nearest totals;
+    `miss` says how near, and a warning tells where that is not CLOSE.
     """
     k = len(DOMAINS)
     p, n = [F.col("posteriors")[d] for d in range(k)], F.col("n_tokens").cast("double")
     steps: list[list[float]] = []
-    best, share, move = np.inf, 1.0, np.zeros(k)
+    kept = 0  # steps whose rates are in the table already
+    at = members.withColumn("start", F.lit(1.0))
+    best, share, move, miss_share = np.inf, 1.0, np.zeros(k), 0.0
     for _ in range(MAX_STEPS):
-        x = members.withColumn("x", rate(F.col("posteriors"), steps))
+        x = at.withColumn("x", rate(F.col("posteriors"), steps[kept:], F.col("start")))
         free = F.when(F.col("x") > 0, n).otherwise(0.0)
         row = x.agg(F.sum(n), *(F.sum(n * p[d] * F.col("x")) for d in range(k)), *(F.sum(free * p[d] * p[e]) for d in range(k) for e in range(k))).first()
         total = row[0] or 0.0
         if not total:
-            return []
+            return Fit([], 0.0)
         miss = np.array([targets[d] for d in DOMAINS]) * total - np.array(row[1 : k + 1])
-        if np.abs(miss).max() <= CLOSE * total:
-            return steps
         if miss @ miss >= best:  # the step went too far: half of it
             share /= 2
             if share < LEAST_SHARE:
+                steps.pop()
                 break
             steps[-1] = (share * move).tolist()
             continue
-        best, share = miss @ miss * (1 - ENOUGH), 1.0
+        best, share, miss_share = miss @ miss * (1 - ENOUGH), 1.0, float(np.abs(miss).max() / total)
+        if miss_share <= CLOSE:
+            return Fit(steps, miss_share)
+        if len(steps) >= kept + WRITE_EVERY:
+            at, kept = written(x.select("n_tokens", "posteriors", F.col("x").alias("start")), "rates"), len(steps)
         moments = np.array(row[k + 1 :]).reshape(k, k)
         move = np.linalg.solve(moments + RIDGE * total * np.eye(k), miss)
         steps.append(move.tolist())
-    return steps[:-1]  # the last one did not help, or was not looked at
+    else:
+        steps.pop()  # the last one was not looked at
+    LOG.warning("expected totals miss the targets by up to %.2g of all tokens", miss_share)
+    return Fit(steps, miss_share)
+
+
+NEW = ("mix_tokens", "mix_posteriors", "mix_rate", "mix_miss")
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, bound: int = MAX_TRAIN, keep: list[str] | None = None) -> DataFrame:
-    """All rows of docs with the columns `keep` (default all), mix_tokens, mix_posteriors and mix_rate (at least 0).
+    """All rows of docs with the columns `keep` (default all), mix_tokens, mix_posteriors, mix_rate (at least 0) and mix_miss.
 
     Posteriors are made in one pass and written with `keep` to the shared folder; the steps read only their columns.
-    Targets are shares of the corpus's tokens and need not add to 1. A null or empty text has no tokens, so it moves
+    Targets are shares of the corpus's tokens and need not add to 1; mix_miss, one number for all rows, is the share of
+    all tokens by which an expected total misses its target at most. A null or empty text has no tokens, so it moves
     no total and its rate is 1. Repeated rows count each. Without labels the posteriors are alike
-    for all domains; an empty table gives an empty one. A column of docs that is named mix_... gives way.
+    for all domains; an empty table gives an empty one. A column of docs that is named like a new one gives way.
     """
-    keep = [c for c in (docs.columns if keep is None else keep) if not c.startswith("mix_")]
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in NEW]
     model = learn(docs, labels, bound)
-    made = docs.select(*(F.col(f"`{c}`") for c in keep), F.coalesce(F.col("text"), F.lit("")).alias("mix_text"))
+    made = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("mix_text"))
     scored = written(model.add_posteriors(made.withColumn("mix_tokens", tokens(F.col("mix_text"))), "mix_text").drop("mix_text"), "members")
-    steps = fit(scored.select(F.col("mix_tokens").alias("n_tokens"), F.col("mix_posteriors").alias("posteriors")), targets or TARGETS)
-    return scored.withColumn("mix_rate", F.when(F.col("mix_tokens") == 0, 1.0).otherwise(F.round(rate(F.col("mix_posteriors"), steps), 6)))
+    found = fit(scored.select(F.col("mix_tokens").alias("n_tokens"), F.col("mix_posteriors").alias("posteriors")), targets or TARGETS)
+    rated = scored.withColumn("mix_rate", F.when(F.col("mix_tokens") == 0, 1.0).otherwise(F.round(rate(F.col("mix_posteriors"), found.steps), 6))).withColumn("mix_miss", F.lit(found.miss))
+    return rated.select(*(F.col(f"row.`{c}`") for c in keep), *NEW)
 
 
 def drawn(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """The mixture itself: each row as often as its rate says, the fraction decided by a hash of doc_id; columns as in docs."""
+    """The mixture itself: each row as often as its rate says, the fraction decided by a hash of doc_id; columns as in docs.
+
+    Nulls, repeated rows and empty tables as in `mixed`: a row with an empty text stays once.
+    """
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id"), F.col("text"))
     out = mixed(rows, labels, targets, keep=["row", "doc_id"])
     part = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1_000_000)) / F.lit(1_000_000.0)

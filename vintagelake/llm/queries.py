@@ -20,7 +20,7 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id"])
-    return out.select("doc_id", F.col("mix_tokens").alias("n_tokens"), *(F.round(F.col("mix_posteriors")[i], 6).alias(f"p_{d}") for i, d in enumerate(mixing.DOMAINS)), F.col("mix_rate").alias("rate"))
+    return out.select("doc_id", F.col("mix_tokens").alias("n_tokens"), *(F.round(F.col("mix_posteriors")[i], 6).alias(f"p_{d}") for i, d in enumerate(mixing.DOMAINS)), F.col("mix_rate").alias("rate"), F.col("mix_miss").alias("target_miss"))
 
 
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
