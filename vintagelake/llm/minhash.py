@@ -26,9 +26,10 @@ BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
 #: Sketches that agree less are not compared in full: four standard deviations below the threshold.
 NEAR = SIMILAR - 4 * (SIMILAR * (1 - SIMILAR) / REGISTERS) ** 0.5
-BROADCAST_ROWS = 1_000_000
+#: Rows of a key and two numbers that are broadcast at most.
+BROADCAST_ROWS = 400_000
 #: Shingles in a block of texts that one task compares with another block.
-BLOCK_SHINGLES = 20_000
+BLOCK_SHINGLES = 60_000
 U = np.uint64
 
 
@@ -169,7 +170,7 @@ def shingle_sets(nodes: DataFrame, docs: DataFrame, text: str) -> DataFrame:
         return {"items": pa.array([s[0].tobytes() for s in sets], pa.binary()), "weights": pa.array([None if (s[1] == 1).all() else s[1].astype(np.float32).tobytes() for s in sets], pa.binary())}
 
     made = map_texts(involved, ["node"], as_sets, "items binary, weights binary")
-    return made.groupBy("node").agg(F.any_value("items").alias("items"), F.any_value("weights").alias("weights"))
+    return made.groupBy("node").agg(*(F.any_value(c).alias(c) for c in ("items", "weights")))
 
 
 def read_set(items: bytes, weights: bytes | None) -> tuple[np.ndarray, np.ndarray]:
@@ -194,32 +195,34 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "items_a", "weights_a", "items_b", "weights_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def linked(left: list, right: list, apart: np.ndarray, threshold: float) -> np.ndarray:
-    """Which of left's sets are similar to which of right's, where `apart` says to look. All common shingles count, by one matrix product."""
-    out = np.zeros(apart.shape, bool)
-    common = np.intersect1d(np.concatenate([s[0] for s in left]), np.concatenate([s[0] for s in right]))
+def linked(query: list[dict], texts: list[dict], threshold: float) -> list[tuple[int, int]]:
+    """Links between blocks of rows with node, root, sketch, items and weights that share a band: for a query and another root, the first one found.
 
-    def matrices(sets: list) -> tuple[np.ndarray, np.ndarray]:
-        held, share = np.zeros((len(sets), len(common)), np.float32), np.zeros((len(sets), len(common)), np.float32)
-        for i, (items, weights) in enumerate(sets):
-            _, at, own = np.intersect1d(common, items, assume_unique=True, return_indices=True)
-            held[i, at], share[i, at] = 1, weights[own] / weights.sum()
-        return held, share
-
-    (a, a_share), (b, b_share) = matrices(left), matrices(right)
-    # The probability Jaccard similarity is at most each set's share of weight in common shingles.
-    maybe = apart & (np.minimum(a_share @ b.T, a @ b_share.T) >= threshold - 1e-3)
-    for i, j in zip(*np.nonzero(maybe), strict=True):
-        out[i, j] = similarity(left[i], right[j]) >= threshold
-    return out
-
-
-def links_in_blocks(rooted: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    A pair is looked at where it first shares a band, and compared in full where its sketches agree in a share of NEAR or more.
+    """
+    own, other = (np.frombuffer(b"".join(r["sketch"] for r in rows), np.uint32).reshape(-1, BANDS, ROWS) for rows in (query, texts))
+    here = int(((own == own[0]).all(2).all(0) & (other == own[0]).all(2).all(0)).argmax())
+    roots = np.array([r["root"] for r in texts])
+    found = []
+    for q, sketch in zip(query, own, strict=True):
+        same = other == sketch
+        near = same.mean((1, 2))
+        look = (near >= NEAR) & (roots != q["root"]) & (same.all(2).argmax(1) >= here)
+        done = set()
+        for j in sorted(np.flatnonzero(look), key=lambda j: -near[j]):
+            if roots[j] not in done and similarity(read_set(q["items"], q["weights"]), read_set(texts[j]["items"], texts[j]["weights"])) >= threshold:
+                done.add(roots[j])
+                found.append((q["node"], texts[j]["node"]))
+    return found
+
+
+def links_in_blocks(rooted: DataFrame, sets: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     """Links (a, b) between texts of a bucket that the hubs left in different classes.
 
     Each text outside its hub's class is the query, all texts of the bucket are looked through, in blocks of about
     BLOCK_SHINGLES shingles: a task compares one block of queries with one block of texts and returns, for a query and
-    a class, one link. So no pairs are made as rows, and no bucket meets in one task.
+    a class, one link. So no pairs are made as rows, and no bucket meets in one task. Two texts of different classes are
+    compared in every bucket that holds both, so it is enough to look at them in one.
     """
     is_apart = F.col("root") != F.col("hub_root")
     others = rooted.where("node <> hub")
@@ -232,18 +235,13 @@ def links_in_blocks(rooted: DataFrame, sets: DataFrame, threshold: float) -> Dat
     placed = written(query.union(text_rows), "blocks")
 
     def run(group: pa.Table) -> pa.Table:
-        rows = group.select(["node", "root", "query", "items", "weights"]).to_pylist()
+        rows = group.to_pylist()
         query, texts = [r for r in rows if r["query"]], [r for r in rows if not r["query"]]
-        found: list[tuple[int, int]] = []
-        if query and texts:
-            roots, other = np.array([r["root"] for r in query]), np.array([r["root"] for r in texts])
-            hits = linked([read_set(r["items"], r["weights"]) for r in query], [read_set(r["items"], r["weights"]) for r in texts], roots[:, None] != other[None], threshold)
-            for i in np.flatnonzero(hits.any(1)):
-                at = np.flatnonzero(hits[i])
-                found += [(query[i]["node"], texts[at[k]]["node"]) for k in np.unique(other[at], return_index=True)[1]]
+        found = linked(query, texts, threshold) if query and texts else []
         return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
-    return placed.join(sets, "node").groupBy("band", "i", "j").applyInArrow(run, "a bigint, b bigint")
+    sketched = written(nodes.join(rooted.select("node").distinct(), "node", "left_semi").select("node", "sketch"), "block-sketches")
+    return placed.join(sets, "node").join(sketched, "node").groupBy("band", "i", "j").applyInArrow(run, "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -291,7 +289,7 @@ def classed(docs: DataFrame, threshold: float = SIMILAR, text: str = "text") ->
     rooted = written(root.join(hub_root, "hub", "left").select("band", "node", "root", F.coalesce("hub_root", "hub").alias("hub_root"), "hub"), "rooted")
     open_bands = written(rooted.where("root <> hub_root").select("band").distinct(), "open-bands")
     left_apart = written(rooted.join(open_bands, "band", "left_semi").join(nodes.select("node", "size"), "node"), "apart")
-    more = written(links_in_blocks(left_apart, sets, threshold), "links")
+    more = written(links_in_blocks(left_apart, sets, nodes, threshold), "links")
     classes = components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
     found = members.join(classes, "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("root"))
     # A text without words is in the class of its doc_id's other texts, if there are any.
