@@ -143,3 +143,17 @@ def F_lit(x):
     from pyspark.sql import functions as F
 
     return F.lit(x)
+
+
+def test_kept_columns_give_way_and_long_texts(spark):
+    path = public_tokenizers.path(NAMES[0])
+    long = "word é other's 12345 " * 60_000
+    docs = spark.createDataFrame([(1, long, "x"), (1, long, "x"), (None, None, "x")], "doc_id long, text string, decoded string")
+    encoded = bpe.bpe_encode(docs, path, keep=["doc_id", "decoded"])
+    out = bpe.bpe_decode(encoded, path, keep=["doc_id", "decoded"]).collect()
+    assert sorted((r.decoded for r in out), key=len) == ["", long, long]
+    library = _library(path)
+    assert {r.n_tokens for r in encoded.collect()} == {0, len(library.encode(long, add_special_tokens=False).ids)}
+    word = public_tokenizers.path(NAMES[1])
+    got = bpe.token_counts(docs, word, 2048).collect()
+    assert {(r.n_tokens, r.over_limit) for r in got} == {(0, False), (len(_library(word).encode(long, add_special_tokens=False).ids), True)}

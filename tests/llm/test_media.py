@@ -73,3 +73,53 @@ def test_a_member_is_tried_again(tmp_path, monkeypatch):
     with pytest.raises(OSError):
         media.read_member(Flaky(), str(path), m.header_offset, m.compress_size, m.CRC + 1)
     media._OPEN.clear()
+
+
+def plain_png(stored):
+    """Samples of a grey PNG by the format's definition."""
+    assert stored[:8] == bytes([137, 80, 78, 71, 13, 10, 26, 10])
+    at, parts = 8, {}
+    while at < len(stored):
+        n = int.from_bytes(stored[at : at + 4])
+        parts.setdefault(stored[at + 4 : at + 8], []).append(stored[at + 8 : at + 8 + n])
+        at += 12 + n
+    width, height = int.from_bytes(parts[b"IHDR"][0][:4]), int.from_bytes(parts[b"IHDR"][0][4:8])
+    assert parts[b"IHDR"][0][8:] == bytes([8, 0, 0, 0, 0])
+    raw = zlib.decompress(b"".join(parts[b"IDAT"]))
+    lines = [raw[i * (width + 1) : (i + 1) * (width + 1)] for i in range(height)]
+    assert all(x[0] == 0 for x in lines)
+    return b"".join(x[1:] for x in lines)
+
+
+def test_archives_against_plain_readers(spark, tmp_path):
+    """Members by the standard library's archive reader, samples by a plain reading of the image, features by plain sums."""
+    import math
+    import zipfile
+    from collections import Counter
+
+    texts = {1: "héllo wörld", 2: "", 3: "abc " * 200}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+    media.write_archives(docs, f"file://{tmp_path}/m")
+    (path,) = (tmp_path / "m").glob("*.zip")
+    with zipfile.ZipFile(path) as z:
+        members = {int(m.comment.split()[0]): z.read(m) for m in z.infolist()}
+    spark.dataSource.register(media.MediaArchives)
+    rows = spark.read.format("media_archives").option("folder", f"file://{tmp_path}/m").load()
+    assert {r.doc_id: bytes(r.media) for r in rows.collect()} == members
+    features = {r.doc_id: r for r in media.media_features(rows).collect()}
+    for i, t in texts.items():
+        samples = plain_png(members[i])
+        assert samples == t.encode() + b" " * (len(samples) - len(t.encode())) and len(samples) % 192 == 0 and len(samples) - len(t.encode()) < 192 + (not t)
+        counts, n = Counter(samples), len(samples)
+        mean = sum(samples) / n
+        deviation = math.sqrt(sum((x - mean) ** 2 for x in samples) / n)
+        entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
+        shares = [sum(x // 32 == k for x in samples) / n for k in range(8)]
+        got = features[i].feature.split(";")
+        assert [float(x) for x in got[:3]] == pytest.approx([mean, deviation, entropy], abs=1e-3)
+        assert [float(x) for x in got[3].split(",")] == pytest.approx(shares, abs=1e-4)
+
+
+def test_null_media(spark):
+    out = media.media_features(spark.createDataFrame([(1, None, None, "x")], "doc_id long, n_bytes long, media binary, feature string")).first()
+    assert out.doc_id == 1 and out.payload_sha256 is None and out.feature is None

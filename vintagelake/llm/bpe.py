@@ -17,9 +17,11 @@ from itertools import chain
 from operator import sub
 
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from vintagelake.llm.common import held, map_texts
 
@@ -399,8 +401,8 @@ def bpe_encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] |
     """Rows with the columns `keep` (default doc_id), token_ids (binary: little-endian unsigned 32-bit ids) and n_tokens.
 
     Special strings inside a text become their own ids, as the library does by default. Null or empty texts have no
-    tokens. Equal rows stay as they are; an empty table gives an empty one; columns named like the new ones are not
-    read unless asked for in `keep`, which may not hold the new names.
+    tokens. Equal rows stay as they are; an empty table gives an empty one; a column of `keep` that is named like a new one
+    gives way to it.
     """
 
     def run(texts: list[str]) -> dict:
@@ -411,12 +413,13 @@ def bpe_encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] |
 
 
 def bpe_decode(encoded: DataFrame, path: str, ids: str = "token_ids", keep: list[str] | None = None) -> DataFrame:
-    """Rows with `keep` and decoded: the text of the ids, special tokens included. Null ids decode to an empty text."""
-    import pyarrow as pa
+    """Rows with `keep` and decoded: the text of the ids, special tokens included. Null ids decode to an empty text.
 
-    keep = keep or ["doc_id"]
-    source = encoded.select(*dict.fromkeys([*keep, ids]))
-    full = ", ".join([*(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep), "decoded string"])
+    Equal rows stay, an empty table gives an empty one, and a column of `keep` named decoded gives way.
+    """
+    keep = [c for c in dict.fromkeys(keep or ["doc_id"]) if c != "decoded"]
+    source = encoded.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*keep, ids])))
+    full = StructType([*(source.schema[c] for c in keep), StructField("decoded", StringType())])
 
     def run(batches):
         v = vocabulary(path)
@@ -439,7 +442,7 @@ def bpe_round_trip(docs: DataFrame, path: str, text: str = "text", keep: list[st
 
 
 def round_trip_digests(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """bpe_round_trip with its outputs as digests made in the same task: `keep`, n_tokens, ids_sha256, decoded_sha256."""
+    """bpe_round_trip with its outputs as digests made in the same task: `keep`, n_tokens, ids_sha256, decoded_sha256. Cases as in bpe_encode."""
 
     def run(texts: list[str]) -> dict:
         v = vocabulary(path)
@@ -481,7 +484,8 @@ def token_counts(docs: DataFrame, path: str, limit: int, text: str = "text", kee
     """Rows with `keep`, n_bytes, n_tokens, over_limit and fit_chars.
 
     Each text's prefix counts are made once; n_tokens (null: empty text), over_limit and fit_chars, how many code points
-    of the text in normal form the limit admits, are read from them.
+    of the text in normal form the limit admits, are read from them. Equal rows stay, an empty table gives an empty one,
+    and a column of `keep` that is named like a new one gives way.
     """
 
     def run(texts: list[str]) -> dict:

@@ -218,13 +218,21 @@ def feature_of(samples: bytes) -> str:
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """Digests and features of the samples that the stored bytes hold; the media bytes stay in the task."""
+    """Digests and features of the samples that the stored bytes hold; the media bytes stay in the task.
+
+    A row whose media is null has null digests and features. Equal rows stay, an empty table gives an empty one, and
+    other columns are not read.
+    """
+    media = media.select("doc_id", "n_bytes", "media")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = []
             for m in batch.column("media"):
                 stored = m.as_py()
+                if stored is None:
+                    made.append((None,) * 6)
+                    continue
                 samples = from_png(stored)
                 made.append((len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature_of(samples)))
             columns = list(zip(*made, strict=True)) or [[]] * 6

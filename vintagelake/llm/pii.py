@@ -8,7 +8,9 @@ undone, so different values stay different and equal values get equal pseudonyms
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 8
@@ -28,6 +30,16 @@ ANY = "|".join(PATTERNS.values())
 FIRST_DAY, CYCLE = "1800-01-01", (773, 189)
 
 
+_SESSION_KEYS: dict[str, str] = {}
+
+
+def session_key(spark: SparkSession) -> str:
+    """The key that the session names in spark.vintagelake.pii.key; else one drawn at random for this application, so that
+    pseudonyms are linked inside its runs and by nobody else."""
+    given = spark.conf.get("spark.vintagelake.pii.key", None)
+    return given or _SESSION_KEYS.setdefault(spark.sparkContext.applicationId, secrets.token_hex(16))
+
+
 def keyed(key: str, label: Column | str, round_: Column, half: Column) -> Column:
     """A keyed hash as a number below 2**52."""
     label = F.lit(label) if isinstance(label, str) else label

@@ -9,54 +9,62 @@ from pyspark.sql import functions as F
 from vintagelake.llm import bpe, classifier, html, langid, media, minhash, mixing, pii, rules
 from vintagelake.llm.common import hash_part, table
 
-#: The key of the registered PII query; a deployment gives its own.
-PII_KEY = "registered-query-key"
 TOKEN_LIMIT = 2048
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domain posteriors and rates of all documents, for the default targets."""
     out = mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id"])
     return out.select("doc_id", F.col("mix_tokens").alias("n_tokens"), *(F.round(F.col("mix_posteriors")[i], 6).alias(f"p_{d}") for i, d in enumerate(mixing.DOMAINS)), F.col("mix_rate").alias("rate"), F.col("mix_miss").alias("target_miss"))
 
 
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents and their texts again, as digests."""
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents by their prefix counts."""
     return bpe.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), TOKEN_LIMIT)
 
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests and features of all texts as stored images, read back through the data source."""
     return media.media_features(media.media_column(spark, table(spark, sf_dir, "documents")))
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main texts of all pages."""
     return html.main_text(table(spark, sf_dir, "pages"))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents, learned from those that are not held out."""
     docs = table(spark, sf_dir, "documents")
     out = langid.predict(docs, langid.fit(docs))
     return out.select("doc_id", (hash_part("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learned from labels that are not held out."""
     docs = table(spark, sf_dir, "documents")
     out = classifier.predict(docs, classifier.fit(docs, table(spark, sf_dir, "labels")))
     return out.select("doc_id", (hash_part("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
 def op9_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with pseudonyms in place of personal data."""
     docs = table(spark, sf_dir, "documents")
-    return pii.pseudonymize(docs.select("doc_id", "text"), PII_KEY)
+    return pii.pseudonymize(docs.select("doc_id", "text"), pii.session_key(spark))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base measures and verdicts of all documents."""
     return rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
