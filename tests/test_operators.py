@@ -208,3 +208,38 @@ def test_readers_leave_bad_records_out(spark):
     asset, metric = providers.engine_series(F.col("s"))
     rows = spark.createDataFrame([("ENGINE:gold.a.b",), ("OTHER:x",)], "s string").select(asset.alias("a"), metric.alias("m")).collect()
     assert [tuple(r) for r in rows] == [("gold", "a.b"), (None, None)]
+
+
+def test_keyed_tables(spark, tmp_path):
+    """First batches are merged too, ties go to the later batch, overlapping batches lose nothing, and faults of reading are no empty table."""
+    folder, keys = str(tmp_path / "t"), ["k"]
+    rows = lambda *r: spark.createDataFrame(list(r), "k int, v string, version int")
+    held = lambda df: sorted((r.k, r.v) for r in df.collect())
+    assert sinks.current(spark, folder, keys, "version") is None
+    assert held(sinks.upsert(spark, folder, rows((1, "a", 1), (1, "b", 2), (2, "c", 1)), keys, "version")) == [(1, "b"), (2, "c")]
+    assert held(sinks.upsert(spark, folder, rows((1, "x", 2), (2, "y", 0)), keys, "version")) == [(1, "x"), (2, "c")]
+    # A writer that took the same number meanwhile.
+    rows((3, "z", 1)).withColumn(sinks.BATCH, F.lit(2)).write.mode("append").partitionBy(sinks.BATCH).parquet(folder)
+    assert held(sinks.current(spark, folder, keys, "version")) == [(1, "x"), (2, "c"), (3, "z")]
+    assert sinks.compacted(spark, folder, keys, "version") == 2 and sinks.numbers(spark, folder) == [3]
+    assert held(sinks.current(spark, folder, keys, "version")) == [(1, "x"), (2, "c"), (3, "z")]
+    (tmp_path / "broken" / "_batch=1").mkdir(parents=True)
+    (tmp_path / "broken" / "_batch=1" / "x.parquet").write_bytes(b"no parquet")
+    with pytest.raises(Exception, match="x.parquet"):
+        sinks.upsert(spark, str(tmp_path / "broken"), rows((1, "a", 1)), keys, "version").collect()
+
+
+def test_quality_counts_and_unrevised_figures(spark):
+    """All gaps count, five are listed; figures without a revision are told apart by their release."""
+    from vintagelake.operators import quality
+
+    days = [f"2000-{m:02d}-01" for m in range(1, 13)]
+    one = spark.createDataFrame([("A", d, d, None, 1.0) for d in days], "series_id string, obs_date string, release_date string, revision_date string, value double")
+    o = one.select("series_id", *(F.to_date(c).alias(c) for c in ("obs_date", "release_date", "revision_date")), "value")
+    specs = spark.createDataFrame([("A", "index", "daily")], "series_id string, unit string, frequency string")
+    found = {r.code: r.n for r in quality.report(o, specs).collect()}
+    assert found["missing_observations"] == 11 and quality.gaps(o, specs).count() == 5
+    later = o.withColumn("release_date", F.date_add("release_date", 9)).withColumn("value", F.lit(2.0))
+    assert quality.duplicates(o.union(later)).count() == quality.conflicts(o.union(later)).count() == 0
+    assert quality.duplicates(o.union(o)).first().n == 12
+    assert quality.stored_conflicts(o, o.withColumn("value", F.lit(3.0))).first().n == 12

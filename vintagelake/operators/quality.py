@@ -36,22 +36,27 @@ def mismatch(obs: DataFrame, specs: DataFrame, column: str) -> DataFrame:
     return finding(both.where(F.col(column) != F.col("_told")).groupBy("series_id").agg(F.count("*").alias("n")), f"{column}_mismatch", "error")
 
 
+def vintage() -> Column:
+    """The date that tells a period's vintages apart: of its revision, or of its release where it was not revised."""
+    return F.coalesce("revision_date", "release_date").alias("vintage")
+
+
 def duplicates(obs: DataFrame) -> DataFrame:
-    """Periods with the same revision date twice."""
-    twice = obs.groupBy("series_id", "obs_date", "revision_date").agg(F.count("*").alias("k")).where("k > 1")
+    """Periods with the same vintage twice."""
+    twice = obs.groupBy("series_id", "obs_date", vintage()).agg(F.count("*").alias("k")).where("k > 1")
     return finding(twice.groupBy("series_id").agg(F.count("*").alias("n")), "duplicate_timestamp", "error")
 
 
 def conflicts(obs: DataFrame) -> DataFrame:
     """Vintages that state different values, compared at ten digits after the point."""
-    keys = obs.groupBy("series_id", "obs_date", "revision_date").agg(F.count_distinct(F.round("value", 10)).alias("k")).where("k > 1")
+    keys = obs.groupBy("series_id", "obs_date", vintage()).agg(F.count_distinct(F.round("value", 10)).alias("k")).where("k > 1")
     return finding(keys.groupBy("series_id").agg(F.count("*").alias("n")), "revision_conflict", "error")
 
 
 def stored_conflicts(obs: DataFrame, stored: DataFrame, tolerance: float = 1e-9) -> DataFrame:
     """Vintages whose value is not the stored one."""
-    keys = ["series_id", "obs_date", "revision_date"]
-    both = obs.select(*keys, "value").join(stored.select(*keys, F.col("value").alias("_was")), keys)
+    keys = ["series_id", "obs_date", vintage()]
+    both = obs.select(*keys, "value").join(stored.select(*keys, F.col("value").alias("_was")), ["series_id", "obs_date", "vintage"])
     return finding(both.where(F.abs(F.col("value") - F.col("_was")) > tolerance).groupBy("series_id").agg(F.count("*").alias("n")), "revision_conflict_stored", "error")
 
 
@@ -68,11 +73,15 @@ def invalid_frequency(obs: DataFrame, specs: DataFrame) -> DataFrame:
     return finding(mid.join(specs, "series_id").where((F.col("gap") < 0.4 * nominal) | (F.col("gap") > 2.0 * nominal)), "invalid_frequency", "error")
 
 
+def all_gaps(obs: DataFrame, specs: DataFrame) -> DataFrame:
+    """Every gap that is too long: series_id, obs_date (the gap's end), gap."""
+    return periods(obs).join(specs, "series_id").where(F.col("gap") > GAP_FACTOR * by_frequency(NORMAL_GAP, F.col("frequency"))).select("series_id", "obs_date", "gap")
+
+
 def gaps(obs: DataFrame, specs: DataFrame, most: int = 5) -> DataFrame:
-    """The longest gaps of each series that are too long: series_id, obs_date (the gap's end), gap."""
-    long = periods(obs).join(specs, "series_id").where(F.col("gap") > GAP_FACTOR * by_frequency(NORMAL_GAP, F.col("frequency")))
+    """The longest gaps of each series that are too long, for a listing."""
     w = Window.partitionBy("series_id").orderBy(F.desc("gap"), "obs_date")
-    return long.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= most).select("series_id", "obs_date", "gap")
+    return all_gaps(obs, specs).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= most).drop("_rn")
 
 
 def coverage(obs: DataFrame, specs: DataFrame) -> DataFrame:
@@ -129,7 +138,7 @@ def report(obs: DataFrame, specs: DataFrame) -> DataFrame:
     """All checks' findings, one row for each series and code."""
     count = lambda df: df.groupBy("series_id").agg(F.count("*").alias("n"))
     parts = [
-        empty(obs, specs), duplicates(obs), conflicts(obs), invalid_frequency(obs, specs), finding(count(gaps(obs, specs)), "missing_observations", "warning"),
+        empty(obs, specs), duplicates(obs), conflicts(obs), invalid_frequency(obs, specs), finding(count(all_gaps(obs, specs)), "missing_observations", "warning"),
         sparse(obs, specs), finding(count(jumps(obs)), "abnormal_jump", "anomaly"), finding(count(outliers(obs)), "outlier_move", "warning"), non_positive(obs, specs), release_inversions(obs),
     ]
     return reduce(DataFrame.unionByName, parts)

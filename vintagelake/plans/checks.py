@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vintagelake.operators import quality
-from vintagelake.plans.fixtures import dayno, metadata, obs, obs_invalid, oracle, price, rates_short
+from vintagelake.plans.fixtures import dayno, metadata, obs, obs_invalid, obs_null_rev, oracle, price, rates_short
 from vintagelake.plans.registry import query
 
 N = "date_diff('day', DATE '1995-01-01', obs_date)"
@@ -53,7 +53,7 @@ def q03(spark, sf):
   UNION ALL SELECT series_id, 'revision_conflict_stored', 'error', count(*) FROM faulty f JOIN (SELECT series_id, obs_date, obs_date + 1 AS revision_date, value AS was FROM price) USING (series_id, obs_date, revision_date) WHERE abs(value - was) > 1e-9 GROUP BY 1""", *ALL))
 def q04(spark, sf):
     f = faulty(spark, sf)
-    stored = price(spark, sf).withColumn("revision_date", F.date_add("obs_date", 1))
+    stored = price(spark, sf).withColumns({c: F.date_add("obs_date", 1) for c in ("release_date", "revision_date")})
     return quality.conflicts(f).union(quality.stored_conflicts(f, stored))
 
 
@@ -103,6 +103,40 @@ def q12_status(spark, sf):
     return quality.status(quality.report(faulty(spark, sf), specs(spark)), specs(spark))
 
 
-@query("Q00_report_obs")
+#: All findings of a table `t` in SQL, for series described by `d`.
+REPORT = """report_{t} AS (WITH latest AS (SELECT * FROM {t} QUALIFY row_number() OVER (PARTITION BY series_id, obs_date ORDER BY greatest(release_date, coalesce(revision_date, release_date)) DESC, value DESC) = 1),
+  moved AS (SELECT *, value - before AS move, (value - before) / nullif(abs(before), 0) AS relative FROM (SELECT *, lag(value) OVER (PARTITION BY series_id ORDER BY obs_date) AS before FROM latest)),
+  spaced AS (SELECT *, date_diff('day', lag(obs_date) OVER (PARTITION BY series_id ORDER BY obs_date), obs_date) AS gap FROM (SELECT DISTINCT series_id, obs_date FROM {t})),
+  jumped AS (SELECT series_id, obs_date FROM moved JOIN (SELECT series_id, min(value) < 0 AND max(value) > 0 AS crosses, list_sort(list(abs(value)))[CAST(floor(0.75 * count(*)) AS INT) + 1] AS scale FROM latest GROUP BY 1) USING (series_id) WHERE CASE WHEN crosses THEN abs(move) > 3 * scale ELSE abs(relative) > 2 END)
+  SELECT series_id, 'empty' AS code, 'error' AS severity, CAST(0 AS BIGINT) AS n FROM {d} WHERE series_id NOT IN (SELECT series_id FROM {t})
+  UNION ALL SELECT series_id, 'duplicate_timestamp', 'error', count(*) FROM (SELECT series_id FROM {t} GROUP BY series_id, obs_date, coalesce(revision_date, release_date) HAVING count(*) > 1) GROUP BY 1
+  UNION ALL SELECT series_id, 'revision_conflict', 'error', count(*) FROM (SELECT series_id FROM {t} GROUP BY series_id, obs_date, coalesce(revision_date, release_date) HAVING count(DISTINCT round(value, 10)) > 1) GROUP BY 1
+  UNION ALL SELECT series_id, 'invalid_frequency', 'error', n FROM (SELECT series_id, quantile_cont(gap, 0.5) AS gap, count(*) AS n FROM spaced GROUP BY 1) JOIN {d} USING (series_id) WHERE n >= 3 AND (gap < 0.4 * CASE frequency WHEN 'daily' THEN 1 ELSE 7 END OR gap > 2.0 * CASE frequency WHEN 'daily' THEN 1 ELSE 7 END)
+  UNION ALL SELECT series_id, 'missing_observations', 'warning', count(*) FROM spaced JOIN {d} USING (series_id) WHERE gap > 3 * CASE frequency WHEN 'daily' THEN 5 ELSE 10 END GROUP BY 1
+  UNION ALL SELECT series_id, 'sparse_coverage', 'warning', present FROM (SELECT series_id, count(DISTINCT obs_date) AS present, CAST(date_diff('day', min(obs_date), max(obs_date)) AS DOUBLE) AS span FROM {t} GROUP BY 1) JOIN {d} USING (series_id) WHERE present < 0.8 * (CASE frequency WHEN 'daily' THEN span * 5 / 7 - span / 365 * 9 ELSE span / 7 END + 1)
+  UNION ALL SELECT series_id, 'abnormal_jump', 'anomaly', count(*) FROM jumped GROUP BY 1
+  UNION ALL SELECT series_id, 'outlier_move', 'warning', count(*) FROM (SELECT *, (relative - med) / nullif(1.4826 * mad, 0) AS z FROM (SELECT *, quantile_cont(abs(relative - med), 0.5) OVER (PARTITION BY series_id) AS mad FROM (SELECT *, quantile_cont(relative, 0.5) OVER (PARTITION BY series_id) AS med, count(*) OVER (PARTITION BY series_id) AS n FROM moved WHERE relative IS NOT NULL))) WHERE n >= 30 AND abs(z) > 12 AND abs(relative) <= 2 GROUP BY 1
+  UNION ALL SELECT series_id, 'non_positive_value', 'warning', count(*) FROM {t} WHERE value <= 0 AND series_id IN (SELECT series_id FROM {d} WHERE unit IN ('index', 'usd', 'usd_billions', 'ratio')) GROUP BY 1
+  UNION ALL SELECT series_id, 'release_date_inversion', 'warning', count(*) FROM (SELECT *, lag(first) OVER (PARTITION BY series_id ORDER BY obs_date) AS before FROM (SELECT series_id, obs_date, min(release_date) AS first FROM {t} GROUP BY 1, 2)) WHERE first < before GROUP BY 1)"""
+
+
+def reported(table: str, specs: str) -> tuple[str, str]:
+    name, _, body = REPORT.format(t=table, d=specs).partition(" AS ")
+    return name, body.strip()[1:-1]
+
+
+@query("Q00_report", oracle("SELECT * FROM report_faulty", FAULTY, SPECS, reported("faulty", "specs")))
 def q00(spark, sf):
+    return quality.report(faulty(spark, sf), specs(spark))
+
+
+@query("Q00_report_obs", oracle("SELECT * FROM report_obs UNION ALL SELECT * FROM report_obs_invalid", reported("obs", "metadata"), reported("obs_invalid", "metadata")))
+def q00_obs(spark, sf):
     return quality.report(obs(spark, sf), metadata(spark, sf)).unionByName(quality.report(obs_invalid(spark, sf), metadata(spark, sf)))
+
+
+@query("Q03_Q04_null_revisions", oracle("""SELECT series_id, code, severity, n FROM report_obs_null_rev WHERE code IN ('duplicate_timestamp', 'revision_conflict')""", reported("obs_null_rev", "metadata")))
+def q03_null(spark, sf):
+    """Figures that were not revised are told apart by their release."""
+    o = obs_null_rev(spark, sf)
+    return quality.duplicates(o).unionByName(quality.conflicts(o))

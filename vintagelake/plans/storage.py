@@ -169,6 +169,35 @@ def k01(spark, sf):
     return sinks.upsert(spark, folder, fresh, ["series_id", "obs_date"], "version")
 
 
+@query("K01_upsert_one_batch", oracle("SELECT series_id, obs_date, value, version FROM (SELECT series_id, obs_date, value, 1 AS version FROM price UNION ALL SELECT * FROM fresh) QUALIFY row_number() OVER (PARTITION BY series_id, obs_date ORDER BY version DESC) = 1", NEW))
+def k01_one_batch(spark, sf):
+    """Keys that repeat in the first batch are one row each."""
+    p = price(spark, sf)
+    n = dayno("obs_date")
+    fresh = p.where(n % 3 == 0).select("series_id", "obs_date", (F.col("value") + 1).alias("value"), F.lit(2).alias("version")).union(p.where(n % 50 == 0).select(F.lit("NEW"), "obs_date", "value", F.lit(1)))
+    return sinks.upsert(spark, scratch(spark), p.withColumn("version", F.lit(1)).union(fresh), ["series_id", "obs_date"], "version")
+
+
+@query("K01_compacted", oracle("SELECT series_id, obs_date, value, version FROM (SELECT *, 1 AS new FROM fresh UNION ALL SELECT series_id, obs_date, value, 1, 0 FROM price) QUALIFY row_number() OVER (PARTITION BY series_id, obs_date ORDER BY version DESC, new DESC) = 1", NEW))
+def k01_compacted(spark, sf):
+    """The log's batches written as one give the same table."""
+    p = price(spark, sf)
+    n = dayno("obs_date")
+    fresh = p.where(n % 3 == 0).select("series_id", "obs_date", (F.col("value") + 1).alias("value"), F.lit(2).alias("version")).union(p.where(n % 50 == 0).select(F.lit("NEW"), "obs_date", "value", F.lit(1)))
+    folder, keys = scratch(spark), ["series_id", "obs_date"]
+    sinks.upsert(spark, folder, p.withColumn("version", F.lit(1)), keys, "version")
+    sinks.upsert(spark, folder, fresh, keys, "version")
+    sinks.compacted(spark, folder, keys, "version")
+    return sinks.current(spark, folder, keys, "version")
+
+
+@query("K09_report", oracle("""SELECT 0 AS line_no, '| series_id | n | mean |' AS line UNION ALL SELECT 1, '| --- | --- | --- |'
+  UNION ALL SELECT CAST(1 + row_number() OVER (ORDER BY series_id) AS INT), '| ' || series_id || ' | ' || n || ' | ' || format('{:.4f}', mean) || ' |' FROM (SELECT series_id, count(*) AS n, round(sum(CAST(round(value * 100) AS BIGINT)) / 100.0 / count(*), 4) AS mean FROM obs GROUP BY 1)"""))
+def k09(spark, sf):
+    means = obs(spark, sf).groupBy("series_id").agg(F.count("*").alias("n"), F.round(F.sum(F.round(F.col("value") * 100).cast("bigint")) / 100.0 / F.count("*"), 4).alias("mean"))
+    return sinks.report_lines(means, ["series_id"])
+
+
 @query("K02_validated", oracle("SELECT series_id, rule, count(*) AS n FROM (SELECT series_id, 'release_after_obs' AS rule FROM obs_invalid WHERE release_date < obs_date) GROUP BY 1, 2"))
 def k02(spark, sf):
     from vintagelake.plans.fixtures import obs_invalid
@@ -217,7 +246,7 @@ def x01(spark, sf):
     for late in (False, True):
         o.where((dayno("revision_date") % 2 == 0) == F.lit(late)).write.mode("append").parquet(landing)
         incremental.ingest(incremental.files(spark, landing, o.schema), folder, checkpoint, ["series_id", "obs_date"], "revision_date")
-    return sinks.current(spark, folder)
+    return sinks.current(spark, folder, ["series_id", "obs_date"], "revision_date")
 
 
 @query("X02_newest_figures", oracle("SELECT series_id, obs_date, knowable_at, value FROM pit_latest"))
@@ -229,7 +258,7 @@ def x02(spark, sf):
     for late in (True, False):
         o.where((dayno("obs_date") % 2 == 0) == F.lit(late)).write.mode("append").parquet(landing)
         incremental.newest_figures(incremental.files(spark, landing, o.schema), folder, checkpoint, CUTOFF)
-    return sinks.current(spark, folder).select("series_id", "obs_date", "knowable_at", "value")
+    return sinks.current(spark, folder, ["series_id"], "place").select("series_id", "obs_date", "knowable_at", "value")
 
 
 def streamed(spark, df):

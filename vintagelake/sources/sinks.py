@@ -4,42 +4,77 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from vintagelake.operators.reshape import finite
 
 
-def merged(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Rows of both, one for each key: the one with the largest `order`, the new one of equal ones."""
-    both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-    w = Window.partitionBy(*keys).orderBy(F.desc(order), F.desc("_new"))
-    return both.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_new")
+#: Partition column of a keyed table: the number of the batch that wrote a row.
+BATCH = "_batch"
+
+
+def filesystem(spark: SparkSession, path: str):
+    """Hadoop's file system and path object for a path."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = filesystem(spark, path)
+    return fs.exists(p)
+
+
+def numbers(spark: SparkSession, folder: str, column: str = BATCH) -> list[int]:
+    """Values of a numbered partition column, from the folder's listing."""
+    fs, p = filesystem(spark, folder)
+    names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted(int(n.split("=")[1]) for n in names if n.startswith(f"{column}="))
+
+
+def one_for_each(rows: DataFrame, keys: list[str], order: str, *then: str) -> DataFrame:
+    """One row for each key: the one with the largest `order`, of equal ones by `then`, then by a hash of the row. Combined in each task first."""
+    columns = rows.columns
+    rank = F.struct(F.col(order), *map(F.col, then), F.xxhash64(*columns))
+    best = rows.groupBy(*keys).agg(F.max_by(F.struct(*columns), rank).alias("_row"))
+    return best.select(*(F.col(f"_row.`{c}`") for c in columns))
 
 
 def upsert(spark: SparkSession, folder: str, new: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Merges new rows into the table under folder. Each version is a folder of its own; a pointer file, written last, names the current one.
+    """Adds rows to the keyed table under folder and returns the table as it is read then.
 
-    Readers see the old version until the pointer changes; the same rows once more change nothing.
+    The table is a log of batches, one partition folder each: a batch is reduced to a row for each of its keys and appended
+    under the next number; nothing is rewritten, so a batch costs what it holds, and writers that overlap lose nothing.
+    Reading takes each key's row with the largest `order`, of equal ones the one of the latest batch. The same rows once
+    more change nothing.
     """
-    old = current(spark, folder)
-    version = uuid.uuid4().hex
-    (new if old is None else merged(old, new, keys, order)).write.parquet(f"{folder}/v={version}")
-    stamp = spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("at"))
-    stamp.coalesce(1).write.mode("append").json(f"{folder}/pointer")
-    return current(spark, folder)
+    number = (numbers(spark, folder) or [0])[-1] + 1
+    one_for_each(new, keys, order).withColumn(BATCH, F.lit(number)).write.mode("append").partitionBy(BATCH).parquet(folder)
+    return current(spark, folder, keys, order)
 
 
-def current(spark: SparkSession, folder: str) -> DataFrame | None:
-    try:
-        row = spark.read.schema("version string, at timestamp").json(f"{folder}/pointer").orderBy(F.desc("at")).first()
-    except AnalysisException:
+def current(spark: SparkSession, folder: str, keys: list[str], order: str) -> DataFrame | None:
+    """The keyed table's rows, one for each key; None where nothing was written."""
+    if not exists(spark, folder):
         return None
-    return spark.read.parquet(f"{folder}/v={row.version}") if row else None
+    return one_for_each(spark.read.parquet(folder), keys, order, BATCH).drop(BATCH)
+
+
+def compacted(spark: SparkSession, folder: str, keys: list[str], order: str) -> int:
+    """Writes the table's rows as one batch and removes the batches that it was made of. Returns how many these were."""
+    held = numbers(spark, folder)
+    if len(held) < 2:
+        return 0
+    rows = one_for_each(spark.read.parquet(folder).where(F.col(BATCH) <= held[-1]), keys, order, BATCH).drop(BATCH)
+    rows.withColumn(BATCH, F.lit(held[-1] + 1)).write.mode("append").partitionBy(BATCH).parquet(folder)
+    for n in held:
+        fs, p = filesystem(spark, f"{folder}/{BATCH}={n}")
+        fs.delete(p, True)
+    return len(held)
 
 
 #: What a payload row must be, by table: a name and a test for each rule.
@@ -83,10 +118,9 @@ class ArtifactStore:
         self.spark, self.folder = spark, folder
 
     def rows(self) -> DataFrame | None:
-        try:
-            return self.spark.read.schema("name string, version string, fit_date date, sha256 string, body string").json(self.folder)
-        except AnalysisException:
+        if not exists(self.spark, self.folder):
             return None
+        return self.spark.read.schema("name string, version string, fit_date date, sha256 string, body string").json(self.folder)
 
     def put(self, name: str, version: str, fit_date: str, document: dict) -> str:
         """The digest. The same document once more is nothing new; another one under the same key raises."""
@@ -121,13 +155,20 @@ def markdown(df: DataFrame, most: int = 200) -> str:
 
 
 def archive_paths(paths: DataFrame, folder: str, asset: str, as_of: str, version: str) -> DataFrame:
-    """Simulated paths under a key that is written once: the same key again keeps what is there. Returns what is stored."""
+    """Simulated paths under a key that is written once: the same key again keeps what is there. Returns what is stored.
+
+    Rows are written aside and moved to the key's place in one step; where another writer was first, its rows stay.
+    """
     spark, at = paths.sparkSession, f"{folder}/asset={asset}/as_of={as_of}/version={version}"
-    try:
-        return spark.read.schema(paths.schema).parquet(at) if spark.read.parquet(at).columns else paths
-    except AnalysisException:
-        paths.write.parquet(at)
-        return spark.read.schema(paths.schema).parquet(at)
+    if not exists(spark, at):
+        aside = f"{folder}/_aside-{uuid.uuid4().hex}"
+        paths.write.parquet(aside)
+        fs, target = filesystem(spark, at)
+        _, source = filesystem(spark, aside)
+        fs.mkdirs(target.getParent())
+        if fs.exists(target) or not fs.rename(source, target):
+            fs.delete(source, True)
+    return spark.read.schema(paths.schema).parquet(at)
 
 
 def archived(spark: SparkSession, folder: str) -> DataFrame:
@@ -136,22 +177,28 @@ def archived(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def staged(spark: SparkSession, folder: str, read: Callable[[], DataFrame], ttl_hours: float) -> DataFrame:
-    """What read() gives, staged as Parquet: within the time to live from the stage, and from it too where reading fails."""
-    fresh = None
-    try:
-        stamps = spark.read.schema("version string, at timestamp").json(f"{folder}/pointer").orderBy(F.desc("at")).withColumn("age", F.unix_timestamp(F.current_timestamp()) - F.unix_timestamp("at")).first()
-        fresh = stamps is not None and stamps.age < ttl_hours * 3600
-    except AnalysisException:
-        pass
-    if fresh:
-        return current(spark, folder)
+    """What read() gives, staged as Parquet: within the time to live from the stage, and from it too where reading fails.
+
+    A stage is a folder named by the second it was begun; one without Spark's mark of success is not looked at.
+    """
+    done = [n for n in numbers(spark, folder, "at") if exists(spark, f"{folder}/at={n}/_SUCCESS")]
+    newest = lambda n: spark.read.parquet(f"{folder}/at={n}")
+    now = int(time.time())
+    if done and now - done[-1] < ttl_hours * 3600:
+        return newest(done[-1])
     try:
-        new = read()
-        version = uuid.uuid4().hex
-        new.write.parquet(f"{folder}/v={version}")
+        read().write.parquet(f"{folder}/at={max(now, done[-1] + 1 if done else 0)}")
     except Exception:
-        if fresh is None:
+        if not done:
             raise
-        return current(spark, folder)
-    spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("at")).coalesce(1).write.mode("append").json(f"{folder}/pointer")
-    return current(spark, folder)
+        return newest(done[-1])
+    return newest(numbers(spark, folder, "at")[-1])
+
+
+def report_lines(df: DataFrame, order: list[str]) -> DataFrame:
+    """(line_no, line): a result as the lines of a Markdown table, in order; doubles with four digits after the point."""
+    shown = [F.when(F.col(c).isNull(), "").otherwise(F.format_string("%.4f", c) if kind in ("double", "float") else F.col(c).cast("string")) for c, kind in df.dtypes]
+    body = df.select(F.row_number().over(Window.orderBy(*order)).alias("n"), F.concat(F.lit("| "), F.concat_ws(" | ", *shown), F.lit(" |")).alias("line"))
+    head = ["| " + " | ".join(df.columns) + " |", "| " + " | ".join(["---"] * len(df.columns)) + " |"]
+    top = df.sparkSession.createDataFrame(list(enumerate(head)), "line_no int, line string")
+    return top.union(body.select((F.col("n") + 1).alias("line_no"), "line"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from vintagelake.operators.pit import knowable_at, newest
-from vintagelake.sources.sinks import merged, upsert
+from vintagelake.sources.sinks import upsert
 
 
 def files(spark: SparkSession, folder: str, schema, per_trigger: int = 1_000) -> DataFrame:
@@ -26,7 +26,7 @@ def run_available(df: DataFrame, folder: str, checkpoint: str, mode: str = "appe
 
 
 def ingest(stream: DataFrame, folder: str, checkpoint: str, keys: list[str], order: str) -> StreamingQuery:
-    """Micro-batches merged into a keyed table; a batch that runs twice changes nothing."""
+    """Micro-batches appended to a keyed table; a batch that runs twice changes nothing."""
 
     def write(batch: DataFrame, _: int) -> None:
         if not batch.isEmpty():
@@ -38,7 +38,7 @@ def ingest(stream: DataFrame, folder: str, checkpoint: str, keys: list[str], ord
 
 
 def newest_figures(stream: DataFrame, folder: str, checkpoint: str, as_of: str) -> StreamingQuery:
-    """Keeps the newest known period of each series up to date: each batch's newest rows are merged with those held."""
+    """Keeps the newest known period of each series up to date: each batch's newest rows, few for a series, are appended to those held."""
     order = F.struct("obs_date", "knowable_at")
 
     def write(batch: DataFrame, _: int) -> None:
@@ -68,4 +68,4 @@ def without_replays(stream: DataFrame, ts: str, keys: list[str], late: str = "1
     return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
 
 
-__all__ = ["files", "ingest", "merged", "newest_figures", "run_available", "sessions", "windowed", "without_replays"]
+__all__ = ["files", "ingest", "newest_figures", "run_available", "sessions", "windowed", "without_replays"]
