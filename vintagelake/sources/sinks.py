@@ -86,6 +86,7 @@ RULES: dict[str, dict[str, Callable[[], Column]]] = {
         "revision_after_release": lambda: F.coalesce("revision_date", "release_date") >= F.col("release_date"),
     },
     "factors": {"name": lambda: F.length(F.trim("name")) > 0, "score": lambda: F.col("score").between(0, 100)},
+    "outputs": {"metric": lambda: F.length(F.trim("metric")) > 0, "value": lambda: finite(F.col("value"))},
     "regimes": {"probability": lambda: F.col("probability").between(0, 1)},
 }
 
@@ -102,6 +103,15 @@ def chunks(df: DataFrame, keys: list[str], order: list[str], size: int) -> DataF
     return df.withColumn("chunk", F.floor((F.row_number().over(w) - 1) / size).cast("int"))
 
 
+def payloads(heads: DataFrame, rows: DataFrame, keys: list[str], order: list[str], size: int) -> DataFrame:
+    """keys, chunk, rows (an array of `size` at most) and the head's columns, which ride with chunk 0 alone; a head without rows has chunk 0 too."""
+    rest = [c for c in rows.columns if c not in keys]
+    parts = chunks(rows, keys, order, size).groupBy(*keys, "chunk").agg(F.array_sort(F.collect_list(F.struct(*order, *(c for c in rest if c not in order)))).alias("rows"))
+    head = [c for c in heads.columns if c not in keys]
+    both = parts.join(heads.withColumn("_known", F.lit(True)), keys, "full").withColumn("chunk", F.coalesce("chunk", F.lit(0)))
+    return both.select(*keys, "chunk", "rows", *(F.when(F.col("chunk") == 0, F.col(c)).alias(c) for c in head))
+
+
 def batched(df: DataFrame, folder: str, rows: int = 900) -> None:
     """Files of at most so many rows."""
     df.write.option("maxRecordsPerFile", rows).mode("append").parquet(folder)
@@ -135,8 +145,11 @@ class ArtifactStore:
             row.withColumn("fit_date", F.to_date("fit_date")).coalesce(1).write.mode("append").json(self.folder)
         return digest
 
-    def latest(self, name: str) -> dict | None:
+    def latest(self, name: str, as_of: str | None = None) -> dict | None:
+        """The latest document under a name; of those fitted at or before as_of, if given."""
         rows = self.rows()
+        if rows is not None and as_of is not None:
+            rows = rows.where(F.col("fit_date") <= F.lit(as_of).cast("date"))
         found = [] if rows is None else latest_artifacts(rows.where(F.col("name") == name)).collect()
         return json.loads(found[0].body) if found else None
 
