@@ -243,3 +243,33 @@ def test_quality_counts_and_unrevised_figures(spark):
     assert quality.duplicates(o.union(later)).count() == quality.conflicts(o.union(later)).count() == 0
     assert quality.duplicates(o.union(o)).first().n == 12
     assert quality.stored_conflicts(o, o.withColumn("value", F.lit(3.0))).first().n == 12
+
+
+def test_midranks_against_counting():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 3, 17, 64, 201):
+        v = rng.integers(0, 12, n).astype(float)
+        want = [0.5 if not i else ((v[:i] < x).sum() + (v[:i] <= x).sum()) / 2 / i for i, x in enumerate(v)]
+        assert windows.midranks(v) == pytest.approx(np.array(want, float))
+    assert windows.midranks(np.arange(200_000.0)[::-1])[-1] == 0
+
+
+def test_refit_cutoffs_and_daily_failures(spark, tmp_path):
+    """All days of a month have the month before's last day; a failing engine leaves the others' rows."""
+    from vintagelake.plans import assets
+
+    assert {assets.refit_cutoff(dt.date(2026, 8, d)) for d in range(1, 32)} == {dt.date(2026, 7, 31)}
+    assert assets.refit_cutoff(dt.date(2024, 3, 10)) == dt.date(2024, 2, 29) and assets.refit_cutoff(dt.date(2026, 1, 1)) == dt.date(2025, 12, 31)
+
+    class Bad(assets.GoldEngine):
+        asset = "bad"
+
+        def history(self, view):
+            raise RuntimeError("no state")
+
+    days = [dt.date(2020, 1, 1) + dt.timedelta(i) for i in range(400)]
+    o = obs(spark, [("PX", d, d, d, 100.0 + i % 7) for i, d in enumerate(days)])
+    out, failed = assets.daily(spark, [Bad({"price": "PX"}), assets.CryptoEngine({"price": "PX"})], o, str(days[-1]), str(tmp_path / "out"))
+    assert failed == {"bad": "no state"} and {r.asset for r in out.collect()} == {"crypto"}
+    with pytest.raises(KeyError):
+        assets.MoneyEngine({"bill": "B"})

@@ -82,8 +82,7 @@ def calibrated_forecast(rows: DataFrame, features: list[str], label: str, rounds
     """obs_date, raw and p: out-of-fold scores under purged folds, and what isotonic regression makes of them."""
     from pyspark.ml.regression import IsotonicRegression
 
-    rows = rows.cache()
-    plan = purged_folds(rows, folds, horizon_months, horizon_months).cache()
+    plan = purged_folds(rows, folds, horizon_months, horizon_months)
     parts = []
     for k in range(folds):
         fold = rows.join(plan.where(F.col("fold") == k).select("obs_date", "role"), "obs_date")
@@ -123,15 +122,15 @@ def contributions(rows: DataFrame, features: list[str], label: str, rounds: int
 
         for pdf in batches:
             x = pdf[features].to_numpy(float)
-            parts = np.zeros((len(x), len(features)))
-            for root, weight in roots:
-                for i, row in enumerate(x):
-                    at = root
-                    while nodes[at, 0] >= 0:
-                        f = int(nodes[at, 0])
-                        to = int(nodes[at, 2] if row[f] <= nodes[at, 1] else nodes[at, 3])
-                        parts[i, f] += weight * (nodes[to, 4] - nodes[at, 4])
-                        at = to
+            parts, rows = np.zeros((len(x), len(features))), np.arange(len(x))
+            for root, weight in roots:  # all rows go down a tree together, a split at a time
+                at, going = np.full(len(x), root), rows
+                while len(going := going[nodes[at[going], 0] >= 0]):
+                    here = at[going]
+                    f = nodes[here, 0].astype(int)
+                    to = np.where(x[going, f] <= nodes[here, 1], nodes[here, 2], nodes[here, 3]).astype(int)
+                    parts[going, f] += weight * (nodes[to, 4] - nodes[here, 4])
+                    at[going] = to
             yield pd.DataFrame({"obs_date": pdf["obs_date"], "contributions": [dict(zip(features, map(float, p), strict=True)) for p in parts]})
 
     return rows.select("obs_date", *features).mapInPandas(run, "obs_date date, contributions map<string,double>")

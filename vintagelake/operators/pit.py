@@ -96,14 +96,16 @@ def repair_pre_archive_releases(obs: DataFrame, frequency: Column, lag_days: int
     period was released earlier. The new date is no later than any release of this or a later period. A revision date
     at or before the old release moves with it.
     """
-    series = Window.partitionBy("series_id")
-    later = Window.partitionBy("series_id").orderBy(F.desc("obs_date")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    df = obs.withColumn("_epoch", F.min("release_date").over(series)).withColumn("_floor", F.min("release_date").over(later))
-    df = df.withColumn("_seeded", F.count_if(F.col("release_date") == F.col("_epoch")).over(series) > 1)
+    # The epoch and how many rows bear it are sums by date; the floor runs over periods, which are fewer than vintages.
+    by_date = obs.groupBy("series_id", "release_date").agg(F.count("*").alias("n"))
+    epochs = by_date.groupBy("series_id").agg(F.min("release_date").alias("_epoch"), (F.min_by("n", "release_date") > 1).alias("_seeded"))
+    later = Window.partitionBy("series_id").orderBy(F.desc("obs_date")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    floors = obs.groupBy("series_id", "obs_date").agg(F.min("release_date").alias("_first")).select("series_id", "obs_date", F.min("_first").over(later).alias("_floor"))
+    df = obs.join(epochs, "series_id").join(floors, ["series_id", "obs_date"])
     stamped = (F.col("_seeded") & (F.col("release_date") == F.col("_epoch")) & (F.col("obs_date") < F.col("_epoch"))) | (F.col("_floor") < F.col("release_date"))
     fixed = F.when(stamped, F.least(synthesized_release(F.col("obs_date"), frequency, lag_days), F.col("_floor"))).otherwise(F.col("release_date"))
     moved = F.when(F.col("revision_date") <= F.col("release_date"), fixed).otherwise(F.col("revision_date"))
-    return df.withColumn("_fixed", fixed).withColumn("revision_date", moved).withColumn("release_date", F.col("_fixed")).drop("_epoch", "_floor", "_seeded", "_fixed")
+    return df.withColumn("_fixed", fixed).withColumn("revision_date", moved).withColumn("release_date", F.col("_fixed")).select(*obs.columns)
 
 
 def available(obs: DataFrame, metadata: DataFrame, as_of: date | str) -> DataFrame:

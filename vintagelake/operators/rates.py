@@ -73,13 +73,11 @@ def realized_carry(path: DataFrame, keys: list[str], span: int, basis: int = 360
 
     Null where that day is too far off, and where wealth fell below its start inside the span, as after a restart.
     """
+    # Between the start, the newest day at or before the span's first, and that first day lies no other day.
+    frame = Window.partitionBy(*keys).orderBy(F.datediff("obs_date", F.lit("1970-01-01").cast("date"))).rangeBetween(-span, 0)
     points = path.select(*keys, "obs_date", "wealth")
-    probes = points.withColumns({"day": F.col("obs_date"), "end": F.col("wealth")}).select(*keys, F.date_sub("obs_date", span).alias("probe"), "day", "end")
-    found = as_of_join(probes, points, keys, "probe", "obs_date", ["wealth"])
-    w = Window.partitionBy(*keys).orderBy(F.datediff("obs_date", F.lit("1970-01-01").cast("date"))).rangeBetween(-int(span + max(10, 0.1 * span)), 0)
-    lows = points.select(*keys, F.col("obs_date").alias("day"), F.collect_list(F.struct("obs_date", "wealth")).over(w).alias("_in"))
-    df = found.join(lows, [*keys, "day"])
+    probes = points.select(*keys, F.date_sub("obs_date", span).alias("probe"), F.col("obs_date").alias("day"), F.col("wealth").alias("end"), F.min("wealth").over(frame).alias("low"))
+    df = as_of_join(probes, points, keys, "probe", "obs_date", ["wealth"])
     took = F.datediff("day", "as_of_obs_date")
-    low = F.array_min(F.transform(F.filter("_in", lambda p: p["obs_date"] >= F.col("as_of_obs_date")), lambda p: p["wealth"]))
-    ok = (F.abs(took - span) <= max(10, 0.1 * span)) & (low >= F.col("wealth"))
+    ok = (F.abs(took - span) <= max(10, 0.1 * span)) & (F.col("low") >= F.col("wealth"))
     return df.select(*keys, F.col("day").alias("obs_date"), F.when(ok, 100 * F.log(F.col("end") / F.col("wealth")) * basis / took).alias("carry"))

@@ -73,9 +73,11 @@ def g07(spark, sf):
     return gold.jumps(returns(spark, sf)).select("obs_date", rnd("statistic", 5).alias("statistic"), "is_jump", rnd("intensity").alias("intensity"))
 
 
-@query("G08_crisis_premium", oracle("SELECT obs_date, round(least(1, greatest(0, least(1, (n % 9) / 6.0::DOUBLE) * (1 + 0.5 * greatest(0, y)))), 6) AS premium FROM returns", RETURNS))
+@query("G08_crisis_premium", oracle(f"SELECT obs_date, round(least(1, greatest(0, least(1, intensity / 6.0::DOUBLE) * (1 + 0.5 * greatest(0, y)))), 6) AS premium FROM (SELECT *, CASE WHEN count(*) {over(252)} >= 63 THEN avg(CAST(is_jump AS INT)) {over(252)} * 252 END AS intensity FROM jumped) WHERE intensity IS NOT NULL", RETURNS, JUMPS))
 def g08(spark, sf):
-    return returns(spark, sf).select("obs_date", rnd(finance.crisis_premium(F.col("n") % 9, F.col("y"))).alias("premium"))
+    """By the intensity of the jumps found."""
+    j = gold.jumps(returns(spark, sf)).where("intensity is not null")
+    return j.select("obs_date", rnd(finance.crisis_premium(F.col("intensity"), F.col("y"))).alias("premium"))
 
 
 @query("G09_hedge_score", oracle(f"""SELECT obs_date, days, round(least(100, greatest(0, 100 * CASE WHEN c IS NULL THEN support ELSE 0.6 * least(1, greatest(0, (1 - c) / 2)) + 0.4 * support END)), 5) AS score FROM (SELECT *, count(ma) {over(504)} AS days, CASE WHEN count(ma) {over(504)} >= 40 THEN corr(ma, mb) {over(504)} END AS c FROM (SELECT *, CASE WHEN fallen AND e IS NOT NULL THEN r END AS ma, CASE WHEN fallen AND r IS NOT NULL THEN e END AS mb FROM (SELECT *, (n % 5) / 5.0::DOUBLE AS support, legacy / max(legacy) {over(252)} - 1 <= -0.05 AS fallen, ln(legacy / lag(legacy) OVER ({BY})) AS e FROM drivers)))""", *BASE))
@@ -180,9 +182,11 @@ def y03(spark, sf):
     return models.filtered_trend(price(spark, sf))
 
 
-@query("Y04_ffd_weights", oracle("SELECT k, round(w, 10) AS w FROM (WITH RECURSIVE t(k, w) AS (SELECT 0, 1.0::DOUBLE UNION ALL SELECT k + 1, -w * (0.4 - (k + 1) + 1) / (k + 1) FROM t WHERE k < 249) SELECT k, w FROM t) WHERE abs(w) >= 0.001"))
+@query("Y04_ffd_weights", oracle("SELECT d, k, round(w, 10) AS w FROM (WITH RECURSIVE t(d, k, w) AS (SELECT DISTINCT (n % 4 + 2) / 10.0::DOUBLE AS d, 0, 1.0::DOUBLE FROM returns UNION ALL SELECT d, k + 1, -w * (d - (k + 1) + 1) / (k + 1) FROM t WHERE k < 249) SELECT d, k, w FROM t) WHERE abs(w) >= 0.001", RETURNS))
 def y04(spark, sf):
-    return spark.createDataFrame([(k, round(w, 10)) for k, w in enumerate(windows.ffd_weights(0.4, 1e-3, 250))], "k int, w double")
+    """Weights of the orders that a table names."""
+    orders = returns(spark, sf).select((((F.col("n") % 4) + 2) / 10.0).alias("d")).distinct()
+    return windows.ffd_weight_rows(orders, "d", 1e-3, 250).select("d", "k", rnd("w", 10).alias("w"))
 
 
 @query("Y05_least_differencing")
@@ -296,20 +300,26 @@ def y21(spark, sf):
     return equity.tail(aggregates.episodes(d, ["series_id"], "obs_date", "depth", 0.5), "depth", 0.5, 5)
 
 
-@query("Y22_horizon_probability", oracle("SELECT obs_date, round(1 - exp(-(0.02 * 12 * power(1 + 0.33 * (0.2 - 0.1) / 0.083, -1 / 0.33) * (0.5 + 1.5 * least(9, floor((n % 101) / 10.0::DOUBLE)) / 9))), 6) AS p FROM returns", RETURNS))
+@query("Y22_horizon_probability", oracle("SELECT obs_date, round(1 - exp(-(0.02 * 12 * power(1 + 0.33 * (0.2 - 0.1) / 0.083, -1 / 0.33) * (0.5 + 1.5 * least(9, floor(rii / 10.0::DOUBLE)) / 9))), 6) AS p FROM (SELECT obs_date, round(avg(score), 5) AS rii FROM sp GROUP BY 1)", RETURNS, LONG, ZP, SP))
 def y22(spark, sf):
+    """By each day's instability index."""
     survival = finance.gpd_survival(F.lit(0.2), 0.1, 0.33, 0.083)
-    return returns(spark, sf).select("obs_date", rnd(finance.horizon_probability(0.02, 12.0, survival, finance.hazard_multiplier((F.col("n") % 101).cast("double")))).alias("p"))
+    return y20(spark, sf).select("obs_date", rnd(finance.horizon_probability(0.02, 12.0, survival, finance.hazard_multiplier(F.col("rii")))).alias("p"))
 
 
 MOVE = np.array([[0.9, 0.06, 0.02, 0.01, 0.01], [0.05, 0.88, 0.05, 0.01, 0.01], [0.02, 0.05, 0.86, 0.05, 0.02], [0.01, 0.02, 0.07, 0.85, 0.05], [0.01, 0.01, 0.03, 0.1, 0.85]])
 
 
-@query("Y23_first_passage", oracle("SELECT * FROM (WITH RECURSIVE t(step, a, b, c, hit) AS (SELECT 0, 0.5::DOUBLE, 0.3::DOUBLE, 0.2::DOUBLE, 0.0::DOUBLE UNION ALL SELECT step + 1, a*0.9 + b*0.05 + c*0.02, a*0.06 + b*0.88 + c*0.05, a*0.02 + b*0.05 + c*0.86, hit + a*0.02 + b*0.02 + c*0.07 FROM t WHERE step < 63) SELECT step AS steps, round(hit, 6) AS p FROM t WHERE step = 63)"))
+REACH = ("reach", "SELECT s, hit FROM (WITH RECURSIVE t(s, step, a, b, c, hit) AS (SELECT s, 0, CAST(s = 0 AS INT)::DOUBLE, CAST(s = 1 AS INT)::DOUBLE, CAST(s = 2 AS INT)::DOUBLE, 0.0::DOUBLE FROM (VALUES (0), (1), (2)) AS v(s) UNION ALL SELECT s, step + 1, a*0.9 + b*0.05 + c*0.02, a*0.06 + b*0.88 + c*0.05, a*0.02 + b*0.05 + c*0.86, hit + a*0.02 + b*0.02 + c*0.07 FROM t WHERE step < 63) SELECT * FROM t WHERE step = 63)")
+
+
+@query("Y23_first_passage", oracle("SELECT obs_date, round(p0 * (SELECT hit FROM reach WHERE s = 0) + (0.9 - p0) * (SELECT hit FROM reach WHERE s = 1) + 0.1::DOUBLE * (SELECT hit FROM reach WHERE s = 2), 6) AS p FROM (SELECT obs_date, (n % 9) / 10.0::DOUBLE AS p0 FROM returns)", RETURNS, REACH))
 def y23(spark, sf):
-    reach = models.first_passage(MOVE, [3, 4], 63)
-    p = F.aggregate(F.zip_with(F.array(*map(F.lit, (0.5, 0.3, 0.2))), F.array(*(F.lit(float(x)) for x in reach[:3])), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    return spark.range(1).select(F.lit(63).alias("steps"), rnd(p).alias("p"))
+    """From each day's posterior of the three benign states."""
+    p0 = F.col("n") % 9 / 10.0
+    posterior = returns(spark, sf).select("obs_date", F.array(p0, 0.9 - p0, F.lit(0.1)).alias("p"))
+    reach = F.array(*(F.lit(float(x)) for x in models.first_passage(MOVE, [3, 4], 63)[:3]))
+    return posterior.select("obs_date", rnd(F.aggregate(F.zip_with("p", reach, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)).alias("p"))
 
 
 @query("Y24_transmission", oracle("SELECT obs_date, round(greatest(0.1, (least(1, greatest(0, (n % 15 - 3) / 7.0::DOUBLE)) + coalesce(b, 0) + least(1, greatest(0, (sin(n / 9.0::DOUBLE) + 0.5) / 2))) / (2 + CAST(b IS NOT NULL AS INT))), 6) AS score FROM (SELECT *, least(1, greatest(0, r / 2)) AS b0, CASE WHEN r IS NOT NULL THEN least(1, greatest(0, r / 2)) END AS b FROM returns)", RETURNS))

@@ -407,7 +407,9 @@ def p05(spark, sf):
 def p07(spark, sf):
     from vintagelake.operators.reshape import by_role
 
-    roles, missing = by_role({"price": "1-URGENT", "fallback": "5-LOW", "extra": "NONE"}, optional={"extra"}, present={r.series_id for r in metadata(spark, sf).join(obs(spark, sf), "series_id", "left_semi").select("series_id").distinct().collect()})
+    wanted = {"price": "1-URGENT", "fallback": "5-LOW", "extra": "NONE"}
+    known = obs(spark, sf).where(F.col("series_id").isin(*wanted.values())).select("series_id").distinct()  # as many as roles
+    roles, missing = by_role(wanted, optional={"extra"}, present={r.series_id for r in known.collect()})
     assert missing == ["extra"]
     return obs(spark, sf).join(F.broadcast(spark.createDataFrame(list(roles.items()), "role string, series_id string")), "series_id").groupBy("role").agg(F.count("*").alias("n"))
 
