@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 
 from vintagelake.llm.common import hash_part, held, map_texts, steps, written
 
-#: Runs of letters of any script: word characters that are neither digits nor numbers of other kinds, such as fractions.
-NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isdecimal() and unicodedata.category(c)[0] != "L")
-LETTERS = re.compile(rf"[^\W\d_{re.escape(NUMBERS)}]+")
+#: Runs of word characters but digits; and those in them that are no letters, such as fractions and Roman numbers.
+RUNS = re.compile(r"[^\W\d_]+")
+NUMBERS = frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isdecimal() and unicodedata.category(c)[0] != "L")
 #: Bound of the fit: labelled documents of one language.
 MAX_TRAIN_PER_LANG = 2_000
 #: What occurs less often in the training documents tells nothing yet.
@@ -31,6 +31,16 @@ BACKOFF = 0.6
 MEMO = 200_000
 
 
+def word_counts(text: str) -> Counter:
+    """The text's words in lower case: runs of letters of any script."""
+    counts = Counter(RUNS.findall(text.lower()))
+    for run in [w for w in counts if not w.isascii() and not NUMBERS.isdisjoint(w)]:
+        n = counts.pop(run)
+        for w in "".join(" " if c in NUMBERS else c for c in run).split():
+            counts[w] += n
+    return counts
+
+
 def gram_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(lang, size, gram, n): words (size 0) and the n-grams inside their borders, summed in each task first."""
 
@@ -38,7 +48,7 @@ def gram_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         for part, texts in steps(batches, "text"):
             words: dict[str, Counter] = defaultdict(Counter)
             for lang, t in zip(part.column("lang").to_pylist(), texts, strict=True):
-                words[lang].update(LETTERS.findall(t.lower()))
+                words[lang].update(word_counts(t))
             for lang, counted in words.items():
                 grams: Counter = Counter()
                 for w, n in counted.items():
@@ -81,19 +91,37 @@ class LanguageModel:
             at = np.fromiter(known.values(), np.int64, len(known))
             self.logs[at] = np.log((counts[at] + 0.5) / (totals[size] + 0.5 * (len(known) + 1)))
 
-    def word(self, w: str) -> np.ndarray:
-        """Scores of a word in each language: its own, or the mean of the longest n-grams of it that are known."""
-        own = self.at[0].get(w)
-        if own is not None:
-            return self.logs[own]
-        w, weight = f"_{w}_", 1.0
-        for size in range(min(LONGEST, len(w)), 0, -1):
-            weight *= BACKOFF
-            known = self.at[size]
-            found = [known[g] for i in range(len(w) - size + 1) if (g := w[i : i + size]) in known and g != "_"]
+    def words(self, new: list[str]) -> np.ndarray:
+        """Scores of words in each language: a word's own, or the mean of the longest n-grams of it that are known. All words at once, size by size."""
+        out = np.zeros((len(new), len(self.langs)), np.float32)
+        own = self.at[0].get
+        rows = [own(w, -1) for w in new]
+        known = [i for i, r in enumerate(rows) if r >= 0]
+        if known:
+            out[known] = self.logs[[rows[i] for i in known]]
+        open_ = [(i, f"_{w}_") for i, (w, r) in enumerate(zip(new, rows, strict=True)) if r < 0]
+        for size in range(LONGEST, 0, -1):
+            get = self.at[size].get
+            left, found, flat, sizes, steps = [], [], [], [], []
+            for i, w in open_:
+                n = len(w)
+                at = [r for k in range(n - size + 1) if (r := get(w[k : k + size], -1)) >= 0 and (size > 1 or w[k] != "_")]
+                if at:
+                    found.append(i)
+                    flat += at
+                    sizes.append(len(at))
+                    steps.append(min(LONGEST, n) - size + 1)
+                else:
+                    left.append((i, w))
             if found:
-                return weight * self.logs[found].mean(0)
-        return np.zeros(len(self.langs), np.float32)
+                n = np.array(sizes)
+                sums = np.add.reduceat(self.logs[flat], np.concatenate([[0], np.cumsum(n)[:-1]]), axis=0)
+                out[found] = sums * (BACKOFF ** np.array(steps) / n)[:, None]
+            open_ = left
+        return out
+
+    def word(self, w: str) -> np.ndarray:
+        return self.words([w])[0]
 
 
 class Memo:
@@ -101,18 +129,18 @@ class Memo:
 
     def __init__(self, langs: int):
         self.rows: dict[str, int] = {}
-        self.vectors = np.zeros((1024, langs))
+        self.vectors = np.zeros((0, langs), np.float32)
 
     def add(self, words: set[str], model: LanguageModel) -> None:
-        if len(self.rows) > MEMO:
-            self.rows.clear()
-        for w in words:
-            if w not in self.rows:
-                i = len(self.rows)
-                if i == len(self.vectors):
-                    self.vectors = np.concatenate([self.vectors, np.zeros_like(self.vectors)])
-                self.vectors[i] = model.word(w)
-                self.rows[w] = i
+        new = [w for w in words if w not in self.rows]
+        if new and len(self.rows) + len(new) > MEMO:  # keep what these texts use
+            kept = [w for w in words if w in self.rows]
+            self.vectors = self.vectors[[self.rows[w] for w in kept]] if kept else self.vectors[:0]
+            self.rows = {w: i for i, w in enumerate(kept)}
+        if new:
+            start = len(self.rows)
+            self.vectors = np.concatenate([self.vectors, model.words(new)])
+            self.rows.update(zip(new, range(start, start + len(new)), strict=True))
 
 
 def fit(docs: DataFrame, per_lang: int = MAX_TRAIN_PER_LANG) -> LanguageModel:
@@ -138,7 +166,7 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", keep: lis
         m = shared.value
         memo = held(name, lambda: Memo(len(m.langs)))
         langs, scores = [], []
-        counted = [Counter(LETTERS.findall(t.lower())) for t in texts]
+        counted = [word_counts(t) for t in texts]
         memo.add(set().union(*counted), m)
         for c in counted:
             if not c or not m.langs:
@@ -146,7 +174,7 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", keep: lis
                 scores.append(0.0)
                 continue
             at = np.fromiter(map(memo.rows.__getitem__, c), np.int64, len(c))
-            total = np.fromiter(c.values(), np.float64, len(c)) @ memo.vectors[at]
+            total = np.fromiter(c.values(), np.float64, len(c)) @ memo.vectors[at].astype(np.float64)
             best = int(np.argmax(total))
             langs.append(m.langs[best])
             scores.append(1 / math.fsum(np.exp(np.maximum(total - total[best], -700.0))))

@@ -70,10 +70,10 @@ def e01(spark, sf):
     return c.select("obs_date", F.size("points").cast("bigint").alias("tenors"), rnd(rates.total(F.col("points"), lambda p: p["maturity"] * p["yield"])).alias("checksum"))
 
 
-@query("E02_loadings", oracle("SELECT tenor, round((1-exp(-0.609*maturity))/(0.609*maturity), 8) AS slope, round((1-exp(-0.609*maturity))/(0.609*maturity) - exp(-0.609*maturity), 8) AS curvature FROM tenors"))
+@query("E02_loadings", oracle("SELECT obs_date, tenor, round((1-exp(-0.609*maturity))/(0.609*maturity), 8) AS slope, round((1-exp(-0.609*maturity))/(0.609*maturity) - exp(-0.609*maturity), 8) AS curvature FROM curve"))
 def e02(spark, sf):
     s, c = finance.ns_loadings(F.col("maturity"), LAMBDA)
-    return spark.createDataFrame(TENORS, "tenor string, maturity double").select("tenor", rnd(s, 8).alias("slope"), rnd(c, 8).alias("curvature"))
+    return curve(spark, sf).select("obs_date", "tenor", rnd(s, 8).alias("slope"), rnd(c, 8).alias("curvature"))
 
 
 @query("E03_curve_fit", oracle("SELECT obs_date, round(b0, 5) AS b0, round(b1, 5) AS b1, round(b2, 5) AS b2, round(rmse, 6) AS rmse FROM history", FIT, HISTORY))

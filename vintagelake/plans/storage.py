@@ -23,10 +23,15 @@ def scratch(spark) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def paged(rows):
+    """A provider's responses: one for each series and year, so that no text grows with the length of a series."""
+    return rows.groupBy("series_id", F.year("obs_date").alias("page"))
+
+
 def issues(spark, sf):
     rows = obs(spark, sf).withColumn("value", F.when(dayno("obs_date") % 13 == 0, ".").otherwise(F.format_string("%.2f", "value")))
     item = F.struct(F.date_format("obs_date", "yyyy-MM-dd").alias("date"), F.date_format("revision_date", "yyyy-MM-dd").alias("realtime_start"), "value")
-    return rows.groupBy("series_id").agg(F.to_json(F.struct(F.collect_list(item).alias("observations"))).alias("body"))
+    return paged(rows).agg(F.to_json(F.struct(F.collect_list(item).alias("observations"))).alias("body")).drop("page")
 
 
 ISSUED = ("issued", f"SELECT series_id, obs_date, greatest(obs_date, revision_date) AS issued, value FROM obs WHERE {N} % 13 <> 0")
@@ -57,9 +62,9 @@ def s05(spark, sf):
 
 
 def bars(spark, sf):
-    """The price as one CSV text, with lines that do not parse."""
+    """The price as CSV texts, with lines that do not parse."""
     line = F.concat_ws(",", F.date_format("obs_date", "yyyy-MM-dd"), F.lit("1"), F.lit("1"), F.lit("1"), F.when(dayno("obs_date") % 17 == 0, "n/a").otherwise(F.col("value").cast("string")))
-    return price(spark, sf).groupBy("series_id").agg(F.concat(F.lit(f"{src.CSV_HEADER},Volume\n"), F.array_join(F.array_sort(F.collect_list(line)), "\n")).alias("body"))
+    return paged(price(spark, sf)).agg(F.concat(F.lit(f"{src.CSV_HEADER},Volume\n"), F.array_join(F.array_sort(F.collect_list(line)), "\n")).alias("body")).drop("page")
 
 
 @query("S06_daily_csv", oracle(f"SELECT series_id, obs_date, obs_date AS release_date, value FROM price WHERE {N} % 17 <> 0"))
@@ -67,16 +72,17 @@ def s06(spark, sf):
     return src.daily_csv(bars(spark, sf)).select("series_id", "obs_date", "release_date", "value")
 
 
-@query("S07_challenge", "SELECT * FROM (VALUES (1, true), (2, false), (3, true)) AS t(id, challenge)")
+@query("S07_challenge", r"SELECT kind, challenge, count(*) AS n FROM (SELECT kind, regexp_matches(head, '^<(!doctype|html)') OR contains(head, '<script') OR contains(head, 'javascript') AS challenge FROM (SELECT kind, lower(substr(ltrim(body, ' '), 1, 2048)) AS head FROM (SELECT 'page' AS kind, html AS body FROM pages UNION ALL SELECT 'name', p_name FROM part UNION ALL SELECT 'note', 'please enable JavaScript ' || p_name FROM part))) GROUP BY 1, 2")
 def s07(spark, sf):
-    rows = [(1, "  <!DOCTYPE html><html>"), (2, "Date,Open,High,Low,Close\n"), (3, "please enable JavaScript")]
-    return spark.createDataFrame(rows, "id int, body string").select("id", src.is_challenge(F.col("body")).alias("challenge"))
+    part = table(spark, sf, "part")
+    bodies = table(spark, sf, "pages").select(F.lit("page").alias("kind"), F.col("html").alias("body")).union(part.select(F.lit("name"), "p_name")).union(part.select(F.lit("note"), F.concat(F.lit("please enable JavaScript "), "p_name")))
+    return bodies.select("kind", src.is_challenge(F.col("body")).alias("challenge")).groupBy("kind", "challenge").agg(F.count("*").alias("n"))
 
 
 @query("S08_chart_json", oracle(f"SELECT obs_date, value FROM price WHERE {N} % 19 <> 0"))
 def s08(spark, sf):
     item = F.struct((F.unix_date("obs_date") * 86_400 + 7_200).cast("long").alias("t"), F.when(dayno("obs_date") % 19 != 0, F.col("value")).alias("c"))
-    rows = price(spark, sf).groupBy("series_id").agg(F.collect_list(item).alias("z"))
+    rows = paged(price(spark, sf)).agg(F.collect_list(item).alias("z"))
     body = F.to_json(F.struct(F.col("z.t").alias("timestamp"), F.col("z.c").alias("close"), F.lit(-3_600).alias("gmtoffset")), {"ignoreNullFields": "false"})
     return src.chart_json(rows.select("series_id", body.alias("body"))).select("obs_date", "value")
 
@@ -84,14 +90,14 @@ def s08(spark, sf):
 @query("S09_fixing_json", oracle("SELECT obs_date, obs_date + 1 AS release_date, value - 8 AS value FROM price WHERE value - 8 > 0"))
 def s09(spark, sf):
     item = F.struct(F.date_format("obs_date", "yyyy-MM-dd").alias("d"), F.array(F.col("value") - 8, F.lit(1.0)).alias("v"))
-    body = price(spark, sf).groupBy("series_id").agg(F.to_json(F.collect_list(item)).alias("body"))
+    body = paged(price(spark, sf)).agg(F.to_json(F.collect_list(item)).alias("body")).drop("page")
     return src.fixing_json(body, 20).select("obs_date", "release_date", "value")
 
 
 @query("S10_chain_json", oracle("SELECT obs_date, obs_date + 1 AS release_date, value FROM price"))
 def s10(spark, sf):
     item = F.struct((F.unix_date("obs_date") * 86_400).cast("long").alias("x"), F.col("value").alias("y"))
-    good = price(spark, sf).groupBy("series_id").agg(F.to_json(F.struct(F.lit("ok").alias("status"), F.lit("day").alias("period"), F.collect_list(item).alias("values"))).alias("body"))
+    good = paged(price(spark, sf)).agg(F.to_json(F.struct(F.lit("ok").alias("status"), F.lit("day").alias("period"), F.collect_list(item).alias("values"))).alias("body")).drop("page")
     bad = good.select(F.lit("BAD").alias("series_id"), F.replace("body", F.lit('"ok"'), F.lit('"error"')).alias("body"))
     return src.chain_json(good.union(bad)).select("obs_date", "release_date", "value")
 
