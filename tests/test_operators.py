@@ -121,11 +121,17 @@ def test_regimes_are_found():
     assert np.sqrt(fit["var"]) == pytest.approx([0.5, 4.0], rel=0.15)
 
 
-def test_tail_fit_and_first_passage():
+def test_tail_fit_and_first_passage(spark):
     rng = np.random.default_rng(5)
-    x = 0.08 / 0.3 * (rng.random(4000) ** -0.3 - 1)
-    shape, scale = models.tail_fit(x)
-    assert shape == pytest.approx(0.3, abs=0.08) and scale == pytest.approx(0.08, rel=0.1)
+    heavy, light = 0.08 / 0.3 * (rng.random(4000) ** -0.3 - 1), rng.exponential(0.05, 4000)
+    rows = [("heavy", 0.1 + float(v)) for v in heavy] + [("light", 0.1 + float(v)) for v in light] + [("few", 0.2)]
+    fits = {r.series_id: r for r in equity.tail(spark.createDataFrame(rows, "series_id string, depth double"), "depth", 0.1).collect()}
+    assert fits["heavy"].shape == pytest.approx(0.3, abs=0.08) and fits["heavy"].scale == pytest.approx(0.08, rel=0.1)
+    assert fits["light"].shape == pytest.approx(0, abs=0.05) and fits["light"].scale == pytest.approx(0.05, rel=0.1) and fits["few"].shape is None
+    # No other shape and scale are likelier.
+    like = lambda k, s: -len(heavy) * np.log(s) - (1 + 1 / k) * np.log1p(k * heavy / s).sum()
+    k, scale = fits["heavy"].shape, fits["heavy"].scale
+    assert all(like(k, scale) >= like(k * a, scale * b) for a in (0.98, 1, 1.02) for b in (0.98, 1, 1.02))
     p = models.first_passage(np.array([[0.9, 0.1], [0.5, 0.5]]), [1], 3)
     assert p[0] == pytest.approx(1 - 0.9**3)
 

@@ -248,21 +248,6 @@ def violent_probability(panel: DataFrame, drivers: list[str], fit_rows: int = 24
     return per_series(panel.where("ret is not null"), ["series_id"], run, "series_id string, obs_date date, violent double")
 
 
-def tail_fit(excess: np.ndarray) -> tuple[float, float]:
-    """Shape and scale of a generalized Pareto law by most likelihood."""
-
-    def lost(v: np.ndarray) -> float:
-        shape, scale = v[0], math.exp(np.clip(v[1], -30, 30))
-        inner = 1 + shape * excess / scale
-        if inner.min() <= 0:
-            return 1e9
-        body = excess.sum() / scale if abs(shape) < 1e-9 else (1 + 1 / shape) * np.log(inner).sum()
-        return len(excess) * math.log(scale) + body
-
-    best = simplex_search(lost, np.array([0.1, math.log(excess.mean())]), 200, 0.3)
-    return float(best[0]), float(math.exp(best[1]))
-
-
 def first_passage(move: np.ndarray, adverse: list[int], steps: int) -> np.ndarray:
     """For each state, the probability to be in an adverse one within so many steps; adverse states count as entered."""
     held = move.copy()

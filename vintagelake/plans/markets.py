@@ -294,10 +294,25 @@ def y20(spark, sf):
     return equity.instability(wide, ["entropy", "jerk", "vol_of_vol"]).select("obs_date", rnd("rii", 5).alias("rii"), "parts")
 
 
-@query("Y21_tail_fit")
+DEEP = ("deep", """SELECT 'PX' AS series_id, depth - 0.8 AS x FROM (SELECT max(depth) AS depth FROM (SELECT *, sum(start) OVER (ORDER BY obs_date) AS island FROM (SELECT *, CASE WHEN (depth > 0.8) IS NOT DISTINCT FROM lag(depth > 0.8) OVER (ORDER BY obs_date) THEN 0 ELSE 1 END AS start
+  FROM (SELECT obs_date, 1 - value / max(value) OVER (ORDER BY obs_date) AS depth FROM price))) WHERE depth > 0.8 GROUP BY island)""")
+SIZED = ("sized", "SELECT series_id, count(*) AS n, max(x) AS most FROM deep GROUP BY 1")
+
+
+def profile(places: str) -> str:
+    return f"SELECT series_id, s, k, -(ln(k / ratio) + k + 1) AS l FROM (SELECT series_id, s, avg(ln(1 + (exp(s) - 1) / most * x)) AS k, max((exp(s) - 1) / most) AS ratio FROM deep JOIN sized USING (series_id), {places} WHERE n >= 25 GROUP BY 1, 2) WHERE k > -0.5"
+
+
+ROUGH = ("rough", profile("(SELECT round(-6 + 0.1::DOUBLE * i + 0.0313::DOUBLE, 4) AS s FROM range(121) AS r(i))"))
+CLOSE = ("close", profile("(SELECT near + i * 0.005::DOUBLE AS s FROM (SELECT s AS near FROM rough ORDER BY l DESC, s DESC LIMIT 1), range(-20, 21) AS r(i))"))
+TOP = ("summit", "SELECT s + coalesce(0.0025::DOUBLE * (low - high) / (low - 2 * l + high), 0) AS s FROM (SELECT *, lag(l) OVER (ORDER BY s) AS low, lead(l) OVER (ORDER BY s) AS high FROM close) ORDER BY l DESC LIMIT 1")
+
+
+@query("Y21_tail_fit", oracle("SELECT z.series_id, z.n, round(shape, 5) AS shape, round(shape / ratio, 6) AS scale FROM sized z LEFT JOIN (SELECT series_id, avg(ln(1 + (exp(s) - 1) / most * x)) AS shape, max((exp(s) - 1) / most) AS ratio FROM deep JOIN sized USING (series_id), summit WHERE n >= 25 GROUP BY 1) f USING (series_id)", DEEP, SIZED, ROUGH, CLOSE, TOP))
 def y21(spark, sf):
     d = price(spark, sf).withColumn("depth", -windows.drawdown(F.col("value"), W()))
-    return equity.tail(aggregates.episodes(d, ["series_id"], "obs_date", "depth", 0.5), "depth", 0.5, 5)
+    out = equity.tail(aggregates.episodes(d, ["series_id"], "obs_date", "depth", 0.8), "depth", 0.8)
+    return out.select("series_id", "n", rnd("shape", 5).alias("shape"), rnd("scale").alias("scale"))
 
 
 @query("Y22_horizon_probability", oracle("SELECT obs_date, round(1 - exp(-(0.02 * 12 * power(1 + 0.33 * (0.2 - 0.1) / 0.083, -1 / 0.33) * (0.5 + 1.5 * least(9, floor(rii / 10.0::DOUBLE)) / 9))), 6) AS p FROM (SELECT obs_date, round(avg(score), 5) AS rii FROM sp GROUP BY 1)", RETURNS, LONG, ZP, SP))
