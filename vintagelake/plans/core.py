@@ -259,14 +259,30 @@ def l07(spark, sf):
     return monthly(spark, sf).withColumn("rn", F.row_number().over(w)).where("rn <= 4").select("series_id", "obs_date", "value")
 
 
-@query("L05_lttb")
+def thinned(source: str, n: int) -> str:
+    """Rows of source (series_id, obs_date, value) that are kept of each series: stretch after stretch, the point of the largest triangle."""
+    return f"""(WITH RECURSIVE numbered AS (SELECT series_id, obs_date, value AS y, date_diff('day', DATE '1970-01-01', obs_date)::DOUBLE AS x, row_number() OVER (PARTITION BY series_id ORDER BY obs_date) - 1 AS i, count(*) OVER (PARTITION BY series_id) AS size FROM {source} WHERE value IS NOT NULL),
+  edges AS (SELECT series_id, j, CAST(floor(j * (size - 2) / {n - 2}::DOUBLE) AS BIGINT) + 1 AS first FROM (SELECT series_id, any_value(size) AS size FROM numbered GROUP BY 1), range({n - 1}) AS r(j)),
+  placed AS (SELECT p.*, e.j AS stretch FROM numbered p ASOF JOIN edges e ON p.series_id = e.series_id AND p.i >= e.first),
+  means AS (SELECT series_id, stretch - 1 AS stretch, avg(x) AS cx, avg(y) AS cy FROM placed GROUP BY 1, 2),
+  kept(series_id, stretch, obs_date, x, y) AS (SELECT series_id, CAST(-1 AS BIGINT), obs_date, x, y FROM numbered WHERE i = 0
+    UNION ALL SELECT series_id, stretch, obs_date, x, y FROM (SELECT p.series_id, p.stretch, p.obs_date, p.x, p.y, row_number() OVER (PARTITION BY p.series_id ORDER BY abs((k.x - m.cx) * (p.y - k.y) - (k.x - p.x) * (m.cy - k.y)) DESC, p.i) AS rn FROM kept k JOIN placed p ON p.series_id = k.series_id AND p.stretch = k.stretch + 1 JOIN means m ON m.series_id = p.series_id AND m.stretch = p.stretch WHERE p.i < p.size - 1) WHERE rn = 1)
+  SELECT n.series_id, n.obs_date, n.y AS value FROM numbered n LEFT JOIN kept k ON k.series_id = n.series_id AND k.obs_date = n.obs_date WHERE n.size <= {n} OR k.obs_date IS NOT NULL OR n.i = n.size - 1)"""
+
+
+def thinned_with_extremes(source: str, n: int) -> str:
+    ends = "SELECT series_id, {0}_by(obs_date, (value, {1}date_diff('day', DATE '1970-01-01', obs_date))) AS obs_date, {0}(value) AS value FROM {2} GROUP BY 1"
+    return f"SELECT * FROM {thinned(source, n)} UNION {ends.format('min', '', source)} UNION {ends.format('max', '-', source)}"
+
+
+@query("L05_lttb", oracle(f"SELECT * FROM {thinned('price', 200)}"))
 def l05(spark, sf):
     from vintagelake.operators.decimate import lttb
 
     return lttb(price(spark, sf), "series_id", "obs_date", "value", 200)
 
 
-@query("L06_lttb_extremes")
+@query("L06_lttb_extremes", oracle(thinned_with_extremes("price", 200)))
 def l06(spark, sf):
     from vintagelake.operators.decimate import lttb_with_extremes
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from vintagelake.functions import finance
 from vintagelake.plans import views
 from vintagelake.plans.fixtures import CUTOFF, dayno, metadata, obs, oracle, outputs, price, table
+from vintagelake.plans.core import thinned_with_extremes
 from vintagelake.plans.registry import query
 
 TODAY = "2001-12-31"
@@ -29,7 +30,7 @@ def v02(spark, sf):
     return views.series_history(obs(spark, sf), "1-URGENT", "1996-01-01", "1998-12-31", 100)
 
 
-@query("V02_series_thinned")
+@query("V02_series_thinned", oracle(thinned_with_extremes("urgent", 100), ("urgent", "SELECT series_id, obs_date, value FROM obs WHERE series_id = '1-URGENT' QUALIFY row_number() OVER (PARTITION BY obs_date ORDER BY revision_date DESC, value DESC) = 1")))
 def v02_thin(spark, sf):
     return views.series_history(obs(spark, sf), "1-URGENT", points=100)
 
