@@ -132,17 +132,11 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAIN) -> Classif
     words = telling_words(train)
     cut = train.withColumn("words", words_of(F.col("text")))
     made = cut.select("domain", F.array(*binned(F.col("text"), tokens(F.col("text")), F.col("words"))).alias("bins"), present(F.col("words"), words).alias("hits"))
-    rows = {
-        r.domain: r
-        for r in made.groupBy("domain").agg(
-            F.count("*").alias("n"),
-            F.array(*(F.count_if(F.col("bins")[i] == v) for i in range(FEATURES) for v in range(4))).alias("in_bin"),
-            F.array(*(F.count_if(F.array_contains("hits", w)) for w in words)).cast("array<bigint>").alias("with_word"),
-        ).collect()
-    }
+    rows = {r.domain: r for r in made.groupBy("domain").agg(F.count("*").alias("n"), F.array(*(F.count_if(F.col("bins")[i] == v) for i in range(FEATURES) for v in range(4))).alias("in_bin")).collect()}
+    hits = {(r.domain, r.word): r["count"] for r in made.select("domain", F.explode("hits").alias("word")).groupBy("domain", "word").count().collect()}
     n = np.array([rows[d].n if d in rows else 0 for d in range(k)], float)
     in_bin = np.array([rows[d].in_bin if d in rows else [0] * (4 * FEATURES) for d in range(k)], float).reshape(k, FEATURES, 4)
-    with_word = np.array([rows[d].with_word if d in rows else [0] * len(words) for d in range(k)], float).reshape(k, len(words))
+    with_word = np.array([[hits.get((d, w), 0) for w in words] for d in range(k)], float).reshape(k, len(words))
     prior = np.log((n + 1) / (n.sum() + k))
     bins = np.log((in_bin + 1) / (n[:, None, None] + 4))
     share = (with_word + 0.5) / (n[:, None] + 1)
