@@ -73,7 +73,7 @@ def test_token_stage(stages):
 def test_run_and_registered_queries(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
     names = [n for n in q.queries() if n.startswith("op")]
-    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)] and "pipeline" in q.queries()
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 14)] and "pipeline" in q.queries()
 
 
 def test_stage_edge_cases(spark):
