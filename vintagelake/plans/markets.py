@@ -11,7 +11,7 @@ from vintagelake.operators import aggregates, crypto, equity, factors, gold, joi
 from vintagelake.plans.fixtures import dayno, monthly, oracle, price, price_alt, price_late, rates_short
 from vintagelake.plans.registry import query
 from vintagelake.plans.series import BY, EVER, RETURNS, STATE, W, over, returns, rnd, states
-from vintagelake.plans.storage import scratch
+from vintagelake.sources.shared import scratch, stored
 
 N = "date_diff('day', DATE '1995-01-01', obs_date)"
 DRIVERS = ("drivers", f"SELECT *, n / 100.0::DOUBLE + 2 * sin(n / 33.0::DOUBLE) AS stress, 5 + sin(n / 200.0::DOUBLE) AS nominal, CASE WHEN obs_date >= DATE '1997-01-01' AND n % 3 <> 0 THEN 2 + cos(n / 170.0::DOUBLE) END AS breakeven, CASE WHEN obs_date >= DATE '1998-01-01' THEN 100 + 10 * sin(n / 90.0::DOUBLE) END AS broad, 80 + 5 * cos(n / 60.0::DOUBLE) AS legacy FROM returns")

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from vintagelake.operators import pit
@@ -12,17 +9,12 @@ from vintagelake.plans.fixtures import dayno, events_obs, monthly, obs, oracle,
 from vintagelake.plans.registry import query
 from vintagelake.sources import providers as src
 from vintagelake.sources import sinks
+from vintagelake.sources.shared import scratch
 from vintagelake.streaming import incremental
 
 N = "date_diff('day', DATE '1995-01-01', obs_date)"
 
 
-def scratch(spark) -> str:
-    """A new folder that driver and executors share; a local one where the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def paged(rows):
     """A provider's responses: one for each series and year, so that no text grows with the length of a series."""
     return rows.groupBy("series_id", F.year("obs_date").alias("page"))
