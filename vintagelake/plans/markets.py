@@ -52,11 +52,6 @@ def g03(spark, sf):
     return gold.monthly_panel(drivers(spark, sf), ["stress"], 300).select(F.col("obs_date").alias("month"), rnd("ret").alias("ret"), rnd("z_stress").alias("z_stress"))
 
 
-@query("G04_G05_switching")
-def g05(spark, sf):
-    return models.violent_probability(gold.monthly_panel(drivers(spark, sf), ["stress"], 60), ["z_stress"], fit_rows=30)
-
-
 @query("G06_gold_posterior", oracle("""SELECT obs_date, round(hedge / (crisis + carry + hedge), 6) AS hedge_bid, round(carry / (crisis + carry + hedge), 6) AS carry_headwind, round(crisis / (crisis + carry + hedge), 6) AS crisis_bid FROM (SELECT *, greatest(0, 1 - crisis - carry) AS hedge FROM (SELECT *, (1 - crisis) / (1 + exp(-2 * (0.7 * sin(n / 21.0::DOUBLE) + 0.3 * cos(n / 17.0::DOUBLE) - 0.35))) AS carry
   FROM (SELECT obs_date, n, (n % 10) / 10.0::DOUBLE / (1 + exp(-2 * (y - 0.5))) AS crisis FROM returns)))""", RETURNS))
 def g06(spark, sf):
@@ -178,11 +173,6 @@ def y02(spark, sf):
     return joins.prefix_splice(price_late(spark, sf), price_alt(spark, sf), 250, 0.001)
 
 
-@query("Y03_kalman_trend")
-def y03(spark, sf):
-    return models.filtered_trend(price(spark, sf))
-
-
 @query("Y04_ffd_weights", oracle("SELECT d, k, round(w, 10) AS w FROM (WITH RECURSIVE t(d, k, w) AS (SELECT DISTINCT (n % 4 + 2) / 10.0::DOUBLE AS d, 0, 1.0::DOUBLE FROM returns UNION ALL SELECT d, k + 1, -w * (d - (k + 1) + 1) / (k + 1) FROM t WHERE k < 249) SELECT d, k, w FROM t) WHERE abs(w) >= 0.001", RETURNS))
 def y04(spark, sf):
     """Weights of the orders that a table names."""
@@ -210,14 +200,6 @@ def y07(spark, sf):
     return returns(spark, sf).select("obs_date", finance.lamp(F.col("y")).alias("code"))
 
 
-@query("Y08_feature_pipeline")
-def y08(spark, sf):
-    p = price(spark, sf)
-    trend = models.filtered_trend(p)
-    both = returns(spark, sf).join(trend, ["series_id", "obs_date"])
-    return equity.kinematics(both, "slope", "r", 252, burn_in=252, baseline=300).select("series_id", "obs_date", "velocity", "acceleration", "jerk_z", "momentum_1m")
-
-
 DESIGN = ("design", f"""SELECT series_id, obs_date, r, (ln(value / lag(value, 63) OVER ({BY})) * 252 / 63) / nullif(vol, 0) AS trend_fast, (ln(value / lag(value, 252) OVER ({BY})) * 252 / 252) / nullif(vol, 0) AS trend_slow, ln(vol / nullif(CASE WHEN count(vol) {over(252)} >= 126 THEN quantile_cont(vol, 0.5) {over(252)} END, 0)) AS vol_ratio, CASE WHEN count(value) {over(252)} >= 126 THEN (ln(value) - max(ln(value)) {over(252)}) / nullif(vol, 0) END AS drawdown_sigma
   FROM (SELECT *, CASE WHEN count(r) {over(21)} >= 21 THEN stddev_samp(r) {over(21)} * sqrt(252) END AS vol FROM returns)""")
 FEATURES = ["trend_fast", "trend_slow", "vol_ratio", "drawdown_sigma"]
@@ -232,15 +214,6 @@ def y09(spark, sf):
     return design(spark, sf).select("obs_date", *(rnd(f, 5).alias(f) for f in FEATURES))
 
 
-def cutoffs(spark):
-    return spark.createDataFrame([("1997-12-31", "1999-12-31"), ("1999-12-31", "2003-12-31")], "cutoff string, until string").select(F.to_date("cutoff").alias("cutoff"), F.to_date("until").alias("until"))
-
-
-@query("Y10_Y12_Y31_walk_forward")
-def y10(spark, sf):
-    return models.walk_forward(design(spark, sf), FEATURES, cutoffs(spark))
-
-
 @query("Y13_transition_labels", oracle(f"SELECT obs_date, entry, CASE WHEN count(*) OVER ({BY} ROWS BETWEEN 1 FOLLOWING AND 63 FOLLOWING) = 63 THEN max(entry) OVER ({BY} ROWS BETWEEN 1 FOLLOWING AND 63 FOLLOWING) END AS label FROM (SELECT *, CAST(state = 'bear' AND coalesce(lag(state) OVER ({BY}), '') <> 'bear' AS INT) AS entry FROM states)", RETURNS, STATE))
 def y13(spark, sf):
     s = states(spark, sf).withColumn("entry", windows.edge(F.col("state") == "bear", W()).cast("int"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ("core", "series", "checks", "engines", "markets", "storage", "serving", "daily")
+MODULES = ("core", "series", "checks", "engines", "markets", "chains", "storage", "serving", "daily")
 
 
 def query(name: str, sql: str | None = None):
