@@ -136,12 +136,16 @@ def contributions(rows: DataFrame, features: list[str], label: str, rounds: int
     return rows.select("obs_date", *features).mapInPandas(run, "obs_date date, contributions map<string,double>")
 
 
-def instability(wide: DataFrame, parts: list[str], at_least: int = 60) -> DataFrame:
-    """obs_date, rii, parts: each part's score among its own past, averaged over those a day has; a part with few scores is left out."""
-    long = wide.unpivot(["obs_date"], parts, "series_id", "value").withColumn("value", F.round("value", 9))
+def instability(wide: DataFrame, parts: list[str], at_least: int = 60, keys: list[str] | None = None) -> DataFrame:
+    """keys, obs_date, rii, parts: each part's score among its own past, averaged over those a day has; a part with few scores is left out."""
+    keys = keys or []
+    long = wide.unpivot([*keys, "obs_date"], parts, "_part", "value").withColumn("value", F.round("value", 9)).withColumn("series_id", F.concat_ws("|", *keys, "_part"))
     scores = factors.score_series(long, dict.fromkeys(parts, 1))
     enough = scores.groupBy("series_id").agg(F.count("*").alias("n")).where(F.col("n") >= at_least).select("series_id")
-    return scores.join(enough, "series_id", "left_semi").groupBy("obs_date").agg(F.avg("score").alias("rii"), F.count("*").alias("parts"))
+    whose = long.select("series_id", *(F.col(k).alias(f"_k_{k}") for k in keys)).distinct()
+    kept = scores.join(enough, "series_id", "left_semi")
+    kept = kept.join(whose, "series_id").select(*(F.col(f"_k_{k}").alias(k) for k in keys), "obs_date", "score") if keys else kept
+    return kept.groupBy(*keys, "obs_date").agg(F.avg("score").alias("rii"), F.count("*").alias("parts"))
 
 
 #: Places of the coarse search of a tail's fit (none is 0), the step of the fine one, and its steps to both sides.

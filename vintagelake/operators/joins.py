@@ -37,13 +37,40 @@ def composed(drive: DataFrame, legs: dict[str, DataFrame], keys: list[str], comb
     return out.select(*keys, "obs_date", release.alias("release_date"), combine(*(F.col(f"value_{n}") for n in names)).alias("value"))
 
 
-def precedence(parts: dict[str, DataFrame], key: str, value: str) -> DataFrame:
+def within_spans(points: DataFrame, day: str, spans: DataFrame, first: str, end: str, bin_days: int = 32) -> DataFrame:
+    """Each span with every point whose day lies in it: first included, end excluded, null for a span that stands.
+
+    A range join by bins: a span meets the bins that it reaches up to the last point's, a point its own, and days are compared
+    inside a bin. So rows are made for the bins of a span, not for all pairs, and a bin's rows are dealt by an equi-join.
+    """
+    number = lambda c: F.floor(F.unix_date(c) / bin_days)
+    pts = points.withColumn("_bin", number(F.col(day)))
+    last = points.agg(F.min(number(F.col(day))).alias("_a"), F.max(number(F.col(day))).alias("_b"))
+    reach = F.explode(F.sequence(F.greatest(number(F.col(first)), "_a"), F.least(F.coalesce(number(F.date_sub(F.col(end), 1)), F.col("_b")), F.col("_b"))))
+    ok = (F.greatest(number(F.col(first)), "_a") <= F.least(F.coalesce(number(F.date_sub(F.col(end), 1)), F.col("_b")), F.col("_b")))
+    binned = spans.join(F.broadcast(last)).where(ok).withColumn("_bin", reach).drop("_a", "_b")  # one row
+    return binned.join(pts, "_bin").where((F.col(day) >= F.col(first)) & (F.col(end).isNull() | (F.col(day) < F.col(end)))).drop("_bin")
+
+
+def standing(rows: DataFrame, day: str, versions: DataFrame, since: str) -> DataFrame:
+    """rows with the columns of the version that stood on their day: the newest whose `since` is at or before it; null where there was none.
+
+    Versions are few and far between (refits), rows many: no window goes over the rows.
+    """
+    spans = versions.withColumn("_end", F.lead(since).over(Window.partitionBy(F.lit(0)).orderBy(since)))  # over the versions alone
+    days = rows.select(day).distinct()
+    held = within_spans(days, day, spans, since, "_end", 366)
+    return rows.join(held.drop("_end"), day, "left")
+
+
+def precedence(parts: dict[str, DataFrame], key: str | list[str], value: str) -> DataFrame:
     """By key, the value of the first part that has one, and that part's name as `source`."""
-    frames = [df.select(key, F.col(value).alias(name)) for name, df in parts.items()]
+    key = [key] if isinstance(key, str) else key
+    frames = [df.select(*key, F.col(value).alias(name)) for name, df in parts.items()]
     wide = reduce(lambda a, b: a.join(b, key, "full_outer"), frames)
     names = list(parts)
     source = reduce(lambda c, n: c.when(F.col(n).isNotNull(), n), names[1:], F.when(F.col(names[0]).isNotNull(), names[0]))
-    return wide.select(key, F.coalesce(*map(F.col, names)).alias(value), source.alias("source")).where(F.col(value).isNotNull())
+    return wide.select(*key, F.coalesce(*map(F.col, names)).alias(value), source.alias("source")).where(F.col(value).isNotNull())
 
 
 def splice_check(base: DataFrame, older: DataFrame) -> DataFrame:

@@ -142,6 +142,42 @@ class PitView:
         """One column for each id asked for, null where it has no figure."""
         return self.history(ids, start).groupBy("obs_date").pivot("series_id", ids).agg(F.first("value"))
 
+    def paths(self, ids: list[str] | None = None) -> DataFrame:
+        """(world, series_id, obs_date, known, value), as of Worlds: one world, named by its cutoff."""
+        return self.history(ids).select(F.lit(str(self.as_of)).alias("world"), "series_id", "obs_date", F.col("knowable_at").alias("known"), "value")
+
     def value(self, series_id: str) -> float | None:
         rows = self.latest([series_id]).where(F.col("value").isNotNull() & ~F.isnan("value")).select("value").collect()
         return rows[0].value if rows else None
+
+
+def validity(obs: DataFrame, series_ids: list[str] | None = None) -> DataFrame:
+    """Vintages with `known` and `superseded`, the days from which and up to which (excluded) each is what is known of its period; null while it stands.
+
+    Of vintages of one day the last in order of value stands. The window holds the vintages of one period.
+    """
+    rows = obs if series_ids is None else obs.where(F.col("series_id").isin(series_ids))
+    rows = rows.withColumn("known", knowable_at())
+    w = Window.partitionBy("series_id", "obs_date").orderBy("known", "value")
+    return rows.withColumn("superseded", F.lead("known").over(w)).where("superseded is null or superseded > known")
+
+
+class Worlds:
+    """What was known at each of many cutoffs, as one plan whatever their number: `world` is the cutoff's day as text.
+
+    A vintage is valid for a span of cutoffs, so the cutoffs are joined to spans by `joins.within_spans`; nothing is planned or
+    read once for each cutoff.
+    """
+
+    def __init__(self, obs: DataFrame, cutoffs: list[str] | DataFrame, bin_days: int = 32):
+        self.obs, self.bin_days = obs, bin_days
+        if isinstance(cutoffs, DataFrame):
+            self.cutoffs = cutoffs.select(F.col("cutoff").cast("date").alias("cutoff")).distinct()
+        else:
+            self.cutoffs = obs.sparkSession.createDataFrame([(str(c),) for c in dict.fromkeys(map(str, cutoffs))], "cutoff string").select(F.col("cutoff").cast("date").alias("cutoff"))
+
+    def paths(self, ids: list[str] | None = None) -> DataFrame:
+        from vintagelake.operators.joins import within_spans
+
+        out = within_spans(self.cutoffs, "cutoff", validity(self.obs, ids).select("series_id", "obs_date", "known", "superseded", "value"), "known", "superseded", self.bin_days)
+        return out.select(F.col("cutoff").cast("string").alias("world"), "series_id", "obs_date", "known", "value")

@@ -1,20 +1,23 @@
 """The assets' engines over observations at a cutoff, the daily run, refits, and replays.
 
-An engine turns what a view knows into one wide row for each day (`history`); outputs, newest state and replays are
-made of that. All steps of a history look backwards only, so a later cutoff leaves earlier days as they were.
+An engine turns what a view knows into one wide row for each world and day (`history`); outputs, newest state and replays are
+made of that. A view of one cutoff is one world, a view of many cutoffs as many, and an engine plans the same for both: its
+frames bear the world in series_id. All steps of a history look backwards only, and figures that come late are taken from the
+day they were known, so a later cutoff leaves earlier days as they were.
 """
 
 from __future__ import annotations
 
+import copy
 from datetime import date, timedelta
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vintagelake.functions import finance
 from vintagelake.operators import crypto, equity, gold, joins, rates, reshape, windows
-from vintagelake.operators.pit import PitView
+from vintagelake.operators.pit import PitView, Worlds
 from vintagelake.plans.control import Engine, artifact_faults, register
 from vintagelake.sources import sinks
 
@@ -36,20 +39,32 @@ class AssetEngine(Engine):
     def __init__(self, series: dict[str, str], parameters: dict | None = None):
         if missing := set(self.roles) - series.keys():
             raise KeyError(f"{self.asset}: no series for {sorted(missing)}")
-        self.series, self.parameters = dict(series), dict(parameters or {})
+        self.series, self.parameters, self.artifacts = dict(series), dict(parameters or {}), None
 
     def required_series(self) -> list[str]:
         return sorted(set(self.series.values()))
 
-    def role(self, view: PitView, role: str) -> DataFrame:
-        return view.history([self.series[role]]).select("series_id", "obs_date", "value")
+    def role(self, view: PitView | Worlds, role: str) -> DataFrame:
+        """(series_id, obs_date, value) of a role's series; series_id is the world."""
+        return view.paths([self.series[role]]).select(F.col("world").alias("series_id"), "obs_date", "value")
 
-    def history(self, view: PitView) -> DataFrame:
-        """obs_date and `metrics`, one row for each day; `label` too where the engine names a regime."""
+    def known(self, view: PitView | Worlds, role: str, name: str) -> DataFrame:
+        """(series_id, known_<name>, <name>): a role's newest figure by the day it was known, for as-of joins that look at nothing unpublished."""
+        rows = view.paths([self.series[role]]).groupBy(F.col("world").alias("series_id"), F.col("known").alias(f"known_{name}"))
+        best = rows.agg(F.max_by("value", "obs_date").alias(name), F.max("obs_date").alias("_period"))
+        so_far = F.max("_period").over(Window.partitionBy("series_id").orderBy(f"known_{name}"))
+        return best.withColumn("_so_far", so_far).where("_period = _so_far").drop("_period", "_so_far")  # late figures of earlier periods
+
+    def history(self, view: PitView | Worlds) -> DataFrame:
+        """series_id (the world), obs_date and `metrics`, one row for each day; `label` too where the engine names a regime."""
         raise NotImplementedError
 
+    def told(self, view: PitView | Worlds) -> DataFrame:
+        """(world, as_of, metric, value)."""
+        return reshape.tall(self.history(view), ["series_id", "obs_date"], list(self.metrics)).withColumnsRenamed({"series_id": "world", "obs_date": "as_of"})
+
     def outputs(self, view: PitView) -> DataFrame:
-        return reshape.tall(self.history(view), ["obs_date"], list(self.metrics)).withColumnRenamed("obs_date", "as_of")
+        return self.told(view).drop("world")
 
     def state(self, view: PitView) -> DataFrame:
         """asset, as_of, label and `metrics` of the newest day; no row where nothing is known."""
@@ -63,6 +78,28 @@ class AssetEngine(Engine):
         """Parameters to be frozen, from what the view knows; none for an engine without any."""
         return {}
 
+    def by_day(self, rows: DataFrame, defaults: dict[str, float]) -> DataFrame:
+        """rows with a column for each parameter: what the artifact that stood on a row's day says, else this engine's own, else the default."""
+        own = {k: float(self.parameters.get(k, v)) for k, v in defaults.items()}
+        if self.artifacts is None:
+            return rows.withColumns({k: F.lit(v) for k, v in own.items()})
+        body = F.from_json("body", "parameters map<string,double>")
+        versions = self.artifacts.where((F.col("name") == self.asset) & (F.col("version") == self.version)).select(F.col("fit_date").alias("_since"), *(body["parameters"][k].alias(f"_{k}") for k in own))
+        held = joins.standing(rows, "obs_date", versions, "_since")
+        return held.withColumns({k: F.coalesce(f"_{k}", F.lit(v)) for k, v in own.items()}).drop("_since", *(f"_{k}" for k in own))
+
+
+#: Regimes in the order of their codes.
+RATE_REGIMES = ["steep_easing", "steep_tightening", "flat", "inverted", "re_steepening"]
+MONEY_REGIMES = ["abundant", "normal", "tightening", "stressed"]
+GOLD_REGIMES = ["hedge_bid", "carry_headwind", "crisis_bid"]
+CRYPTO_REGIMES = ["winter", "normal", "frenzy"]
+
+
+def coded(label: Column, names: list[str]) -> Column:
+    """The label's place in the list, from 0; null for none."""
+    return F.nullif(F.array_position(F.array(*map(F.lit, names)), label) - 1, F.lit(-1)).cast("double")
+
 
 def price_returns(df: DataFrame) -> DataFrame:
     return df.withColumn("r", windows.log_return(F.col("value"), W()))
@@ -73,7 +110,7 @@ class RatesEngine(AssetEngine):
     """Curve factors and regimes. Roles are tenors; parameters: lambda, the frozen decay."""
 
     asset = "rates"
-    metrics = ("ns_level", "ns_slope", "ns_curvature", "spread_10y_3m", "duration_years", "risk", "confidence")
+    metrics = ("ns_level", "ns_slope", "ns_curvature", "ns_rmse", "ns_lambda", "regime_code", "spread_10y_3m", "duration_years", "risk", "confidence")
 
     def __init__(self, series: dict[str, str], parameters: dict | None = None, years: dict[str, float] | None = None):
         super().__init__(series, parameters)
@@ -81,27 +118,27 @@ class RatesEngine(AssetEngine):
         if len(self.years) < rates.MIN_TENORS:
             raise KeyError("rates: too few tenors")
 
-    def curves(self, view: PitView) -> DataFrame:
+    def curves(self, view: PitView | Worlds) -> DataFrame:
         years = F.create_map(*(F.lit(x) for pair in self.years.items() for x in pair))
-        points = view.history(list(self.years)).select("obs_date", F.element_at(years, F.col("series_id")).alias("maturity"), F.col("value").alias("yield"))
-        return rates.curves(points)
+        points = view.paths(list(self.years)).select(F.element_at(years, F.col("series_id")).alias("maturity"), F.col("world").alias("series_id"), "obs_date", F.col("value").alias("yield"))
+        return rates.curves(points, ["series_id", "obs_date"])
 
     def fit(self, view: PitView) -> dict:
         return {"lambda": rates.best_lambda(self.curves(view)).first().lam}
 
     def history(self, view: PitView) -> DataFrame:
-        lam = float(self.parameters.get("lambda", rates.LAMBDA_DEFAULT))
-        y = lambda m: finance.ns_yield(F.col("b0"), F.col("b1"), F.col("b2"), F.lit(float(m)), lam)
-        f = rates.fit_curves(self.curves(view), lam).withColumns({"series_id": F.lit(self.asset), "spread": y(10) - y(0.25)})
+        y = lambda m: finance.ns_yield(F.col("b0"), F.col("b1"), F.col("b2"), F.lit(float(m)), F.col("lambda"))
+        curves = self.by_day(self.curves(view), {"lambda": rates.LAMBDA_DEFAULT})
+        f = rates.fit_curves(curves, F.col("lambda")).withColumn("spread", y(10) - y(0.25))
         level_move = windows.change(F.col("b0"), W())
         f = f.withColumn("_vol", level_move)
         vol = F.coalesce(windows.rolling(F.stddev_pop, F.col("_vol"), W(), 252, 20) * 252**0.5, F.lit(0.9))
         duration = finance.par_duration(y(10) / 100, F.lit(10.0))
         seen = windows.seen_before(F.col("spread") < 0, ["series_id"], "obs_date", 365)
+        named = finance.curve_regime(F.col("spread"), seen, windows.change(F.col("spread"), W(), 252), windows.change(F.col("b0"), W(), 252))
         return f.select(
-            "obs_date", F.col("b0").alias("ns_level"), (-F.col("b1")).alias("ns_slope"), F.col("b2").alias("ns_curvature"), F.col("spread").alias("spread_10y_3m"), duration.alias("duration_years"),
+            "series_id", "obs_date", F.col("rmse").alias("ns_rmse"), F.col("lambda").alias("ns_lambda"), coded(named, RATE_REGIMES).alias("regime_code"), named.alias("label"), F.col("b0").alias("ns_level"), (-F.col("b1")).alias("ns_slope"), F.col("b2").alias("ns_curvature"), F.col("spread").alias("spread_10y_3m"), duration.alias("duration_years"),
             finance.clip(100 * duration * vol / 12, 0, 100).alias("risk"), finance.clip((1 - F.col("rmse") / 0.35) * F.size("points") / len(self.years), 0, 1).alias("confidence"),
-            finance.curve_regime(F.col("spread"), seen, windows.change(F.col("spread"), W(), 252), windows.change(F.col("b0"), W(), 252)).alias("label"),
         )
 
 
@@ -113,12 +150,12 @@ class MoneyEngine(AssetEngine):
     metrics = ("short_rate", "wealth", "carry_91d")
 
     def history(self, view: PitView) -> DataFrame:
-        overnight = self.role(view, "overnight").select("obs_date", "value")
-        bill = self.role(view, "bill").select("obs_date", finance.money_market_yield(F.col("value")).alias("value"))
-        short = joins.precedence({"overnight": overnight, "bill": bill}, "obs_date", "value").withColumn("series_id", F.lit(self.asset))
+        overnight = self.role(view, "overnight")
+        bill = self.role(view, "bill").withColumn("value", finance.money_market_yield(F.col("value")))
+        short = joins.precedence({"overnight": overnight, "bill": bill}, ["series_id", "obs_date"], "value")
         path = rates.wealth(short, ["series_id"])
-        carry = rates.realized_carry(path, ["series_id"], 91).select("obs_date", "carry")
-        return path.join(carry, "obs_date").select("obs_date", F.col("value").alias("short_rate"), "wealth", F.col("carry").alias("carry_91d"), F.col("source").alias("label"))
+        carry = rates.realized_carry(path, ["series_id"], 91)
+        return path.join(carry, ["series_id", "obs_date"]).select("series_id", "obs_date", F.col("value").alias("short_rate"), "wealth", F.col("carry").alias("carry_91d"), F.col("source").alias("label"))
 
 
 @register
@@ -131,7 +168,7 @@ class GoldEngine(AssetEngine):
     def history(self, view: PitView) -> DataFrame:
         j = gold.jumps(price_returns(self.role(view, "price"))).withColumn("vol", windows.rolling(F.stddev_samp, F.col("r"), W(), 252) * 252**0.5 * 100)
         state = gold.state(F.col("vol"), F.col("intensity"))
-        return j.select("obs_date", F.col("statistic").alias("jump_statistic"), F.col("intensity").alias("jump_intensity"), state["risk"].alias("risk"), state["confidence"].alias("confidence"), F.when(F.col("is_jump"), "jump").otherwise("calm").alias("label"))
+        return j.select("series_id", "obs_date", F.col("statistic").alias("jump_statistic"), F.col("intensity").alias("jump_intensity"), state["risk"].alias("risk"), state["confidence"].alias("confidence"), F.when(F.col("is_jump"), "jump").otherwise("calm").alias("label"))
 
 
 @register
@@ -142,7 +179,7 @@ class CryptoEngine(AssetEngine):
     metrics = ("drawdown", "year_return", "vol")
 
     def history(self, view: PitView) -> DataFrame:
-        return crypto.regime(price_returns(self.role(view, "price"))).select("obs_date", "drawdown", "year_return", "vol", F.col("regime").alias("label"))
+        return crypto.regime(price_returns(self.role(view, "price"))).select("series_id", "obs_date", "drawdown", "year_return", "vol", F.col("regime").alias("label"))
 
 
 @register
@@ -154,9 +191,9 @@ class EquityEngine(AssetEngine):
 
     def history(self, view: PitView) -> DataFrame:
         r = price_returns(self.role(view, "price"))
-        parts = r.select("obs_date", F.abs("r").alias("jerk"), windows.rolling(F.stddev_samp, F.col("r"), W(), 21).alias("vol_of_vol"))
-        rii = equity.instability(parts, ["jerk", "vol_of_vol"]).select("obs_date", "rii")
-        return equity.design(r, 252, baseline=252).join(rii, "obs_date", "left").select("obs_date", *self.metrics)
+        parts = r.select("series_id", "obs_date", F.abs("r").alias("jerk"), windows.rolling(F.stddev_samp, F.col("r"), W(), 21).alias("vol_of_vol"))
+        rii = equity.instability(parts.withColumnRenamed("series_id", "world"), ["jerk", "vol_of_vol"], keys=["world"]).select(F.col("world").alias("series_id"), "obs_date", "rii")
+        return equity.design(r, 252, baseline=252).join(rii, ["series_id", "obs_date"], "left").select("series_id", "obs_date", *self.metrics)
 
 
 def refit_cutoff(run_date: date) -> date:
@@ -175,11 +212,17 @@ def refit(engine: AssetEngine, obs: DataFrame, run_date: date, store: sinks.Arti
 
 
 def frozen(engine: AssetEngine, store: sinks.ArtifactStore, as_of: str) -> AssetEngine:
-    """The engine with its latest parameters that were fitted at or before as_of."""
-    document = store.latest(engine.asset, as_of)
-    if document:
-        engine.parameters |= document["parameters"]
-    return engine
+    """The engine with its latest parameters that were fitted at or before as_of, for all days; the given engine stays as it is."""
+    out, document = copy.copy(engine), store.latest(engine.asset, as_of)
+    out.parameters = engine.parameters | (document["parameters"] if document else {})
+    return out
+
+
+def by_day(engine: AssetEngine, store: sinks.ArtifactStore) -> AssetEngine:
+    """The engine with each day by the parameters that were fitted by then; the given engine stays as it is."""
+    out = copy.copy(engine)
+    out.artifacts = store.rows()
+    return out
 
 
 def daily(spark: SparkSession, engines: list[AssetEngine], obs: DataFrame, as_of: str, folder: str, history_days: int = 1825) -> tuple[DataFrame, dict[str, str]]:
@@ -202,7 +245,28 @@ def daily(spark: SparkSession, engines: list[AssetEngine], obs: DataFrame, as_of
     return sinks.upsert(spark, folder, rows, keys, "run_as_of"), failed
 
 
-def replayed(engine: AssetEngine, obs: DataFrame, cutoffs: list[str], digits: int = 9) -> DataFrame:
-    """(as_of, metric, first, last, n) of what the engine says of a day at different cutoffs: the smallest and the largest value."""
-    parts = [engine.outputs(PitView(obs, c)).select("as_of", "metric", F.round("value", digits).alias("value")) for c in cutoffs]
-    return reduce(DataFrame.unionByName, parts).groupBy("as_of", "metric").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.count("*").alias("n"))
+def replayed(engine: AssetEngine, obs: DataFrame, cutoffs: list[str] | DataFrame, digits: int = 9) -> DataFrame:
+    """(as_of, metric, low, high, n) of what the engine says of a day at different cutoffs: the smallest and the largest value. One plan for all cutoffs."""
+    told = engine.told(Worlds(obs, cutoffs)).withColumn("value", F.round("value", digits))
+    return told.groupBy("as_of", "metric").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.count("*").alias("n"))
+
+
+def backfill(spark: SparkSession, engines: list[AssetEngine], obs: DataFrame, days: list[str] | DataFrame, folder: str) -> tuple[DataFrame, dict[str, str]]:
+    """What each engine would have published on each of many days, as it was known then: the newest day's outputs of every world, in one plan an engine.
+
+    Written as the daily run writes, so a span that is filled again changes nothing. One engine's failure stops no other.
+    """
+    frames, failed = [], {}
+    for e in engines:
+        try:
+            told = e.told(Worlds(obs, days))
+            newest = told.groupBy("world").agg(F.max("as_of").alias("as_of"))
+            rows = told.join(newest, ["world", "as_of"])
+            frames.append(rows.select(F.lit(e.asset).alias("asset"), "metric", "as_of", "value", F.lit(e.version).alias("model_version"), F.col("world").cast("date").alias("run_as_of")))
+        except Exception as error:  # noqa: BLE001  one engine must not stop the others
+            failed[e.asset] = str(error)
+    keys = ["asset", "metric", "as_of", "run_as_of"]
+    if not frames:
+        return sinks.current(spark, folder, keys, "run_as_of"), failed
+    rows = sinks.validated(reduce(DataFrame.unionByName, frames), "outputs").where(F.size("broken") == 0).drop("broken")
+    return sinks.upsert(spark, folder, rows, keys, "run_as_of"), failed

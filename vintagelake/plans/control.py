@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vintagelake.operators.pit import PitView
+from vintagelake.operators.pit import PitView, Worlds
 
 
 class Engine(ABC):
@@ -101,10 +101,9 @@ def run(engines: list[Engine], obs: DataFrame, as_of: str) -> tuple[DataFrame |
     return (reduce(DataFrame.unionByName, frames) if frames else None), failed
 
 
-def replay(obs: DataFrame, cutoffs: list[str], view: Callable[[PitView], DataFrame]) -> DataFrame:
-    """view's frame at each cutoff, with the cutoff; one plan of as many branches."""
-    parts = [view(PitView(obs, c)).withColumn("cutoff", F.lit(c).cast("date")) for c in cutoffs]
-    return reduce(DataFrame.unionByName, parts)
+def replay(obs: DataFrame, cutoffs: list[str] | DataFrame, view: Callable[[Worlds], DataFrame]) -> DataFrame:
+    """view's frame over what was known at each cutoff; the plan is the same for any number of cutoffs."""
+    return view(Worlds(obs, cutoffs))
 
 
 #: Keys that make an artifact differ from run to run.

@@ -309,8 +309,8 @@ def u08(spark, sf):
     from vintagelake.plans.control import replay
 
     cutoffs = ["1997-06-30", "1998-06-30"]
-    out = replay(obs(spark, sf), cutoffs, lambda view: view.history().select("series_id", "obs_date", "value"))
-    return out.groupBy("cutoff").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    out = replay(obs(spark, sf), cutoffs, lambda view: view.paths())
+    return out.groupBy(F.col("world").cast("date").alias("cutoff")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
 @query("U08_replay_equal", "SELECT CAST(0 AS BIGINT) AS differences")
