@@ -100,27 +100,6 @@ def test_curve_fit_recovers_factors(spark):
     assert rates.best_lambda(rates.curves(points)).first().lam == 0.5
 
 
-def test_kalman_recovers_a_slope():
-    rng = np.random.default_rng(0)
-    y = 0.01 * np.arange(800) + rng.normal(0, 0.05, 800)
-    noise, level, slope = models.fit_trend(y)
-    _, slopes, _ = models.kalman_trend(y, noise, level, slope)
-    assert slopes[-1] == pytest.approx(0.01, abs=0.004)
-    again = models.kalman_trend(y[:600], noise, level, slope)[1]
-    assert np.allclose(again, slopes[:600])
-
-
-def test_regimes_are_found():
-    rng = np.random.default_rng(3)
-    states = np.repeat([0, 1, 0, 1, 0], 200)
-    x = np.where(states[:, None] == 1, rng.normal(-2, 2, (1000, 2)), rng.normal(1, 0.5, (1000, 2)))
-    m = models.RegimeModel(x, 2, 100.0)
-    m.label(x, x[:, 0], ["calm", "wild"])
-    assert (m.posterior(x).argmax(1) == states).mean() > 0.97
-    fit = models.switching_fit(np.where(states == 1, rng.normal(0, 4, 1000), rng.normal(1, 0.5, 1000)), rng.normal(0, 1, (1000, 1)), 2)
-    assert np.sqrt(fit["var"]) == pytest.approx([0.5, 4.0], rel=0.15)
-
-
 def test_tail_fit_and_first_passage(spark):
     rng = np.random.default_rng(5)
     heavy, light = 0.08 / 0.3 * (rng.random(4000) ** -0.3 - 1), rng.exponential(0.05, 4000)
@@ -136,12 +115,6 @@ def test_tail_fit_and_first_passage(spark):
     assert p[0] == pytest.approx(1 - 0.9**3)
 
 
-def test_unit_root():
-    rng = np.random.default_rng(2)
-    walk = np.cumsum(rng.normal(0, 1, 1000))
-    assert models.unit_root_p(walk) > 0.1 and models.unit_root_p(rng.normal(0, 1, 1000)) < 0.01
-
-
 def test_paths_do_not_depend_on_partitions(spark):
     args = ([0.1, -0.2], [0.1, 0.3], np.array([[0.9, 0.1], [0.2, 0.8]]), [0.5, 0.5], [0.5], 30, 7, {"rate": 0.5, "threshold": 0.1, "shape": 0.3, "scale": 0.1, "onset": 10, "recovery": 50})
     a = {r.path: r.terminal for r in models.simulate(spark, *args).collect()}
@@ -201,6 +174,16 @@ def test_control_plane(spark):
         def outputs(self, view):
             raise RuntimeError("no state")
 
+    settings = control.Settings.of({"series": [{"series_id": x, "provider": "p"} for x in "PQRST"], "engines": {"gold": True, "rates": True, "crypto": True, "money": False}, "inputs": {"gold": {"price": "P"}, "crypto": {"price": "P"}, "rates": dict(zip(["1Y", "2Y", "3Y", "5Y", "10Y"], "PQRST", strict=True))}, "options": {"rates": {"years": {"1Y": 1, "2Y": 2, "3Y": 3, "5Y": 5, "10Y": 10}, "parameters": {"lambda": 0.4}}}}, {"p"})
+    made = control.enabled(settings)
+    assert [e.asset for e in made] == ["gold", "rates", "crypto"] and made[0].required_series() == ["P"] and made[1].parameters == {"lambda": 0.4}
+    assert [e.asset for e in control.enabled(settings, portfolio=True)] == ["gold", "rates"]
+    for wrong in ({"engines": {"nobody": True}}, {"engines": {"gold": True}}):
+        with pytest.raises(KeyError):
+            control.enabled(control.Settings.of(wrong, set()))
+    with pytest.raises(KeyError):
+        control.Settings.of({"inputs": {"gold": {"price": "X"}}}, set())
+
     out, failed = control.run([Bad()], obs(spark, []), "2020-01-01")
     assert out is None and failed == {"bad": "no state"}
     assert control.artifact_faults({"model_version": "v", "fit_date": "d", "x": {"now": 1}}, "v", "e") == ["fit_date", "now"]
@@ -225,12 +208,15 @@ def test_keyed_tables(spark, tmp_path):
     assert held(sinks.upsert(spark, folder, rows((1, "a", 1), (1, "b", 2), (2, "c", 1)), keys, "version")) == [(1, "b"), (2, "c")]
     assert held(sinks.upsert(spark, folder, rows((1, "x", 2), (2, "y", 0)), keys, "version")) == [(1, "x"), (2, "c")]
     # A writer that took the same number meanwhile.
-    rows((3, "z", 1)).withColumn(sinks.BATCH, F.lit(2)).write.mode("append").partitionBy(sinks.BATCH).parquet(folder)
+    sinks.add_batch(spark, folder, rows((3, "z", 1)), keys, 2)
     assert held(sinks.current(spark, folder, keys, "version")) == [(1, "x"), (2, "c"), (3, "z")]
-    assert sinks.compacted(spark, folder, keys, "version") == 2 and sinks.numbers(spark, folder) == [3]
+    assert sinks.compacted(spark, folder, keys, "version") == 3 and len(sinks.batches(spark, folder)) == 1
     assert held(sinks.current(spark, folder, keys, "version")) == [(1, "x"), (2, "c"), (3, "z")]
-    (tmp_path / "broken" / "_batch=1").mkdir(parents=True)
-    (tmp_path / "broken" / "_batch=1" / "x.parquet").write_bytes(b"no parquet")
+    assert held(sinks.upsert(spark, folder, rows().limit(0), keys, "version")) == [(1, "x"), (2, "c"), (3, "z")] and len(sinks.batches(spark, folder)) == 1
+    found = sinks.current(spark, folder, keys, "version", only=rows((3, "", 0), (9, "", 0)).select("k"))
+    assert held(found) == [(3, "z")] and "PartitionFilters: [_part" in found._jdf.queryExecution().toString()
+    (tmp_path / "broken" / "_batch=b000000000001-0" / "_part=0").mkdir(parents=True)
+    (tmp_path / "broken" / "_batch=b000000000001-0" / "_part=0" / "x.parquet").write_bytes(b"no parquet")
     with pytest.raises(Exception, match="x.parquet"):
         sinks.upsert(spark, str(tmp_path / "broken"), rows((1, "a", 1)), keys, "version").collect()
 
@@ -279,3 +265,45 @@ def test_refit_cutoffs_and_daily_failures(spark, tmp_path):
     assert failed == {"bad": "no state"} and {r.asset for r in out.collect()} == {"crypto"}
     with pytest.raises(KeyError):
         assets.MoneyEngine({"bill": "B"})
+
+
+def test_writers_that_overlap_and_compaction_lose_nothing(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    folder, keys = str(tmp_path / "t"), ["k"]
+    part = lambda i: spark.range(i * 1000, i * 1000 + 1500).select(F.col("id").alias("k"), F.lit(i).alias("v"), F.lit(i).alias("version"))
+    sinks.upsert(spark, folder, part(0), keys, "version")
+    with ThreadPoolExecutor(6) as pool:
+        done = [pool.submit(sinks.add_batch, spark, folder, part(i), keys, 1) for i in range(1, 9)]
+        done.insert(3, pool.submit(sinks.compacted, spark, folder, keys, "version"))
+        for d in done:
+            d.result()
+    check = lambda: {r.v: r.n for r in sinks.current(spark, folder, keys, "version").groupBy("v").agg(F.count("*").alias("n")).collect()}
+    want = {**dict.fromkeys(range(8), 1000), 8: 1500}
+    assert check() == want
+    sinks.compacted(spark, folder, keys, "version")
+    assert check() == want and len(sinks.batches(spark, folder)) == 1
+
+
+def test_keyed_state_sends_changes_once_and_tells_what_is_stale(spark, tmp_path):
+    import time
+
+    from vintagelake.streaming import incremental
+
+    landing, out, checkpoint = (str(tmp_path / x) for x in ("in", "out", "checkpoint"))
+    schema = "series_id string, obs_date date, release_date date, revision_date date, value double"
+    rows = lambda *r: spark.createDataFrame([(s, D(2020, 1, o), D(2020, 1, k), None, v) for s, o, k, v in r], schema)
+
+    def run(df):
+        df.coalesce(1).write.mode("append").parquet(landing)
+        with incremental.with_rocksdb(spark):
+            incremental.run_available(incremental.newest_in_state(incremental.files(spark, landing, schema), 2_000), out, checkpoint)
+        return sorted((r.series_id, r.obs_date.day, r.knowable_at.day, r.value, r.stale) for r in spark.read.schema("series_id string, obs_date date, knowable_at date, value double, stale boolean").parquet(out).collect())
+
+    assert run(rows(("A", 2, 3, 1.0), ("A", 1, 9, 5.0), ("B", 4, 5, 2.0), ("C", 1, 1, None))) == [("A", 2, 3, 1.0, False), ("B", 4, 5, 2.0, False)]
+    first = run(rows(("A", 2, 3, 1.0), ("A", 2, 6, 1.5), ("A", 1, 20, 9.0)))
+    assert [r for r in first if not r[4]] == [("A", 2, 3, 1.0, False), ("A", 2, 6, 1.5, False), ("B", 4, 5, 2.0, False)]
+    time.sleep(2.5)
+    last = run(rows(("Z", 1, 1, 0.0)))
+    assert [r for r in last if r[4]] == [("A", 2, 6, 1.5, True), ("B", 4, 5, 2.0, True)]
+    assert ("B", 4, 5, 2.0, False) in run(rows(("B", 4, 5, 2.0)))  # forgotten, so it is new again

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vintagelake.operators import factors, windows
+from vintagelake.operators import attribution, factors, windows
 from vintagelake.operators.aggregates import within
 
 
@@ -97,43 +96,10 @@ def calibrated_forecast(rows: DataFrame, features: list[str], label: str, rounds
 
 
 def contributions(rows: DataFrame, features: list[str], label: str, rounds: int = 300) -> DataFrame:
-    """obs_date and a map from feature to its part in the trees' score: the change of the node's mean at every split on the row's path.
-
-    An attribution by paths; the parts and the root's mean add up to the score. Trees are small, so they go into the task as plain numbers.
-    """
-    model = trees(rows, features, label, rounds)
-    flat = []
-
-    def walk(node) -> int:
-        at = len(flat)
-        flat.append(None)
-        if node.subtreeDepth() == 0:
-            flat[at] = (-1, 0.0, 0, 0, node.prediction())
-        else:
-            split = node.split()
-            flat[at] = (split.featureIndex(), split.threshold(), walk(node.leftChild()), walk(node.rightChild()), node.prediction())
-        return at
-
-    roots = [(walk(t._call_java("rootNode")), w) for t, w in zip(model.trees, model.treeWeights, strict=True)]
-    nodes = np.array(flat)
-
-    def run(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            x = pdf[features].to_numpy(float)
-            parts, rows = np.zeros((len(x), len(features))), np.arange(len(x))
-            for root, weight in roots:  # all rows go down a tree together, a split at a time
-                at, going = np.full(len(x), root), rows
-                while len(going := going[nodes[at[going], 0] >= 0]):
-                    here = at[going]
-                    f = nodes[here, 0].astype(int)
-                    to = np.where(x[going, f] <= nodes[here, 1], nodes[here, 2], nodes[here, 3]).astype(int)
-                    parts[going, f] += weight * (nodes[to, 4] - nodes[here, 4])
-                    at[going] = to
-            yield pd.DataFrame({"obs_date": pdf["obs_date"], "contributions": [dict(zip(features, map(float, p), strict=True)) for p in parts]})
-
-    return rows.select("obs_date", *features).mapInPandas(run, "obs_date date, contributions map<string,double>")
+    """obs_date and a map from feature to its exact Shapley value in the trees' score; with the trees' mean the parts add up to the score."""
+    leaves, _ = attribution.leaf_table(rows.sparkSession, attribution.gbt_nodes(trees(rows, features, label, rounds)))
+    made = attribution.shapley_values(rows, ["obs_date"], features, leaves)
+    return made.select("obs_date", F.create_map(*(x for f in features for x in (F.lit(f), F.col(f)))).alias("contributions"))
 
 
 def instability(wide: DataFrame, parts: list[str], at_least: int = 60, keys: list[str] | None = None) -> DataFrame:

@@ -1,13 +1,8 @@
-"""Models that run step by step along one series: filters, mixtures of regimes, tails, simulated paths.
-
-Each group of a grouped map is one series, or one series up to one cutoff of a walk forward; groups run side by side. A
-daily series of a century has under 30,000 rows, so a group fits a task with room to spare. Every filter is causal.
-"""
+"""First passages of a chain of regimes, and simulated paths."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -15,239 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def kalman_trend(y: np.ndarray, noise: float, level: float, slope: float) -> tuple[np.ndarray, np.ndarray, float]:
-    """Filtered level and slope of a local linear trend, and the log likelihood, under three variances."""
-    m, p = np.array([y[0], 0.0]), np.diag([1e6, 1e6])
-    step, spread = np.array([[1.0, 1.0], [0.0, 1.0]]), np.diag([level, slope])
-    levels, slopes, total = np.empty(len(y)), np.empty(len(y)), 0.0
-    for t, x in enumerate(y):
-        m, p = step @ m, step @ p @ step.T + spread
-        v, f = x - m[0], p[0, 0] + noise
-        gain = p[:, 0] / f
-        m, p = m + gain * v, p - np.outer(gain, p[0])
-        levels[t], slopes[t] = m
-        if t >= 2:
-            total -= 0.5 * (math.log(2 * math.pi * f) + v * v / f)
-    return levels, slopes, total
-
-
-def simplex_search(f: Callable[[np.ndarray], float], start: np.ndarray, steps: int = 80, size: float = 1.0) -> np.ndarray:
-    """A local minimum of f by moving a simplex: reflect, expand, contract or shrink."""
-    points = [start, *(start + size * e for e in np.eye(len(start)))]
-    values = [f(x) for x in points]
-    for _ in range(steps):
-        order = np.argsort(values)
-        points, values = [points[i] for i in order], [values[i] for i in order]
-        centre = np.mean(points[:-1], axis=0)
-        tried = {k: centre + k * (centre - points[-1]) for k in (1.0, 2.0, -0.5)}
-        worth = f(tried[1.0])
-        best = 2.0 if worth < values[0] and f(tried[2.0]) < worth else 1.0 if worth < values[-2] else -0.5
-        new = f(tried[best])
-        if best > 0 or new < values[-1]:
-            points[-1], values[-1] = tried[best], new
-        else:
-            points = [points[0], *((x + points[0]) / 2 for x in points[1:])]
-            values = [values[0], *map(f, points[1:])]
-    return points[int(np.argmin(values))]
-
-
-def fit_trend(y: np.ndarray, steps: int = 40) -> np.ndarray:
-    """The three variances of most likelihood, searched on a log scale from shares of the changes' variance."""
-    base = max(np.diff(y).var(), 1e-12)
-    lost = lambda x: -kalman_trend(y, *(base * np.exp(np.clip(x, -25, 5))))[2]
-    return base * np.exp(np.clip(simplex_search(lost, np.array([-2.0, -1.0, -8.0]), steps), -25, 5))
-
-
-def per_series(df: DataFrame, keys: list[str], run: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    return df.groupBy(*keys).applyInPandas(lambda p: run(p.sort_values("obs_date", kind="stable").reset_index(drop=True)), schema)
-
-
-def filtered_trend(prices: DataFrame, fit_rows: int = 504) -> DataFrame:
-    """series_id, obs_date, level, slope of the log price; variances from the first fit_rows rows, so the rest sees no later figure. Shorter series give none."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = np.log(pdf["value"].to_numpy(float))
-        if len(y) < fit_rows:
-            return pd.DataFrame({"series_id": [], "obs_date": [], "level": [], "slope": []})
-        level, slope, _ = kalman_trend(y, *fit_trend(y[:fit_rows]))
-        return pd.DataFrame({"series_id": pdf["series_id"], "obs_date": pdf["obs_date"], "level": level, "slope": slope})
-
-    return per_series(prices.where("value > 0").select("series_id", "obs_date", "value"), ["series_id"], run, "series_id string, obs_date date, level double, slope double")
-
-
-#: Coefficients of the response surface for the p-value of a unit-root test with a constant, below and above its break.
-SURFACE_LOW, SURFACE_HIGH, SURFACE_BREAK = (2.1659, 1.4412, 0.038269), (1.7339, 0.93202, -0.12745, -0.010368), -1.61
-
-
-def unit_root_p(x: np.ndarray, lags: int = 1) -> float:
-    """p-value of the augmented Dickey-Fuller test with a constant."""
-    d = np.diff(x)
-    y = d[lags:]
-    design = np.column_stack([x[lags:-1], np.ones(len(y)), *(d[lags - k : -k] for k in range(1, lags + 1))])
-    beta, *_ = np.linalg.lstsq(design, y, rcond=None)
-    left = y - design @ beta
-    se = math.sqrt(left @ left / (len(y) - design.shape[1]) * np.linalg.inv(design.T @ design)[0, 0])
-    t = beta[0] / se
-    if t > 2.74:
-        return 1.0
-    if t < -18.83:
-        return 0.0
-    coefficients = SURFACE_LOW if t <= SURFACE_BREAK else SURFACE_HIGH
-    return 0.5 * math.erfc(-sum(c * t**k for k, c in enumerate(coefficients)) / math.sqrt(2))
-
-
-def least_differencing(prices: DataFrame, threshold: float = 1e-3, longest: int = 252, level: float = 0.05) -> DataFrame:
-    """series_id, d, p, stationary: the smallest d of 0, 0.05 .. 1 whose fractional difference of the log price has no unit root; else the last one, marked."""
-    from vintagelake.operators.windows import ffd_weights
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.log(pdf["value"].to_numpy(float))
-        d = p = 1.0
-        for step in range(21):
-            d = round(step * 0.05, 2)
-            w = ffd_weights(d, threshold, longest)
-            made = np.convolve(x, w, "valid")
-            if len(made) > 30 and (p := unit_root_p(made)) < level:
-                break
-        return pd.DataFrame({"series_id": [pdf["series_id"][0]], "d": [d], "p": [p], "stationary": [p < level]})
-
-    return per_series(prices.where("value > 0").select("series_id", "obs_date", "value"), ["series_id"], run, "series_id string, d double, p double, stationary boolean")
-
-
-def forward(start: np.ndarray, move: np.ndarray, like: np.ndarray) -> tuple[np.ndarray, float]:
-    """Filtered state probabilities from likelihoods (rows by time) and the log likelihood. Uses no later row."""
-    out, total, p = np.empty_like(like), 0.0, start
-    for t in range(len(like)):
-        p = (p if t == 0 else p @ move) * like[t]
-        s = p.sum() or 1e-300
-        total += math.log(s)
-        p = p / s
-        out[t] = p
-    return out, total
-
-
-def smooth(filtered: np.ndarray, move: np.ndarray, like: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """State probabilities given all rows, and expected moves; for fitting only."""
-    n, k = filtered.shape
-    back, gamma, moves = np.ones(k), np.empty_like(filtered), np.zeros((k, k))
-    gamma[-1] = filtered[-1]
-    for t in range(n - 2, -1, -1):
-        tail = like[t + 1] * back
-        pair = filtered[t][:, None] * move * tail[None]
-        moves += pair / (pair.sum() or 1e-300)
-        back = move @ tail
-        back /= back.sum() or 1e-300
-        gamma[t] = filtered[t] * back
-        gamma[t] /= gamma[t].sum() or 1e-300
-    return gamma, moves
-
-
-def gaussian_like(x: np.ndarray, means: np.ndarray, covs: np.ndarray) -> np.ndarray:
-    logs = np.empty((len(x), len(means)))
-    for k, (m, c) in enumerate(zip(means, covs, strict=True)):
-        d = x - m
-        logs[:, k] = -0.5 * (np.einsum("ij,ij->i", d @ np.linalg.inv(c), d) + np.linalg.slogdet(c)[1] + x.shape[1] * math.log(2 * math.pi))
-    return np.exp(logs - logs.max(1, keepdims=True))
-
-
-class RegimeModel:
-    """A Gaussian hidden Markov model with full covariances and a prior that states last; fitted by expectation and maximization from quantile blocks."""
-
-    def __init__(self, x: np.ndarray, states: int = 5, stay: float = 1000.0, rounds: int = 40):
-        self.k = states
-        block = np.argsort(np.argsort(x[:, 0])) * states // len(x)
-        ridge = 1e-3 * np.diag(x.var(0) + 1e-9)
-        self.means = np.array([x[block == s].mean(0) for s in range(states)])
-        self.covs = np.array([np.cov(x[block == s].T).reshape(x.shape[1], -1) + ridge for s in range(states)])
-        self.start, self.move = np.full(states, 1 / states), np.full((states, states), 0.02 / (states - 1)) + np.eye(states) * 0.98
-        for _ in range(rounds):
-            like = gaussian_like(x, self.means, self.covs)
-            gamma, moves = smooth(forward(self.start, self.move, like)[0], self.move, like)
-            weight = gamma.sum(0) + 1e-9
-            self.means = (gamma.T @ x) / weight[:, None]
-            self.covs = np.array([((x - m).T * g) @ (x - m) / w + ridge for m, g, w in zip(self.means, gamma.T, weight, strict=True)])
-            self.start, self.move = gamma[0], moves + 1 + stay * np.eye(states)
-            self.move = self.move / self.move.sum(1, keepdims=True)
-
-    def label(self, x: np.ndarray, returns: np.ndarray, names: list[str]) -> None:
-        """Orders the states by mean return, then calm, from best to worst, and names them so."""
-        p = self.posterior(x)
-        mean = [(p[:, s] @ returns) / max(p[:, s].sum(), 1e-9) for s in range(self.k)]
-        order = sorted(range(self.k), key=lambda s: (-round(mean[s], 12), np.trace(self.covs[s])))
-        self.means, self.covs, self.start, self.move, self.names = self.means[order], self.covs[order], self.start[order], self.move[np.ix_(order, order)], names
-
-    def posterior(self, x: np.ndarray) -> np.ndarray:
-        return forward(self.start, self.move, gaussian_like(x, self.means, self.covs))[0]
-
-
-REGIMES = ["strong_bull", "bull", "neutral", "bear", "crisis"]
-
-
-def walk_forward(design: DataFrame, features: list[str], cutoffs: DataFrame, names: list[str] | None = None, stay: float = 1000.0) -> DataFrame:
-    """Posteriors out of sample: for each (cutoff, until), a model fitted on the rows up to cutoff filters on to `until`.
-
-    Each cutoff is one group; its rows are all before its `until`. series_id, obs_date, cutoff, p (array in the names' order), label, entropy.
-    """
-    names = names or REGIMES
-    rows = design.join(F.broadcast(cutoffs), F.col("obs_date") <= F.col("until")).select("series_id", "cutoff", "obs_date", "r", *features)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        cutoff, x, past = pdf["cutoff"][0], pdf[features].to_numpy(float), (pdf["obs_date"] <= pdf["cutoff"]).to_numpy()
-        if past.sum() < 50 * len(names):
-            return pd.DataFrame(columns=["series_id", "obs_date", "cutoff", "p", "label", "entropy"])
-        scale = (x[past].mean(0), x[past].std(0) + 1e-9)
-        z = (x - scale[0]) / scale[1]
-        model = RegimeModel(z[past], len(names), stay)
-        model.label(z[past], pdf["r"].fillna(0).to_numpy(float)[past], names)
-        p = model.posterior(z)[~past]
-        safe = np.clip(p, 1e-12, 1)
-        out = pdf.loc[~past, ["series_id", "obs_date"]]
-        return out.assign(cutoff=cutoff, p=list(p), label=[names[i] for i in p.argmax(1)], entropy=-(safe * np.log(safe)).sum(1))
-
-    return per_series(rows, ["series_id", "cutoff"], run, "series_id string, obs_date date, cutoff date, p array<double>, label string, entropy double")
-
-
-def switching_fit(y: np.ndarray, x: np.ndarray, states: int = 2, rounds: int = 60) -> dict:
-    """A regression whose intercept and variance switch with a hidden state; the slopes do not. States in order of variance."""
-    beta, *_ = np.linalg.lstsq(np.column_stack([np.ones(len(y)), x]), y, rcond=None)
-    slopes, left = beta[1:], y - np.column_stack([np.ones(len(y)), x]) @ beta
-    block = np.argsort(np.argsort(np.abs(left))) * states // len(y)
-    alpha = np.full(states, beta[0])
-    var = np.array([max((left[block == s] ** 2).mean(), 1e-9) for s in range(states)])
-    start, move = np.full(states, 1 / states), np.full((states, states), 0.1 / max(1, states - 1)) + np.eye(states) * (0.9 - 0.1 / max(1, states - 1))
-    for _ in range(rounds):
-        like = normal_like(y - x @ slopes, alpha, var)
-        gamma, moves = smooth(forward(start, move, like)[0], move, like)
-        start, move = gamma[0], (moves + 0.1) / (moves + 0.1).sum(1, keepdims=True)
-        weight = gamma / var
-        alpha = (weight * (y - x @ slopes)[:, None]).sum(0) / weight.sum(0)
-        w = weight.sum(1)
-        target = y - (weight * alpha).sum(1) / w
-        slopes = np.linalg.solve((x.T * w) @ x + 1e-9 * np.eye(x.shape[1]), (x.T * w) @ target)
-        var = np.maximum((gamma * (y[:, None] - (x @ slopes)[:, None] - alpha) ** 2).sum(0) / (gamma.sum(0) + 1e-9), 1e-9)
-    order = np.argsort(var)
-    return {"alpha": alpha[order], "var": var[order], "slopes": slopes, "start": start[order], "move": move[np.ix_(order, order)]}
-
-
-def normal_like(left: np.ndarray, alpha: np.ndarray, var: np.ndarray) -> np.ndarray:
-    z = (left[:, None] - alpha) ** 2 / var
-    return np.exp(-0.5 * z) / np.sqrt(2 * math.pi * var) + 1e-300
-
-
-def violent_probability(panel: DataFrame, drivers: list[str], fit_rows: int = 240, states: int = 3) -> DataFrame:
-    """series_id, obs_date, violent: filtered probability of the state of largest variance, parameters frozen from the first fit_rows months. Shorter panels give none."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        y, x = pdf["ret"].to_numpy(float), pdf[drivers].fillna(0).to_numpy(float)
-        if len(y) < fit_rows:
-            return pd.DataFrame({"series_id": [], "obs_date": [], "violent": []})
-        f = switching_fit(y[:fit_rows], x[:fit_rows], states)
-        p, _ = forward(f["start"], f["move"], normal_like(y - x @ f["slopes"], f["alpha"], f["var"]))
-        return pd.DataFrame({"series_id": pdf["series_id"], "obs_date": pdf["obs_date"], "violent": p[:, -1]})
-
-    return per_series(panel.where("ret is not null"), ["series_id"], run, "series_id string, obs_date date, violent double")
-
-
 def first_passage(move: np.ndarray, adverse: list[int], steps: int) -> np.ndarray:
     """For each state, the probability to be in an adverse one within so many steps; adverse states count as entered."""
     held = move.copy()

@@ -120,12 +120,6 @@ def ffd_weight_rows(orders: DataFrame, d: str, least: float, longest: int) -> Da
     return rows.withColumn("_least", F.min(F.abs("w")).over(w)).where(F.col("_least") >= least).drop("_least")
 
 
-def dot(col: Column, w, weights: list[float]) -> Column:
-    """Sum of the last rows' values times the weights, newest first; null before the window is full."""
-    terms = F.zip_with(F.reverse(F.collect_list(col).over(w.rowsBetween(1 - len(weights), 0))), F.array(*map(F.lit, weights)), lambda v, c: v * c)
-    return F.when(F.count(col).over(w.rowsBetween(1 - len(weights), 0)) == len(weights), F.aggregate(terms, F.lit(0.0), lambda a, x: a + x))
-
-
 def islands(df: DataFrame, keys: list[str], by: str, flag: str) -> DataFrame:
     """Numbers the runs of rows with the same flag: column `island`."""
     w = ordered(keys, by)

@@ -41,6 +41,10 @@ class AssetEngine(Engine):
             raise KeyError(f"{self.asset}: no series for {sorted(missing)}")
         self.series, self.parameters, self.artifacts = dict(series), dict(parameters or {}), None
 
+    @classmethod
+    def of(cls, inputs: dict[str, str], options: dict) -> AssetEngine:
+        return cls(dict(inputs), **options)
+
     def required_series(self) -> list[str]:
         return sorted(set(self.series.values()))
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vintagelake.operators import equity, gold, regimes, scan, trend
+from vintagelake.operators import differencing, equity, gold, regimes, scan, trend
 from vintagelake.plans.fixtures import SQL as VIEWS
 from vintagelake.plans.fixtures import price
 from vintagelake.plans.markets import BASE, DESIGN, FEATURES, design, drivers
@@ -230,3 +230,29 @@ def g05_filter(spark, sf):
 def g05(spark, sf):
     """Three states, fitted until the likelihood stands still."""
     return regimes.violent_probability(panel(spark, sf), ["z_stress"], stored, FIT_MONTHS)
+
+
+# --- unit roots
+
+D = differencing
+ORDERS = [
+    LOGP, ("wts", "SELECT * FROM (WITH RECURSIVE r(d, k, w) AS (SELECT round(0.05::DOUBLE * i, 2), 0, 1.0::DOUBLE FROM range(21) t(i) UNION ALL SELECT d, k + 1, -w * (d - (k + 1) + 1) / (k + 1) FROM r WHERE k < 251) SELECT * FROM r) QUALIFY min(abs(w)) OVER (PARTITION BY d ORDER BY k) >= 0.001"),
+    ("made", "SELECT d, p.t, sum(w * q.y) AS x FROM logp p, wts JOIN logp q ON q.t = p.t - k GROUP BY d, p.t HAVING count(*) = (SELECT count(*) FROM wts v WHERE v.d = wts.d)"),
+    ("steps", "SELECT d, t, x - b AS y, b AS a, b - c AS l FROM (SELECT *, lag(x) OVER (PARTITION BY d ORDER BY t) AS b, lag(x, 2) OVER (PARTITION BY d ORDER BY t) AS c FROM made) WHERE c IS NOT NULL"),
+    ("centred", "SELECT d, count(*) AS n, sum(a * a) - sum(a) ** 2 / count(*) AS aa, sum(a * l) - sum(a) * sum(l) / count(*) AS ab, sum(l * l) - sum(l) ** 2 / count(*) AS bb, sum(a * y) - sum(a) * sum(y) / count(*) AS ay, sum(l * y) - sum(l) * sum(y) / count(*) AS by_, sum(y * y) - sum(y) ** 2 / count(*) AS yy FROM steps GROUP BY d HAVING count(*) > 30"),
+    ("tested", "SELECT d, n, s / sqrt((yy - s * ay - l * by_) / (n - 3) * bb / det) AS t FROM (SELECT *, (ay * bb - by_ * ab) / det AS s, (by_ * aa - ay * ab) / det AS l FROM (SELECT *, aa * bb - ab * ab AS det FROM centred))"),
+    ("surface", f"SELECT *, CASE WHEN t <= {D.SURFACE_BREAK} THEN {' + '.join(f'{c}::DOUBLE * t ** {k}' for k, c in enumerate(D.SURFACE_LOW))} ELSE {' + '.join(f'{c}::DOUBLE * t ** {k}' for k, c in enumerate(D.SURFACE_HIGH))} END AS q FROM tested"),
+    ("upper", f"SELECT *, exp(-q * q / 2) / sqrt(2 * pi()) * ({' + '.join(f'{c}::DOUBLE / (1 + {D.TAIL_STEP}::DOUBLE * abs(q)) ** {k + 1}' for k, c in enumerate(D.TAIL))}) AS u FROM surface"),
+    ("roots", f"SELECT d, n, t, CASE WHEN t > {D.SURFACE_MOST} THEN 1 WHEN t < {D.SURFACE_LEAST} THEN 0 WHEN q >= 0 THEN 1 - u ELSE u END AS p FROM upper"),
+]
+
+
+@query("Y05_unit_roots", recursive("SELECT 'PX' AS series_id, d, n, round(t, 5) AS t, round(p, 6) AS p FROM roots", *ORDERS))
+def y05_roots(spark, sf):
+    """The unit-root test of all orders of differencing, from one table of lagged products."""
+    return differencing.unit_roots(price(spark, sf)).select("series_id", "d", "n", rnd("t", 5).alias("t"), rnd("p").alias("p"))
+
+
+@query("Y05_least_differencing", recursive("SELECT 'PX' AS series_id, d, round(p, 6) AS p, p < 0.05 AS stationary FROM roots ORDER BY p < 0.05 DESC, CASE WHEN p < 0.05 THEN d ELSE -d END LIMIT 1", *ORDERS))
+def y05(spark, sf):
+    return differencing.least_differencing(price(spark, sf)).select("series_id", "d", rnd("p").alias("p"), "stationary")

@@ -19,6 +19,11 @@ class Engine(ABC):
     asset = ""
     experimental = False
 
+    @classmethod
+    def of(cls, inputs: dict[str, str], options: dict) -> Engine:
+        """The engine from settings: series by role, and options by name."""
+        return cls()
+
     @abstractmethod
     def required_series(self) -> list[str]: ...
 
@@ -47,10 +52,14 @@ def register(cls: type[Engine]) -> type[Engine]:
 
 
 def enabled(settings: Settings, portfolio: bool = False) -> list[Engine]:
-    """Engines that the settings switch on; for a portfolio without experimental ones."""
-    if unknown := settings.engines.keys() - ENGINES.keys():
+    """Engines that the settings switch on, with the series and options that the settings give them; for a portfolio without experimental ones."""
+    import vintagelake.plans.assets  # noqa: F401  registers the assets' engines
+
+    named = settings.engines.keys() | settings.inputs.keys() | settings.options.keys()
+    if unknown := named - ENGINES.keys():
         raise KeyError(f"unknown engines: {sorted(unknown)}")
-    return [ENGINES[a]() for a, on in settings.engines.items() if on and not (portfolio and ENGINES[a].experimental)]
+    chosen = [a for a, on in settings.engines.items() if on and not (portfolio and ENGINES[a].experimental)]
+    return [ENGINES[a].of(settings.inputs.get(a, {}), settings.options.get(a, {})) for a in chosen]
 
 
 FREQUENCIES = ("daily", "weekly", "monthly", "quarterly")
@@ -71,15 +80,17 @@ class SeriesSpec:
 
 @dataclass(frozen=True)
 class Settings:
-    """Strict: an unknown key, provider or role is an error."""
+    """Strict: an unknown key, provider, role or input is an error. inputs: an engine's series by role; options: what else it takes."""
 
     series: tuple[SeriesSpec, ...] = ()
     engines: dict[str, bool] = field(default_factory=dict)
     roles: dict[str, str] = field(default_factory=dict)
+    inputs: dict[str, dict[str, str]] = field(default_factory=dict)
+    options: dict[str, dict] = field(default_factory=dict)
 
     @staticmethod
     def of(raw: dict, providers: set[str]) -> Settings:
-        if unknown := raw.keys() - {"series", "engines", "roles"}:
+        if unknown := raw.keys() - {"series", "engines", "roles", "inputs", "options"}:
             raise KeyError(f"unknown settings: {sorted(unknown)}")
         series = tuple(SeriesSpec(**s) for s in raw.get("series", []))
         if unknown := {s.provider for s in series} - providers:
@@ -87,7 +98,10 @@ class Settings:
         ids = {s.series_id for s in series}
         if unknown := set(raw.get("roles", {}).values()) - ids:
             raise KeyError(f"roles of unknown series: {sorted(unknown)}")
-        return Settings(series, dict(raw.get("engines", {})), dict(raw.get("roles", {})))
+        inputs = {a: dict(r) for a, r in raw.get("inputs", {}).items()}
+        if unknown := {s for r in inputs.values() for s in r.values()} - ids:
+            raise KeyError(f"inputs of unknown series: {sorted(unknown)}")
+        return Settings(series, dict(raw.get("engines", {})), dict(raw.get("roles", {})), inputs, {a: dict(o) for a, o in raw.get("options", {}).items()})
 
 
 def run(engines: list[Engine], obs: DataFrame, as_of: str) -> tuple[DataFrame | None, dict[str, str]]:

@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vintagelake.functions import finance
-from vintagelake.operators import aggregates, crypto, equity, factors, gold, joins, models, reshape, windows
+from vintagelake.operators import aggregates, attribution, crypto, equity, factors, gold, joins, models, reshape, windows
 from vintagelake.plans.fixtures import dayno, monthly, oracle, price, price_alt, price_late, rates_short
 from vintagelake.plans.registry import query
 from vintagelake.plans.series import BY, EVER, RETURNS, STATE, W, over, returns, rnd, states
@@ -180,11 +180,6 @@ def y04(spark, sf):
     return windows.ffd_weight_rows(orders, "d", 1e-3, 250).select("d", "k", rnd("w", 10).alias("w"))
 
 
-@query("Y05_least_differencing")
-def y05(spark, sf):
-    return models.least_differencing(price(spark, sf))
-
-
 SLOPE = f"sin(n / 80.0::DOUBLE) / 100"
 
 
@@ -246,6 +241,39 @@ def y16(spark, sf):
     return equity.calibrated_forecast(training(spark, sf), FEATURES, "label", rounds=5)
 
 
+#: Two trees over the first three features: (feature or -1, threshold, left, right, value, cover).
+SMALL_TREES = [
+    ([(0, 0.2, 1, 2, 0.0, 100.0), (2, 0.0, 3, 4, 0.0, 60.0), (0, 1.1, 5, 6, 0.0, 40.0), (-1, 0, 0, 0, 1.0, 20.0), (-1, 0, 0, 0, -2.0, 40.0), (1, 0.3, 7, 8, 0.0, 30.0), (-1, 0, 0, 0, 5.0, 10.0), (-1, 0, 0, 0, 0.5, 10.0), (-1, 0, 0, 0, 3.0, 20.0)], 1.0),
+    ([(1, -0.4, 1, 2, 0.0, 100.0), (2, 0.1, 5, 6, 0.0, 30.0), (2, -0.2, 3, 4, 0.0, 70.0), (-1, 0, 0, 0, -1.0, 50.0), (-1, 0, 0, 0, 2.0, 20.0), (-1, 0, 0, 0, 4.0, 12.0), (-1, 0, 0, 0, 0.25, 18.0)], 0.5),
+]
+
+
+def worth_sql(known: set[int], nodes: list, at: int = 0) -> str:
+    """A tree's value in SQL if only the known features are: the others are averaged over by cover."""
+    f, threshold, left, right, value, cover = nodes[at]
+    if f < 0:
+        return f"{value!r}::DOUBLE"
+    a, b = worth_sql(known, nodes, left), worth_sql(known, nodes, right)
+    if f in known:
+        return f"CASE WHEN {FEATURES[f]} <= {threshold!r}::DOUBLE THEN {a} ELSE {b} END"
+    return f"({nodes[left][5] / cover!r}::DOUBLE * {a} + {nodes[right][5] / cover!r}::DOUBLE * {b})"
+
+
+def shapley_sql(i: int) -> str:
+    """Feature i's Shapley value by all subsets of the other two."""
+    j, k = (x for x in range(3) if x != i)
+    worth = lambda known: "(" + " + ".join(f"{w!r}::DOUBLE * {worth_sql(known, n)}" for n, w in SMALL_TREES) + ")"
+    return " + ".join(f"({worth({*s, i})} - {worth(s)}) / {n}" for s, n in ((set(), 3), ({j}, 6), ({k}, 6), ({j, k}, 3)))
+
+
+@query("Y18_shapley_values", oracle("SELECT obs_date, " + ", ".join(f"round({shapley_sql(i)}, 8) AS {FEATURES[i]}" for i in range(3)) + f" FROM design WHERE {' AND '.join(f'{f} IS NOT NULL' for f in FEATURES)}", RETURNS, DESIGN))
+def y18_shapley(spark, sf):
+    """Exact Shapley values by leaves; the SQL goes through all subsets of the features."""
+    leaves, _ = attribution.leaf_table(spark, SMALL_TREES)
+    made = attribution.shapley_values(design(spark, sf), ["obs_date"], FEATURES[:3], leaves)
+    return made.select("obs_date", *(rnd(f, 8).alias(f) for f in FEATURES[:3]))
+
+
 @query("Y18_contributions")
 def y18(spark, sf):
     return equity.contributions(training(spark, sf), FEATURES, "label", rounds=5)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-from vintagelake.operators import aggregates, windows
+from vintagelake.operators import aggregates, differencing, windows
 from vintagelake.plans.fixtures import CUTOFF, curve, dayno, events_obs, metadata, monthly, obs, oracle, outputs, price, price_alt, rates_short, table
 from vintagelake.plans.registry import query
 
@@ -168,7 +168,7 @@ FFD = windows.ffd_weights(0.4, 1e-3, 250)
 @query("W19_ffd", oracle(f"""SELECT obs_date, CASE WHEN k = {len(FFD)} THEN round(s, 6) END AS ffd FROM (SELECT p.obs_date, count(*) AS k, sum(w.weight * ln(q.value)) AS s
   FROM (SELECT *, row_number() OVER (ORDER BY obs_date) AS i FROM price) p JOIN (SELECT * FROM (VALUES {', '.join(f'({i}, {x!r}::DOUBLE)' for i, x in enumerate(FFD))}) AS t(k, weight)) w ON true JOIN (SELECT *, row_number() OVER (ORDER BY obs_date) AS i FROM price) q ON q.i = p.i - w.k GROUP BY 1)"""))
 def w19(spark, sf):
-    return price(spark, sf).withColumn("l", F.log(V())).select("obs_date", rnd(windows.dot(F.col("l"), W(), FFD)).alias("ffd"))
+    return differencing.fractional(price(spark, sf).withColumn("l", F.log(V())), "obs_date", "l", FFD).select("obs_date", rnd("ffd").alias("ffd"))
 
 
 @query("W20_release_floor", oracle("SELECT series_id, obs_date, min(release_date) OVER (PARTITION BY series_id ORDER BY obs_date DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS floor FROM monthly"))

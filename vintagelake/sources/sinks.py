@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from vintagelake.operators.reshape import finite
 
 
-#: Partition column of a keyed table: the number of the batch that wrote a row.
-BATCH = "_batch"
+#: Partition columns of a keyed table: the name of the batch that wrote a row, and the part that its key falls in.
+BATCH, PART = "_batch", "_part"
+#: Parts of a key's hash. A fixed value: tables that are written with it are read with it.
+PARTS = 16
 
 
 def filesystem(spark: SparkSession, path: str):
@@ -29,7 +31,7 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def numbers(spark: SparkSession, folder: str, column: str = BATCH) -> list[int]:
+def numbers(spark: SparkSession, folder: str, column: str) -> list[int]:
     """Values of a numbered partition column, from the folder's listing."""
     fs, p = filesystem(spark, folder)
     names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
@@ -44,33 +46,69 @@ def one_for_each(rows: DataFrame, keys: list[str], order: str, *then: str) -> Da
     return best.select(*(F.col(f"_row.`{c}`") for c in columns))
 
 
-def upsert(spark: SparkSession, folder: str, new: DataFrame, keys: list[str], order: str) -> DataFrame:
+def batches(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the table's batches, oldest first: a number, and what tells apart those that were written at one time."""
+    fs, p = filesystem(spark, folder)
+    names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted(n.partition("=")[2] for n in names if n.startswith(f"{BATCH}="))
+
+
+def part_of(keys: list[str]) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(PARTS)).cast("int")
+
+
+def add_batch(spark: SparkSession, folder: str, rows: DataFrame, keys: list[str], number: int) -> None:
+    """Writes rows aside and moves them into the table in one step, under a name that no other writer has. No rows make no batch."""
+    aside = f"{folder}/_aside-{uuid.uuid4().hex}"  # names that begin so are not read
+    rows.withColumn(PART, part_of(keys)).write.partitionBy(PART).parquet(aside)
+    fs, source = filesystem(spark, aside)
+    if any(f.getPath().getName().startswith(f"{PART}=") for f in fs.listStatus(source)):
+        _, target = filesystem(spark, f"{folder}/{BATCH}=b{number:012d}-{uuid.uuid4().hex}")
+        if not fs.rename(source, target):
+            raise OSError(f"could not move {aside} into {folder}")
+    else:
+        fs.delete(source, True)
+
+
+def upsert(spark: SparkSession, folder: str, new: DataFrame, keys: list[str], order: str) -> DataFrame | None:
     """Adds rows to the keyed table under folder and returns the table as it is read then.
 
-    The table is a log of batches, one partition folder each: a batch is reduced to a row for each of its keys and appended
-    under the next number; nothing is rewritten, so a batch costs what it holds, and writers that overlap lose nothing.
-    Reading takes each key's row with the largest `order`, of equal ones the one of the latest batch. The same rows once
-    more change nothing.
+    The table is a log of batches: a batch is reduced to a row for each of its keys, written aside and moved in whole, so a batch that
+    fails is not seen, nothing is rewritten, and writers that overlap neither share a folder nor lose anything. Reading takes
+    each key's row with the largest `order`, of equal ones the one of the latest batch. The same rows once more change nothing.
     """
-    number = (numbers(spark, folder) or [0])[-1] + 1
-    one_for_each(new, keys, order).withColumn(BATCH, F.lit(number)).write.mode("append").partitionBy(BATCH).parquet(folder)
+    add_batch(spark, folder, one_for_each(new, keys, order), keys, number_of(batches(spark, folder)) + 1)
     return current(spark, folder, keys, order)
 
 
-def current(spark: SparkSession, folder: str, keys: list[str], order: str) -> DataFrame | None:
-    """The keyed table's rows, one for each key; None where nothing was written."""
-    if not exists(spark, folder):
+def number_of(names: list[str]) -> int:
+    return int(names[-1][1:13]) if names else 0
+
+
+def current(spark: SparkSession, folder: str, keys: list[str], order: str, only: DataFrame | None = None) -> DataFrame | None:
+    """The keyed table's rows, one for each key; None where nothing was written. only: keys to look up; the parts of the table without them are not read.
+
+    `only` gives at most PARTS part numbers to the driver; a key's rows of all batches lie in one part.
+    """
+    names = batches(spark, folder)
+    if not names:
         return None
-    return one_for_each(spark.read.parquet(folder), keys, order, BATCH).drop(BATCH)
+    rows = spark.read.option("basePath", folder).parquet(*(f"{folder}/{BATCH}={n}" for n in names))
+    if only is not None:
+        rows = rows.where(F.col(PART).isin([r[0] for r in only.select(part_of(keys)).distinct().collect()])).join(only.select(*keys).distinct(), keys, "left_semi")
+    return one_for_each(rows, keys, order, BATCH).drop(BATCH, PART)
 
 
 def compacted(spark: SparkSession, folder: str, keys: list[str], order: str) -> int:
-    """Writes the table's rows as one batch and removes the batches that it was made of. Returns how many these were."""
-    held = numbers(spark, folder)
+    """Writes the rows of the batches there are as one and removes these batches, no others. Returns how many they were.
+
+    A batch that comes in meanwhile stays. A reader that has listed a batch before it goes must read again.
+    """
+    held = batches(spark, folder)
     if len(held) < 2:
         return 0
-    rows = one_for_each(spark.read.parquet(folder).where(F.col(BATCH) <= held[-1]), keys, order, BATCH).drop(BATCH)
-    rows.withColumn(BATCH, F.lit(held[-1] + 1)).write.mode("append").partitionBy(BATCH).parquet(folder)
+    rows = spark.read.option("basePath", folder).parquet(*(f"{folder}/{BATCH}={n}" for n in held))
+    add_batch(spark, folder, one_for_each(rows, keys, order, BATCH).drop(BATCH, PART), keys, number_of(held))
     for n in held:
         fs, p = filesystem(spark, f"{folder}/{BATCH}={n}")
         fs.delete(p, True)
