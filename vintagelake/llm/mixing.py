@@ -9,10 +9,12 @@ over those vectors. Steps are scaled by the moments of the documents whose rates
 
 from __future__ import annotations
 
+import json
 import logging
 import math
 from dataclasses import dataclass
 from functools import reduce
+from zlib import crc32
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -69,11 +71,16 @@ def binned(text: Column, n_tokens: Column, words: Column) -> list[Column]:
     return [*(share_bin(n, size) for n in counts), F.when(mean < 5, 0).when(mean < 7, 1).when(mean < 12, 2).otherwise(3), again]
 
 
-def telling_words(train: DataFrame) -> list[str]:
-    """All words of the labelled texts that tell a domain, by a test of the share of its documents that hold the word against the others'."""
+def distinct_words(words: Column) -> Column:
+    return F.array_distinct(F.array_remove(words, ""))
+
+
+def telling_words(train: DataFrame) -> list[tuple[str, list[int]]]:
+    """(word, documents with it by domain) of all words of the labelled texts that tell a domain, by a test of the share of its documents
+    that hold the word against the others'."""
     sizes = {r.domain: r["count"] for r in train.groupBy("domain").count().collect()}
-    words = train.select("domain", F.explode(F.array_distinct(words_of(F.col("text")))).alias("word")).where("word <> ''")
-    sums = words.groupBy("word").agg(*(F.count_if(F.col("domain") == d).alias(f"n{d}") for d in range(len(DOMAINS))))
+    held = train.select("domain", F.explode(distinct_words(words_of(F.col("text")))).alias("word"))
+    sums = held.groupBy("word").agg(*(F.count_if(F.col("domain") == d).alias(f"n{d}") for d in range(len(DOMAINS))))
     tells = F.lit(False)
     for d, size in sizes.items():
         others = sum(n for e, n in sizes.items() if e != d)
@@ -81,7 +88,7 @@ def telling_words(train: DataFrame) -> list[str]:
         own = F.col(f"n{d}") + 0.5
         ratio = F.log(own / (size + 1)) - F.log((rest + 0.5) / (others + 1))
         tells = tells | (ratio - math.log(TYPICAL) >= SURE * F.sqrt(1 / own + 1 / (rest + 0.5)))
-    return sorted(r.word for r in sums.where(tells).select("word").collect())
+    return sorted((r.word, [r[f"n{d}"] for d in range(len(DOMAINS))]) for r in sums.where(tells).collect())
 
 
 @dataclass(frozen=True)
@@ -92,17 +99,30 @@ class Classifier:
     bins: list[list[list[float]]]
     words: dict[str, tuple[list[float], list[float]]]
 
+    def gains(self) -> Column:
+        """What each word adds to each domain, as one value of the plan: a list of small maps, a word's map being found by its hash."""
+        table: list[dict[str, list[float]]] = [{} for _ in range(max(1, len(self.words)))]
+        for word, (yes, no) in self.words.items():
+            table[crc32(word.encode()) % len(table)][word] = [round(a - b, 9) for a, b in zip(yes, no, strict=True)]
+        return F.from_json(F.lit(json.dumps(table)), "array<map<string,array<double>>>")
+
+    def hits(self, words: Column) -> Column:
+        """What the words that a text has add, each word once."""
+        table, n = self.gains(), max(1, len(self.words))
+        found = F.transform(distinct_words(words), lambda w: F.element_at(F.get(table, F.pmod(F.crc32(w.cast("binary")), F.lit(n)).cast("int")), w))
+        return F.filter(found, lambda g: g.isNotNull())
+
     def add_posteriors(self, df: DataFrame, text: str) -> DataFrame:
         """df, which has mix_tokens, with mix_posteriors, in the order of DOMAINS. One step for each column that is used twice, so that it is computed once."""
         logs, odds = [f"mix_log{d}" for d in range(len(DOMAINS))], [f"mix_odds{d}" for d in range(len(DOMAINS))]
         df = df.withColumn("mix_words", words_of(F.col(text)))
-        df = df.withColumns({"mix_hits": present(F.col("mix_words"), list(self.words))} | {f"mix_bin{i}": c for i, c in enumerate(binned(F.col(text), F.col("mix_tokens"), F.col("mix_words")))})
+        df = df.withColumns({"mix_hits": self.hits(F.col("mix_words"))} | {f"mix_bin{i}": c for i, c in enumerate(binned(F.col(text), F.col("mix_tokens"), F.col("mix_words")))})
         made = {}
         for d, name in enumerate(logs):
             x = F.lit(self.prior[d] + sum(absent[d] for _, absent in self.words.values()))
             for i, table in enumerate(self.bins):
                 x = x + reduce(lambda c, v, i=i, d=d, table=table: c.when(F.col(f"mix_bin{i}") == v, table[v][d]), range(1, 4), F.when(F.col(f"mix_bin{i}") == 0, table[0][d]))
-            made[name] = x + gained(F.col("mix_hits"), {w: yes[d] - no[d] for w, (yes, no) in self.words.items()}) if self.words else x
+            made[name] = added(F.col("mix_hits"), d, x)
         df = df.withColumns(made).withColumn("mix_top", F.greatest(*logs))
         df = df.withColumns({o: F.exp(F.col(x) - F.col("mix_top")) for o, x in zip(odds, logs, strict=True)})
         total = reduce(Column.__add__, map(F.col, odds))
@@ -110,17 +130,9 @@ class Classifier:
         return df.drop("mix_words", "mix_hits", "mix_top", *(f"mix_bin{i}" for i in range(len(self.bins))), *logs, *odds)
 
 
-def gained(hits: Column, gain: dict[str, float]) -> Column:
-    """The sum of what each word that was hit adds."""
-    gains = F.create_map(*(F.lit(v) for pair in gain.items() for v in pair))
-    return F.aggregate(hits, F.lit(0.0), lambda a, w: a + F.coalesce(F.element_at(gains, w), F.lit(0.0)))
-
-
-def present(found: Column, words: list[str]) -> Column:
-    """Which of the words are among a text's words, each once."""
-    if not words:
-        return F.array().cast("array<string>")
-    return F.array_intersect(found, F.array(*map(F.lit, words)))
+def added(hits: Column, domain: int, start: Column) -> Column:
+    """start and what each hit adds to the domain."""
+    return F.aggregate(hits, start, lambda a, g: a + F.get(g, F.lit(domain)))
 
 
 def learn(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAIN) -> Classifier:
@@ -129,18 +141,17 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAIN) -> Classif
     usable = labels.withColumn("domain", domain_of(F.col("quality"), F.col("toxic"))).where("domain is not null")
     ids = bounded_ids(usable, bound, "domain")
     train = written(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id").select("domain", "text"), "mixing-train")
-    words = telling_words(train)
+    found = telling_words(train)
     cut = train.withColumn("words", words_of(F.col("text")))
-    made = cut.select("domain", F.array(*binned(F.col("text"), tokens(F.col("text")), F.col("words"))).alias("bins"), present(F.col("words"), words).alias("hits"))
+    made = cut.select("domain", F.array(*binned(F.col("text"), tokens(F.col("text")), F.col("words"))).alias("bins"))
     rows = {r.domain: r for r in made.groupBy("domain").agg(F.count("*").alias("n"), F.array(*(F.count_if(F.col("bins")[i] == v) for i in range(FEATURES) for v in range(4))).alias("in_bin")).collect()}
-    hits = {(r.domain, r.word): r["count"] for r in made.select("domain", F.explode("hits").alias("word")).groupBy("domain", "word").count().collect()}
     n = np.array([rows[d].n if d in rows else 0 for d in range(k)], float)
     in_bin = np.array([rows[d].in_bin if d in rows else [0] * (4 * FEATURES) for d in range(k)], float).reshape(k, FEATURES, 4)
-    with_word = np.array([[hits.get((d, w), 0) for w in words] for d in range(k)], float).reshape(k, len(words))
+    with_word = np.array([counts for _, counts in found], float).reshape(len(found), k).T
     prior = np.log((n + 1) / (n.sum() + k))
     bins = np.log((in_bin + 1) / (n[:, None, None] + 4))
     share = (with_word + 0.5) / (n[:, None] + 1)
-    return Classifier(prior.tolist(), bins.transpose(1, 2, 0).tolist(), {w: (np.log(share[:, i]).tolist(), np.log1p(-share[:, i]).tolist()) for i, w in enumerate(words)})
+    return Classifier(prior.tolist(), bins.transpose(1, 2, 0).tolist(), {w: (np.log(share[:, i]).tolist(), np.log1p(-share[:, i]).tolist()) for i, (w, _) in enumerate(found)})
 
 
 def rate(posteriors: Column, steps: list[list[float]], start: Column | None = None) -> Column:
