@@ -139,19 +139,35 @@ def fit(cut: DataFrame, known: DataFrame, store: Callable[[DataFrame, str], Data
     return best(cut, places(known.join(near.select("series_id", "share", "slope"), "series_id").select("*"), around), store)
 
 
-def filtered_trend(prices: DataFrame, store: Callable[[DataFrame, str], DataFrame], fit_rows: int = 504, span: int = scan.SPAN) -> DataFrame:
-    """series_id, obs_date, level, slope of the log price, filtered under variances from the first fit_rows rows, so the rest sees no later figure.
+def cut_prices(prices: DataFrame, store: Callable[[DataFrame, str], DataFrame], span: int) -> DataFrame:
+    return store(scan.blocks(prices.where("value > 0").select("series_id", "obs_date", F.log("value").alias("y")), "obs_date", ["y"], span), "trend-blocks")
 
-    A series with fewer rows gives none. Prices that are not positive are left out.
-    """
-    rows = prices.where("value > 0").select("series_id", "obs_date", F.log("value").alias("y"))
-    cut = store(scan.blocks(rows, "obs_date", ["y"], span), "trend-blocks")
+
+def known_starts(cut: DataFrame, fit_rows: int) -> DataFrame:
+    """(series_id, begin, until): the first log price, and the day of the last row to fit on, for series that have it."""
     begin = cut.where("first").select("series_id", F.col("z")[0].alias("begin"))
     last = F.get("day", (F.lit(fit_rows - 1) - F.col("at")).cast("int"))
     until = cut.where((F.col("at") < fit_rows) & (F.col("at") + F.size("day") >= fit_rows)).select("series_id", last.alias("until"))
-    known = store(begin.join(until, "series_id"), "trend-known")
-    frozen = fit(cut, known, store).join(known.select("series_id", "begin"), "series_id")
-    parameters = frozen.select("series_id", F.lit("9999-12-31").cast("date").alias("until"), F.array("share", F.pow(F.lit(10.0), "slope"), "begin").alias("theta"))
+    return begin.join(until, "series_id")
+
+
+def fitted(prices: DataFrame, store: Callable[[DataFrame, str], DataFrame], fit_rows: int = 504, span: int = scan.SPAN) -> DataFrame:
+    """(series_id, share, slope, loglik, scale) from the first fit_rows rows of each series; a series with fewer gives none."""
+    cut = cut_prices(prices, store, span)
+    return fit(cut, store(known_starts(cut, fit_rows), "trend-known"), store)
+
+
+def filtered_trend(prices: DataFrame, store: Callable[[DataFrame, str], DataFrame], fit_rows: int = 504, span: int = scan.SPAN, frozen: tuple[float, float] | None = None) -> DataFrame:
+    """series_id, obs_date, level, slope of the log price, filtered under variances from the first fit_rows rows, so the rest sees no later figure.
+
+    frozen: share and slope that were fitted before, in place of a fit. A series with fewer rows gives none. Prices that are not positive
+    are left out.
+    """
+    cut = cut_prices(prices, store, span)
+    known = store(known_starts(cut, fit_rows), "trend-known")
+    places_ = known.select("series_id", F.lit(frozen[0]).alias("share"), F.lit(frozen[1]).alias("slope")) if frozen else fit(cut, known, store)
+    chosen = places_.join(known.select("series_id", "begin"), "series_id")
+    parameters = chosen.select("series_id", F.lit("9999-12-31").cast("date").alias("until"), F.array("share", F.pow(F.lit(10.0), "slope"), "begin").alias("theta"))
 
     def fn(b: Batch) -> dict:
         state = filtered(b)[0]

@@ -16,10 +16,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vintagelake.functions import finance
-from vintagelake.operators import crypto, equity, gold, joins, rates, reshape, windows
+from vintagelake.operators import crypto, equity, gold, joins, rates, regimes, reshape, trend, windows
 from vintagelake.operators.pit import PitView, Worlds
 from vintagelake.plans.control import Engine, artifact_faults, register
 from vintagelake.sources import sinks
+from vintagelake.sources.shared import stored
 
 VERSION = "1"
 
@@ -63,13 +64,20 @@ class AssetEngine(Engine):
         """series_id (the world), obs_date and `metrics`, one row for each day; `label` too where the engine names a regime."""
         raise NotImplementedError
 
-    def told(self, view: PitView | Worlds) -> DataFrame:
+    def told(self, view: PitView | Worlds, digits: int = 6) -> DataFrame:
         """(world, as_of, metric, value)."""
-        return reshape.tall(self.history(view), ["series_id", "obs_date"], list(self.metrics)).withColumnsRenamed({"series_id": "world", "obs_date": "as_of"})
+        return reshape.tall(self.history(view), ["series_id", "obs_date"], list(self.metrics), digits).withColumnsRenamed({"series_id": "world", "obs_date": "as_of"})
 
     def outputs(self, view: PitView) -> DataFrame:
         return self.told(view).drop("world")
 
+    def regimes(self, view: PitView | Worlds) -> DataFrame | None:
+        """(world, as_of, regime, probability): the label as sure, where the engine names one and has no posterior of its own."""
+        rows = self.history(view)
+        if "label" not in rows.columns:
+            return None
+        return rows.where("label is not null").select(F.col("series_id").alias("world"), F.col("obs_date").alias("as_of"), F.col("label").alias("regime"), F.lit(1.0).alias("probability"))
+
     def state(self, view: PitView) -> DataFrame:
         """asset, as_of, label and `metrics` of the newest day; no row where nothing is known."""
         rows = self.history(view)
@@ -148,56 +156,178 @@ class RatesEngine(AssetEngine):
 
 @register
 class MoneyEngine(AssetEngine):
-    """The short rate, spliced from an overnight rate and a discount bill, and what it has earned."""
+    """The short rate, spliced from an overnight rate and a discount bill, what it has earned, what it discounts, and how tight money is.
+
+    Optional roles: rrp, and the published curve's ns_level, ns_slope, ns_curvature and ns_lambda. A curve counts on its own day and
+    if it was known by then; on other days the short rate stands for all horizons.
+    """
 
     asset, roles = "money", ("overnight", "bill")
-    metrics = ("short_rate", "wealth", "carry_91d")
+    metrics = ("wealth_index", "short_rate", "carry_1m", "carry_3m", "carry_12m", "discount_1y", "discount_3y", "discount_10y", "bill_sofr_spread", "liquidity_code")
+    carries = {"carry_1m": 30, "carry_3m": 91, "carry_12m": 365}
+    horizons = {"discount_1y": 1.0, "discount_3y": 3.0, "discount_10y": 10.0}
+    curve = ("ns_level", "ns_slope", "ns_curvature", "ns_lambda")
 
-    def history(self, view: PitView) -> DataFrame:
+    def published(self, view: PitView | Worlds) -> DataFrame:
+        """(series_id, obs_date and the curve's four columns) of days whose whole curve was known that day."""
+        by_id = {self.series[r]: r for r in self.curve}
+        rows = view.paths(list(by_id)).where("known <= obs_date").select(F.col("world").alias("series_id"), "obs_date", *(F.when(F.col("series_id") == s, F.col("value")).alias(r) for s, r in by_id.items()))
+        return rows.groupBy("series_id", "obs_date").agg(*(F.max(r).alias(r) for r in self.curve)).na.drop().where("ns_lambda > 0")
+
+    def history(self, view: PitView | Worlds) -> DataFrame:
+        keys = ["series_id", "obs_date"]
         overnight = self.role(view, "overnight")
         bill = self.role(view, "bill").withColumn("value", finance.money_market_yield(F.col("value")))
-        short = joins.precedence({"overnight": overnight, "bill": bill}, ["series_id", "obs_date"], "value")
-        path = rates.wealth(short, ["series_id"])
-        carry = rates.realized_carry(path, ["series_id"], 91)
-        return path.join(carry, ["series_id", "obs_date"]).select("series_id", "obs_date", F.col("value").alias("short_rate"), "wealth", F.col("carry").alias("carry_91d"), F.col("source").alias("label"))
+        path = rates.wealth(joins.precedence({"overnight": overnight, "bill": bill}, keys, "value"), ["series_id"])
+        out = path.join(overnight.withColumnRenamed("value", "night"), keys, "left").join(bill.withColumnRenamed("value", "bill"), keys, "left")
+        for name, span in self.carries.items():
+            out = out.join(rates.realized_carry(path, ["series_id"], span).withColumnRenamed("carry", name), keys)
+        if all(r in self.series for r in self.curve):
+            out = out.join(self.published(view), keys, "left")
+        else:
+            out = out.withColumns({r: F.lit(None).cast("double") for r in self.curve})
+        rrp = self.role(view, "rrp").withColumnRenamed("value", "rrp") if "rrp" in self.series else None
+        out = out.withColumn("rrp", F.lit(None).cast("double")) if rrp is None else out.join(rrp, keys, "left")
+        spread, r = F.col("bill") - F.col("night"), F.col("rrp")
+        ratio = windows.rolling(F.avg, r, W(), 5, 4) / windows.rolling(F.avg, r, W(), 63, 50)
+        out = out.withColumn("bill_sofr_spread", spread).withColumns({"_mean": windows.rolling(F.avg, F.col("bill_sofr_spread"), W(), 3), "_bill": windows.change(F.col("bill"), W(), 10), "_night": windows.change(F.col("night"), W(), 10), "_ratio": ratio})
+        label = finance.liquidity_state(F.col("bill_sofr_spread"), F.col("_mean"), F.col("_bill"), F.col("_night"), r, F.col("_ratio"))
+        zero = lambda h: F.col("value") if h <= 1 else F.coalesce(finance.ns_yield(F.col("ns_level"), -F.col("ns_slope"), F.col("ns_curvature"), F.lit(h), F.col("ns_lambda")), F.col("value"))
+        factors = {n: finance.discount_factor(zero(h), F.lit(h)) for n, h in self.horizons.items()}
+        return out.select(*keys, F.col("wealth").alias("wealth_index"), F.col("value").alias("short_rate"), *self.carries, *(c.alias(n) for n, c in factors.items()), "bill_sofr_spread", coded(label, MONEY_REGIMES).alias("liquidity_code"), label.alias("label"))
 
 
 @register
 class GoldEngine(AssetEngine):
-    """Jumps of the price and what they mean for risk."""
+    """The price, its jumps, its drivers as they were known, and the posterior of what bids for it.
+
+    Optional roles: nominal, breakeven, cpi, dollar_broad, dollar_legacy, stress, equity; what lacks its role is null. Parameters: months,
+    on which the switching regression is fitted (its posterior counts after them alone), and rounds; without months none is fitted.
+    """
 
     asset, roles = "gold", ("price",)
-    metrics = ("jump_statistic", "jump_intensity", "risk", "confidence")
+    posteriors = tuple(f"regime_posterior_{r}" for r in GOLD_REGIMES)
+    metrics = ("price", "hedge_score", "jump_statistic", "jump_intensity", "crisis_premium", "real_rate_10y", "real_rate_change_12m", "usd_trend", "stress_score", "regime_code", *posteriors, "risk", "confidence")
+
+    def with_drivers(self, view: PitView | Worlds) -> DataFrame:
+        df = price_returns(self.role(view, "price"))
+        for name in ("nominal", "breakeven", "dollar_broad", "dollar_legacy", "stress", "equity"):
+            if name in self.series:
+                df = joins.as_of_join(df, self.known(view, name, name), ["series_id"], "obs_date", f"known_{name}", [name]).drop(f"as_of_known_{name}")
+            else:
+                df = df.withColumn(name, F.lit(None).cast("double"))
+        if "cpi" not in self.series:
+            return df.withColumn("yoy", F.lit(None).cast("double"))
+        cpi = view.paths([self.series["cpi"]]).select(F.col("world").alias("series_id"), "obs_date", "known", "value")
+        made = cpi.withColumn("yoy", (F.col("value") / F.lag("value", 12).over(W()) - 1) * 100).where("yoy is not null")
+        newest = made.groupBy("series_id", F.col("known").alias("known_yoy")).agg(F.max_by("yoy", "obs_date").alias("yoy"))
+        return joins.as_of_join(df, newest, ["series_id"], "obs_date", "known_yoy", ["yoy"]).drop("as_of_known_yoy")
+
+    def violent(self, df: DataFrame) -> DataFrame | None:
+        """(series_id, month, violent) of the months after those that the regression was fitted on; a month counts from its last day on."""
+        months = int(self.parameters.get("months", 0))
+        if not months:
+            return None
+        panel = gold.monthly_panel(df, ["stress"], 60)
+        later = panel.withColumn("_n", F.row_number().over(W())).where(F.col("_n") > months).select("series_id", "obs_date")
+        made = regimes.violent_probability(panel, ["z_stress"], stored, months, 2, int(self.parameters.get("rounds", 60)))
+        return made.join(later, ["series_id", "obs_date"]).withColumnRenamed("obs_date", "month")
 
-    def history(self, view: PitView) -> DataFrame:
-        j = gold.jumps(price_returns(self.role(view, "price"))).withColumn("vol", windows.rolling(F.stddev_samp, F.col("r"), W(), 252) * 252**0.5 * 100)
+    def history(self, view: PitView | Worlds) -> DataFrame:
+        df = self.with_drivers(view)
+        months = self.violent(df)
+        df = df.withColumn("violent", F.lit(None).cast("double")) if months is None else joins.as_of_join(df, months, ["series_id"], "obs_date", "month", ["violent"]).drop("as_of_month")
+        real = F.coalesce(F.col("nominal") - F.col("breakeven"), F.col("nominal") - F.col("yoy"))
+        df = df.withColumns({"real_rate_10y": real, "usd_trend": gold.usd_trend(F.col("dollar_broad"), F.col("dollar_legacy"), W()), "stress_score": windows.expanding_z(F.col("stress"), W(), 60, True, 4.0)})
+        z = lambda c: windows.expanding_z(F.col(c), W(), 60, True, 4.0)
+        df = df.withColumns({"real_rate_change_12m": windows.change(F.col("real_rate_10y"), W(), 252), "_rate": z("real_rate_10y"), "_usd": z("usd_trend")})
+        df = df.withColumns(finance.gold_posterior(F.col("violent"), F.col("stress_score"), F.col("_rate"), F.col("_usd")))
+        df = gold.hedge(df.withColumn("_support", F.col("hedge_bid") + F.col("crisis_bid")), "r", "equity", "_support")
+        j = gold.jumps(df).withColumn("vol", windows.rolling(F.stddev_samp, F.col("r"), W(), 252) * 252**0.5 * 100)
         state = gold.state(F.col("vol"), F.col("intensity"))
-        return j.select("series_id", "obs_date", F.col("statistic").alias("jump_statistic"), F.col("intensity").alias("jump_intensity"), state["risk"].alias("risk"), state["confidence"].alias("confidence"), F.when(F.col("is_jump"), "jump").otherwise("calm").alias("label"))
+        top = F.greatest(*GOLD_REGIMES)
+        label = F.when(F.col("violent").isNotNull(), reduce(lambda c, r: c.when(F.col(r) == top, r), GOLD_REGIMES[1:], F.when(F.col(GOLD_REGIMES[0]) == top, GOLD_REGIMES[0])))
+        return j.select(
+            "series_id", "obs_date", F.col("value").alias("price"), F.col("score").alias("hedge_score"), F.col("statistic").alias("jump_statistic"), F.col("intensity").alias("jump_intensity"), finance.crisis_premium(F.col("intensity"), F.col("stress_score")).alias("crisis_premium"),
+            "real_rate_10y", "real_rate_change_12m", "usd_trend", "stress_score", coded(label, GOLD_REGIMES).alias("regime_code"), *(F.when(F.col("violent").isNotNull(), F.col(r)).alias(f"regime_posterior_{r}") for r in GOLD_REGIMES), state["risk"].alias("risk"), state["confidence"].alias("confidence"), label.alias("label"),
+        )
+
+    def regimes(self, view: PitView | Worlds) -> DataFrame:
+        return posterior_rows(self.history(view), {r: f"regime_posterior_{r}" for r in GOLD_REGIMES})
 
 
 @register
 class CryptoEngine(AssetEngine):
-    """The regime of the price path alone; experimental."""
+    """The regime of the price path alone, the tie to liquidity, the supply; experimental.
+
+    Optional roles: money and assets (liquidity, by months), volume. What lacks its role is null, as is the supply before the first block.
+    """
 
     asset, roles, experimental = "crypto", ("price",), True
-    metrics = ("drawdown", "year_return", "vol")
+    metrics = ("price", "realized_vol", "drawdown", "return_12m", "jump_intensity", "liquidity_beta", "liquidity_beta_r2", "liquidity_residual", "issued_supply", "issuance_rate", "stock_to_flow", "tx_volume_usd", "tx_volume_trend", "regime_code")
 
-    def history(self, view: PitView) -> DataFrame:
-        return crypto.regime(price_returns(self.role(view, "price"))).select("series_id", "obs_date", "drawdown", "year_return", "vol", F.col("regime").alias("label"))
+    def tie(self, view: PitView | Worlds, price: DataFrame) -> DataFrame:
+        """(series_id, month, beta, r2, residual), a month from its last day on; liquidity as known then."""
+        month = reshape.month_end(price, ["series_id"], "obs_date", "value").withColumnRenamed("month", "obs_date").where("value is not null")
+        for name in ("money", "assets"):
+            month = joins.as_of_join(month, self.known(view, name, name), ["series_id"], "obs_date", f"known_{name}", [name]).drop(f"as_of_known_{name}")
+        fit = crypto.liquidity_beta(month.withColumn("level", F.col("money") + 0.001 * F.col("assets")), 24)
+        return fit.select("series_id", F.col("obs_date").alias("month"), "beta", "r2", "residual")
+
+    def history(self, view: PitView | Worlds) -> DataFrame:
+        keys, none = ["series_id", "obs_date"], F.lit(None).cast("double")
+        r = price_returns(self.role(view, "price"))
+        out = crypto.regime(r).join(gold.jumps(r, per_year=365).select(*keys, "intensity"), keys, "left")
+        out = out.join(crypto.schedule(r.select(*keys)).select(*keys, "issued_supply", "issuance_rate", "stock_to_flow"), keys, "left")
+        if {"money", "assets"} <= self.series.keys():
+            out = joins.as_of_join(out, self.tie(view, r.select(*keys, "value")), ["series_id"], "obs_date", "month", ["beta", "r2", "residual"]).drop("as_of_month")
+        else:
+            out = out.withColumns(dict.fromkeys(("beta", "r2", "residual"), none))
+        if "volume" in self.series:
+            out = joins.as_of_join(out, self.known(view, "volume", "volume"), ["series_id"], "obs_date", "known_volume", ["volume"]).drop("as_of_known_volume")
+        else:
+            out = out.withColumn("volume", none)
+        names = {"vol": "realized_vol", "year_return": "return_12m", "intensity": "jump_intensity", "beta": "liquidity_beta", "r2": "liquidity_beta_r2", "residual": "liquidity_residual", "volume": "tx_volume_usd"}
+        out = out.withColumns({"tx_volume_trend": crypto.volume_trend(F.col("volume"), W()), "regime_code": coded(F.col("regime"), CRYPTO_REGIMES)})
+        return out.withColumnsRenamed(names).withColumnsRenamed({"value": "price", "regime": "label"}).select(*keys, *self.metrics, "label")
 
 
 @register
 class EquityEngine(AssetEngine):
-    """Features of the regime model and the instability of their path."""
+    """Kinematics of the filtered price, features of the regime model, and the instability of their path.
+
+    Parameters: share and slope, the trend filter's frozen variances (`fit` finds them); without them a series' first 504 days are fitted.
+    """
 
     asset, roles = "equity", ("price",)
-    metrics = ("trend_fast", "trend_slow", "vol_ratio", "drawdown_sigma", "rii")
+    kinematic = ("price_close", "price_filtered", "velocity", "acceleration", "jerk_z", "jerk_lamp")
+    metrics = (*kinematic, "trend_fast", "trend_slow", "vol_ratio", "drawdown_sigma", "rii")
 
-    def history(self, view: PitView) -> DataFrame:
+    def fit(self, view: PitView) -> dict:
+        best = trend.fitted(self.role(view, "price"), stored).first()
+        return {"share": best.share, "slope": best.slope} if best else {}
+
+    def history(self, view: PitView | Worlds) -> DataFrame:
+        keys = ["series_id", "obs_date"]
         r = price_returns(self.role(view, "price"))
         parts = r.select("series_id", "obs_date", F.abs("r").alias("jerk"), windows.rolling(F.stddev_samp, F.col("r"), W(), 21).alias("vol_of_vol"))
         rii = equity.instability(parts.withColumnRenamed("series_id", "world"), ["jerk", "vol_of_vol"], keys=["world"]).select(F.col("world").alias("series_id"), "obs_date", "rii")
-        return equity.design(r, 252, baseline=252).join(rii, ["series_id", "obs_date"], "left").select("series_id", "obs_date", *self.metrics)
+        frozen_ = (self.parameters["share"], self.parameters["slope"]) if "share" in self.parameters else None
+        path = trend.filtered_trend(r, stored, frozen=frozen_)
+        moved = equity.kinematics(r.join(path, keys), "slope", "r", 252, burn_in=504, baseline=300).select(*keys, F.exp("level").alias("price_filtered"), "velocity", "acceleration", "jerk_z", finance.lamp(F.col("jerk_z")).cast("double").alias("jerk_lamp"))
+        out = r.select(*keys, F.col("value").alias("price_close")).join(moved, keys, "left").join(equity.design(r, 252, baseline=252).select(*keys, "trend_fast", "trend_slow", "vol_ratio", "drawdown_sigma"), keys, "left")
+        return out.join(rii, keys, "left").select(*keys, *self.metrics)
+
+    def features(self, view: PitView | Worlds) -> DataFrame:
+        """(world, as_of, feature, value) of what the regime model is fitted on."""
+        names = ["trend_fast", "trend_slow", "vol_ratio", "drawdown_sigma", "velocity", "acceleration", "jerk_z"]
+        return reshape.tall(self.history(view), ["series_id", "obs_date"], names).withColumnsRenamed({"series_id": "world", "obs_date": "as_of", "metric": "feature"})
+
+
+def posterior_rows(history: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """(world, as_of, regime, probability) of a history's posterior columns, by the regime's name."""
+    rows = history.select("series_id", "obs_date", *(F.col(c).alias(r) for r, c in columns.items()))
+    return reshape.tall(rows, ["series_id", "obs_date"], list(columns)).withColumnsRenamed({"series_id": "world", "obs_date": "as_of", "metric": "regime", "value": "probability"})
 
 
 def refit_cutoff(run_date: date) -> date:
