@@ -116,7 +116,7 @@ def gpd_survival(x: Column, threshold: float, shape: float, scale: float) -> Col
     return F.when(x <= threshold, 1.0).otherwise(tail)
 
 
-def gpd_quantile(years: Column, rate_per_year: float, threshold: float, shape: float, scale: float) -> Column:
+def gpd_quantile(years: Column, rate_per_year: Column | float, threshold: float, shape: Column | float, scale: Column | float) -> Column:
     """The level passed once in so many years."""
     n = years * rate_per_year
     return F.when(n <= 1, threshold).otherwise(threshold + (scale / shape) * (F.pow(n, shape) - 1))

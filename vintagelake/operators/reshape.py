@@ -44,6 +44,12 @@ def spine(spark: SparkSession, first: str, last: str, step: str) -> DataFrame:
     return spark.range(1).select(F.explode(F.expr(f"sequence(date'{first}', date'{last}', {step})")).alias("day"))
 
 
+def spine_of(df: DataFrame, keys: list[str], day: str, step: str) -> DataFrame:
+    """(keys, day): each key's days from its first to its last one by a step such as "interval 7 days"."""
+    ends = df.groupBy(*keys).agg(F.min(day).alias("_a"), F.max(day).alias("_b")).where("_a is not null")
+    return ends.select(*keys, F.explode(F.expr(f"sequence(_a, _b, {step})")).alias("day"))
+
+
 def limited(df: DataFrame, day: str, n: int) -> DataFrame:
     """The n oldest rows, each with the number of all and whether some are missing."""
     total = df.agg(F.count("*").alias("available"))

@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vintagelake.operators import differencing, equity, gold, regimes, scan, trend
+from vintagelake.operators import differencing, equity, gold, models, regimes, scan, trend
 from vintagelake.plans.fixtures import SQL as VIEWS
 from vintagelake.plans.fixtures import price
-from vintagelake.plans.markets import BASE, DESIGN, FEATURES, design, drivers
+from vintagelake.plans.markets import BASE, DESIGN, FEATURES, MOVE, REACH, design, drivers
 from vintagelake.plans.registry import query
 from vintagelake.plans.series import BY, EVER, RETURNS, over, returns, rnd
 from vintagelake.sources.shared import stored
@@ -151,11 +151,23 @@ REGIME = [RETURNS, DESIGN]
 @query("Y12_forward_filter", recursive(f"SELECT c AS cutoff, obs_date, {', '.join(f'round(f{s}, 7) AS p{s}' for s in range(STATES))} FROM posterior JOIN zc USING (c, t) WHERE NOT past", *REGIME, *regime_tables(HALF_YEARS, 0)))
 def y12(spark, sf):
     """Filtered posteriors under parameters frozen at each of eight cutoffs, up to the next one, all cutoffs in one plan."""
+    return half_yearly(spark, sf).select("cutoff", "obs_date", *(rnd(F.col("p")[s], 7).alias(f"p{s}") for s in range(STATES)))
+
+
+def half_yearly(spark, sf):
     chain, keys, days = regimes.Gaussian(STATES, 2, STAY), ["series_id", "cutoff"], cutoffs(spark, HALF_YEARS)
     d = design(spark, sf)
     first = regimes.first_gaussian(d, TWO, days, chain, 60).drop("until").join(F.broadcast(days), "cutoff")
     out = regimes.filtered(stored(scan.blocks(d, "obs_date", TWO), "blocks"), stored(first, "parameters"), keys, chain)
-    return out.where("obs_date > cutoff").select("cutoff", "obs_date", *(rnd(F.col("p")[s], 7).alias(f"p{s}") for s in range(STATES)))
+    return out.where("obs_date > cutoff")
+
+
+@query("Y23_first_passage", recursive("SELECT c AS cutoff, obs_date, round(" + " + ".join(f"f{s} * (SELECT hit FROM reach WHERE s = {s})" for s in range(STATES)) + ", 6) AS p FROM posterior JOIN zc USING (c, t) WHERE NOT past", REACH, *REGIME, *regime_tables(HALF_YEARS, 0)))
+def y23(spark, sf):
+    """From each day's filtered posterior of the three benign states: the chance of an adverse one within 63 days."""
+    reach = [float(x) for x in models.first_passage(MOVE, [3, 4], 63)[:STATES]]
+    p = sum((F.col(f"q{s}") * r for s, r in enumerate(reach)), F.lit(0.0))
+    return half_yearly(spark, sf).select("cutoff", "obs_date", *(F.col("p")[s].alias(f"q{s}") for s in range(STATES))).select("cutoff", "obs_date", rnd(p).alias("p"))
 
 
 @query("Y10_em_rounds", recursive("SELECT c AS cutoff, s AS state, round(m1, 5) AS m1, round(m2, 5) AS m2, round(c11, 5) AS c11, round(c12, 5) AS c12, round(c22, 5) AS c22, round(p, 5) AS start, round(a, 6) AS stays FROM par2 JOIN sta2 USING (c, s) JOIN (SELECT c, i AS s, a FROM mov2 WHERE i = j) USING (c, s)", *REGIME, *regime_tables(TWO_YEARS, 2)))

@@ -233,9 +233,10 @@ def r07(spark, sf):
     return reshape.month_end(rates_short(spark, sf), ["series_id"], "obs_date", "value").select("month", "value")
 
 
-@query("R10_spine", oracle("SELECT CAST(unnest(generate_series(DATE '2020-01-01', DATE '2020-03-01', INTERVAL 7 DAY)) AS DATE) AS day"))
+@query("R10_spine", oracle("SELECT series_id, CAST(unnest(generate_series(a, b, INTERVAL 7 DAY)) AS DATE) AS day FROM (SELECT series_id, min(obs_date) AS a, max(obs_date) AS b FROM obs GROUP BY 1)"))
 def r10(spark, sf):
-    return reshape.spine(spark, "2020-01-01", "2020-03-01", "interval 7 days")
+    """Every seventh day from each series' first to its last period."""
+    return reshape.spine_of(obs(spark, sf), ["series_id"], "obs_date", "interval 7 days")
 
 
 @query("L01_newest", oracle("SELECT * FROM price ORDER BY obs_date DESC LIMIT 1"))

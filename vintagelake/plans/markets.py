@@ -332,15 +332,6 @@ MOVE = np.array([[0.9, 0.06, 0.02, 0.01, 0.01], [0.05, 0.88, 0.05, 0.01, 0.01],
 REACH = ("reach", "SELECT s, hit FROM (WITH RECURSIVE t(s, step, a, b, c, hit) AS (SELECT s, 0, CAST(s = 0 AS INT)::DOUBLE, CAST(s = 1 AS INT)::DOUBLE, CAST(s = 2 AS INT)::DOUBLE, 0.0::DOUBLE FROM (VALUES (0), (1), (2)) AS v(s) UNION ALL SELECT s, step + 1, a*0.9 + b*0.05 + c*0.02, a*0.06 + b*0.88 + c*0.05, a*0.02 + b*0.05 + c*0.86, hit + a*0.02 + b*0.02 + c*0.07 FROM t WHERE step < 63) SELECT * FROM t WHERE step = 63)")
 
 
-@query("Y23_first_passage", oracle("SELECT obs_date, round(p0 * (SELECT hit FROM reach WHERE s = 0) + (0.9 - p0) * (SELECT hit FROM reach WHERE s = 1) + 0.1::DOUBLE * (SELECT hit FROM reach WHERE s = 2), 6) AS p FROM (SELECT obs_date, (n % 9) / 10.0::DOUBLE AS p0 FROM returns)", RETURNS, REACH))
-def y23(spark, sf):
-    """From each day's posterior of the three benign states."""
-    p0 = F.col("n") % 9 / 10.0
-    posterior = returns(spark, sf).select("obs_date", F.array(p0, 0.9 - p0, F.lit(0.1)).alias("p"))
-    reach = F.array(*(F.lit(float(x)) for x in models.first_passage(MOVE, [3, 4], 63)[:3]))
-    return posterior.select("obs_date", rnd(F.aggregate(F.zip_with("p", reach, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)).alias("p"))
-
-
 @query("Y24_transmission", oracle("SELECT obs_date, round(greatest(0.1, (least(1, greatest(0, (n % 15 - 3) / 7.0::DOUBLE)) + coalesce(b, 0) + least(1, greatest(0, (sin(n / 9.0::DOUBLE) + 0.5) / 2))) / (2 + CAST(b IS NOT NULL AS INT))), 6) AS score FROM (SELECT *, least(1, greatest(0, r / 2)) AS b0, CASE WHEN r IS NOT NULL THEN least(1, greatest(0, r / 2)) END AS b FROM returns)", RETURNS))
 def y24(spark, sf):
     n = F.col("n")
@@ -395,9 +386,18 @@ def y32(spark, sf):
     return equity.episode_evaluation(states(spark, sf), [("a", "1996-01-01", "1997-06-30"), ("b", "1998-03-01", "2000-02-28")], ["bear"])
 
 
-@query("Y33_return_levels", oracle("SELECT years, round(0.1 + 0.083 / 0.33 * (power(years * 0.3, 0.33) - 1), 6) AS fitted FROM (VALUES (10.0::DOUBLE), (25.0), (50.0), (100.0)) AS t(years)"))
+TAIL = ("tail", "SELECT z.series_id, z.n, shape, shape / ratio AS scale FROM sized z JOIN (SELECT series_id, avg(ln(1 + (exp(s) - 1) / most * x)) AS shape, max((exp(s) - 1) / most) AS ratio FROM deep JOIN sized USING (series_id), summit WHERE n >= 25 GROUP BY 1) f USING (series_id)")
+
+
+@query("Y33_return_levels", oracle("SELECT series_id, years, round(CASE WHEN years * rate <= 1 THEN 0.8 ELSE 0.8 + scale / shape * (power(years * rate, shape) - 1) END, 5) AS fitted FROM (SELECT *, n / ((SELECT date_diff('day', min(obs_date), max(obs_date)) FROM price) / 365.25) AS rate FROM tail), (VALUES (10.0::DOUBLE), (25.0), (50.0), (100.0)) AS t(years)", DEEP, SIZED, ROUGH, CLOSE, TOP, TAIL))
 def y33(spark, sf):
-    return spark.createDataFrame([(10.0,), (25.0,), (50.0,), (100.0,)], "years double").select("years", rnd(finance.gpd_quantile(F.col("years"), 0.3, 0.1, 0.33, 0.083)).alias("fitted"))
+    """Levels passed once in so many years, by the fitted tail of each series and the rate of its episodes."""
+    p = price(spark, sf)
+    d = p.withColumn("depth", -windows.drawdown(F.col("value"), W()))
+    fits = equity.tail(aggregates.episodes(d, ["series_id"], "obs_date", "depth", 0.8), "depth", 0.8).where("shape is not null")
+    span = p.groupBy("series_id").agg((F.datediff(F.max("obs_date"), F.min("obs_date")) / 365.25).alias("years_of"))
+    rows = fits.join(span, "series_id").withColumn("years", F.explode(F.array(*map(F.lit, (10.0, 25.0, 50.0, 100.0)))))
+    return rows.select("series_id", "years", rnd(finance.gpd_quantile(F.col("years"), F.col("n") / F.col("years_of"), 0.8, F.col("shape"), F.col("scale")), 5).alias("fitted"))
 
 
 @query("Y11_state_labels", oracle(f"SELECT state, rank FROM (SELECT state, row_number() OVER (ORDER BY round(avg(r), 12) DESC, stddev_samp(r)) AS rank FROM states GROUP BY 1)", RETURNS, STATE))

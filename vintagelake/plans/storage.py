@@ -116,9 +116,12 @@ def s13(spark, sf):
     return src.published(o).select("series_id", "obs_date", "release_date", "value")
 
 
-@query("S15_mock", "SELECT 'M' AS series_id, CAST(d AS DATE) AS obs_date, round(10 + 2 * sin(i / 12.0::DOUBLE) + 0.05::DOUBLE * i, 6) AS value FROM (SELECT row_number() OVER (ORDER BY d) - 1 AS i, d FROM (SELECT unnest(generate_series(DATE '2020-01-01', DATE '2024-12-01', INTERVAL 1 MONTH)) AS d))")
+@query("S15_mock", oracle("SELECT series_id, CAST(d AS DATE) AS obs_date, round(level + amplitude * sin(i / 12.0::DOUBLE) + 0.05::DOUBLE * i, 5) AS value FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY d) - 1 AS i FROM (SELECT series_id, level, amplitude, unnest(generate_series(a, b, INTERVAL 1 MONTH)) AS d FROM (SELECT series_id, date_trunc('month', min(obs_date)) AS a, date_trunc('month', max(obs_date)) AS b, round(min(value), 2) AS level, round(max(value) - min(value), 2) AS amplitude FROM monthly GROUP BY 1)))"))
 def s15(spark, sf):
-    return src.mock(spark, "M", "2020-01-01", "2024-12-01", "monthly", 10.0, 2.0).select("series_id", "obs_date", F.round("value", 6).alias("value"))
+    """A made-up stand-in for each series of a table: its span, its least value as the level, its range as the amplitude."""
+    firsts = monthly(spark, sf).withColumn("obs_date", F.trunc("obs_date", "MM"))
+    made = src.mock_of(firsts, "series_id", "obs_date", "monthly", F.round(F.min("value"), 2), F.round(F.max("value") - F.min("value"), 2))
+    return made.select("series_id", "obs_date", F.round("value", 5).alias("value"))
 
 
 @query("S16_snapshot_csv", oracle("SELECT series_id, obs_date, release_date, coalesce(revision_date, release_date) AS revision_date, value FROM obs_null_rev"))

@@ -146,6 +146,13 @@ def mock(spark: SparkSession, series_id: str, first: date | str, last: date | st
     return observations(days.withColumn("series_id", F.lit(series_id)), F.col("d"), level + amplitude * F.sin(F.col("i") / 12.0) + 0.05 * F.col("i"), F.col("d"))
 
 
+def mock_of(df: DataFrame, key: str, day: str, frequency: str, level: Column, amplitude: Column) -> DataFrame:
+    """`mock` for each key of a table, over the span of its days; level and amplitude are aggregates of its rows."""
+    ends = df.groupBy(key).agg(F.min(day).alias("_a"), F.max(day).alias("_b"), level.alias("_level"), amplitude.alias("_amplitude"))
+    days = ends.select(F.col(key).alias("series_id"), "_level", "_amplitude", F.posexplode(F.expr(f"sequence(_a, _b, {STEPS[frequency]})")).alias("i", "d"))
+    return observations(days, F.col("d"), F.col("_level") + F.col("_amplitude") * F.sin(F.col("i") / 12.0) + 0.05 * F.col("i"), F.col("d"))
+
+
 def snapshot_csv(spark: SparkSession, path: str) -> DataFrame:
     """Observations from CSV with a header; a missing revision date is the release date."""
     df = spark.read.csv(path, header=True, schema=OBS_SCHEMA)
