@@ -110,3 +110,64 @@ def test_very_long_findings(spark):
     texts = ["u@a" + ".b" * 100_000, "a." * 300_000, "u@" + "a" * 300_000, "1-" * 300_000, "DE89 " + "3704 " * 100_000, "." * 300_000 + "@", "+1 " + "(415) " * 100_000]
     got = named(spark, list(enumerate(texts)))
     assert len(got) == len(texts) and all(len(g) == len(t) for g, t in zip(got, texts, strict=True))
+
+
+def mod97(x):
+    plain = x.replace(" ", "")
+    return int("".join(str(int(ch, 36)) for ch in plain[4:] + plain[:4])) % 97
+
+
+def test_what_a_failed_finding_swallows_is_found(spark):
+    texts = [
+        "ES91 2100 0418 4502 0005 1332 AND more", "NO12 4111 1111 1111 1111", "AB12 2024 0102 123-45-6789", "GB12 4111 1111 1111 1111 AB", "123-45-6789@foo and 4111 1111 1111 1111@x",
+        "999.10.0.0.1 10.0.0.1", "\u0001! \u0001; 123-45-6789 \u0001",
+    ]
+    got = named(spark, list(enumerate(texts)))
+    account = got[0].removesuffix(" AND more")
+    assert got[0] != texts[0] and account.startswith("ES") and len(account) == 29 and mod97(account) == 1
+    assert got[1].startswith("NO12 ") and luhn(got[1][5:]) and got[1] != texts[1]
+    assert got[2].startswith("AB12 2024 0102 ") and "123-45-6789" not in got[2]
+    assert got[3].startswith("GB12 ") and got[3].endswith(" AB") and "4111" not in got[3]
+    assert "123-45-6789" not in got[4] and "4111 1111 1111 1111" not in got[4] and got[4].endswith("@x")
+    assert got[5].endswith(got[5].split()[1]) and "10.0.0.1" not in got[5].split()[1]
+    assert got[6].startswith("\u0001! \u0001; ") and got[6].endswith(" \u0001") and "123-45-6789" not in got[6]
+
+
+def test_forms_of_other_countries(spark):
+    texts = ["joe@ex\u00e4mple.com, \u044e\u0440\u0438\u0439@\u043f\u0440\u0438\u043c\u0435\u0440.\u0440\u0444, joe@ex\u00e4mple.com", "415-555-0123 (415) 555-0123", "+44 20 7946 0958 +47 22 86 24 00 +33 1 23 45 67 89", "12/25/1990 and 25/12/1990, 13/13/1990", "sum +1 000 000, 1+2345678.5"]
+    got = named(spark, list(enumerate(texts)))
+    a, b, c = got[0].split(", ")
+    assert a == c != "joe@ex\u00e4mple.com" and a.endswith("@ex\u00e4mple.com")
+    assert b.endswith("@\u043f\u0440\u0438\u043c\u0435\u0440.\u0440\u0444") and b[:4] != "\u044e\u0440\u0438\u0439" and re.fullmatch("[\u0430-\u044f]{4}", b[:4])
+    tens = {re.sub(r"\D", "", x) for x in re.findall(r"\(\d{3}\) \d{3}-\d{4}|\d{3}-\d{3}-\d{4}", got[1])}
+    assert len(tens) == 1 and "4155550123" not in tens
+    assert re.fullmatch(r"\+44 \d\d \d{4} \d{4} \+47 \d\d \d\d \d\d \d\d \+3\d \d \d\d \d\d \d\d \d\d", got[2])
+    assert not any(p in got[2] for p in ("7946", "22 86", "23 45 67"))
+    d = re.findall(r"\d{2}/\d{2}/\d{4}", got[3])
+    assert int(d[0][:2]) <= 12 < int(d[0][3:5]) and d[0] != "12/25/1990" and int(d[1][3:5]) <= 12 and d[1] != "25/12/1990" and d[2] == "13/13/1990"
+    assert got[4].startswith("sum +1 000 000,")
+
+
+def test_late_days_are_permuted_among_themselves(spark):
+    """All 88,497 days after the 12th of a month: each is the pseudonym of exactly one."""
+    first = F.lit(pii.FIRST_DAY).cast("date")
+    days = spark.range(146_097).select(F.date_add(first, F.col("id").cast("int")).alias("d")).where(F.dayofmonth("d") > 12)
+    out = days.select(pii.late_day(F.date_format("d", "yyyy-MM-dd"), KEY).alias("p"))
+    assert days.count() == 88_497 == out.where((F.dayofmonth("p") > 12) & F.col("p").between("1800-01-01", "2199-12-31")).distinct().count()
+
+
+def test_findings_count_each_kind(spark):
+    rows = [(1, "NO12 4111 1111 1111 1111, 1234 5678 9012 3456"), (2, None), (3, ""), (4, "a@b.co a@b.co")]
+    got = {r.doc_id: (r.n_found, r.n_valid) for r in pii.findings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (2, 1), 2: (0, 0), 3: (0, 0), 4: (2, 2)}
+
+
+def test_key_can_be_kept_out_of_plans(spark):
+    key = pii.session_key(spark)
+    out = pii.pseudonymize(spark.createDataFrame([(1, "123-45-6789")], "doc_id long, text string"), key)
+    spark.conf.set("spark.sql.redaction.string.regex", pii.REDACTED)
+    try:
+        plan = out._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.redaction.string.regex")
+    assert key == pii.session_key(spark) and key not in plan and key in out._jdf.queryExecution().toString()
