@@ -157,3 +157,18 @@ def test_training_rows_are_bounded(spark):
     ids = [r.doc_id for r in classifier.training_rows(docs, labels).collect()]
     assert len(ids) == len(set(ids)) == sum(part(i, 5) != 0 for i in range(1, 60))
     assert 10 <= classifier.training_rows(docs, labels, chars=1_000).count() <= 12 and classifier.training_rows(docs, labels, bound=7).count() <= 7
+
+
+def test_rows_of_the_language_fit_are_bounded(spark):
+    """A doc_id on a third of the rows, equal rows in great number, and long texts: no more rows or characters than the bounds say."""
+    odd = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 4 != 2)
+    rows = [(odd, f"one id with text {i}", "en") for i in range(1_000)] + [(odd, "alike", "en")] * 1_000 + [(i, f"another text {i}", "en") for i in range(1_000)] + [(i, "x" * 500, "de") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    usable = {r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2}
+    got = [(r.lang, r.text) for r in langid.training_rows(docs, 50, 5_000).collect()]
+    assert len([x for x in got if x[0] == "en"]) <= 50 and len([x for x in got if x[0] == "de"]) == 10
+    assert len([x for x in got if x == ("en", "alike")]) <= 1 and {(lang, t) for _, t, lang in usable} >= set(got)
+    assert 20 <= len([x for x in got if x[0] == "en"])
+    everything = langid.training_rows(docs, 10_000).collect()  # more than there are rows, so all are drawn
+    assert len(everything) == len(usable)
+    assert langid.training_rows(docs.limit(0)).count() == 0

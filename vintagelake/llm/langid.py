@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vintagelake.llm.common import hash_part, held, map_texts, steps, written
@@ -20,8 +20,9 @@ from vintagelake.llm.common import hash_part, held, map_texts, steps, written
 #: Runs of word characters but digits; and those in them that are no letters, such as fractions and Roman numbers.
 RUNS = re.compile(r"[^\W\d_]+")
 NUMBERS = frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isdecimal() and unicodedata.category(c)[0] != "L")
-#: Bound of the fit: labelled documents of one language.
+#: Bounds of the fit for one language: labelled documents, and characters in those before the last one taken.
 MAX_TRAIN_PER_LANG = 2_000
+MAX_TRAIN_CHARS = 16_000_000
 #: What occurs less often in the training documents tells nothing yet.
 MIN_COUNT = 3
 LONGEST = 5
@@ -63,11 +64,21 @@ def gram_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select("lang", F.col(text).alias("text")).mapInArrow(run, "lang string, size int, gram string, n bigint").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
 
 
-def training_rows(docs: DataFrame, per_lang: int = MAX_TRAIN_PER_LANG) -> DataFrame:
-    """(lang, text) of documents outside the held-out part with a language; a hash of doc_id takes about per_lang of each at most."""
-    usable = docs.where((hash_part("doc_id", 4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
+def training_rows(docs: DataFrame, per_lang: int = MAX_TRAIN_PER_LANG, chars: int = MAX_TRAIN_CHARS) -> DataFrame:
+    """(lang, text) of at most `per_lang` documents of each language outside the held-out part; rows alike count once.
+
+    A hash of doc_id and text draws about that many, whatever the number of rows with one doc_id. In the order of their
+    hashes the drawn ones are taken as long as those before them number less than `per_lang` and hold less than `chars` characters.
+    """
+    key = F.xxhash64("doc_id", "text", F.lit("langid"))
+    usable = docs.where((hash_part("doc_id", 4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", key.alias("key"))
     shares = written(usable.groupBy("lang").agg((F.lit(float(per_lang)) / F.count("*")).alias("share")), "languages")
-    return usable.join(shares, "lang").where(F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1_000_003)) < F.col("share") * 1_000_003).select("lang", "text")
+    drawn = usable.join(F.broadcast(shares), "lang").where(F.pmod("key", F.lit(1_000_003)) < F.col("share") * 1_000_003)
+    one = drawn.groupBy("lang", "key").agg(F.max(F.length("text")).alias("n"))
+    before = Window.partitionBy("lang").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)  # about `per_lang` rows
+    ranked = one.withColumn("rows", F.count("*").over(before)).withColumn("chars", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    taken = written(ranked.where((F.col("rows") < per_lang) & (F.col("chars") < chars)).select("lang", "key"), "taken")
+    return usable.join(F.broadcast(taken), ["lang", "key"]).groupBy("lang", "key").agg(F.min("text").alias("text")).select("lang", "text")
 
 
 class LanguageModel:
@@ -143,10 +154,10 @@ class Memo:
             self.rows.update(zip(new, range(start, start + len(new)), strict=True))
 
 
-def fit(docs: DataFrame, per_lang: int = MAX_TRAIN_PER_LANG) -> LanguageModel:
+def fit(docs: DataFrame, per_lang: int = MAX_TRAIN_PER_LANG, chars: int = MAX_TRAIN_CHARS) -> LanguageModel:
     """Counts of all words and n-grams of the training rows that occur MIN_COUNT times or more. Their number is bounded by
     those documents, whatever the size of the corpus."""
-    counts = gram_counts(training_rows(docs, per_lang))
+    counts = gram_counts(training_rows(docs, per_lang, chars))
     frequent = counts.groupBy("size", "gram").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by_lang")).where(F.col("total") >= MIN_COUNT)
     rows = frequent.select(F.explode("by_lang").alias("x"), "size", "gram").select("x.lang", "size", "gram", "x.n").toArrow()
     columns = [rows.column(c).to_pylist() for c in ("lang", "size", "gram", "n")]
