@@ -82,3 +82,19 @@ def test_long_text_and_clashing_columns(spark):
     docs = spark.createDataFrame([(1, "word other " * 300_000, 5, "x"), (1, "word other " * 300_000, 5, "x")], "doc_id long, text string, llr int, trusted string")
     out = rules.quality_rules(docs, spark.createDataFrame([(1, 1, 0)], LABELS), keep=["doc_id", "llr", "trusted"])
     assert out.columns[:2] == ["doc_id", "trusted"] and out.columns.count("llr") == 1 and [r.n_words for r in out.collect()] == [600_000] * 2
+
+
+def test_every_trusted_document_is_fitted_on(spark):
+    labels = spark.range(45_000).selectExpr("id % 22500 as doc_id", "1 as quality", "0 as toxic").union(spark.createDataFrame([(None, 1, 0), (30_000, 0, 0)], LABELS))
+    ids = rules.trusted_ids(labels)
+    assert ids.count() == ids.select("doc_id").distinct().count() == 22_500
+
+
+def test_trust_is_found_by_broadcast_and_by_shuffle(spark, monkeypatch):
+    wanted = {-1, 0, 5, 1023, 1024, 1 << 40, -(1 << 40)}
+    rows = spark.createDataFrame([(i,) for i in [*wanted, 1, 1025, -2, -1024, (1 << 40) + 1024, None, 5]], "doc_id long")
+    ids = rules.trusted_ids(spark.createDataFrame([(i, 1, 0) for i in wanted], LABELS))
+    for bound in (rules.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(rules, "BROADCAST_BYTES", bound)
+        out = rules.with_trust(rows, ids).collect()
+        assert len(out) == 14 and all(r.trusted == (r.doc_id in wanted) for r in out)

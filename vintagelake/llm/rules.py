@@ -12,13 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from vintagelake.llm.common import bounded_ids, let_go, steps
+from vintagelake.llm.common import let_go, steps
 
 BUCKETS = 1 << 16
-#: Labelled documents, at most, that the trusted multinomial is fitted on; raw counts cover all documents.
-MAX_TRUSTED = 20_000
 #: Mean log ratio a kept document reaches: e to this power is how much rarer its n-grams may be in trusted text.
 THRESHOLD = -0.1
+#: Bytes of packed ids of trusted documents that are broadcast at most.
+BROADCAST_BYTES = 64 << 20
 #: Occurrences, as likely in trusted as in raw text, that are added to each bucket: rare n-grams speak little.
 PRIOR = 10.0
 SYMBOLS = re.compile(r"[#*$%&|<>]")
@@ -69,9 +69,22 @@ def base_measures(text: str, words: list[bytes]) -> tuple[int, int, int, int, in
     return len(words), len(text) - len(SPACES.findall(text)), len(SYMBOLS.findall(text)), duplicate_lines(text), repeated_words(words)
 
 
-def trusted_ids(labels: DataFrame, bound: int = MAX_TRUSTED) -> DataFrame:
-    """(doc_id, trusted) of the documents that the trusted multinomial is fitted on: at most `bound`, chosen by a hash of doc_id."""
-    return bounded_ids(labels.where("quality = 1"), bound, "quality").select("doc_id", F.lit(True).alias("trusted"))
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """(doc_id, trusted) of the documents that the trusted multinomial is fitted on: all that labels mark good, once each."""
+    return labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct().withColumn("trusted", F.lit(True))
+
+
+def with_trust(rows: DataFrame, trusted: DataFrame) -> DataFrame:
+    """rows with `trusted`: whether their doc_id is one of the trusted ones.
+
+    Ids are packed by blocks of neighbouring ones, about two bytes each, so that a broadcast takes the place of a shuffle of
+    all texts; where they need more than BROADCAST_BYTES, texts are shuffled. Both give the same rows.
+    """
+    block, place = F.shiftright("doc_id", 10), F.col("doc_id").bitwiseAND(F.lit(1023)).cast("smallint")
+    packed = trusted.groupBy(block.alias("block")).agg(F.collect_set(place).alias("places"))
+    size = packed.agg(F.sum(2 * F.size("places") + 64)).first()[0] or 0
+    joined = rows.withColumn("block", block).join(F.broadcast(packed) if size <= BROADCAST_BYTES else packed, "block", "left")
+    return joined.select(*rows.columns, F.coalesce(F.array_contains("places", place), F.lit(False)).alias("trusted"))
 
 
 def ngram_counts(marked: DataFrame) -> DataFrame:
@@ -114,7 +127,7 @@ def log_ratio(buckets: np.ndarray, trusted: bool, raw: np.ndarray, good: np.ndar
     return float((np.log((seen + PRIOR) / (expected + PRIOR)) * own).sum() / n)
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, text: str = "text", keep: list[str] | None = None, threshold: float = THRESHOLD, max_trusted: int = MAX_TRUSTED, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, text: str = "text", keep: list[str] | None = None, threshold: float = THRESHOLD, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
     """Rows with `keep` (default doc_id), the base measures, base_failed, llr and kept; no row is dropped.
 
     llr is the mean log ratio of a text's n-grams (0 without words) between the other trusted and the other raw texts.
@@ -125,7 +138,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, text: str = "text", keep:
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept"]
     keep = [c for c in (keep or ["doc_id"]) if c not in names]
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), F.col("doc_id"), F.col(f"`{text}`").alias("text"))
-    marked = packed.join(F.broadcast(trusted_ids(labels, max_trusted)), "doc_id", "left").select("row", "text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
+    marked = with_trust(packed, trusted_ids(labels)).select("row", "text", "trusted")
     raw, good = count_arrays(ngram_counts(marked))
     shared = docs.sparkSession.sparkContext.broadcast((raw, good))
     raw_sum, good_sum = float(raw.sum()), float(good.sum())
