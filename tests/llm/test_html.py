@@ -1,5 +1,7 @@
 """Main text of pages: what a wrapper must leave out, and what it must keep."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from vintagelake.llm import html
@@ -130,3 +132,19 @@ def test_compound_class_names_inside_an_article_mark_nothing(spark):
     pages = spark.createDataFrame([(1, "http://host.example/a", page)], "page_id long, url string, html string")
     text = html.main_text(pages).first().text
     assert all(f"called {n} tells" in text for n in names[:-1]) and "called comments tells" not in text and "Imprint" not in text
+
+
+def test_matching_does_not_depend_on_the_size_of_a_list(monkeypatch):
+    """A list with a table of 1.2 million cells is matched as a short one, and kept cells change nothing."""
+    for n in (5, 550):
+        page, host = "(r(x)" + "(p)(q)" * n + ")", "(r" + "(p)(q)" * n + "(x))"
+        assert html.matching(page, host) == {0: 0} | {k + 2: k + 1 for k in range(2 * n)}
+    rng = random.Random(5)
+
+    def tree(depth):
+        return f"({rng.choice('abc')}{''.join(tree(depth - 1) for _ in range(rng.randint(0, 4))) if depth else ''})"
+
+    pairs = [tuple(f"(r{''.join(tree(3) for _ in range(rng.randint(1, 6)))})" for _ in range(2)) for _ in range(60)]
+    whole = [html.matching(*p) for p in pairs]
+    monkeypatch.setattr(html, "CELLS", 8)
+    assert [html.matching(*p) for p in pairs] == whole

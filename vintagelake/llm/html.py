@@ -15,9 +15,10 @@ from __future__ import annotations
 import json
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from html import unescape
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +52,7 @@ PLACE_WORDS = frozenset("slot box unit container wrapper wrap block section list
 SHARE = 0.8
 #: Weight of a text inside an article and inside main, and of one that only class words mark; tags and roles that mark leave none.
 IN_ARTICLE, IN_MAIN, MARKED = 4, 2, 0.25
-#: Cells of one table of the matching, beyond which siblings of one label are matched in order.
+#: Cells of the matching's tables that are kept at once; what does not fit is worked out again where it is needed.
 CELLS = 1 << 20
 #: Outlines longer than this are not kept from page to page.
 KEPT_CHARS = 20_000
@@ -310,38 +311,49 @@ def shapes_of(a: Outline, b: Outline) -> tuple[list[int], list[int]]:
     return made[0], made[1]
 
 
-def aligned(weights: list[list[int]]) -> list[tuple[int, int]]:
-    """The order-keeping pairs (i, j) of largest total weight."""
-    m, n = len(weights), len(weights[0])
-    best = np.zeros((m + 1, n + 1), np.int64)
+def after(best: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The row of best totals that follows one, by a row of weights."""
+    out = np.zeros(len(best), np.int32)
+    out[1:] = np.maximum.accumulate(np.maximum(best[1:], np.where(w > 0, best[:-1] + w, 0)))
+    return out
+
+
+def heaviest(weights: Callable[[int], np.ndarray], m: int, n: int) -> int:
+    """The total weight of the pairs that `aligned` gives."""
+    best = np.zeros(n + 1, np.int32)
     for i in range(m):
-        w = np.asarray(weights[i], np.int64)
-        best[i + 1, 1:] = np.maximum.accumulate(np.maximum(best[i, 1:], np.where(w > 0, best[i, :-1] + w, 0)))
-    found, i, j = [], m, n
-    while i and j:
-        if best[i, j] == best[i - 1, j]:
-            i -= 1
-        elif best[i, j] == best[i, j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            found.append((i, j))
-    return found[::-1]
+        best = after(best, weights(i))
+    return int(best[n])
 
 
-def in_order(x: list[int], y: list[int], a: Outline, b: Outline) -> list[tuple[int, int]]:
-    """Siblings of one label paired in order: the way of matching very long lists."""
-    out, j = [], 0
-    for c in x:
-        k = j
-        while k < len(y) and a.labels[c] != b.labels[y[k]]:
-            k += 1
-        if k < len(y):
-            out.append((c, y[k]))
-            j = k + 1
-        elif j == len(y):
-            break
-    return out
+def aligned(weights: Callable[[int], np.ndarray], m: int, n: int) -> list[tuple[int, int]]:
+    """The order-keeping pairs (i, j) of largest total weight; weights gives the m rows of n.
+
+    Of the table of best totals one row in `step` is kept, and on the way back the rows between are made again.
+    """
+    step = max(isqrt(m), min(m, CELLS // (n + 1)))
+    kept = [np.zeros(n + 1, np.int32)]
+    best = kept[0]
+    for i in range((m - 1) // step * step):
+        best = after(best, weights(i))
+        if (i + 1) % step == 0:
+            kept.append(best)
+    found, i, j = [], m, n
+    while kept and j:
+        rows = [kept.pop()]
+        low = len(kept) * step
+        for k in range(low, i):
+            rows.append(after(rows[-1], weights(k)))
+        while i > low and j:
+            here, above = rows[i - low], rows[i - low - 1]
+            if here[j] == above[j]:
+                i -= 1
+            elif here[j] == here[j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                found.append((i, j))
+    return found[::-1]
 
 
 def matched(page: str, host: str) -> dict[int, int]:
@@ -353,12 +365,14 @@ def matching(page: str, host: str) -> dict[int, int]:
     """Numbers of the page's nodes to numbers of the host's: the largest simple tree matching, roots first.
 
     Equal subtrees at both ends of two sibling lists are partners in any case and are set aside first; the weight of
-    two subtrees is found once for each pair of shapes. Lists whose table would exceed CELLS are matched in order.
+    two subtrees is found once for each pair of shapes. Of pairs of small subtrees, which are the many, only CELLS weights
+    are kept; what small means goes by the sizes of both trees, so that memory is bounded at any number of siblings.
     """
     a, b = read_outline(page), read_outline(host)
     if page == host:
         return {i: i for i in range(len(a.labels))}
     sa, sb = shapes_of(a, b)
+    small = max(64, len(a.labels) * len(b.labels) // CELLS)
     weight: dict[tuple[int, int], int] = {}
 
     def split(i: int, j: int) -> tuple[list[tuple[int, int]], list[int], list[int]]:
@@ -372,42 +386,82 @@ def matching(page: str, host: str) -> dict[int, int]:
         ends = [*zip(x[:head], y[:head], strict=True), *zip(x[len(x) - tail :], y[len(y) - tail :], strict=True)]
         return ends, x[head : len(x) - tail], y[head : len(y) - tail]
 
-    def pairs(x: list[int], y: list[int]) -> set[tuple[int, int]]:
+    def pairs(x: list[int], y: list[int]) -> Iterator[tuple[int, int]]:
         """One pair of numbers for each pair of different shapes of one label."""
         by: dict[str, dict[int, int]] = {}
         for d in y:
             by.setdefault(b.labels[d], {}).setdefault(sb[d], d)
         first = {sa[c]: c for c in reversed(x)}
-        return {(c, d) for c in first.values() for d in by.get(a.labels[c], {}).values()}
-
-    def fits(x: list[int], y: list[int]) -> bool:
-        return len(x) * len(y) <= CELLS
-
-    todo = [(0, 0)] if a.labels[0] == b.labels[0] else []
-    while todo:  # weights from below: a pair waits for those of its children
-        i, j = todo[-1]
-        key = (sa[i], sb[j])
-        if key in weight:
-            todo.pop()
-            continue
-        if sa[i] == sb[j]:
-            weight[key] = a.sizes[i]
-            continue
-        ends, x, y = split(i, j)
-        total = 1 + sum(a.sizes[c] for c, _ in ends)
-        if not x or not y:
-            weight[key] = total
-        elif not fits(x, y):
-            weight[key] = total + len(in_order(x, y, a, b))
-        else:
-            need = [p for p in pairs(x, y) if (sa[p[0]], sb[p[1]]) not in weight]
-            if need:
-                todo += need
+        return ((c, d) for c in first.values() for d in by.get(a.labels[c], {}).values())
+
+    def plain(i: int, j: int) -> int:
+        """The weight of a pair of one label where it needs no search, else 0."""
+        return a.sizes[i] if sa[i] == sb[j] else 0 if a.children[i] and b.children[j] else 1
+
+    def weight_of(c: int, d: int, known: dict[tuple[int, int], int]) -> int:
+        w = plain(c, d) or known.get((sa[c], sb[d]))
+        if w is None:
+            w = weigh(c, d, {}, 0)
+            if len(known) < CELLS:
+                known[sa[c], sb[d]] = w
+        return w
+
+    def best_of(x: list[int], y: list[int], known: dict[tuple[int, int], int]) -> int:
+        """The weight of two sibling lists; short ones cell by cell, which is quicker."""
+        if len(x) * len(y) > 256:
+            return heaviest(rows(x, y, known), len(x), len(y))
+        last = [0] * (len(y) + 1)
+        for c in x:
+            label, row, run = a.labels[c], [0], 0
+            for q, d in enumerate(y):
+                run = max(run, last[q + 1], last[q] + weight_of(c, d, known) if label == b.labels[d] else 0)
+                row.append(run)
+            last = row
+        return last[-1]
+
+    def rows(x: list[int], y: list[int], known: dict[tuple[int, int], int]) -> Callable[[int], np.ndarray]:
+        """The rows of the table of weights of two sibling lists."""
+        spots: dict[int, int] = {}
+        by: dict[str, dict[int, int]] = {}
+        for d in y:
+            by.setdefault(b.labels[d], {}).setdefault(spots.setdefault(sb[d], len(spots)), d)
+        first: dict[int, int] = {}
+        twin = [first.setdefault(sa[c], c) for c in x]
+        at = np.array([spots[sb[d]] for d in y])
+
+        @lru_cache(maxsize=max(1, CELLS // len(spots)))
+        def by_shape(c: int) -> np.ndarray:
+            out = np.zeros(len(spots), np.int32)
+            for spot, d in by.get(a.labels[c], {}).items():
+                out[spot] = weight_of(c, d, known)
+            return out
+
+        return lambda p: by_shape(twin[p])[at]
+
+    def weigh(i: int, j: int, known: dict[tuple[int, int], int], least: int) -> int:
+        """The weight of a pair; pairs below it go to known if the product of their sizes is over `least`."""
+        todo = [(i, j)]
+        while todo:  # from below: a pair waits for those of its children
+            c, d = todo[-1]
+            key = (sa[c], sb[d])
+            if key in known:
+                todo.pop()
                 continue
-            table = [[weight.get((sa[c], sb[d]), 0) for d in y] for c in x]
-            weight[key] = total + sum(table[p][q] for p, q in aligned(table))
+            ends, x, y = split(c, d)
+            total = 1 + sum(a.sizes[e] for e, _ in ends)
+            if x and y:
+                need = [(e, f) for e, f in pairs(x, y) if a.sizes[e] * b.sizes[f] > least and not plain(e, f) and (sa[e], sb[f]) not in known]
+                if need:
+                    todo += need
+                    continue
+                total += best_of(x, y, known)
+            known[key] = total
+        return known[sa[i], sb[j]]
+
     out: dict[int, int] = {}
     walk = [(0, 0)] if a.labels[0] == b.labels[0] else []
+    if walk and not plain(0, 0):
+        weigh(0, 0, weight, small)
     while walk:
         i, j = walk.pop()
         if sa[i] == sb[j]:
@@ -417,7 +471,7 @@ def matching(page: str, host: str) -> dict[int, int]:
         ends, x, y = split(i, j)
         walk += ends
         if x and y:
-            walk += [(x[p], y[q]) for p, q in aligned([[weight.get((sa[c], sb[d]), 0) for d in y] for c in x])] if fits(x, y) else in_order(x, y, a, b)
+            walk += [(x[p], y[q]) for p, q in aligned(rows(x, y, weight), len(x), len(y))]
     return out
 
 
