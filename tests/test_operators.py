@@ -307,3 +307,11 @@ def test_keyed_state_sends_changes_once_and_tells_what_is_stale(spark, tmp_path)
     last = run(rows(("Z", 1, 1, 0.0)))
     assert [r for r in last if r[4]] == [("A", 2, 6, 1.5, True), ("B", 4, 5, 2.0, True)]
     assert ("B", 4, 5, 2.0, False) in run(rows(("B", 4, 5, 2.0)))  # forgotten, so it is new again
+
+
+def test_j15_sorts_no_window_and_joins_few_rows(spark):
+    """The anti join meets each series once, and no vintage is ranked to name its series."""
+    from vintagelake.plans.registry import queries
+
+    plan = queries()["J15_anti"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.index("LeftAnti") < plan.rindex("Aggregate [series_id")
