@@ -315,3 +315,18 @@ def test_j15_sorts_no_window_and_joins_few_rows(spark):
 
     plan = queries()["J15_anti"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and plan.index("LeftAnti") < plan.rindex("Aggregate [series_id")
+
+
+def test_a_report_reads_its_figures_once(spark):
+    """All checks read the condensed table, of which each finds what it finds in the figures."""
+    from vintagelake.plans.registry import queries
+
+    files = queries()["Q00_report_obs"](spark, "/root/testdata/sf0.001").inputFiles()
+    assert files and not any("orders" in f or "lineitem" in f for f in files)
+    rows = [("A", dt.date(2020, 1, d), dt.date(2020, 1, d + lag), r, v) for d in range(1, 9) for lag, r, v in ((0, None, 1.0), (0, None, 1.0), (1, dt.date(2020, 1, d + 1), -1.0), (2, dt.date(2020, 1, d + 1), float(d % 3)))]
+    o = spark.createDataFrame(rows, "series_id string, obs_date date, release_date date, revision_date date, value double")
+    specs = spark.createDataFrame([("A", "index", "daily")], "series_id string, unit string, frequency string")
+    once = quality.condensed(o)
+    for check in (quality.duplicates, quality.conflicts, quality.release_inversions, quality.moves, lambda x: quality.non_positive(x, specs), lambda x: quality.coverage(x, specs)):
+        a, b = check(o), check(once)
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.select(a.columns).collect()))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vintagelake.operators.aggregates import at_index, robust_z
 from vintagelake.operators.pit import knowable_at, newest
+from vintagelake.sources.shared import stored
 
 #: Days between figures, the longest gap that is normal, by frequency; limits of the checks.
 SPACING = {"daily": 1, "weekly": 7, "monthly": 31, "quarterly": 92}
@@ -41,15 +42,28 @@ def vintage() -> Column:
     return F.coalesce("revision_date", "release_date").alias("vintage")
 
 
+def condensed(obs: DataFrame) -> DataFrame:
+    """One row for each series, period, release and revision, of which all checks of a report can be made.
+
+    value is the largest one, as that stands; low and high are the ends of the values at ten digits after the point, n_rows
+    and n_bad count rows and values not over 0. All are sums or extremes, so tasks send a row for a key. What is condensed stays.
+    """
+    if "n_rows" in obs.columns:
+        return obs
+    at = F.round("value", 10)
+    sums = [F.max("value").alias("value"), F.min(at).alias("low"), F.max(at).alias("high"), F.count("*").alias("n_rows"), F.count_if(F.col("value") <= 0).alias("n_bad")]
+    return obs.groupBy("series_id", "obs_date", "release_date", "revision_date").agg(*sums)
+
+
 def duplicates(obs: DataFrame) -> DataFrame:
     """Periods with the same vintage twice."""
-    twice = obs.groupBy("series_id", "obs_date", vintage()).agg(F.count("*").alias("k")).where("k > 1")
+    twice = condensed(obs).groupBy("series_id", "obs_date", vintage()).agg(F.sum("n_rows").alias("k")).where("k > 1")
     return finding(twice.groupBy("series_id").agg(F.count("*").alias("n")), "duplicate_timestamp", "error")
 
 
 def conflicts(obs: DataFrame) -> DataFrame:
     """Vintages that state different values, compared at ten digits after the point."""
-    keys = obs.groupBy("series_id", "obs_date", vintage()).agg(F.count_distinct(F.round("value", 10)).alias("k")).where("k > 1")
+    keys = condensed(obs).groupBy("series_id", "obs_date", vintage()).agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high")
     return finding(keys.groupBy("series_id").agg(F.count("*").alias("n")), "revision_conflict", "error")
 
 
@@ -122,8 +136,8 @@ def outliers(obs: DataFrame) -> DataFrame:
 
 
 def non_positive(obs: DataFrame, specs: DataFrame) -> DataFrame:
-    bad = obs.where("value <= 0").join(specs.where(F.col("unit").isin(*POSITIVE_UNITS)).select("series_id"), "series_id", "left_semi")
-    return finding(bad.groupBy("series_id").agg(F.count("*").alias("n")), "non_positive_value", "warning")
+    bad = condensed(obs).where("n_bad > 0").join(specs.where(F.col("unit").isin(*POSITIVE_UNITS)).select("series_id"), "series_id", "left_semi")
+    return finding(bad.groupBy("series_id").agg(F.sum("n_bad").alias("n")), "non_positive_value", "warning")
 
 
 def release_inversions(obs: DataFrame) -> DataFrame:
@@ -135,7 +149,8 @@ def release_inversions(obs: DataFrame) -> DataFrame:
 
 
 def report(obs: DataFrame, specs: DataFrame) -> DataFrame:
-    """All checks' findings, one row for each series and code."""
+    """All checks' findings, one row for each series and code. Figures are read once and condensed to a table, which the checks read."""
+    obs, specs = stored(condensed(obs), "condensed"), stored(specs, "specs")
     count = lambda df: df.groupBy("series_id").agg(F.count("*").alias("n"))
     parts = [
         empty(obs, specs), duplicates(obs), conflicts(obs), invalid_frequency(obs, specs), finding(count(all_gaps(obs, specs)), "missing_observations", "warning"),
