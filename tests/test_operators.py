@@ -330,3 +330,18 @@ def test_a_report_reads_its_figures_once(spark):
     for check in (quality.duplicates, quality.conflicts, quality.release_inversions, quality.moves, lambda x: quality.non_positive(x, specs), lambda x: quality.coverage(x, specs)):
         a, b = check(o), check(once)
         assert sorted(map(str, a.collect())) == sorted(map(str, b.select(a.columns).collect()))
+
+
+def test_observations_make_the_price_once(spark, monkeypatch):
+    from vintagelake.plans import daily, fixtures
+
+    made, price = [], fixtures.price
+
+    def counted(*args):
+        made.append(args)
+        return price(*args)
+
+    monkeypatch.setattr(fixtures, "price", counted)
+    monkeypatch.setattr(daily, "price", counted)
+    daily.observations(spark, "/root/testdata/sf0.001")
+    assert len(made) == 1
