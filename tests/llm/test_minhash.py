@@ -79,6 +79,75 @@ def test_one_large_group_of_edited_copies(spark):
     assert got == brute(rows)
 
 
+def edited(n, edits, seed, length=60):
+    """Texts edited from one, with doc_ids."""
+    rng = random.Random(seed)
+    base = [f"b{k}" for k in range(length)]
+    rows = []
+    for i in range(n):
+        text = list(base)
+        for _ in range(rng.randint(0, edits)):
+            text[rng.randrange(length)] = f"x{rng.random()}"
+        rows.append((i, " ".join(text)))
+    return rows
+
+
+def test_a_large_group_sends_each_text_once(spark, monkeypatch):
+    """What hubs leave apart goes to tasks once for each bucket, however large the bucket is: not once for each other block."""
+    made, keep = {}, minhash.written
+
+    def counted(df, name):
+        out = keep(df, name)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(minhash, "written", counted)
+    rows = edited(300, 5, 2)
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == brute(rows)
+    assert 0 < made["blocks"] <= made["apart"] and made.get("large-blocks", 0) == 0
+
+
+@pytest.mark.parametrize("weigh", [False, True])
+def test_buckets_of_several_chunks(spark, monkeypatch, weigh):
+    """Buckets larger than a chunk lose no link between chunks, with equal weights or others; texts that can have none are left out."""
+    monkeypatch.setattr(minhash, "CHUNK_TEXTS", 8)
+    rows = edited(90, 5, 3)
+    if weigh:
+        rows = [(i, t + " again" * (9 + i % 2)) for i, t in rows]
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == brute(rows)
+
+
+def test_links_of_a_chunk():
+    """Links of a task connect what all pairs connect, for few and many common shingles, equal weights and others."""
+    rng = random.Random(5)
+    for n, weigh in ((2, False), (40, False), (40, True), (700, False)):
+        rows = []
+        for i, text in edited(n, 5, n):
+            items, weights = minhash.shingles(text + " again" * rng.choice([6, 20]) * weigh)
+            rows.append({"node": i, "root": rng.choice([i, 0]) if i % 9 == 0 else i, "items": items.tobytes(), "weights": weights.astype(np.float32).tobytes() if weigh else None})
+        sets = [minhash.read_set(r["items"], r["weights"]) for r in rows]
+        same = [(r["node"], r["root"]) for r in rows]
+        want = same + [(i, j) for i in range(n) for j in range(i) if minhash.similarity(sets[i], sets[j]) >= minhash.SIMILAR]
+        found = minhash.linked(rows, minhash.SIMILAR)
+        assert set(found) <= set(want) | {(j, i) for i, j in want} and connected(n, same + found) == connected(n, want)
+
+
+def connected(n, edges):
+    parent = list(range(n))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in edges:
+        low, high = sorted((root(i), root(j)))
+        parent[high] = low
+    return [root(i) for i in range(n)]
+
+
 def test_edge_cases(spark):
     text = " ".join(f"t{k}" for k in range(60))
     rows = [(5, text), (3, text), (3, text), (None, text), (7, None), (8, ""), (9, "  "), (10, "one"), (11, "one"), (12, "one two"), (None, "lone words"), (None, "lone words"), (None, None)]

@@ -28,8 +28,10 @@ REGISTERS = BANDS * ROWS
 NEAR = SIMILAR - 4 * (SIMILAR * (1 - SIMILAR) / REGISTERS) ** 0.5
 #: Rows of a key and two numbers that are broadcast at most.
 BROADCAST_ROWS = 400_000
-#: Shingles in a block of texts that one task compares with another block.
-BLOCK_SHINGLES = 60_000
+#: Texts, and their shingles, that one task compares with each other.
+CHUNK_TEXTS, CHUNK_SHINGLES = 1024, 400_000
+#: Columns of a dense product of texts by shingles.
+COLUMNS = 2048
 U = np.uint64
 
 
@@ -195,53 +197,120 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "items_a", "weights_a", "items_b", "weights_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def linked(query: list[dict], texts: list[dict], threshold: float) -> list[tuple[int, int]]:
-    """Links between blocks of rows with node, root, sketch, items and weights that share a band: for a query and another root, the first one found.
+def overlaps(sets: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """For texts a and b, at (a, b), the weight in a of the shingles that both have; the diagonal means nothing.
 
-    A pair is looked at where it first shares a band, and compared in full where its sketches agree in a share of NEAR or more.
+    Shingles that few texts share are met pair by pair, the others as columns of matrix products.
     """
-    own, other = (np.frombuffer(b"".join(r["sketch"] for r in rows), np.uint32).reshape(-1, BANDS, ROWS) for rows in (query, texts))
-    here = int(((own == own[0]).all(2).all(0) & (other == own[0]).all(2).all(0)).argmax())
-    roots = np.array([r["root"] for r in texts])
+    n = len(sets)
+    out = np.zeros((n, n))
+    item = np.unique(np.concatenate([s[0] for s in sets]), return_inverse=True)[1]
+    row, weight = np.repeat(np.arange(n), [len(s[0]) for s in sets]), np.concatenate([s[1] for s in sets])
+    support = np.bincount(item)
+    few = support[item] <= max(8, n // 64)
+    dense, support = ~few, support[item]
+    order = np.flatnonzero(few & (support > 1))
+    order = order[np.argsort(item[order], kind="stable")]
+    for k in range(1, len(order)):
+        same = item[order[k:]] == item[order[:-k]]
+        if not same.any():
+            break
+        x, y = order[:-k][same], order[k:][same]
+        np.add.at(out, (row[x], row[y]), weight[x])
+        np.add.at(out, (row[y], row[x]), weight[y])
+    column = np.unique(item[dense], return_inverse=True)[1]
+    row, weight = row[dense], weight[dense]
+    for start in range(0, column.max(initial=-1) + 1, COLUMNS):
+        at = (column >= start) & (column < start + COLUMNS)
+        part = np.zeros((n, COLUMNS), np.float32)
+        part[row[at], column[at] - start] = weight[at]
+        out += part @ (part > 0).astype(np.float32).T
+    return out
+
+
+def linked(rows: list[dict], threshold: float) -> list[tuple[int, int]]:
+    """Links between rows with node, root, items and weights: enough to connect all roots that pairs at the threshold or above connect.
+
+    Two texts whose shingles all weigh 1 are judged by the number of common ones. Others are compared in full where the common
+    shingles have that share of either's weight, which the similarity cannot exceed.
+    """
+    sets = [read_set(r["items"], r["weights"]) for r in rows]
+    roots = np.unique([r["root"] for r in rows], return_inverse=True)[1]
+    label = np.arange(len(rows))
+    common, total = overlaps(sets), np.array([s[1].sum() for s in sets])
+    plain = np.array([r["weights"] is None for r in rows])
+    plain = plain[:, None] & plain
+    share = common / total[:, None]
+    sure = plain & (common / (total[:, None] + total - common) >= threshold)
+    maybe = np.triu(~plain & (np.minimum(share, share.T) >= threshold - 1e-6), 1)
     found = []
-    for q, sketch in zip(query, own, strict=True):
-        same = other == sketch
-        near = same.mean((1, 2))
-        look = (near >= NEAR) & (roots != q["root"]) & (same.all(2).argmax(1) >= here)
-        done = set()
-        for j in sorted(np.flatnonzero(look), key=lambda j: -near[j]):
-            if roots[j] not in done and similarity(read_set(q["items"], q["weights"]), read_set(texts[j]["items"], texts[j]["weights"])) >= threshold:
-                done.add(roots[j])
-                found.append((q["node"], texts[j]["node"]))
+    for a in np.flatnonzero(sure.any(1)):
+        near = np.flatnonzero(sure[a])
+        there = label[roots[near]]
+        for other in np.unique(there[there != label[roots[a]]]):
+            found.append((rows[a]["node"], rows[near[(there == other).argmax()]]["node"]))
+            label[label == other] = label[roots[a]]
+    for a in np.flatnonzero(maybe.any(1)):
+        near = np.flatnonzero(maybe[a] & (label[roots] != label[roots[a]]))
+        for b in near[np.argsort(-share[a, near], kind="stable")]:
+            if label[roots[b]] != label[roots[a]] and similarity(sets[a], sets[b]) >= threshold:
+                found.append((rows[a]["node"], rows[b]["node"]))
+                label[label == label[roots[b]]] = label[roots[a]]
     return found
 
 
-def links_in_blocks(rooted: DataFrame, sets: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) between texts of a bucket that the hubs left in different classes.
-
-    Each text outside its hub's class is the query, all texts of the bucket are looked through, in blocks of about
-    BLOCK_SHINGLES shingles: a task compares one block of queries with one block of texts and returns, for a query and
-    a class, one link. So no pairs are made as rows, and no bucket meets in one task. Two texts of different classes are
-    compared in every bucket that holds both, so it is enough to look at them in one.
-    """
-    is_apart = F.col("root") != F.col("hub_root")
-    others = rooted.where("node <> hub")
-    blocks = lambda size: F.ceil(size / F.lit(BLOCK_SHINGLES)).cast("int")
-    per = others.groupBy("band").agg(blocks(F.sum(F.when(is_apart, F.col("size")))).alias("n_query"), blocks(F.sum("size")).alias("n_text"), F.count("*").alias("n"))
-    per = written(per.where("n_query is not null and n > 1").drop("n"), "block-counts")
-    rows = others.join(per, "band").withColumn("h", F.xxhash64("node", "band"))
-    query = rows.where(is_apart).select("band", F.pmod("h", "n_query").alias("i"), F.explode(F.expr("sequence(0L, n_text - 1L)")).alias("j"), "node", "root", F.lit(True).alias("query"))
-    text_rows = rows.select("band", F.explode(F.expr("sequence(0L, n_query - 1L)")).alias("i"), F.pmod("h", "n_text").alias("j"), "node", "root", F.lit(False).alias("query"))
-    placed = written(query.union(text_rows), "blocks")
+def links_within(placed: DataFrame, sets: DataFrame, threshold: float, *by: str) -> DataFrame:
+    """Links (a, b) between the nodes of placed (with root) that have the same `by`, a group in a task."""
 
     def run(group: pa.Table) -> pa.Table:
-        rows = group.to_pylist()
-        query, texts = [r for r in rows if r["query"]], [r for r in rows if not r["query"]]
-        found = linked(query, texts, threshold) if query and texts else []
+        found = linked(group.to_pylist(), threshold)
         return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
-    sketched = written(nodes.join(rooted.select("node").distinct(), "node", "left_semi").select("node", "sketch"), "block-sketches")
-    return placed.join(sets, "node").join(sketched, "node").groupBy("band", "i", "j").applyInArrow(run, "a bigint, b bigint")
+    return placed.join(sets, "node").groupBy(*by).applyInArrow(run, "a bigint, b bigint")
+
+
+def chunks(texts: Column, shingles: Column, share: float = 1.0) -> Column:
+    """How many chunks hold that many texts and shingles if a chunk has that share of its limits."""
+    return F.ceil(F.greatest(texts / F.lit(CHUNK_TEXTS * share), shingles / F.lit(CHUNK_SHINGLES * share))).cast("int")
+
+
+def linkable(nodes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Those of the nodes whose shingles that no other of them has weigh no more than the threshold leaves.
+
+    The similarity of two texts is at most the share of either's weight that is common, so the rest has no link here.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, items, weights in zip(*(batch.column(c).to_pylist() for c in ("node", "items", "weights")), strict=True):
+                item, weight = read_set(items, weights)
+                yield pa.RecordBatch.from_arrays([pa.array(item.view(np.int64)), pa.array(np.full(len(item), node)), pa.array(weight / weight.sum())], names=["item", "node", "share"])
+
+    shares = sets.join(nodes, "node", "left_semi").select("node", "items", "weights").mapInArrow(run, "item bigint, node bigint, share double")
+    alone = shares.groupBy("item").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.min("share").alias("share")).where("n = 1")
+    novel = alone.groupBy("node").agg(F.sum("share").alias("share")).where(F.col("share") > 1 - threshold + 1e-6)
+    return nodes.join(written(novel.select("node"), "novel"), "node", "left_anti")
+
+
+def links_of_chunks(apart: DataFrame, per: DataFrame, roots: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between texts of a bucket of several chunks that are still in different classes (`roots`).
+
+    The texts outside the bucket's largest class are compared with all its texts, a block of half a chunk of either in a task.
+    Texts that can have no link are left out on both sides.
+    """
+    rows = apart.join(per.where("n_chunk > 1"), "band").drop("root")
+    rows = written(rows.join(roots, "node", "left").select("band", "node", "size", F.coalesce("root", "node").alias("root")), "large")
+    sizes = rows.groupBy("band", "root").agg(F.count("*").alias("n"))
+    main = written(sizes.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("n")).where("n > 1").select("band", "main"), "main-classes")
+    kept = written(linkable(rows.join(main, "band", "left_semi").select("node").distinct(), sets, threshold), "linkable")
+    rows = written(rows.join(main, "band").join(kept, "node", "left_semi").select("band", "node", "root", "size", (F.col("root") != F.col("main")).alias("query")), "large-linkable")
+    asked = lambda x: F.sum(F.when(F.col("query"), x))
+    counts = rows.groupBy("band").agg(chunks(asked(F.lit(1)), asked(F.col("size")), 0.5).alias("n_query"), chunks(F.count("*"), F.sum("size"), 0.5).alias("n_text"))
+    at = rows.join(written(counts.where("n_query > 0"), "block-counts"), "band").withColumn("h", F.xxhash64("node", "band"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    query = at.where("query").select("band", F.pmod("h", "n_query").cast("int").alias("i"), every("n_text").alias("j"), "node", "root")
+    text = at.select("band", every("n_query").alias("i"), F.pmod("h", "n_text").cast("int").alias("j"), "node", "root")
+    return links_within(written(query.union(text), "large-blocks"), sets, threshold, "band", "i", "j")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -283,14 +352,20 @@ def classed(docs: DataFrame, threshold: float = SIMILAR, text: str = "text") ->
     split = written(members.where("doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("m")).where("b < m").select("doc_id", "b"), "split-ids")
     links = links.union(members.join(split, "doc_id").select(F.col("node").alias("a"), "b"))
     first = components(links)
-    # What the hubs left apart: texts of a bucket in another class than its hub, against the other classes of the bucket.
+    # What the hubs left apart: buckets with texts in another class than their hub go to tasks whole, or in chunks if they are large.
     root = shared.join(first, "node", "left").select("band", "node", "hub", F.coalesce("root", "node").alias("root"))
     hub_root = first.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
-    rooted = written(root.join(hub_root, "hub", "left").select("band", "node", "root", F.coalesce("hub_root", "hub").alias("hub_root"), "hub"), "rooted")
+    rooted = written(root.join(hub_root, "hub", "left").select("band", "node", "root", F.coalesce("hub_root", "hub").alias("hub_root")), "rooted")
     open_bands = written(rooted.where("root <> hub_root").select("band").distinct(), "open-bands")
-    left_apart = written(rooted.join(open_bands, "band", "left_semi").join(nodes.select("node", "size"), "node"), "apart")
-    more = written(links_in_blocks(left_apart, sets, nodes, threshold), "links")
-    classes = components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+    apart = written(rooted.drop("hub_root").join(open_bands, "band", "left_semi").join(nodes.select("node", "size"), "node"), "apart")
+    per = written(apart.groupBy("band").agg(chunks(F.count("*"), F.sum("size")).alias("n_chunk")), "chunk-counts")
+    placed = apart.join(per, "band").select("band", F.pmod(F.xxhash64("node", "band"), "n_chunk").cast("int").alias("chunk"), "node", "root")
+    as_links = lambda roots: roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    more = written(links_within(written(placed, "blocks"), sets, threshold, "band", "chunk"), "links")
+    classes = components(as_links(first).union(more))
+    if per.where("n_chunk > 1").limit(1).count():
+        more = written(links_of_chunks(apart, per, classes, sets, threshold), "links")
+        classes = components(as_links(classes).union(more))
     found = members.join(classes, "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("root"))
     # A text without words is in the class of its doc_id's other texts, if there are any.
     alone = sketched.where("size = 0").select("doc_id", "key")
@@ -304,8 +379,8 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILAR, text: str = "te
 
     Equal texts are one class by their key. Different texts are linked where they share a band and their exact
     probability Jaccard similarity reaches the threshold; classes are the connected parts. In a band's bucket every text is compared
-    with one hub; where some are not in the hub's class afterwards, they are compared with all texts of the bucket
-    that are in other classes, block by block, so a bucket hides no pair. A text without words, or null, is in a class of its own.
+    with one hub; where some are not in the hub's class afterwards, all texts of the bucket are compared with each other in one task,
+    or chunk by chunk if there are many, and then those still apart with the other chunks, so a bucket hides no pair. A text without words, or null, is in a class of its own.
     Repeated rows are copies; rows that share a doc_id but not the text are linked through it. A row without a doc_id
     belongs to the class of its text as any other; a class of such rows only has a null class_id. class_size counts
     rows. An empty table gives an empty one; other columns are not read.
