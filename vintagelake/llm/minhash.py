@@ -299,7 +299,7 @@ def links_of_chunks(apart: DataFrame, per: DataFrame, roots: DataFrame, sets: Da
     Texts that can have no link are left out on both sides.
     """
     rows = apart.join(per.where("n_chunk > 1"), "band").drop("root")
-    rows = written(rows.join(roots, "node", "left").select("band", "node", "size", F.coalesce("root", "node").alias("root")), "large")
+    rows = written(rows.join(roots, "node", "left").select("band", "node", "size", F.coalesce("root", "node").alias("root")), "large-apart")
     sizes = rows.groupBy("band", "root").agg(F.count("*").alias("n"))
     main = written(sizes.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("n")).where("n > 1").select("band", "main"), "main-classes")
     kept = written(linkable(rows.join(main, "band", "left_semi").select("node").distinct(), sets, threshold), "linkable")
